@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import SEED
-from ..functions.columns import level_rank, unit_hash
+from ..functions.columns import key_hash, level_rank
 from .quantiles import DIRECT_ROWS, quantiles
 
 # Pairs per aggregation, which keeps the generated code of one aggregation small.
@@ -144,13 +144,15 @@ def regression_band(df: DataFrame, x: str, y: str, key: Sequence[str], reps: int
                     level: float = 0.95, seed: int = SEED) -> DataFrame:
     """(x, fit, low, high): the least-squares line with a bootstrap band on an even grid.
 
-    Every row gets a Poisson(1) weight per replicate that depends only on its key, so
-    one aggregation yields the weighted sums of all replicates; only ``reps`` rows
-    leave it.
+    Every row gets a Poisson(1) weight per replicate that depends only on its key: two
+    hashes of the key, the second times the replicate added to the first.  One
+    aggregation, combined on the map side, yields the weighted sums of all replicates.
     """
-    pairs = df.select(*key, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna()
-    drawn = pairs.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn(
-        "w", _poisson_weight(unit_hash([*key, "rep"], seed))).filter("w > 0")
+    pairs = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"),
+                      key_hash(key, f"start{seed}").alias("_h"), key_hash(key, f"step{seed}").alias("_s")).dropna()
+    uniform = F.pmod(F.col("_h") + F.col("rep") * F.col("_s"), F.lit(2**32)) / F.lit(float(2**32))
+    drawn = pairs.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_u", uniform).withColumn(
+        "w", _poisson_weight(F.col("_u")))
     centre = pairs.agg(F.avg("_x").alias("cx"), F.avg("_y").alias("cy"), F.min("_x").alias("lo"),
                        F.max("_x").alias("hi"), F.regr_slope("_y", "_x").alias("b"),
                        F.regr_intercept("_y", "_x").alias("a")).first()

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import clean_queries, profile_queries
+from . import clean_queries, feature_queries, model_queries, profile_queries
 
 
 def catalog() -> dict:
     merged: dict = {}
-    for module in (clean_queries, profile_queries):
+    for module in (clean_queries, profile_queries, feature_queries, model_queries):
         repeated = set(merged) & set(module.QUERIES)
         if repeated:
             raise ValueError(f"query names occur twice: {sorted(repeated)}")

@@ -201,7 +201,9 @@ QUERIES = {
         c AS (SELECT avg(x) AS cx, avg(y) AS cy, min(x) AS lo, max(x) AS hi, regr_slope(y, x) AS fb,
                      regr_intercept(y, x) AS fa FROM p),
         u AS (SELECT rep, x - cx AS dx, y - cy AS dy,
-                     ('0x' || substr(md5(o_orderkey || '|' || rep || '|42'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+                     ((('0x' || substr(md5(o_orderkey || '|start42'), 1, 8))::BIGINT
+                      + rep * ('0x' || substr(md5(o_orderkey || '|step42'), 1, 8))::BIGINT) % 4294967296)
+                     / 4294967296.0::DOUBLE AS u
               FROM p, c, (SELECT unnest(range(1, 101)) AS rep)),
         z AS (SELECT rep, dx, dy, list_sum([CAST(u >= b AS INT) FOR b IN
                 [0.36787944117144233::DOUBLE, 0.7357588823428847::DOUBLE, 0.9196986029286058::DOUBLE,
@@ -211,9 +213,9 @@ QUERIES = {
         s AS (SELECT rep, sum(w) AS sw, sum(w * dx) AS sx, sum(w * dy) AS sy, sum(w * dx * dx) AS sxx,
                      sum(w * dx * dy) AS sxy FROM z GROUP BY rep),
         l AS (SELECT *, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) AS b FROM s),
-        g AS (SELECT lo + i * ((hi - lo) / 19) AS x, (sy - b * sx) / sw + cy + b * (lo + i * ((hi - lo) / 19) - cx) AS at,
+        g AS (SELECT lo + i * ((hi - lo) / 19) AS x, (sy - b * sx) / sw + cy + b * (lo + i * ((hi - lo) / 19) - cx) AS yhat,
                      fa + fb * (lo + i * ((hi - lo) / 19)) AS fit
               FROM l, c, (SELECT unnest(range(20)) AS i))
-        SELECT round(x, 3) AS x, round(any_value(fit), 3) AS fit, round(quantile_cont(at, 0.025), 3) AS low,
-               round(quantile_cont(at, 0.975), 3) AS high FROM g GROUP BY g.x"""),
+        SELECT round(x, 3) AS x, round(any_value(fit), 3) AS fit, round(quantile_cont(yhat, 0.025), 3) AS low,
+               round(quantile_cont(yhat, 0.975), 3) AS high FROM g GROUP BY g.x"""),
 }
