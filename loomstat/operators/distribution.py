@@ -88,33 +88,74 @@ def grouped_density(df: DataFrame, col: str, facet: str, by: Sequence[str], bins
     return result
 
 
-def kde(df: DataFrame, col: str, grid: int = 200, cut: float = 0.0) -> DataFrame:
-    """(x, density): Gaussian kernel density on an even grid, bandwidth n^(-1/5)·std.
+def _column_entries(df: DataFrame, literals: dict[str, dict[str, float]]) -> DataFrame:
+    """(column, v, and the literals of the column): one row per present value of each column."""
+    return df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("v"),
+                 *[F.lit(float(x)).alias(n) for n, x in values.items()])
+        for c, values in literals.items()])).alias("_e")).select("_e.*").filter("v is not null")
+
+
+def _extents(df: DataFrame, cols: Sequence[str]) -> dict[str, dict[str, float]]:
+    """Count, sample std, min and max of every column, from one pass; columns without values are left out."""
+    clean = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols}
+    row = df.agg(*[f(clean[c]).alias(f"_{n}{i}") for i, c in enumerate(cols) for n, f in (
+        ("n", F.count), ("sd", F.stddev_samp), ("lo", F.min), ("hi", F.max))]).first()
+    return {c: {n: row[f"_{n}{i}"] for n in ("n", "sd", "lo", "hi")} for i, c in enumerate(cols) if row[f"_n{i}"]}
+
+
+def histograms(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataFrame:
+    """(column, bin, lower, upper, n) of many columns with a fixed number of bins, in two passes."""
+    literals = {}
+    for c, e in _extents(df, cols).items():
+        flat = e["lo"] == e["hi"]
+        literals[c] = {"lo": e["lo"] - 0.5 if flat else e["lo"],
+                       "width": 1.0 / bins if flat else (e["hi"] - e["lo"]) / bins}
+    if not literals:
+        return df.sparkSession.createDataFrame([], "column string, bin int, lower double, upper double, n long")
+    entries = _column_entries(df, literals)
+    position = F.floor((F.col("v") - F.col("lo")) / F.col("width"))
+    bin_of = F.greatest(F.least(position, F.lit(bins - 1)), F.lit(0)).cast("int")
+    counted = entries.groupBy("column", bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    edges = df.sparkSession.createDataFrame(
+        [(c, i, e["lo"] + i * e["width"], e["lo"] + (i + 1) * e["width"]) for c, e in literals.items()
+         for i in range(bins)], "column string, bin int, lower double, upper double")
+    return edges.join(counted, ["column", "bin"], "left").fillna(0, ["n"])
+
+
+def kdes(df: DataFrame, cols: Sequence[str], grid: int = 200, cut: float = 0.0) -> DataFrame:
+    """(column, x, density): Gaussian kernel densities on even grids, bandwidth n^(-1/5)·std.
 
     Every value adds to the grid points it can reach: beyond 39 bandwidths a double
     kernel value is exactly zero, so leaving those points out changes nothing.  Sums
-    combine on the map side; at most ``grid`` rows per task are shuffled.
+    combine on the map side; at most ``grid`` rows per column and task are shuffled.
+    Columns without spread have no curve.
     """
-    values = df.select(F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double")).alias("v")).filter(
-        "v is not null")
-    s = values.agg(F.count("v").alias("n"), F.stddev_samp("v").alias("sd"), F.min("v").alias("lo"),
-                   F.max("v").alias("hi")).first()
-    empty = df.sparkSession.createDataFrame([], "x double, density double")
-    if not s["n"] or not s["sd"] or math.isnan(s["sd"]):
-        return empty
-    h = s["sd"] * s["n"] ** -0.2
-    lo, hi = s["lo"] - cut * h, s["hi"] + cut * h
-    step = (hi - lo) / (grid - 1)
-    reach = 39.0 * h
-    first = F.greatest(F.lit(0), F.ceil((F.col("v") - F.lit(lo + reach)) / F.lit(step)))
-    last = F.least(F.lit(grid - 1), F.floor((F.col("v") - F.lit(lo - reach)) / F.lit(step)))
-    spread = values.select("v", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("i"))
-    z = (F.lit(lo) + F.col("i") * F.lit(step) - F.col("v")) / F.lit(h)
-    sums = spread.groupBy("i").agg(F.sum(F.exp(-0.5 * z * z)).alias("s"))
-    zero = df.sparkSession.range(grid).select(F.col("id").cast("int").alias("i"), F.lit(0.0).alias("s"))
-    total = sums.unionByName(zero).groupBy("i").agg(F.sum("s").alias("s"))
-    scale = 1.0 / (s["n"] * h * math.sqrt(2 * math.pi))
-    return total.select((F.lit(lo) + F.col("i") * F.lit(step)).alias("x"), (F.col("s") * F.lit(scale)).alias("density"))
+    literals, scales = {}, {}
+    for c, e in _extents(df, cols).items():
+        if e["sd"] and not math.isnan(e["sd"]):
+            h = e["sd"] * e["n"] ** -0.2
+            lo, hi = e["lo"] - cut * h, e["hi"] + cut * h
+            literals[c] = {"lo": lo, "step": (hi - lo) / (grid - 1), "h": h}
+            scales[c] = 1.0 / (e["n"] * h * math.sqrt(2 * math.pi))
+    if not literals:
+        return df.sparkSession.createDataFrame([], "column string, x double, density double")
+    reach = 39.0 * F.col("h")
+    first = F.greatest(F.lit(0), F.ceil((F.col("v") - F.col("lo") - reach) / F.col("step")))
+    last = F.least(F.lit(grid - 1), F.floor((F.col("v") - F.col("lo") + reach) / F.col("step")))
+    spread = _column_entries(df, literals).withColumn("i", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    z = (F.col("lo") + F.col("i") * F.col("step") - F.col("v")) / F.col("h")
+    sums = spread.groupBy("column", "i").agg(F.sum(F.exp(-0.5 * z * z)).alias("s"))
+    points = df.sparkSession.createDataFrame(
+        [(c, i, e["lo"] + i * e["step"], scales[c]) for c, e in literals.items() for i in range(grid)],
+        "column string, i int, x double, scale double")
+    return points.join(sums, ["column", "i"], "left").select(
+        "column", "x", (F.coalesce("s", F.lit(0.0)) * F.col("scale")).alias("density"))
+
+
+def kde(df: DataFrame, col: str, grid: int = 200, cut: float = 0.0) -> DataFrame:
+    """(x, density) of one column; see :func:`kdes`."""
+    return kdes(df, [col], grid, cut).select("x", "density")
 
 
 def box_stats(df: DataFrame, cat: str, y: str, whisker: str | tuple[float, float] = "tukey",

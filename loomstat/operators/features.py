@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import SEED, TEST_SHARE
 from ..functions.columns import from_log, key_hash, to_log, unit_hash
+from ..session import materialise
 from ..spec import Spec
 from .quantiles import DIRECT_ROWS, order_statistics, quantile_values
 
@@ -149,19 +151,22 @@ def fit_preprocessor(df: DataFrame, numeric: Sequence[str], categorical: Sequenc
     A numeric column without any value has no fill and is left out.
     """
     numeric, categorical = list(numeric), list(categorical)
-    clean = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in numeric}
-    if impute == "median":
-        fills = {c: v[0] for c, v in quantile_values(df, numeric, [0.5], direct_rows).items()} if numeric else {}
-    elif impute == "mean":
-        means = df.agg(*[F.avg(clean[c]).alias(f"_m{i}") for i, c in enumerate(numeric)]).first() if numeric else {}
-        fills = {c: means[f"_m{i}"] for i, c in enumerate(numeric)}
-    else:
+    if impute not in ("median", "mean"):
         raise ValueError(f"unknown fill {impute!r}")
-    used = [c for c in numeric if fills[c] is not None]
-    moments = df.agg(*[
-        f(F.coalesce(clean[c], F.lit(fills[c]))).alias(f"_{n}{i}")
-        for i, c in enumerate(used) for n, f in (("mean", F.avg), ("std", F.stddev_pop))
-    ]).first() if used else {}
+    clean = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in numeric}
+    found = df.agg(F.count(F.lit(1)).alias("rows"), *[
+        f(clean[c]).alias(f"_{n}{i}") for i, c in enumerate(numeric)
+        for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_pop))]).first()
+    medians = quantile_values(df, numeric, [0.5], direct_rows, found["rows"]) if numeric and impute == "median" else {}
+    scaled = []
+    for i, c in enumerate(numeric):
+        present, mean, variance = found[f"_n{i}"], found[f"_mean{i}"], found[f"_var{i}"]
+        if present:
+            fill = medians[c][0] if impute == "median" else mean
+            # Mean and variance of the present values and of the equal filled ones, put together.
+            share = present / found["rows"]
+            spread = share * variance + share * (1 - share) * (mean - fill) ** 2
+            scaled.append((c, fill, share * mean + (1 - share) * fill, math.sqrt(spread)))
     levels = category_levels(df, categorical)
     fitted_categories = []
     for c in categorical:
@@ -169,10 +174,7 @@ def fit_preprocessor(df: DataFrame, numeric: Sequence[str], categorical: Sequenc
             most = max(n for _, n in levels[c])
             fill = next(level for level, n in levels[c] if n == most)
             fitted_categories.append((c, fill, tuple(level for level, _ in levels[c])))
-    return Preprocessor(
-        tuple((c, fills[c], moments[f"_mean{i}"], moments[f"_std{i}"]) for i, c in enumerate(used)),
-        tuple(fitted_categories),
-    )
+    return Preprocessor(tuple(scaled), tuple(fitted_categories))
 
 
 @dataclass(frozen=True)
@@ -219,6 +221,10 @@ class Prepared:
     preprocessor: Preprocessor
     targets: TargetTransform
 
+    def stored(self) -> Prepared:
+        """The same with its rows materialised, for fits that read them several times."""
+        return Prepared(materialise(self.rows), self.preprocessor, self.targets)
+
     @property
     def train(self) -> DataFrame:
         return self.rows.filter("split = 'train'")

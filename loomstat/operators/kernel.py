@@ -100,28 +100,29 @@ def fit_kernel(df: DataFrame, label: str, vector: str = "features", C: float = 1
     try:
         best, losses = None, []
         # The first step is a plain ridge fit on all rows.
-        work = rows.withColumn("_t", F.col("_y")).withColumn("_w", F.lit(1.0))
+        work = rows.select("_mapped", F.col("_y").alias("_t"), F.lit(1.0).alias("_w"))
+        s = rows.agg(F.count(F.lit(1)).cast("double").alias("w"), F.var_pop("_y").alias("v")).first()
+        total, spread = s["w"], math.sqrt(s["v"] or 0.0)
         for _ in range(steps):
-            s = work.agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w"), F.sum(F.expr("_w * _t")).alias("wt"),
-                         F.sum(F.expr("_w * _t * _t")).alias("wtt")).first()
-            if not s["n"]:
-                break
-            spread = math.sqrt(max(s["wtt"] / s["w"] - (s["wt"] / s["w"]) ** 2, 0.0))
             linear = LinearRegression(featuresCol="_mapped", labelCol="_t", weightCol="_w", predictionCol="_p",
                                       solver="normal", standardization=False,
-                                      regParam=spread / (C * s["w"])).fit(work)
-            scored = linear.transform(rows)
+                                      regParam=spread / (C * total)).fit(work)
             miss = F.col("_y") - F.col("_p")
             over = F.greatest(F.abs(miss) - F.lit(epsilon), F.lit(0.0))
-            norm = float(np.square(linear.coefficients.toArray()).sum())
-            objective = 0.5 * norm + C * scored.agg(F.sum(over)).first()[0]
+            # Outside the tube the loss is linear: weight 1/|distance to the tube| makes its square match.
+            weight = F.when(over > 0, 1.0 / F.greatest(over, F.lit(1e-3 * max(epsilon, 1e-3)))).otherwise(0.0)
+            scored = linear.transform(rows).select("_mapped", (F.col("_y") - F.signum(miss) * F.lit(epsilon)).alias("_t"),
+                                                   weight.alias("_w"), over.alias("_o"))
+            s = scored.agg(F.sum("_o").alias("over"), F.sum("_w").alias("w"), F.sum(F.expr("_w * _t")).alias("wt"),
+                           F.sum(F.expr("_w * _t * _t")).alias("wtt")).first()
+            objective = 0.5 * float(np.square(linear.coefficients.toArray()).sum()) + C * s["over"]
             losses.append(objective)
             if best is None or objective < best[0]:
                 best = (objective, linear)
-            # Outside the tube the loss is linear: weight 1/|distance to the tube| makes its square match.
-            work = scored.filter(over > 0).select(
-                "_mapped", "_y", (F.col("_y") - F.signum(miss) * F.lit(epsilon)).alias("_t"),
-                (1.0 / F.greatest(over, F.lit(1e-3 * max(epsilon, 1e-3)))).alias("_w"))
+            if not s["w"]:
+                break
+            total, spread = s["w"], math.sqrt(max(s["wtt"] / s["w"] - (s["wt"] / s["w"]) ** 2, 0.0))
+            work = scored.filter("_w > 0").select("_mapped", "_t", "_w")
         return KernelModel(fmap, best[1], tuple(losses))
     finally:
         rows.unpersist()

@@ -26,17 +26,15 @@ def describe(df: DataFrame, cols: Sequence[str], digits: int | None = None,
              direct_rows: int = DIRECT_ROWS) -> DataFrame:
     """Count, mean, sample std, min, quartiles and max; one row per column."""
     cols = list(cols)
-    wide = df.agg(*[
-        f(F.col(c).cast("double")).alias(f"_{name}{i}")
-        for i, c in enumerate(cols)
-        for name, f in (("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))
-    ])
-    moments = stack_rows(wide, [
-        {"column": F.lit(c), **{n: F.col(f"_{n}{i}") for n in ("count", "mean", "std", "min", "max")}}
-        for i, c in enumerate(cols)
-    ])
+    measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    found = df.agg(F.count(F.lit(1)).alias("rows"), *[
+        f(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(f"_{name}{i}")
+        for i, c in enumerate(cols) for name, f in measures.items()]).first()
+    moments = df.sparkSession.createDataFrame(
+        [(c, *[found[f"_{n}{i}"] for n in measures]) for i, c in enumerate(cols)],
+        "column string, count long, mean double, std double, min double, max double")
     names = {0.25: "q25", 0.5: "q50", 0.75: "q75"}
-    long = quantiles(df, cols, list(names), direct_rows=direct_rows)
+    long = quantiles(df, cols, list(names), direct_rows=direct_rows, largest=found["rows"])
     quarts = long.groupBy("column").agg(
         *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for p, n in names.items()])
     summary = moments.join(quarts, "column", "left")

@@ -103,14 +103,16 @@ def _narrowed(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-              direct_rows: int = DIRECT_ROWS, intervals: int = INTERVALS) -> DataFrame:
+              direct_rows: int = DIRECT_ROWS, intervals: int = INTERVALS, largest: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles as (by…, column, prob, value).
 
     A group without values has a null ``value``; rows with a null group are left out.
+    ``largest`` is the size of the largest group, if the caller knows it.
     """
     cols, probs, by = list(cols), [float(p) for p in probs], list(by)
     df = df.dropna(subset=by) if by else df
-    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0]
+    if largest is None:
+        largest = df.groupBy(*by).count().agg(F.max("count")).first()[0]
     if largest is None or largest <= direct_rows:
         return _direct(df, cols, probs, by)
     present = [F.count(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(f"_n{i}")
@@ -129,8 +131,8 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
 
 
 def quantile_values(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    direct_rows: int = DIRECT_ROWS) -> dict[str, list[float | None]]:
+                    direct_rows: int = DIRECT_ROWS, largest: int | None = None) -> dict[str, list[float | None]]:
     """Quantiles of whole columns as numbers, in the order of ``probs``."""
-    rows = quantiles(df, cols, probs, direct_rows=direct_rows).collect()
+    rows = quantiles(df, cols, probs, direct_rows=direct_rows, largest=largest).collect()
     at = {(r["column"], r["prob"]): r["value"] for r in rows}
     return {c: [at.get((c, float(p))) for p in probs] for c in cols}

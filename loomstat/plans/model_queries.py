@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..fixed import WIDE_GRIDS
 from ..functions import columns as names
 from ..operators import combine, distribution, evaluate, explain, features, models, neighbours, search
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from ..sources import tables as sources
 from .feature_queries import CHARGES_SQL, LINE_KEY, charges, hash_sql
 from .tables import rounded, table
@@ -30,7 +30,9 @@ def _labelled(spark: SparkSession, folder: str) -> tuple[DataFrame, features.Tar
     """Charges with split and log labels for both targets."""
     split = features.assign_split(charges(spark, folder), LINE_KEY)
     transform = features.fit_targets(split, dict.fromkeys(TARGETS, "log1p"))
-    return transform.transform(split), transform
+    labelled = transform.transform(split).select(*LINE_KEY, "split", *ONE_FEATURE.values(),
+                                                 *[f"label_{t}" for t in TARGETS])
+    return materialise(labelled), transform
 
 
 def one_feature_residuals(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,9 +42,7 @@ def one_feature_residuals(spark: SparkSession, folder: str) -> DataFrame:
     for name, column in ONE_FEATURE.items():
         vectors = _with_vector(rows, [column])
         fitted = models.fit("linear", vectors.filter("split = 'train'"), TARGETS, name=name)
-        parts.append(evaluate.report(fitted, vectors.select(*LINE_KEY, "split", "features",
-                                                            *[f"label_{t}" for t in TARGETS]),
-                                     transform, [*LINE_KEY, "split"]))
+        parts.append(evaluate.report(fitted, vectors, transform, [*LINE_KEY, "split"]))
     return combine.concat_rows(parts)
 
 
@@ -139,7 +139,7 @@ def name_cleanup(spark: SparkSession, folder: str) -> DataFrame:
 # Fits on prepared vectors ------------------------------------------------------
 
 def _prepared(spark: SparkSession, folder: str, numeric=NUMERIC, categorical=CATEGORICAL) -> features.Prepared:
-    return features.prepare(charges(spark, folder), LINE_KEY, numeric, categorical, {"charge": "log1p"})
+    return features.prepare(charges(spark, folder), LINE_KEY, numeric, categorical, {"charge": "log1p"}).stored()
 
 
 def _split_metrics(ready: features.Prepared, fitted: models.Fitted) -> DataFrame:
@@ -215,7 +215,7 @@ def score_saved_models(spark: SparkSession, folder: str) -> DataFrame:
 def train_report(spark: SparkSession, folder: str) -> DataFrame:
     """Every family without randomness in its fit, on the training rows."""
     ready = _prepared(spark, folder, ["l_extendedprice", "l_discount"], [])
-    rows = models.keep_rows(ready.train)
+    rows = ready.train
     fitted = [models.fit("linear", rows, ["charge"]), models.fit("ridge", rows, ["charge"], {"alpha": 1.0}),
               models.fit("gradient_boosting", rows, ["charge"], {"n_estimators": 5})]
     return rounded(evaluate.wide_metrics(evaluate.metrics(evaluate.report_all(
@@ -224,9 +224,8 @@ def train_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def three_stage_comparison(spark: SparkSession, folder: str) -> DataFrame:
     """Baseline, default and tuned models in log space, tagged and stacked."""
-    ready = features.prepare(charges(spark, folder), LINE_KEY, NUMERIC, CATEGORICAL, {"charge": "log"}, "mean", True)
-    rows = models.keep_rows(ready.rows)
-    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    ready = features.prepare(charges(spark, folder), LINE_KEY, NUMERIC, CATEGORICAL, {"charge": "log"}, "mean", True).stored()
+    train, test = ready.train, ready.test
     best, _ = search.random_search(train, "ridge", ["charge"], WIDE_GRIDS["ridge"], 3, LINE_KEY, n=3)
     stages = {"Baseline": ("linear", {}), "Default": ("ridge", {}), "Tuned": ("ridge", best)}
     parts = []
@@ -272,8 +271,8 @@ def knn_predict(spark: SparkSession, folder: str) -> DataFrame:
 
 def _one_feature_rows(spark: SparkSession, folder: str) -> DataFrame:
     transform = features.fit_targets(charges(spark, folder), {"charge": "log1p"})
-    return _with_vector(transform.transform(charges(spark, folder)), ["l_extendedprice"]).select(
-        *LINE_KEY, "features", "label_charge")
+    return materialise(_with_vector(transform.transform(charges(spark, folder)), ["l_extendedprice"]).select(
+        *LINE_KEY, "features", "label_charge"))
 
 
 def cv_summary_ols(spark: SparkSession, folder: str) -> DataFrame:
@@ -300,7 +299,7 @@ def random_search_trees(spark: SparkSession, folder: str) -> DataFrame:
 def study_resumed(spark: SparkSession, folder: str) -> DataFrame:
     """A study interrupted after two trials and taken up again."""
     ready = _prepared(spark, folder)
-    rows = models.keep_rows(ready.train)
+    rows = ready.train
     store = scratch_path(spark, "trials")
     space = {"alpha": ("log", 0.01, 100.0)}
     objective = search.cv_objective("ridge", ["charge"], LINE_KEY)
@@ -446,10 +445,10 @@ QUERIES = {
         h AS (SELECT "Target", "Model", CAST(least(floor((y - g - lo) / w), 39) AS INT) AS bin, count(*) AS n
               FROM r JOIN e USING ("Target") WHERE split = 'test' GROUP BY 1, 2, 3),
         b AS (SELECT DISTINCT "Target", "Model", unnest(range(40))::INT AS bin FROM h),
-        f AS (SELECT b.*, coalesce(h.n, 0) AS n FROM b LEFT JOIN h USING ("Target", "Model", bin))
+        k AS (SELECT b.*, coalesce(h.n, 0) AS n FROM b LEFT JOIN h USING ("Target", "Model", bin))
         SELECT "Target", "Model", bin, n,
                round(n / (sum(n) OVER (PARTITION BY "Target", "Model") * w) * 1e6, 4) AS density
-        FROM f JOIN e USING ("Target")"""),
+        FROM k JOIN e USING ("Target")"""),
     "measure_pivot_sum": (measure_pivot_sum, RESIDUALS + """
         SELECT "Model", 'RMSE - ' || "Target" AS measure, round(sum("RMSE"), 3) AS total FROM m WHERE split = 'test'
         GROUP BY 1, 2"""),

@@ -59,3 +59,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Store rows that several jobs read.
+
+    A table in fewer partitions than there are cores is also spread over the cores: it is
+    small then, and the work per row that follows is not.
+    """
+    stored = cut_lineage(df)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return stored if stored.rdd.getNumPartitions() >= cores else cut_lineage(stored.repartition(cores))
