@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import SEED
 from ..functions.columns import key_hash, level_rank
-from .quantiles import DIRECT_ROWS, quantiles
+from .quantiles import DIRECT_ROWS, quantile_values
 
 # Pairs per aggregation, which keeps the generated code of one aggregation small.
 PAIRS_PER_PASS = 20
@@ -30,18 +30,15 @@ def describe(df: DataFrame, cols: Sequence[str], digits: int | None = None,
     found = df.agg(F.count(F.lit(1)).alias("rows"), *[
         f(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(f"_{name}{i}")
         for i, c in enumerate(cols) for name, f in measures.items()]).first()
-    moments = df.sparkSession.createDataFrame(
-        [(c, *[found[f"_{n}{i}"] for n in measures]) for i, c in enumerate(cols)],
-        "column string, count long, mean double, std double, min double, max double")
-    names = {0.25: "q25", 0.5: "q50", 0.75: "q75"}
-    long = quantiles(df, cols, list(names), direct_rows=direct_rows, largest=found["rows"])
-    quarts = long.groupBy("column").agg(
-        *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for p, n in names.items()])
-    summary = moments.join(quarts, "column", "left")
-    ordered = summary.select("column", "count", "mean", "std", "min", *names.values(), "max")
+    quarts = quantile_values(df, cols, [0.25, 0.5, 0.75], direct_rows, found["rows"])
+    ordered = df.sparkSession.createDataFrame(
+        [(c, *[found[f"_{n}{i}"] for n in ("count", "mean", "std", "min")], *quarts[c], found[f"_max{i}"])
+         for i, c in enumerate(cols)],
+        "column string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double")
     if digits is None:
         return ordered
-    return ordered.select("column", "count", *[F.bround(c, digits).alias(c) for c in ordered.columns[2:]])
+    # Rounding to 9 digits first removes the last-bit noise that would decide an exact half.
+    return ordered.select("column", "count", *[F.bround(F.round(c, 9), digits).alias(c) for c in ordered.columns[2:]])
 
 
 def pair_correlation(a: str, b: str) -> Column:

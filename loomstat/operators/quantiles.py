@@ -1,25 +1,39 @@
 """Exact quantiles that keep working when one group no longer fits one task.
 
-``percentile`` holds every distinct value of a group in one buffer.  That is the
-shortest plan for small groups.  Groups above ``DIRECT_ROWS`` rows are narrowed
-instead: each pass counts rows per value interval (partial aggregation on the map
-side, no row shuffle) and keeps the interval that holds the wanted rank, until the
-interval holds a single value.  Both ways give the same exact number.
+Three ways give the same exact number:
+
+* ``percentile`` holds every distinct value of a group in one buffer: the shortest plan
+  for groups of up to ``DIRECT_ROWS`` rows.
+* Larger groups are bracketed: an approximate quantile with a known rank error bounds the
+  wanted value from both sides, and one more pass counts the rows below the bracket and
+  the values inside it, about a two-thousandth of the rows.
+* Groups above ``BRACKET_ROWS`` rows, and any rank a bracket missed, are narrowed: each
+  pass counts rows per value interval and keeps the interval that holds the rank, until
+  it holds a single value.
+
+All passes aggregate on the map side; rows are never shuffled.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import any_of
 from ..session import cut_lineage
 
-DIRECT_ROWS = 2_000_000
+DIRECT_ROWS = 200_000
+BRACKET_ROWS = 2_000_000_000
 INTERVALS = 1024
 
+# The rank error of the approximate quantile is at most one part in ACCURACY.
+ACCURACY = 10_000
+BRACKET_SHARE = 2.5 / ACCURACY
+
 
 def long_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by…, column, x): one row per non-null, non-NaN value of the columns."""
@@ -85,25 +99,72 @@ def order_statistics(values: DataFrame, groups: Sequence[str], wanted: DataFrame
     return result
 
 
-def _narrowed(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str],
-              hot: DataFrame, intervals: int) -> DataFrame:
-    """Quantiles of the hot (by…, column, n) groups by interval narrowing."""
-    groups = [*by, "column"]
+def _asked(hot: DataFrame, groups: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(groups…, prob, part, below, above): the ranks between which each quantile lies."""
     position = F.col("prob") * (F.col("n") - 1)
-    asked = hot.select(*groups, "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")).select(
-        *groups, "prob", position.alias("position"),
-        F.floor(position).cast("long").alias("below"), F.ceil(position).cast("long").alias("above"))
+    return hot.select(*groups, "n", F.explode(F.array(*[F.lit(p) for p in probs])).alias("prob")).select(
+        *groups, "prob", F.floor(position).cast("long").alias("below"), F.ceil(position).cast("long").alias("above"),
+        (position - F.floor(position)).alias("part"))
+
+
+def _between(low: str, high: str):
+    return (F.col(low) + (F.col(high) - F.col(low)) * F.col("part")).alias("value")
+
+
+def _bracketed(values: DataFrame, groups: Sequence[str], asked: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """(groups…, prob, value), null where the bracket does not hold the rank."""
+    ends = [min(1.0, max(0.0, p + side * BRACKET_SHARE)) for p in probs for side in (-1, 1)]
+    sketch = values.groupBy(*groups).agg(
+        F.percentile_approx("x", F.array(*[F.lit(e) for e in ends]), F.lit(ACCURACY)).alias("ends"))
+    number = F.array_position(F.array(*[F.lit(p) for p in probs]), F.col("prob"))
+    brackets = asked.join(sketch, list(groups)).select(
+        *groups, "prob", "below", "above", "part",
+        F.element_at("ends", (2 * number - 1).cast("int")).alias("lo"),
+        F.element_at("ends", (2 * number).cast("int")).alias("hi"))
+    # One row per hot group, column and probability.
+    brackets = cut_lineage(brackets)
+    brackets = F.broadcast(brackets) if brackets.count() <= 100_000 else brackets
+    key = [*groups, "prob", "below", "above", "part"]
+    counted = values.join(brackets, list(groups)).filter("x <= hi").groupBy(
+        *key, F.when(F.col("x") >= F.col("lo"), F.col("x")).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(W.partitionBy(*groups, "prob").orderBy(F.asc_nulls_first("v")))
+
+    def at(rank: str):
+        return F.max(F.when((F.col("upto") - F.col("n") <= F.col(rank)) & (F.col(rank) < F.col("upto")), F.col("v")))
+
+    picked = counted.withColumn("upto", upto).groupBy(*key).agg(at("below").alias("low"), at("above").alias("high"))
+    return picked.select(*groups, "prob", _between("low", "high"))
+
+
+def _narrowed(values: DataFrame, groups: Sequence[str], asked: DataFrame, intervals: int) -> DataFrame:
+    """(groups…, prob, value) by interval narrowing."""
     ranks = asked.select(*groups, F.explode(F.array_distinct(F.array("below", "above"))).alias("rank")).distinct()
-    at = order_statistics(long_values(df, cols, by), groups, ranks, intervals)
+    at = order_statistics(values, groups, ranks, intervals)
     low = at.select(*groups, F.col("rank").alias("below"), F.col("x").alias("low"))
     high = at.select(*groups, F.col("rank").alias("above"), F.col("x").alias("high"))
-    part = F.col("position") - F.col("below")
     return asked.join(low, [*groups, "below"]).join(high, [*groups, "above"]).select(
-        *by, "column", "prob", (F.col("low") + (F.col("high") - F.col("low")) * part).alias("value"))
+        *groups, "prob", _between("low", "high"))
+
+
+def _hot(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str], hot: DataFrame,
+         bracket_rows: int, intervals: int) -> DataFrame:
+    """Quantiles of the hot (by…, column, n) groups."""
+    groups = [*by, "column"]
+    values = long_values(df, cols, by)
+    asked = _asked(hot, groups, probs)
+    largest = hot.agg(F.max("n")).first()[0] or 0
+    if largest > bracket_rows:
+        return _narrowed(values, groups, asked, intervals)
+    found = cut_lineage(_bracketed(values, groups, asked, probs))
+    missed = asked.join(found.filter("value is not null"), [*groups, "prob"], "left_anti")
+    if missed.isEmpty():
+        return found
+    return found.filter("value is not null").unionByName(_narrowed(values, groups, missed, intervals))
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-              direct_rows: int = DIRECT_ROWS, intervals: int = INTERVALS, largest: int | None = None) -> DataFrame:
+              direct_rows: int = DIRECT_ROWS, intervals: int = INTERVALS, largest: int | None = None,
+              bracket_rows: int = BRACKET_ROWS) -> DataFrame:
     """Linear-interpolated quantiles as (by…, column, prob, value).
 
     A group without values has a null ``value``; rows with a null group are left out.
@@ -123,16 +184,72 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
     hot = counts.filter(F.col("_rows") > direct_rows).select(*by, stacked).select(*by, "_row.column", "_row.n")
     empty = hot.filter("n = 0").select(*by, "column", F.explode(F.array(*[F.lit(p) for p in probs])).alias("prob"),
                                        F.lit(None).cast("double").alias("value"))
-    result = _narrowed(df, cols, probs, by, hot.filter("n > 0"), intervals).unionByName(empty)
+    result = _hot(df, cols, probs, by, hot.filter("n > 0"), bracket_rows, intervals).unionByName(empty)
     if by:
         cold = counts.filter(F.col("_rows") <= direct_rows).select(*by)
         result = result.unionByName(_direct(df.join(cold, by), cols, probs, by))
     return result
 
 
-def quantile_values(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    direct_rows: int = DIRECT_ROWS, largest: int | None = None) -> dict[str, list[float | None]]:
-    """Quantiles of whole columns as numbers, in the order of ``probs``."""
-    rows = quantiles(df, cols, probs, direct_rows=direct_rows, largest=largest).collect()
-    at = {(r["column"], r["prob"]): r["value"] for r in rows}
-    return {c: [at.get((c, float(p))) for p in probs] for c in cols}
+def quantile_values(df: DataFrame, cols: Sequence[str], probs: Sequence[float], direct_rows: int = DIRECT_ROWS,
+                    largest: int | None = None, bracket_rows: int = BRACKET_ROWS) -> dict[str, list[float | None]]:
+    """Quantiles of whole columns as numbers, in the order of ``probs``.
+
+    Brackets are literals here: one job finds them, one counts the rows below them and
+    one reads the few values inside.
+    """
+    cols, probs = list(cols), [float(p) for p in probs]
+    clean = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols}
+    if largest is None:
+        largest = df.count()
+
+    def at_once(names: Sequence[str], direct: int) -> dict[str, list[float | None]]:
+        rows = quantiles(df, names, probs, direct_rows=direct, largest=largest, bracket_rows=bracket_rows).collect()
+        at = {(r["column"], r["prob"]): r["value"] for r in rows}
+        return {c: [at.get((c, p)) for p in probs] for c in names}
+
+    if largest <= direct_rows:
+        return at_once(cols, direct_rows)
+    ends = F.array(*[F.lit(min(1.0, max(0.0, p + side * BRACKET_SHARE))) for p in probs for side in (-1, 1)])
+    sketch = df.agg(*[f.alias(f"_{n}{i}") for i, c in enumerate(cols) for n, f in (
+        ("n", F.count(clean[c])), ("d", F.approx_count_distinct(clean[c])),
+        ("e", F.percentile_approx(clean[c], ends, F.lit(ACCURACY))))]).first()
+    # What fills the buffer of the direct way is distinct values, so columns with few of them still take it.
+    few = [c for i, c in enumerate(cols) if sketch[f"_d{i}"] <= direct_rows]
+    result: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
+    if few:
+        result |= at_once(few, largest)
+    if largest > bracket_rows and len(few) < len(cols):
+        return result | at_once([c for c in cols if c not in few], 0)
+    wanted = [(i, j, p * (sketch[f"_n{i}"] - 1), sketch[f"_e{i}"][2 * j], sketch[f"_e{i}"][2 * j + 1])
+              for i, c in enumerate(cols) if c not in few for j, p in enumerate(probs)]
+    if not wanted:
+        return result
+    under = df.agg(*[F.count_if(clean[cols[i]] < F.lit(lo)).alias(f"_b{k}")
+                     for k, (i, _, _, lo, _) in enumerate(wanted)]).first()
+    inside = [clean[cols[i]].between(F.lit(lo), F.lit(hi)) for i, _, _, lo, hi in wanted]
+    entries = F.explode(F.array(*[
+        F.struct(F.lit(k).alias("k"), F.when(inside[k], clean[cols[i]]).alias("x"))
+        for k, (i, *_) in enumerate(wanted)])).alias("_e")
+    counted = df.select(*cols).filter(any_of(inside)).select(entries).select("_e.*").filter("x is not null").groupBy(
+        "k", "x").agg(F.count(F.lit(1)).alias("n"))
+    # Ranks inside the bracket of each wanted quantile.
+    ranks = [(math.floor(position) - under[f"_b{k}"], math.ceil(position) - under[f"_b{k}"])
+             for k, (_, _, position, _, _) in enumerate(wanted)]
+    upto = F.sum("n").over(W.partitionBy("k").orderBy("x"))
+
+    def at_rank(side: int):
+        rank = F.element_at(F.array(*[F.lit(r[side]).cast("long") for r in ranks]), F.col("k") + 1)
+        return F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("x")))
+
+    picked = counted.withColumn("upto", upto).groupBy("k").agg(at_rank(0).alias("low"), at_rank(1).alias("high"))
+    found = {r["k"]: (r["low"], r["high"]) for r in picked.collect()}
+    for k, (i, j, position, _, _) in enumerate(wanted):
+        low, high = found.get(k, (None, None))
+        if low is None or high is None:
+            # The approximate quantile was further off than its bound: narrow this one.
+            low_high = quantiles(df, [cols[i]], [probs[j]], direct_rows=0, largest=largest, bracket_rows=0)
+            result[cols[i]][j] = low_high.first()["value"]
+        else:
+            result[cols[i]][j] = low + (high - low) * (position - math.floor(position))
+    return result

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean, combine, evaluate, features, models
-from ..session import scratch_path
+from ..session import scratch_path, spread_rows
 from ..spec import parse_spec
 from .tables import rounded, table
 
@@ -23,8 +23,8 @@ CUSTOMER_SPEC = parse_spec([
 
 def charges(spark: SparkSession, folder: str) -> DataFrame:
     """Line items with part attributes, net price and charge; sizes 7 and 9 count as unknown."""
-    lines = table(spark, folder, "lineitem").select(
-        *LINE_KEY, "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate")
+    lines = spread_rows(table(spark, folder, "lineitem").select(
+        *LINE_KEY, "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate"))
     parts = clean.recode_sentinels(table(spark, folder, "part").select("p_partkey", "p_type", "p_size"),
                                    {"p_size": [7, 9]})
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))

@@ -139,7 +139,8 @@ def name_cleanup(spark: SparkSession, folder: str) -> DataFrame:
 # Fits on prepared vectors ------------------------------------------------------
 
 def _prepared(spark: SparkSession, folder: str, numeric=NUMERIC, categorical=CATEGORICAL) -> features.Prepared:
-    return features.prepare(charges(spark, folder), LINE_KEY, numeric, categorical, {"charge": "log1p"}).stored()
+    clean_table = materialise(charges(spark, folder).select(*LINE_KEY, *numeric, *categorical, "charge"))
+    return features.prepare(clean_table, LINE_KEY, numeric, categorical, {"charge": "log1p"}).stored()
 
 
 def _split_metrics(ready: features.Prepared, fitted: models.Fitted) -> DataFrame:
@@ -329,7 +330,7 @@ def study_parallel_coordinates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def study_parameter_importance(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(search.parameter_importance(_event_trials(spark, folder), ["k", "kind"]))
+    return rounded(search.parameter_importance(_event_trials(spark, folder), ["k", "kind"], trees=16, depth=6))
 
 
 # Importances over large tables ---------------------------------------------------

@@ -61,6 +61,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread_rows(df: DataFrame) -> DataFrame:
+    """A scan in fewer partitions than there are cores, spread over the cores.
+
+    Meant for scans without a shuffle, whose partitions are known from planning.  Large
+    tables have more partitions than cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Store rows that several jobs read.
 
