@@ -77,8 +77,8 @@ def _route(queries: DataFrame, pivots: np.ndarray, cells: np.ndarray, radius: np
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.iloc[start:start + 256]
+            for start in range(0, len(batch), 64):
+                part = batch.iloc[start:start + 64]
                 distance = pairwise(_stack(part["x"]), pivots[cells], p)
                 at_most = (distance[:, :, None] + near[None, :, :]).reshape(len(part), -1)
                 limit = np.partition(at_most, min(k, at_most.shape[1]) - 1, axis=1)[:, min(k, at_most.shape[1]) - 1]

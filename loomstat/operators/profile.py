@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from ..fixed import SEED
 from ..functions.columns import key_hash, level_rank
 from .quantiles import DIRECT_ROWS, quantile_values
 
-# Pairs per aggregation, which keeps the generated code of one aggregation small.
+# Up to this many pairs are expressions of one aggregation, whose generated code stays small.
 PAIRS_PER_PASS = 20
 
 
@@ -49,47 +51,113 @@ def pair_correlation(a: str, b: str) -> Column:
     return F.covar_pop(x, y) / spread
 
 
-def correlation(df: DataFrame, cols: Sequence[str], triangle: bool = True) -> DataFrame:
-    """(a, b, r, n) for pairs of columns; ``triangle`` keeps each pair once, without the diagonal."""
+def pair_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(a, b, n, means, variances and covariance) over the rows where both are present, b before a.
+
+    One pass for any number of columns: every task multiplies its rows' value and presence
+    matrices and passes on one row per pair, so p columns cost p² small sums and not p²
+    aggregate expressions.  Values are shifted by the column mean, which keeps the sums
+    free of cancellation.
+    """
+    cols = list(cols)
+    clean = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols]
+    means = df.agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(clean)]).first()
+    shift = [means[f"_m{i}"] or 0.0 for i in range(len(cols))]
+    shifted = df.select(*[(c - F.lit(m)).alias(f"_x{i}") for i, (c, m) in enumerate(zip(clean, shift, strict=True))])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = len(cols)
+        n, sx, sxx, sxy = (np.zeros((p, p)) for _ in range(4))
+        for batch in batches:
+            x = batch.to_numpy(dtype=float, na_value=np.nan)
+            there = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x, nan=0.0)
+            n += there.T @ there
+            sx += x.T @ there
+            sxx += (x * x).T @ there
+            sxy += x.T @ x
+        i, j = np.tril_indices(p, -1)
+        yield pd.DataFrame({"i": i, "j": j, "n": n[i, j].astype("int64"), "sa": sx[i, j], "sb": sx[j, i],
+                            "saa": sxx[i, j], "sbb": sxx[j, i], "sab": sxy[i, j]})
+
+    parts = shifted.mapInPandas(sums, "i int, j int, n long, sa double, sb double, saa double, sbb double, sab double")
+    total = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    name, move = F.array(*[F.lit(c) for c in cols]), F.array(*[F.lit(float(m)) for m in shift])
+
+    def at(array, index: str):
+        return F.element_at(array, F.col(index) + 1)
+
+    def spread(squares: str, plain: str, index: str):
+        # Below the rounding of the values themselves, a spread is that of a constant.
+        variance = F.expr(f"{squares} / n - ({plain} / n) * ({plain} / n)")
+        return F.when(variance > 1e-28 * (at(move, index) * at(move, index)), variance).otherwise(F.lit(0.0))
+
+    return total.filter("n > 0").select(
+        at(name, "i").alias("a"), at(name, "j").alias("b"), "n",
+        (at(move, "i") + F.expr("sa / n")).alias("mean_a"), (at(move, "j") + F.expr("sb / n")).alias("mean_b"),
+        spread("saa", "sa", "i").alias("var_a"), spread("sbb", "sb", "j").alias("var_b"),
+        F.expr("sab / n - (sa / n) * (sb / n)").alias("cov"))
+
+
+def correlation(df: DataFrame, cols: Sequence[str], triangle: bool = True,
+                pairs_per_pass: int = PAIRS_PER_PASS) -> DataFrame:
+    """(a, b, r, n) for pairs of columns; ``triangle`` keeps each pair once, without the diagonal.
+
+    A few pairs are aggregate expressions of one aggregation, many come from
+    :func:`pair_moments`; both read the table for all pairs together.
+    """
     cols = list(cols)
     lower = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i)]
-    pairs = lower if triangle else [*lower, *[(c, c) for c in cols]]
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start:start + PAIRS_PER_PASS]
-        wide = df.agg(*[pair_correlation(a, b).alias(f"_r{i}") for i, (a, b) in enumerate(chunk)],
+    diagonal = [] if triangle else [(c, c) for c in cols]
+
+    def aggregated(pairs: list[tuple[str, str]]) -> DataFrame:
+        wide = df.agg(*[pair_correlation(a, b).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)],
                       *[F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"_n{i}")
-                        for i, (a, b) in enumerate(chunk)])
-        parts.append(stack_rows(wide, [
+                        for i, (a, b) in enumerate(pairs)])
+        return stack_rows(wide, [
             {"a": F.lit(a), "b": F.lit(b), "r": F.col(f"_r{i}"), "n": F.col(f"_n{i}")}
-            for i, (a, b) in enumerate(chunk)
-        ]))
-    result = reduce(DataFrame.unionByName, parts)
+            for i, (a, b) in enumerate(pairs)
+        ])
+
+    if len(lower) + len(diagonal) <= pairs_per_pass:
+        result = aggregated([*lower, *diagonal])
+    else:
+        spread = F.nullif(F.sqrt(F.col("var_a")) * F.sqrt(F.col("var_b")), F.lit(0.0))
+        listed = df.sparkSession.createDataFrame(lower, "a string, b string")
+        found = pair_moments(df, cols).select("a", "b", (F.col("cov") / spread).alias("r"), "n")
+        result = listed.join(found, ["a", "b"], "left").fillna(0, ["n"])
+        if diagonal:
+            result = result.unionByName(aggregated(diagonal))
     if triangle:
         return result
     mirrored = result.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "r", "n")
     return result.unionByName(mirrored)
 
 
-def univariate_fit(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
+def univariate_fit(df: DataFrame, features: Sequence[str], targets: Sequence[str],
+                   pairs_per_pass: int = PAIRS_PER_PASS) -> DataFrame:
     """(feature, target, slope, intercept, r2, n) of least squares on complete pairs.
 
-    Pairs without any complete row are left out.
+    Pairs without any complete row are left out; a constant feature has no slope.
     """
+    features, targets = list(features), list(targets)
     pairs = [(f, t) for t in targets for f in features]
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start:start + PAIRS_PER_PASS]
+    if len(pairs) <= pairs_per_pass:
         measures = {"slope": F.regr_slope, "intercept": F.regr_intercept, "r2": F.regr_r2, "n": F.regr_count}
         wide = df.agg(*[
             m(F.col(t).cast("double"), F.col(f).cast("double")).alias(f"_{name}{i}")
-            for i, (f, t) in enumerate(chunk) for name, m in measures.items()
+            for i, (f, t) in enumerate(pairs) for name, m in measures.items()
         ])
-        parts.append(stack_rows(wide, [
+        return stack_rows(wide, [
             {"feature": F.lit(f), "target": F.lit(t), **{name: F.col(f"_{name}{i}") for name in measures}}
-            for i, (f, t) in enumerate(chunk)
-        ]))
-    return reduce(DataFrame.unionByName, parts).filter("n > 0")
+            for i, (f, t) in enumerate(pairs)
+        ]).filter("n > 0")
+    # Targets come after the features, so they are the first column of every mixed pair.
+    moments = pair_moments(df, [*features, *targets]).filter(F.col("a").isin(targets) & F.col("b").isin(features))
+    slope = F.col("cov") / F.nullif(F.col("var_b"), F.lit(0.0))
+    share = F.when(F.col("var_b") > 0, F.when(F.col("var_a") > 0, slope * F.col("cov") / F.col("var_a")).otherwise(1.0))
+    return moments.select(F.col("b").alias("feature"), F.col("a").alias("target"), slope.alias("slope"),
+                          (F.col("mean_a") - slope * F.col("mean_b")).alias("intercept"), share.alias("r2"), "n")
 
 
 def value_counts(df: DataFrame, col: str, dropna: bool = True, levels: Sequence | None = None) -> DataFrame:

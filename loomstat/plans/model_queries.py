@@ -11,6 +11,7 @@ from ..functions import columns as names
 from ..operators import combine, distribution, evaluate, explain, features, models, neighbours, search
 from ..session import materialise, scratch_path
 from ..sources import tables as sources
+from ..streaming import scoring as streaming
 from .feature_queries import CHARGES_SQL, LINE_KEY, charges, hash_sql
 from .tables import rounded, table
 
@@ -238,6 +239,24 @@ def three_stage_comparison(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(evaluate.metrics(stacked, ["Stage", "Model", "Target"]), 6)
 
 
+def stream_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items streamed from their file and scored by a model of the years before 1999."""
+    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    columns = [F.year("l_shipdate").alias("ship_year"), "l_extendedprice", net.alias("net")]
+    past = table(spark, folder, "lineitem").select(*columns).filter("ship_year < 1999")
+    transform = features.fit_targets(past, {"net": "log1p"})
+    prepared = features.fit_preprocessor(past, ["l_extendedprice"], [])
+    fitted = models.fit("linear", prepared.transform(transform.transform(past), ["label_net"]), ["net"])
+    schema = table(spark, folder, "lineitem").schema
+    stream = spark.readStream.schema(schema).parquet(f"{folder}/lineitem*.parquet").select(*columns).filter(
+        "ship_year >= 1999")
+    path = scratch_path(spark, "stream")
+    streaming.append_to_table(streaming.score_stream(stream, prepared, fitted, transform, ["ship_year"]),
+                              f"{path}/table", f"{path}/state").awaitTermination()
+    scored = sources.load_table(spark, f"{path}/table")
+    return rounded(evaluate.metrics(scored, ["ship_year", "Model", "Target"]), 6, RMSE=3)
+
+
 # Neighbours --------------------------------------------------------------------
 
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -497,6 +516,14 @@ QUERIES = {
         SELECT ship_year, 'Linear Regression' AS "Model", 'charge' AS "Target",
                round(1 - sum((t - g) ** 2) / (count(*) * var_pop(t)), 6) AS "R2",
                round(sqrt(avg((t - g) ** 2)), 3) AS "RMSE", count(*) AS n FROM p GROUP BY 1"""),
+    "stream_scoring": (stream_scoring, """
+        WITH t AS (SELECT CAST(year(l_shipdate) AS INT) AS ship_year, l_extendedprice * (1 - l_discount) AS net,
+                          ln(1 + l_extendedprice * (1 - l_discount)) AS y, l_extendedprice AS x FROM lineitem),
+        f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM t WHERE ship_year < 1999),
+        p AS (SELECT ship_year, net AS t, exp(a + b * x) - 1 AS g FROM t, f WHERE ship_year >= 1999)
+        SELECT ship_year, 'Linear Regression' AS "Model", 'net' AS "Target",
+               round(1 - sum((t - g) ** 2) / (count(*) * var_pop(t)), 6) AS "R2",
+               round(sqrt(avg((t - g) ** 2)), 3) AS "RMSE", count(*) AS n FROM p GROUP BY 1"""),
     "score_saved_models": (score_saved_models, " UNION ALL ".join(
         f"SELECT *, 'scored' AS status FROM ({_two_feature_metrics(m, a, '')} WHERE split = 'test')"
         for m, a in (("Linear Regression", 0.0), ("Ridge Regression", 100.0))) + """

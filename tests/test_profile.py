@@ -18,6 +18,26 @@ def test_correlation_of_constant_is_missing(spark):
     assert profile.correlation(df, ["a", "b"], triangle=False).count() == 4
 
 
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_incomplete_pairs(spark, limit):
+    rng = np.random.default_rng(4)
+    rows = [tuple(None if rng.random() < .3 else float(v) for v in (i % 7, 1e6 + i, 5.0, 3 * i + rng.normal())) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    got = {(r.a, r.b): (r.r, r.n) for r in profile.correlation(df, ["a", "b", "c", "d"], pairs_per_pass=limit).collect()}
+    fits = {(r.feature, r.target): r for r in profile.univariate_fit(df, ["a", "b", "c"], ["d"], limit).collect()}
+    for i, x in enumerate("abcd"):
+        for j, y in enumerate("abcd"[:i]):
+            both = np.array([(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None])
+            want = None if "c" in (x, y) else pytest.approx(np.corrcoef(both.T)[0, 1])
+            assert got[x, y] == (want, len(both))
+            if x == "d" and y != "c":
+                slope, intercept = np.polyfit(both[:, 1], both[:, 0], 1)
+                fit = fits[y, x]
+                assert (fit.slope, fit.r2) == (pytest.approx(slope, rel=1e-6), pytest.approx(np.corrcoef(both.T)[0, 1] ** 2))
+                assert fit.intercept == pytest.approx(intercept, rel=1e-6)
+    assert fits["c", "d"].slope is None and fits["c", "d"].n > 0
+
+
 def test_many_columns_are_split_over_aggregations(spark):
     names = [f"c{i}" for i in range(9)]
     rng = np.random.default_rng(0)

@@ -14,9 +14,9 @@ from loomstat.spec import parse_spec
 from loomstat.streaming import scoring
 
 SPEC = parse_spec([
-    {"name": "age", "source": "AGE", "file": "DEMO_I", "type": "numeric", "role": "feature", "drop_extrema": True},
+    {"name": "age", "source": "AGE", "file": "DEMO_I", "type": "numeric", "role": "feature"},
     {"name": "sex", "source": "SEX", "file": "DEMO_I", "type": "categorical", "role": "feature"},
-    {"name": "weight", "source": "WGT", "file": "BODY_I", "type": "numeric", "role": "feature"},
+    {"name": "weight", "source": "WGT", "file": "BODY_I", "type": "numeric", "role": "feature", "drop_extrema": True},
     {"name": "level", "source": "LVL", "file": "LAB_I", "type": "numerical", "role": "target", "log_transform": True},
     {"name": "absent", "source": "ABS", "file": "GONE_I", "type": "numeric", "role": "feature"},
 ], key="SEQN", sentinels={"sex": [7, 9]})
@@ -64,7 +64,9 @@ def test_clean_table(spark, trained):
     assert df.columns == ["SEQN", "weight", "age", "sex", "level"]
     assert df.filter("level is null").count() == 0
     # The trim removes a person from one topic only; the join brings the person back without its values.
-    assert df.filter("age is null and sex is null").count() > 0
+    without = df.filter("weight is null")
+    assert df.count() == 225
+    assert without.count() > without.filter("SEQN % 5 = 0 or SEQN % 9 = 0").count()
     assert df.filter("sex = 7").count() == 0
 
 
