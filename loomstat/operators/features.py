@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
@@ -16,7 +17,7 @@ from ..fixed import SEED, TEST_SHARE
 from ..functions.columns import from_log, key_hash, to_log, unit_hash
 from ..session import materialise
 from ..spec import Spec
-from .quantiles import DIRECT_ROWS, order_statistics, quantile_values
+from .quantiles import DIRECT_ROWS, order_statistics, quantile_values, size_measures
 
 # Levels of one categorical column that a fit brings to the driver at most.
 MAX_LEVELS = 10_000
@@ -156,8 +157,12 @@ def fit_preprocessor(df: DataFrame, numeric: Sequence[str], categorical: Sequenc
     clean = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in numeric}
     found = df.agg(F.count(F.lit(1)).alias("rows"), *[
         f(clean[c]).alias(f"_{n}{i}") for i, c in enumerate(numeric)
-        for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_pop))]).first()
-    medians = quantile_values(df, numeric, [0.5], direct_rows, found["rows"]) if numeric and impute == "median" else {}
+        for n, f in (("mean", F.avg), ("var", F.var_pop))], *size_measures(numeric)).first()
+    sizes = [(found[f"_n{i}"], found[f"_d{i}"]) for i in range(len(numeric))]
+    with ThreadPoolExecutor(2) as pool:
+        counted = pool.submit(category_levels, df, categorical)
+        medians = quantile_values(df, numeric, [0.5], direct_rows, sizes) if impute == "median" else {}
+        levels = counted.result()
     scaled = []
     for i, c in enumerate(numeric):
         present, mean, variance = found[f"_n{i}"], found[f"_mean{i}"], found[f"_var{i}"]
@@ -167,7 +172,6 @@ def fit_preprocessor(df: DataFrame, numeric: Sequence[str], categorical: Sequenc
             share = present / found["rows"]
             spread = share * variance + share * (1 - share) * (mean - fill) ** 2
             scaled.append((c, fill, share * mean + (1 - share) * fill, math.sqrt(spread)))
-    levels = category_levels(df, categorical)
     fitted_categories = []
     for c in categorical:
         if levels[c]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed import SEED
-from ..session import cut_lineage
+from ..session import materialise
 from ..sources.tables import load_metadata, save_metadata
 from .kernel import FeatureMap, KernelModel, fit_kernel
 from .neighbours import nearest, neighbour_mean
@@ -173,7 +173,7 @@ def fit(family: str, df: DataFrame, targets: Sequence[str], params: Mapping[str,
             raise ValueError("nearest neighbours need the columns that identify a row")
         rows = df.select(F.concat_ws("|", *[F.col(c).cast("string") for c in key]).alias("_id"), "features",
                          *[label_column(t) for t in targets])
-        fitted.parts["rows"] = cut_lineage(rows)
+        fitted.parts["rows"] = materialise(rows)
         return fitted
 
     def one(target: str):

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..fixed import SEED
-from ..session import cut_lineage
+from ..session import materialise
 
 CELL_ROWS = 4096
 BLOCK_ROWS = 4096
@@ -129,7 +129,7 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, query_id: str, train_i
     chosen = t.select("x", F.xxhash64(F.lit(seed), "tid").alias("h")).orderBy("h").limit(wanted_cells)
     pivots = np.unique(np.array([r["x"] for r in chosen.collect()], dtype=float), axis=0)
 
-    placed = cut_lineage(_assign(t, pivots, p))
+    placed = materialise(_assign(t, pivots, p))
     stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("reach").alias("radius"))
     first = placed.select("cell", "reach", F.row_number().over(W.partitionBy("cell").orderBy("reach")).alias("r")) \
         .filter(F.col("r") <= k).groupBy("cell").agg(F.sort_array(F.collect_list("reach")).alias("near"))
@@ -140,7 +140,7 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, query_id: str, train_i
     for i, r in enumerate(cell_rows_found):
         near[i, :len(r["near"])] = r["near"]
 
-    routed = cut_lineage(_route(q, pivots, cells, radius, near, k, p))
+    routed = materialise(_route(q, pivots, cells, radius, near, k, p))
     # At most MAX_CELLS rows, so the broadcast is bounded.
     grid = F.broadcast(stats.select("cell", F.ceil(F.col("rows") / block_rows).cast("int").alias("tblocks")).join(
         routed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_queries).cast("int").alias("qblocks")), "cell"))

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ..fixed import SEED
 from ..functions.columns import key_hash, level_rank
-from .quantiles import DIRECT_ROWS, quantile_values
+from .quantiles import DIRECT_ROWS, quantile_values, size_measures
 
 # Up to this many pairs are expressions of one aggregation, whose generated code stays small.
-PAIRS_PER_PASS = 20
+PAIRS_PER_PASS = 3
 
 
 def stack_rows(wide: DataFrame, rows: Sequence[dict[str, Column]]) -> DataFrame:
@@ -28,13 +28,14 @@ def describe(df: DataFrame, cols: Sequence[str], digits: int | None = None,
              direct_rows: int = DIRECT_ROWS) -> DataFrame:
     """Count, mean, sample std, min, quartiles and max; one row per column."""
     cols = list(cols)
-    measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    found = df.agg(F.count(F.lit(1)).alias("rows"), *[
+    measures = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    found = df.agg(*size_measures(cols), *[
         f(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(f"_{name}{i}")
         for i, c in enumerate(cols) for name, f in measures.items()]).first()
-    quarts = quantile_values(df, cols, [0.25, 0.5, 0.75], direct_rows, found["rows"])
+    quarts = quantile_values(df, cols, [0.25, 0.5, 0.75], direct_rows,
+                             [(found[f"_n{i}"], found[f"_d{i}"]) for i in range(len(cols))])
     ordered = df.sparkSession.createDataFrame(
-        [(c, *[found[f"_{n}{i}"] for n in ("count", "mean", "std", "min")], *quarts[c], found[f"_max{i}"])
+        [(c, *[found[f"_{n}{i}"] for n in ("n", "mean", "std", "min")], *quarts[c], found[f"_max{i}"])
          for i, c in enumerate(cols)],
         "column string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double")
     if digits is None:

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -191,17 +192,91 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
     return result
 
 
+def _pick(counted: DataFrame, key: str, ranks: Sequence[Sequence[tuple[int, int]]]) -> dict[int, list[tuple]]:
+    """The values at the ranks asked for each key 0…, from (key, x, n) value counts.
+
+    Each key's counts are summed up in the order of the values; they are few.
+    """
+    upto = F.sum("n").over(W.partitionBy(key).orderBy("x"))
+
+    def at(j: int, side: int):
+        rank = F.element_at(F.array(*[F.lit(r[j][side]).cast("long") for r in ranks]), F.col(key) + 1)
+        return F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("x")))
+
+    width = len(ranks[0])
+    rows = counted.withColumn("upto", upto).groupBy(key).agg(
+        *[at(j, side).alias(f"_{j}{name}") for j in range(width) for side, name in ((0, "low"), (1, "high"))]).collect()
+    return {r[key]: [(r[f"_{j}low"], r[f"_{j}high"]) for j in range(width)] for r in rows}
+
+
+def _counted_quantiles(df: DataFrame, clean: dict, sizes: dict[str, int], probs: Sequence[float]) -> dict[str, list]:
+    """Quantiles of columns with few distinct values, from their value counts."""
+    cols = [c for c in clean if sizes[c]]
+    if not cols:
+        return {}
+    entries = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), clean[c].alias("x")) for k, c in enumerate(cols)]))
+    counted = df.select(entries.alias("_e")).select("_e.*").filter("x is not null").groupBy("k", "x").agg(
+        F.count(F.lit(1)).alias("n"))
+    positions = [[p * (sizes[c] - 1) for p in probs] for c in cols]
+    found = _pick(counted, "k", [[(math.floor(q), math.ceil(q)) for q in row] for row in positions])
+    return {c: [low + (high - low) * (q - math.floor(q)) for (low, high), q in zip(found[k], positions[k], strict=True)]
+            for k, c in enumerate(cols)}
+
+
+def _bracketed_quantiles(df: DataFrame, clean: dict, sizes: dict[str, int],
+                         probs: Sequence[float]) -> dict[str, list]:
+    """Quantiles of columns with many distinct values; None where a bracket missed its rank.
+
+    Brackets are literals: one job finds them, one counts the rows below them and one
+    counts the few values inside.
+    """
+    cols = list(clean)
+    ends = F.array(*[F.lit(min(1.0, max(0.0, p + side * BRACKET_SHARE))) for p in probs for side in (-1, 1)])
+    sketch = df.agg(*[F.percentile_approx(clean[c], ends, F.lit(ACCURACY)).alias(f"_e{i}")
+                      for i, c in enumerate(cols)]).first()
+    wanted = [(c, j, p * (sizes[c] - 1), sketch[f"_e{i}"][2 * j], sketch[f"_e{i}"][2 * j + 1])
+              for i, c in enumerate(cols) for j, p in enumerate(probs)]
+    under = df.agg(*[F.count_if(clean[c] < F.lit(lo)).alias(f"_b{k}") for k, (c, _, _, lo, _) in enumerate(wanted)]).first()
+    inside = [clean[c].between(F.lit(lo), F.lit(hi)) for c, _, _, lo, hi in wanted]
+    entries = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.when(inside[k], clean[w[0]]).alias("x"))
+                                  for k, w in enumerate(wanted)]))
+    counted = df.filter(any_of(inside)).select(entries.alias("_e")).select("_e.*").filter("x is not null").groupBy(
+        "k", "x").agg(F.count(F.lit(1)).alias("n"))
+    ranks = [[(math.floor(q) - under[f"_b{k}"], math.ceil(q) - under[f"_b{k}"])] for k, (_, _, q, _, _) in enumerate(wanted)]
+    found = _pick(counted, "k", ranks)
+    result: dict[str, list] = {c: [None] * len(probs) for c in cols}
+    for k, (c, j, q, _, _) in enumerate(wanted):
+        low, high = found.get(k, [(None, None)])[0]
+        if low is not None and high is not None:
+            result[c][j] = low + (high - low) * (q - math.floor(q))
+    return result
+
+
+def size_measures(cols: Sequence[str]) -> list:
+    """Aggregates that tell :func:`quantile_values` how many and how many distinct values there are."""
+    clean = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols]
+    return [f.alias(f"_{n}{i}") for i, c in enumerate(clean)
+            for n, f in (("n", F.count(c)), ("d", F.approx_count_distinct(c)))]
+
+
 def quantile_values(df: DataFrame, cols: Sequence[str], probs: Sequence[float], direct_rows: int = DIRECT_ROWS,
-                    largest: int | None = None, bracket_rows: int = BRACKET_ROWS) -> dict[str, list[float | None]]:
+                    sizes: Sequence[tuple[int, int]] | None = None,
+                    bracket_rows: int = BRACKET_ROWS) -> dict[str, list[float | None]]:
     """Quantiles of whole columns as numbers, in the order of ``probs``.
 
-    Brackets are literals here: one job finds them, one counts the rows below them and
-    one reads the few values inside.
+    ``sizes`` holds the present and the (approximately) distinct values of each column, if
+    the caller has counted them with :func:`size_measures`.
     """
     cols, probs = list(cols), [float(p) for p in probs]
+    if not cols:
+        return {}
     clean = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols}
-    if largest is None:
-        largest = df.count()
+    if sizes is None:
+        row = df.agg(*size_measures(cols)).first()
+        sizes = [(row[f"_n{i}"], row[f"_d{i}"]) for i in range(len(cols))]
+    present = {c: n for c, (n, _) in zip(cols, sizes, strict=True)}
+    distinct = {c: d for c, (_, d) in zip(cols, sizes, strict=True)}
+    largest = max(present.values())
 
     def at_once(names: Sequence[str], direct: int) -> dict[str, list[float | None]]:
         rows = quantiles(df, names, probs, direct_rows=direct, largest=largest, bracket_rows=bracket_rows).collect()
@@ -210,46 +285,15 @@ def quantile_values(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
     if largest <= direct_rows:
         return at_once(cols, direct_rows)
-    ends = F.array(*[F.lit(min(1.0, max(0.0, p + side * BRACKET_SHARE))) for p in probs for side in (-1, 1)])
-    sketch = df.agg(*[f.alias(f"_{n}{i}") for i, c in enumerate(cols) for n, f in (
-        ("n", F.count(clean[c])), ("d", F.approx_count_distinct(clean[c])),
-        ("e", F.percentile_approx(clean[c], ends, F.lit(ACCURACY))))]).first()
-    # What fills the buffer of the direct way is distinct values, so columns with few of them still take it.
-    few = [c for i, c in enumerate(cols) if sketch[f"_d{i}"] <= direct_rows]
+    few = [c for c in cols if distinct[c] <= direct_rows]
+    many = [c for c in cols if c not in few]
     result: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    if few:
-        result |= at_once(few, largest)
-    if largest > bracket_rows and len(few) < len(cols):
-        return result | at_once([c for c in cols if c not in few], 0)
-    wanted = [(i, j, p * (sketch[f"_n{i}"] - 1), sketch[f"_e{i}"][2 * j], sketch[f"_e{i}"][2 * j + 1])
-              for i, c in enumerate(cols) if c not in few for j, p in enumerate(probs)]
-    if not wanted:
-        return result
-    under = df.agg(*[F.count_if(clean[cols[i]] < F.lit(lo)).alias(f"_b{k}")
-                     for k, (i, _, _, lo, _) in enumerate(wanted)]).first()
-    inside = [clean[cols[i]].between(F.lit(lo), F.lit(hi)) for i, _, _, lo, hi in wanted]
-    entries = F.explode(F.array(*[
-        F.struct(F.lit(k).alias("k"), F.when(inside[k], clean[cols[i]]).alias("x"))
-        for k, (i, *_) in enumerate(wanted)])).alias("_e")
-    counted = df.select(*cols).filter(any_of(inside)).select(entries).select("_e.*").filter("x is not null").groupBy(
-        "k", "x").agg(F.count(F.lit(1)).alias("n"))
-    # Ranks inside the bracket of each wanted quantile.
-    ranks = [(math.floor(position) - under[f"_b{k}"], math.ceil(position) - under[f"_b{k}"])
-             for k, (_, _, position, _, _) in enumerate(wanted)]
-    upto = F.sum("n").over(W.partitionBy("k").orderBy("x"))
-
-    def at_rank(side: int):
-        rank = F.element_at(F.array(*[F.lit(r[side]).cast("long") for r in ranks]), F.col("k") + 1)
-        return F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("x")))
-
-    picked = counted.withColumn("upto", upto).groupBy("k").agg(at_rank(0).alias("low"), at_rank(1).alias("high"))
-    found = {r["k"]: (r["low"], r["high"]) for r in picked.collect()}
-    for k, (i, j, position, _, _) in enumerate(wanted):
-        low, high = found.get(k, (None, None))
-        if low is None or high is None:
-            # The approximate quantile was further off than its bound: narrow this one.
-            low_high = quantiles(df, [cols[i]], [probs[j]], direct_rows=0, largest=largest, bracket_rows=0)
-            result[cols[i]][j] = low_high.first()["value"]
-        else:
-            result[cols[i]][j] = low + (high - low) * (position - math.floor(position))
-    return result
+    with ThreadPoolExecutor(1) as pool:
+        counted = pool.submit(_counted_quantiles, df, {c: clean[c] for c in few}, present, probs)
+        if many and largest <= bracket_rows:
+            result |= _bracketed_quantiles(df, {c: clean[c] for c in many}, present, probs)
+            # A bracket misses only when the approximate quantile is further off than its bound.
+            many = [c for c in many if None in result[c]]
+        if many:
+            result |= at_once(many, 0)
+        return result | counted.result()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean, combine, evaluate, features, models
-from ..session import scratch_path, spread_rows
+from ..session import materialise, scratch_path, spread_rows
 from ..spec import parse_spec
 from .tables import rounded, table
 
@@ -47,14 +47,15 @@ CHARGES_SQL = f"""(SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quan
 
 def clean_join_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Topics cleaned and trimmed, combined on the key, split, prepared, fitted and scored."""
-    spending = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
-        F.count(F.lit(1)).cast("double").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("spend"))
+    spending = materialise(table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count(F.lit(1)).cast("double").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("spend")))
     topics = {"customer": table(spark, folder, "customer"), "spending": spending}
     cleaned = [clean.clean_topic(topics[f], CUSTOMER_SPEC.of_file(f), CUSTOMER_SPEC.key, {})[0]
                for f in CUSTOMER_SPEC.files]
     # Both topics are grouped or keyed by customer, so the keys are known to be unique.
-    wide = combine.combine_on_key(cleaned, CUSTOMER_SPEC.key, "unique")
-    ready = features.prepare_spec(clean.drop_missing_targets(wide, CUSTOMER_SPEC.targets), CUSTOMER_SPEC)
+    wide = materialise(clean.drop_missing_targets(combine.combine_on_key(cleaned, CUSTOMER_SPEC.key, "unique"),
+                                                  CUSTOMER_SPEC.targets))
+    ready = features.prepare_spec(wide, CUSTOMER_SPEC)
     fitted = models.fit("linear", ready.train, ready.targets.names)
     scored = evaluate.residuals(fitted.predict(ready.rows), fitted.name, ready.targets, ["split"])
     return rounded(evaluate.metrics(scored, ["split", "Model", "Target"]), 6, RMSE=2)
@@ -81,7 +82,8 @@ def _line_preprocessor(df: DataFrame, impute: str = "median") -> features.Prepro
 
 
 def _numeric_stats(spark: SparkSession, folder: str, impute: str) -> DataFrame:
-    train = features.assign_split(charges(spark, folder), LINE_KEY).filter("split = 'train'")
+    rows = charges(spark, folder).select(*LINE_KEY, "p_size", "l_quantity", "l_extendedprice", "l_returnflag", "p_type")
+    train = materialise(features.assign_split(rows, LINE_KEY).filter("split = 'train'").drop(*LINE_KEY))
     fitted = _line_preprocessor(train, impute)
     return rounded(spark.createDataFrame(list(fitted.numeric), "name string, fill double, mean double, std double"), 4)
 
@@ -110,7 +112,8 @@ def onehot_columns(spark: SparkSession, folder: str) -> DataFrame:
 
 def transform_new_cycle(spark: SparkSession, folder: str) -> DataFrame:
     """Fitted on line items shipped before 1999, applied to the later ones."""
-    rows = charges(spark, folder)
+    rows = materialise(charges(spark, folder).select("l_shipdate", "p_size", "l_quantity", "l_extendedprice",
+                                                     "l_returnflag", "p_type"))
     fitted = _line_preprocessor(rows.filter(F.col("l_shipdate") < F.lit("1999-01-01").cast("timestamp")))
     later = rows.filter(F.col("l_shipdate") >= F.lit("1999-01-01").cast("timestamp")).withColumn(
         "ship_year", F.year("l_shipdate"))

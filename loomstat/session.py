@@ -72,11 +72,19 @@ def spread_rows(df: DataFrame) -> DataFrame:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Store rows that several jobs read.
+    """Rows that several jobs read, as a Parquet table in the shared folder.
 
-    A table in fewer partitions than there are cores is also spread over the cores: it is
-    small then, and the work per row that follows is not.
+    Later jobs read only the columns they need, and a lost executor costs no more than
+    reading again.  A table in fewer partitions than there are cores is also spread over
+    the cores: it is small then, and the work per row that follows is not.
     """
-    stored = cut_lineage(df)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return stored if stored.rdd.getNumPartitions() >= cores else cut_lineage(stored.repartition(cores))
+    spark = df.sparkSession
+
+    def stored(rows: DataFrame) -> DataFrame:
+        path = scratch_path(spark, "rows")
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    cores = spark.sparkContext.defaultParallelism
+    table = stored(df)
+    return table if table.rdd.getNumPartitions() >= cores else stored(table.repartition(cores))

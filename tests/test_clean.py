@@ -97,6 +97,17 @@ def test_quantiles_agree_with_numpy(spark, how):
     assert whole == pytest.approx([np.quantile([v for _, v in rows if v is not None], p) for p in probs])
 
 
+def test_large_columns_take_counts_or_brackets(spark):
+    rng = random.Random(7)
+    rows = [(float(rng.randint(0, 9)), rng.random(), None) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "few double, many double, none double")
+    probs = [0.0, 0.05, 0.333, 0.5, 1.0]
+    got = quantiles.quantile_values(df, ["few", "many", "none"], probs, direct_rows=100)
+    assert got["few"] == pytest.approx(list(np.quantile([r[0] for r in rows], probs)))
+    assert got["many"] == pytest.approx(list(np.quantile([r[1] for r in rows], probs)), rel=1e-14)
+    assert got["none"] == [None] * 5
+
+
 def test_quantiles_of_missing_column(spark):
     df = spark.createDataFrame([(None, 1.0)], "x double, y double")
     for direct in (0, 10):
