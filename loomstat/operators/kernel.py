@@ -82,9 +82,12 @@ class KernelModel:
 
 def default_gamma(df: DataFrame, vector: str, width: int) -> float:
     """1 / (number of features · variance of all feature values)."""
-    entries = df.select(F.explode(vector_to_array(vector)).alias("v"))
-    variance = entries.agg(F.var_pop("v")).first()[0]
-    return 1.0 / (width * variance) if variance else 1.0
+    x = vector_to_array(vector)
+    total = F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    squares = F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)
+    row = df.select(total.alias("t"), squares.alias("s")).agg(F.avg("t").alias("t"), F.avg("s").alias("s")).first()
+    variance = row["s"] / width - (row["t"] / width) ** 2
+    return 1.0 / (width * variance) if variance > 0 else 1.0
 
 
 def fit_kernel(df: DataFrame, label: str, vector: str = "features", C: float = 1.0, epsilon: float = 0.1,

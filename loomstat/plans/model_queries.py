@@ -140,8 +140,9 @@ def name_cleanup(spark: SparkSession, folder: str) -> DataFrame:
 # Fits on prepared vectors ------------------------------------------------------
 
 def _prepared(spark: SparkSession, folder: str, numeric=NUMERIC, categorical=CATEGORICAL) -> features.Prepared:
+    """Feature vectors over a stored clean table; queries with several fits store the vectors as well."""
     clean_table = materialise(charges(spark, folder).select(*LINE_KEY, *numeric, *categorical, "charge"))
-    return features.prepare(clean_table, LINE_KEY, numeric, categorical, {"charge": "log1p"}).stored()
+    return features.prepare(clean_table, LINE_KEY, numeric, categorical, {"charge": "log1p"})
 
 
 def _split_metrics(ready: features.Prepared, fitted: models.Fitted) -> DataFrame:
@@ -203,7 +204,7 @@ def score_by_cycle(spark: SparkSession, folder: str) -> DataFrame:
 
 def score_saved_models(spark: SparkSession, folder: str) -> DataFrame:
     """Two models saved with a manifest, loaded and applied to the test rows; a broken one is skipped."""
-    ready = _prepared(spark, folder, ["l_extendedprice", "l_discount"], [])
+    ready = _prepared(spark, folder, ["l_extendedprice", "l_discount"], []).stored()
     path = scratch_path(spark, "models")
     fitted = [models.fit("linear", ready.train, ["charge"]),
               models.fit("ridge", ready.train, ["charge"], {"alpha": 100.0}),
@@ -216,7 +217,7 @@ def score_saved_models(spark: SparkSession, folder: str) -> DataFrame:
 
 def train_report(spark: SparkSession, folder: str) -> DataFrame:
     """Every family without randomness in its fit, on the training rows."""
-    ready = _prepared(spark, folder, ["l_extendedprice", "l_discount"], [])
+    ready = _prepared(spark, folder, ["l_extendedprice", "l_discount"], []).stored()
     rows = ready.train
     fitted = [models.fit("linear", rows, ["charge"]), models.fit("ridge", rows, ["charge"], {"alpha": 1.0}),
               models.fit("gradient_boosting", rows, ["charge"], {"n_estimators": 5})]
@@ -302,15 +303,16 @@ def cv_summary_ols(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def search_best(spark: SparkSession, folder: str) -> DataFrame:
-    """Exhaustive search of the ridge penalty; all trials, best first."""
-    ready = _prepared(spark, folder)
+    """Exhaustive search of the ridge penalty on two features; all trials, best first."""
+    ready = _prepared(spark, folder, ["l_extendedprice", "l_discount"], []).stored()
     _, trials = search.grid_search(ready.train, "ridge", ["charge"], WIDE_GRIDS["ridge"], 3, LINE_KEY)
-    return rounded(trials.orderBy(F.desc("value"), "trial"), 8)
+    return rounded(trials.select("study", "trial", F.col("params")["alpha"].alias("alpha"), "value").orderBy(
+        F.desc("value"), "trial"), 8)
 
 
 def random_search_trees(spark: SparkSession, folder: str) -> DataFrame:
     """Random draws from a small forest space."""
-    ready = _prepared(spark, folder)
+    ready = _prepared(spark, folder).stored()
     space = {"n_estimators": ("int", 3, 6), "max_depth": ("int", 2, 5), "max_features": ("choice", ["sqrt", "log2"])}
     _, trials = search.random_search(ready.train, "random_forest", ["charge"], space, 2, LINE_KEY, n=3)
     return rounded(search.best_trial(trials), 6)
@@ -318,7 +320,7 @@ def random_search_trees(spark: SparkSession, folder: str) -> DataFrame:
 
 def study_resumed(spark: SparkSession, folder: str) -> DataFrame:
     """A study interrupted after two trials and taken up again."""
-    ready = _prepared(spark, folder)
+    ready = _prepared(spark, folder).stored()
     rows = ready.train
     store = scratch_path(spark, "trials")
     space = {"alpha": ("log", 0.01, 100.0)}
@@ -419,6 +421,29 @@ def _cv_sql(ks: list[int]) -> str:
         SELECT 'Linear Regression' AS "Model", * FROM ({" UNION ALL ".join(parts)})"""
 
 
+def _search_sql(alphas: list[float], k: int) -> str:
+    """Cross-validated ridge on two standardised features for every penalty."""
+    fold = hash_sql("l_orderkey, l_partkey, l_suppkey, l_linenumber", "fold42")
+    listed = ", ".join(f"({i}, '{a}', {a}::DOUBLE)" for i, a in enumerate(alphas))
+    return f"""WITH t AS (SELECT * FROM {CHARGES_SQL} WHERE split = 'train'),
+        s AS (SELECT avg(l_extendedprice) AS m1, stddev_pop(l_extendedprice) AS s1, avg(l_discount) AS m2,
+                     stddev_pop(l_discount) AS s2 FROM t),
+        z AS (SELECT {fold} % {k} AS fold, (l_extendedprice - m1) / s1 AS z1, (l_discount - m2) / s2 AS z2,
+                     ln(1 + charge) AS y FROM t, s),
+        v AS (SELECT f.fold, avg(y) AS my, avg(z1) AS mz1, avg(z2) AS mz2, var_pop(z1) AS v1, var_pop(z2) AS v2,
+                     covar_pop(z1, z2) AS c12, covar_pop(z1, y) AS c1, covar_pop(z2, y) AS c2, count(*) AS n
+              FROM z JOIN (SELECT unnest(range({k})) AS fold) f ON z.fold <> f.fold GROUP BY 1),
+        p AS (SELECT v.*, trial, alpha, v1 + a / n AS w1, v2 + a / n AS w2
+              FROM v, (VALUES {listed}) g(trial, alpha, a)),
+        b AS (SELECT *, (c1 * w2 - c2 * c12) / (w1 * w2 - c12 * c12) AS b1,
+                     (c2 * w1 - c1 * c12) / (w1 * w2 - c12 * c12) AS b2 FROM p),
+        r AS (SELECT trial, alpha, z.fold,
+                     1 - sum((y - my - b1 * (z1 - mz1) - b2 * (z2 - mz2)) ** 2) / (count(*) * var_pop(y)) AS r2
+              FROM z JOIN b ON z.fold = b.fold GROUP BY 1, 2, 3)
+        SELECT 'Ridge Regression' AS study, CAST(trial AS INT) AS trial, alpha, round(avg(r2), 8) AS value FROM r
+        GROUP BY 1, 2, 3"""
+
+
 def _knn_sql(k: int, distance: str) -> str:
     return f"""
         WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e,
@@ -542,7 +567,7 @@ QUERIES = {
                round(coalesce(avg(label) FILTER (d = 0), sum(label / nullif(d, 0)) / sum(1 / nullif(d, 0))), 6)
                  AS prediction_label FROM n GROUP BY 1"""),
     "cv_summary_ols": (cv_summary_ols, _cv_sql([3, 5])),
-    "search_best": (search_best, None),
+    "search_best": (search_best, _search_sql(WIDE_GRIDS["ridge"]["alpha"], 3)),
     "random_search_trees": (random_search_trees, None),
     "study_resumed": (study_resumed, None),
     "study_history": (study_history, """
