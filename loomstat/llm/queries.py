@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from . import toxicity
+from . import lm, neardup, quality, toxicity
 
 QUERIES = {
     "op3_toxicity": (toxicity.query, None),
+    "op5_quality": (quality.query, None),
+    "op6_neardup": (neardup.query, None),
+    "op7_lm": (lm.query, None),
 }
