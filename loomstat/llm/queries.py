@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import lm, neardup, quality, toxicity
+from . import decontaminate, lm, neardup, quality, repeats, tokens, toxicity
 
 QUERIES = {
     "op3_toxicity": (toxicity.query, None),
     "op5_quality": (quality.query, None),
     "op6_neardup": (neardup.query, None),
     "op7_lm": (lm.query, None),
+    "op8_tokens": (tokens.query, None),
+    "op9_decontaminate": (decontaminate.query, None),
+    "op10_repeats": (repeats.query, None),
 }
