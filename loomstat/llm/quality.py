@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .shared import remainder, stored
+from .shared import remainder, seeded_sample, stored
 
 BUCKETS = 1 << 18
 WIDTH = 16
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if admit is not None:
         known = known.where(admit("_id"))
     known = known.groupBy("_id").agg(F.max("label").alias("label"))
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
+    known = seeded_sample(known, "_id", sample_rows)
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "_id")
     sample = sample.select(F.xxhash64("_id", "text").alias("order"), "label", F.coalesce("text", F.lit("")).alias("text"))
     sample = stored(sample.mapInArrow(_sparse, "order long, label int, slots binary, shares binary"), "quality-sample")

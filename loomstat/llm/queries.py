@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm, neardup, quality, repeats, tokens, toxicity
+from . import ann, decontaminate, lm, mixing, neardup, quality, repeats, tokens, toxicity, warc
 
 QUERIES = {
+    "op1_mixing": (mixing.query, mixing.ORACLE_SQL),
+    "op2_warc": (warc.query, warc.ORACLE_SQL),
     "op3_toxicity": (toxicity.query, None),
+    "op4_ann": (ann.query, None),
     "op5_quality": (quality.query, None),
     "op6_neardup": (neardup.query, None),
     "op7_lm": (lm.query, None),

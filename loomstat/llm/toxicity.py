@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .shared import remainder, stored
+from .shared import remainder, seeded_sample, stored
 
 STRIPPED = ".,;:!?\"'()[]{}<>*%&$#|~_=+/\\-«»“”„‘’…¡¿"
 CLAUSE_END = tuple(".,;:!?…")
@@ -339,7 +339,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if train is not None:
         known = known.where(train("_id"))
     known = known.groupBy("_id").agg(F.max("label").alias("label"))
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
+    known = seeded_sample(known, "_id", sample_rows)
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "_id")
     sample = stored(sample.select("label", F.coalesce("text", F.lit("")).alias("text"))
                     .mapInArrow(_with_copy_key, "label int, text string, copy long"), "toxic-sample")
