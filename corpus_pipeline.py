@@ -1,27 +1,71 @@
-"""A corpus from raw documents: stages that each apply one operator of ``loomstat.llm``."""
+"""A corpus from raw documents: five stages, each applying one operator of ``loomstat.llm``."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-
-from loomstat.llm import toxicity
+from loomstat.llm import decontaminate, mixing, neardup, tokens, toxicity
 from loomstat.llm.shared import stored, table
+from loomstat.session import scratch_path
+
+#: Share of all words that the mixture keeps.
+SHARE = 0.8
+END_ID = 2
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below 0.7."""
+    """Documents whose toxicity score stays below 0.7; learned from all labels."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model, score_col="_score", predicted_col="_toxic")
     return scored.where("_toxic = 0").select(*docs.columns)
 
 
-STAGES = [("toxicity", drop_toxic)]
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every group; rows with a null id stay, rows that share an id share their fate."""
+    found = neardup.near_duplicates(docs, size=5, percent=80)
+    gone = stored(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "near-duplicates")
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item, edits of up to a fifth of its words allowed."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``SHARE`` of the words by target weights, each document at most once; a leaf's last one is cut to its first words."""
+    named = docs.withColumn("domain", mixing.domain())
+    chosen = mixing.mix(named, mixing.LEVELS, mixing.weight_table(spark), share=SHARE, max_epochs=1, seed=mixing.SEED)
+    cut = F.col("_taken") < F.col("_tokens")
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0)), F.lit(1), F.col("_taken").cast("int")), " ")
+    text = F.when(cut, first).otherwise(F.col("text"))
+    size = F.when(cut, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return chosen.withColumn("n_chars", size).withColumn("text", text).select(*docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shards of token ids below the shared folder, read back through their index."""
+    folder = scratch_path(spark, "corpus")
+    tokens.write_shards(docs, folder, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return tokens.read_shards(spark, folder)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near-dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token-ids", token_ids),
+]
 
+#: No SQL: the first three stages learn, sketch and match with edits.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)

@@ -164,7 +164,8 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     sizes = F.broadcast(sizes)
     held = dealt.join(sizes, "list").select("list", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "id", "v")
     asked = dealt.where("probed is not null").select("id", "v", "bound", F.explode("probed").alias("list")).join(sizes, "list")
-    asked = asked.select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id", "v", "bound")
+    asked = asked.select(F.col("list").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"),
+                         F.col("id").alias("query_id"), F.col("v").alias("query"), "bound")
 
     def measure(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
@@ -172,16 +173,15 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
             vid, x = left["id"].to_numpy(), _vectors(left["v"])
             for a in range(0, right.num_rows, 512):
                 part = right.slice(a, 512)
-                qid, q, limit = part["id"].to_numpy(), _vectors(part["v"]), part["bound"].to_numpy()
+                qid, q, limit = part["query_id"].to_numpy(), _vectors(part["query"]), part["bound"].to_numpy()
                 qi, xi, dist = scan(index.value, q, x, limit, qid[:, None] == vid[None, :])
                 best = _closest(qi, vid[xi], dist, k)
                 found.append((qid[qi[best]], vid[xi[best]], dist[best]))
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
         return pa.table(dict(zip(("query_id", "id", "score"), map(pa.array, columns), strict=True)))
 
-    pairs = held.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInArrow(
+    pairs = held.groupBy("list", "block").cogroup(asked.groupBy("at", "part")).applyInArrow(
         measure, "query_id long, id long, score double")
-
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
     best = pairs.withColumn("rank", rank).where(F.col("rank") <= k)
     return best.select("query_id", "rank", F.col("id").alias(id_col), "score")
