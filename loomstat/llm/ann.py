@@ -153,8 +153,9 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
             for i, mine in zip(at, order, strict=True):
                 probed[i] = mine.tolist()
                 seen = held.sample[np.isin(held.sample_list, mine)]
-                # One more than k: the query itself may be in the sample.
-                limit[i] = np.partition(((seen - x[i]) ** 2).sum(1), k)[k] * (1 + 1e-9) if len(seen) > k else np.inf
+                # One more than k: the query itself may be in the sample.  The last term covers rounding.
+                near = np.partition(((seen - x[i]) ** 2).sum(1), k)[k] if len(seen) > k else np.inf
+                limit[i] = near * (1 + 1e-9) + 1e-9 * (x[i] @ x[i])
             yield pa.RecordBatch.from_arrays(
                 [batch["id"], pa.array(own), pa.array([r.tobytes() for r in x.astype("<f8")], pa.binary()),
                  pa.array(probed, pa.list_(pa.int64())), pa.array(limit)], ["id", "list", "v", "probed", "bound"])

@@ -42,3 +42,19 @@ def near_duplicates(rows, size, percent):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def kept_words(texts, window):
+    """Words of each text outside repeated windows, and how many lie inside."""
+    from collections import Counter
+
+    split = [words(t) for t in texts]
+    count = Counter(tuple(w[i : i + window]) for w in split for i in range(len(w) - window + 1))
+    out = []
+    for w in split:
+        gone = [False] * len(w)
+        for i in range(len(w) - window + 1):
+            if count[tuple(w[i : i + window])] > 1:
+                gone[i : i + window] = [True] * window
+        out.append((len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()))
+    return out
