@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 # A key with more rows than this is joined through plans that can split it.
 HOT_KEY_ROWS = 1_000_000
 
@@ -62,24 +64,33 @@ def combine_on_key(dfs: Sequence[DataFrame], key: str, strategy: str = "auto") -
 
     ``unique``: the caller knows that no table repeats a key.  ``join``: pairwise full
     outer joins, repeated keys multiply rows.  ``hot``: as ``join``, for keys that hold
-    a large share of the rows.  ``auto`` measures the largest key group and decides.
+    a large share of the rows.  ``auto`` measures the largest key group of every table,
+    merges the tables with unique keys in one shuffle and joins the others to the result.
     Complex columns (arrays, maps) always take the pairwise way.
     """
     dfs = list(dfs)
-    _value_columns(dfs, key)
+    values = _value_columns(dfs, key)
     if len(dfs) == 1:
         return dfs[0]
-    if strategy == "auto":
-        largest = max(largest_key_group(df, key) for df in dfs)
-        plain = all(not kind.startswith(("array", "map")) for df in dfs for _, kind in df.dtypes)
-        if largest <= 1 and plain:
-            strategy = "unique"
-        else:
-            strategy = "hot" if largest > HOT_KEY_ROWS else "join"
     if strategy == "unique":
         return _merge_unique(dfs, key)
-    step = {"join": _full_join, "hot": _full_join_hot}[strategy]
-    return reduce(lambda a, b: step(a, b, key), dfs)
+    if strategy == "auto":
+        largest = [largest_key_group(df, key) for df in dfs]
+        plain = [all(not kind.startswith(("array", "map")) for _, kind in df.dtypes) for df in dfs]
+        single = [df for df, n, p in zip(dfs, largest, plain, strict=True) if n <= 1 and p]
+        others = [df for df, n, p in zip(dfs, largest, plain, strict=True) if n > 1 or not p]
+        strategy = "hot" if max(largest) > HOT_KEY_ROWS else "join"
+        dfs = ([_merge_unique(single, key)] if single else []) + others
+    result = dfs[0]
+    for df in dfs[1:]:
+        if strategy == "hot":
+            # Each side is read three times: stored, so that the plan grows by a fixed part per table.
+            result = _full_join_hot(materialise(result), materialise(df), key)
+        elif strategy == "join":
+            result = _full_join(result, df, key)
+        else:
+            raise ValueError(f"unknown strategy {strategy!r}")
+    return result.select(key, *values)
 
 
 def concat_rows(dfs: Sequence[DataFrame], tag: str | None = None, tags: Sequence[str] = ()) -> DataFrame:

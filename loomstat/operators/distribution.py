@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import counted_broadcast
 from .quantiles import DIRECT_ROWS, quantile_values, quantiles
 
-# More bins than this are refused: a width rule on data with far outliers can ask for any number.
-MAX_BINS = 1_000_000
+# Empty bins are listed in runs of this length, so that no row holds all of them.
+BIN_RUN = 4_096
 
 
 def _edges(values: DataFrame, bins: int | str, direct_rows: int) -> tuple[float, float, int]:
@@ -34,14 +35,17 @@ def _edges(values: DataFrame, bins: int | str, direct_rows: int) -> tuple[float,
         else:
             raise ValueError(f"unknown bin rule {bins!r}")
         count = max(1, math.ceil((hi - lo) / width)) if width > 0 else 1
-    if count > MAX_BINS:
-        raise ValueError(f"the rule {bins!r} asks for {count} bins")
     if lo == hi:
         # One value only: a unit range around it.
         return lo - 0.5, 1.0 / count, count
     return lo, (hi - lo) / count, count
 
 
+def _bin_runs(count: int):
+    """First bins of all runs."""
+    return F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"), F.lit(BIN_RUN).cast("long"))
+
+
 def histogram(df: DataFrame, col: str, bins: int | str = 30, by: Sequence[str] = (), density: bool = False,
               direct_rows: int = DIRECT_ROWS) -> DataFrame:
     """(by…, bin, lower, upper, n[, density]): equal-width counts, the last bin closed on the right.
@@ -54,13 +58,15 @@ def histogram(df: DataFrame, col: str, bins: int | str = 30, by: Sequence[str] =
         "x is not null")
     lo, width, count = _edges(values, bins, direct_rows)
     position = F.floor((F.col("x") - F.lit(lo)) / F.lit(width))
-    bin_of = F.greatest(F.least(position, F.lit(count - 1)), F.lit(0)).cast("int")
+    kind = "int" if count < 1 << 31 else "long"
+    bin_of = F.greatest(F.least(position, F.lit(count - 1)), F.lit(0)).cast(kind)
     counted = values.groupBy(*by, bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     # The bins of each group as (bin, 0) rows beside the counted ones: no join is needed for empty bins.
     groups = counted.select(*by).distinct() if by else df.sparkSession.range(1).select()
-    empty = groups.select(*by, F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("bin"),
-                          F.lit(0).cast("long").alias("n")) if count else counted.limit(0)
-    full = counted.unionByName(empty).groupBy(*by, "bin").agg(F.sum("n").alias("n"))
+    empty = groups.select(*by, F.explode(_bin_runs(count)).alias("_run")).select(
+        *by, F.explode(F.sequence("_run", F.least(F.col("_run") + (BIN_RUN - 1), F.lit(count - 1)))).alias("bin"),
+        F.lit(0).cast("long").alias("n")) if count else counted.limit(0)
+    full = counted.unionByName(empty.withColumn("bin", F.col("bin").cast(kind))).groupBy(*by, "bin").agg(F.sum("n").alias("n"))
     lower = F.lit(lo) + F.col("bin") * F.lit(width)
     result = full.select(*by, "bin", lower.alias("lower"), (lower + F.lit(width)).alias("upper"), "n")
     if not density:
@@ -76,16 +82,43 @@ def grouped_density(df: DataFrame, col: str, facet: str, by: Sequence[str], bins
                     direct_rows: int = DIRECT_ROWS) -> DataFrame:
     """Density histograms whose edges are shared inside one facet and normalised per group.
 
-    One set of edges per facet value; facet values are few (the targets), so each is one
-    filtered histogram.
+    The edges of all facets come from one aggregation (and one of quantiles), and all bins are
+    counted together.  Rows with a null facet are left out.
     """
-    facets = [r[0] for r in df.select(facet).distinct().orderBy(facet).collect()]
-    parts = [histogram(df.filter(F.col(facet) == f), col, bins, by, True, direct_rows).withColumn(facet, F.lit(f))
-             for f in facets]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    by = list(by)
+    values = df.select(facet, *by, F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double")).alias("x"))
+    values = values.dropna(subset=[facet, "x"])
+    ends = values.groupBy(facet).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("_n"))
+    if isinstance(bins, int):
+        count = F.lit(bins).cast("long")
+    elif bins in ("fd", "auto"):
+        quarts = quantiles(values, ["x"], [0.25, 0.75], [facet], direct_rows).groupBy(facet).agg(
+            (F.max("value") - F.min("value")).alias("_spread"))
+        ends = ends.join(quarts, facet)
+        by_spread = 2.0 * F.col("_spread") / F.pow(F.col("_n"), F.lit(1 / 3))
+        by_count = (F.col("hi") - F.col("lo")) / (F.log2(F.col("_n").cast("double")) + 1)
+        width = by_spread if bins == "fd" else F.when(by_spread > 0, F.least(by_spread, by_count)).otherwise(by_count)
+        count = F.when(width > 0, F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo")) / width))).otherwise(1).cast("long")
+    else:
+        raise ValueError(f"unknown bin rule {bins!r}")
+    flat = F.col("lo") == F.col("hi")  # one value only: a unit range around it
+    edges = ends.withColumn("_count", count).select(
+        facet, "_count", F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("_lo"),
+        (F.when(flat, F.lit(1.0)).otherwise(F.col("hi") - F.col("lo")) / F.col("_count")).alias("_width"))
+    shape = ["_count", "_lo", "_width"]
+    placed = values.join(counted_broadcast(edges), facet)
+    bin_of = F.greatest(F.least(F.floor((F.col("x") - F.col("_lo")) / F.col("_width")), F.col("_count") - 1), F.lit(0))
+    counted = placed.groupBy(facet, *by, *shape, bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    last = F.col("_count") - 1
+    empty = counted.select(facet, *by, *shape).distinct().select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(BIN_RUN).cast("long"))).alias("_run")).select(
+        facet, *by, *shape, F.explode(F.sequence("_run", F.least(F.col("_run") + (BIN_RUN - 1), last))).alias("bin"),
+        F.lit(0).cast("long").alias("n"))
+    full = counted.unionByName(empty).groupBy(facet, *by, *shape, "bin").agg(F.sum("n").alias("n"))
+    lower = F.col("_lo") + F.col("bin") * F.col("_width")
+    total = F.sum("n").over(W.partitionBy(facet, *by))
+    return full.select(*by, F.col("bin").cast("int").alias("bin"), lower.alias("lower"), (lower + F.col("_width")).alias("upper"), "n",
+                       (F.col("n") / (total * F.col("_width"))).alias("density"), facet)
 
 
 def _column_entries(df: DataFrame, literals: dict[str, dict[str, float]]) -> DataFrame:
@@ -179,7 +212,7 @@ def box_stats(df: DataFrame, cat: str, y: str, whisker: str | tuple[float, float
         return box.join(n, "category").select("category", "n", "q1", "median", "q3", "whisker_low", "whisker_high")
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col("y").between(F.col("q1") - reach, F.col("q3") + reach)
-    return values.join(box, "category").groupBy("category", "q1", "median", "q3").agg(
+    return values.join(counted_broadcast(box), "category").groupBy("category", "q1", "median", "q3").agg(
         F.count(F.lit(1)).alias("n"),
         F.least(F.min(F.when(inside, F.col("y"))), F.col("q1")).alias("whisker_low"),
         F.greatest(F.max(F.when(inside, F.col("y"))), F.col("q3")).alias("whisker_high"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import residual
 from .combine import concat_rows, spread
 from .features import TargetTransform
-from .models import Fitted, label_column, manifest_paths, prediction_column
+from .models import Fitted, label_column, manifest_paths, prediction_column, vector_width
 
 # Columns of the result tables.
 METRICS = ["R2", "RMSE"]
@@ -43,15 +43,26 @@ def residual_kinds(table: DataFrame) -> DataFrame:
                         residual(true, predicted, "relative").alias("Residual_Relative"))
 
 
+def _complete(true: str, predicted: str):
+    return ~(F.col(true).isNull() | F.isnan(true) | F.col(predicted).isNull() | F.isnan(predicted))
+
+
+def unpredicted(table: DataFrame, by: Sequence[str] = ("Model", "Target"), true: str = "True",
+                predicted: str = "Predicted") -> DataFrame:
+    """(by…, rows): rows that :func:`metrics` leaves out because truth or prediction is missing."""
+    return table.filter(~_complete(true, predicted)).groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def metrics(table: DataFrame, by: Sequence[str] = ("Model", "Target"), true: str = "True",
             predicted: str = "Predicted") -> DataFrame:
-    """(by…, R2, RMSE, n) from one aggregation.
+    """(by…, R2, RMSE, n) of the rows with truth and prediction, from one aggregation.
 
-    A constant truth gives R2 1 when it is met exactly and 0 otherwise; one row gives none.
+    Rows that lack one of them, null or NaN, count nowhere (:func:`unpredicted` counts them).  A constant truth gives R2 1 when it is met exactly and 0 otherwise; one row gives none.
     """
-    miss = F.col(true) - F.col(predicted)
-    sums = table.groupBy(*by).agg(F.sum(miss * miss).alias("_e"), F.var_pop(true).alias("_v"),
-                                  F.count(F.lit(1)).alias("n"))
+    both = _complete(true, predicted)
+    miss = F.when(both, F.col(true) - F.col(predicted))
+    sums = table.groupBy(*by).agg(F.sum(miss * miss).alias("_e"), F.var_pop(F.when(both, F.col(true))).alias("_v"),
+                                  F.count(miss).alias("n"))
     r2 = (F.when(F.col("n") < 2, F.lit(None).cast("double"))
           .when(F.col("_v") > 0, 1 - F.col("_e") / F.nullif(F.col("_v") * F.col("n"), F.lit(0.0)))
           .otherwise(F.when(F.col("_e") == 0, 1.0).otherwise(0.0)))
@@ -123,15 +134,18 @@ def score_saved(spark: SparkSession, path: str, rows: DataFrame, transform: Targ
                 key: Sequence[str]) -> tuple[DataFrame | None, DataFrame]:
     """Residuals of all saved models on labelled rows, and a status row per model.
 
-    A model that cannot be loaded or applied, or that has other targets, is skipped and
-    its reason recorded.
+    A model that cannot be loaded, that has other targets or was fitted on another number of
+    features is skipped and its reason recorded.
     """
     tables, status = [], []
+    width = vector_width(rows)
     for position, (name, folder) in enumerate(manifest_paths(spark, path)):
         try:
             model = Fitted.load(spark, folder)
             if model.targets != transform.names:
                 raise ValueError(f"targets {model.targets} instead of {transform.names}")
+            if width is not None and model.width != width:
+                raise ValueError(f"fitted on {model.width} features, the rows have {width}")
             tables.append(report(model, rows, transform, key))
             status.append((position, name, "scored", None))
         except Exception as problem:  # noqa: BLE001 - any failing model is skipped, the reason is kept

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import SEED
 from ..functions.columns import base_feature_name, key_hash
+from ..session import counted_broadcast
 from .evaluate import metrics
 from .models import Fitted, label_column, prediction_column
 
@@ -70,7 +71,7 @@ def share_within(table: DataFrame, by: Sequence[str], value: str, name: str) ->
     gathered in one task.
     """
     totals = table.groupBy(*by).agg(F.sum(value).alias("_total"))
-    joined = table.join(totals, list(by))
+    joined = table.join(counted_broadcast(totals), list(by))
     return joined.withColumn(name, F.when(F.col("_total") > 0, F.col(value) / F.col("_total")).otherwise(0.0)).drop(
         "_total")
 

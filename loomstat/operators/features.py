@@ -9,19 +9,16 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..fixed import SEED, TEST_SHARE
 from ..functions.columns import from_log, key_hash, to_log, unit_hash
 from ..session import materialise
 from ..spec import Spec
-from .quantiles import DIRECT_ROWS, order_statistics, quantile_values, size_measures
-
-# Levels of one categorical column that a fit brings to the driver at most.
-MAX_LEVELS = 10_000
-
+from .quantiles import DIRECT_ROWS, quantile_values, size_measures
 
 def assign_split(df: DataFrame, key: Sequence[str], share: float = TEST_SHARE, seed: int = SEED,
                  name: str = "split") -> DataFrame:
@@ -38,18 +35,32 @@ def assign_fold(df: DataFrame, key: Sequence[str], k: int, seed: int = SEED, nam
 
 
 def assign_contiguous_fold(df: DataFrame, order: str, k: int, name: str = "fold") -> DataFrame:
-    """Add fold numbers for k runs of rows along a unique numeric column.
+    """Add fold numbers for k runs of rows along a unique column of any ordered type.
 
-    The first ``n mod k`` folds hold one row more.  The borders are found by counting, so
-    there is no global row numbering.
+    The first ``n mod k`` folds hold one row more.  Rows with a null key come first.  The keys are
+    sorted in ranges; the number of rows of each range says where the borders lie, so there is no
+    global row numbering.
     """
-    values = df.select(F.lit(0).alias("g"), F.col(order).cast("double").alias("x")).dropna()
-    n = values.count()
-    sizes = [n // k + (1 if i < n % k else 0) for i in range(k)]
-    starts = [r for r in (sum(sizes[:i]) for i in range(1, k)) if r < n]
-    wanted = df.sparkSession.createDataFrame([(0, r) for r in starts], "g int, rank long")
-    borders = sorted(r["x"] for r in order_statistics(values, ["g"], wanted.distinct(), 4096).collect()) if starts else []
-    position = sum([(F.col(order) >= F.lit(b)).cast("int") for b in borders], F.lit(0))
+    spark = df.sparkSession
+    keys = df.select(F.col(order).alias("x"))
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The id of a row is its range's number above 33 bits and its place in the range below.
+    placed = materialise(keys.repartitionByRange(width, "x").sortWithinPartitions("x").select(
+        "x", F.monotonically_increasing_id().alias("_id")))
+    part = F.shiftright("_id", 33)
+    sizes = dict(placed.groupBy(part.alias("p")).count().collect())
+    n = sum(sizes.values())
+    folds = [n // k + (1 if i < n % k else 0) for i in range(k)]
+    starts = [r for r in (sum(folds[:i]) for i in range(1, k)) if r < n]
+    wanted, before = [], 0
+    for p, size in sorted(sizes.items()):
+        wanted += [(p << 33) + r - before for r in starts if before <= r < before + size]
+        before += size
+    borders = [r["x"] for r in placed.filter(F.col("_id").isin(wanted)).orderBy("_id").select("x").collect()] if wanted else []
+    kind = df.schema[order].dataType
+    # A border inside the nulls lies below every key; all nulls stay in the first fold.
+    position = sum([F.coalesce((F.col(order) >= F.lit(b).cast(kind)) if b is not None else F.col(order).isNotNull(), F.lit(False))
+                    .cast("int") for b in borders], F.lit(0))
     return df.withColumn(name, position.cast("int"))
 
 
@@ -97,11 +108,39 @@ class Preprocessor:
         return df.select(*keep, *[c.alias(n) for n, c in self.columns().items()])
 
     def transform(self, df: DataFrame, keep: Sequence[str] | None = None, vector: str = "features") -> DataFrame:
-        """The kept columns and one feature vector."""
+        """The kept columns and one feature vector.
+
+        Levels are indexed and encoded as sparse vectors, one column each: the plan does not grow
+        with their number.  Unknown levels are all zeros.
+        """
         keep = list(df.columns if keep is None else keep)
-        plain = df.select(*keep, *[c.alias(f"_f{i}") for i, c in enumerate(self.columns().values())])
-        inputs = [f"_f{i}" for i in range(len(self.names))]
-        return VectorAssembler(inputCols=inputs, outputCol=vector).transform(plain).drop(*inputs)
+        numeric = list(Preprocessor(self.numeric, ()).columns().values())
+        plain = df.select(*keep, *[c.alias(f"_f{i}") for i, c in enumerate(numeric)], *[
+            F.coalesce(F.col(n), F.lit(fill)).cast("string").alias(f"_s{i}") for i, (n, fill, _) in enumerate(self.categorical)])
+        inputs = [f"_f{i}" for i in range(len(numeric))]
+        texts, indices, encoded = ([f"_{k}{i}" for i in range(len(self.categorical))] for k in "sie")
+        if self.categorical:
+            spark = df.sparkSession
+            labels = [self._level_texts(df, n, levels) for n, _, levels in self.categorical]
+            indexer = StringIndexerModel.from_arrays_of_labels(labels, texts, indices, handleInvalid="keep")
+            plain = indexer.transform(plain)
+            last = spark.createDataFrame([tuple(float(len(found) - 1) for found in labels)], ", ".join(f"{i} double" for i in indices))
+            encoder = OneHotEncoder(inputCols=indices, outputCols=encoded, dropLast=True, handleInvalid="keep").fit(last)
+            # Without the index metadata the number of levels is the encoder's own.
+            plain = encoder.transform(plain.withColumns({i: F.expr(f"{i} + 0.0") for i in indices}))
+            inputs += encoded
+        assembled = VectorAssembler(inputCols=inputs, outputCol=vector).transform(plain)
+        return assembled.select(*keep, F.col(vector).alias(vector, metadata={"ml_attr": {"num_attrs": len(self.names)}}))
+
+    @staticmethod
+    def _level_texts(df: DataFrame, column: str, levels: tuple) -> list[str]:
+        """Levels as the column's own type writes them."""
+        if all(isinstance(v, str) for v in levels):
+            return list(levels)
+        kind = df.schema[column].dataType
+        rows = df.sparkSession.createDataFrame([(i, v) for i, v in enumerate(levels)], StructType([
+            StructField("i", LongType()), StructField("v", kind)]))
+        return [r[0] for r in rows.orderBy("i").select(F.col("v").cast("string")).collect()]
 
     def to_json(self) -> str:
         return json.dumps({"numeric": self.numeric, "categorical": self.categorical})
@@ -121,15 +160,17 @@ class Preprocessor:
 
 
 def category_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list[tuple[Any, int]]]:
-    """The sorted non-null levels of every column with their counts, from one job."""
+    """The sorted non-null levels of every column with their counts, from one job.
+
+    The levels name the output features, so the fitted preprocessing holds all of them.
+    """
     if not cols:
         return {}
     kinds = dict(df.dtypes)
     entries = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in cols])).alias("_e")
     counts = df.select(entries).select("_e.*").filter("level is not null").groupBy("column", "level").count()
-    # One row above the limit is enough to know that a column has too many levels.
-    rows = counts.limit(MAX_LEVELS * len(cols) + 1).collect()
+    rows = counts.toLocalIterator()
     result: dict[str, list[tuple[Any, int]]] = {c: [] for c in cols}
     readers = {"double": float, "float": float, "int": int, "bigint": int, "smallint": int, "tinyint": int,
                "boolean": lambda text: text == "true"}
@@ -137,8 +178,6 @@ def category_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list[tuple[
         reader = readers.get(kinds[r["column"]], str)
         result[r["column"]].append((reader(r["level"]), r["count"]))
     for c, levels in result.items():
-        if len(levels) > MAX_LEVELS or len(rows) > MAX_LEVELS * len(cols):
-            raise ValueError(f"{c} has more than {MAX_LEVELS} levels; it is not a category")
         # NaN stands for a missing value, as null does.
         result[c] = sorted([lv for lv in levels if lv[0] == lv[0]], key=lambda lv: lv[0])
     return result

@@ -40,9 +40,31 @@ DISPLAY_NAMES = {
     "svr": "SVR",
 }
 
-# The deepest tree Spark grows.
+# The deepest tree Spark grows; also what "no limit" means.
 DEEPEST = 30
 
+# Parameters of the families that Spark's trees have no counterpart for.
+WITHOUT_COUNTERPART = {"random_forest": ("min_samples_split",), "gradient_boosting": ("min_samples_split",),
+                       "xgboost": ("reg_alpha", "reg_lambda")}
+
+
+def usable(family: str, params: Mapping[str, Any]) -> dict[str, Any]:
+    """The parameters that a fit really uses.
+
+    Those without a counterpart are dropped; a tree without a limit is as deep as Spark grows it.  A search
+    over the result fits no model twice and records what it fitted.
+    """
+    used = {k: v for k, v in params.items() if k not in WITHOUT_COUNTERPART.get(family, ())}
+    if family in WITHOUT_COUNTERPART and "max_depth" in used:
+        used["max_depth"] = DEEPEST if used["max_depth"] is None else int(used["max_depth"])
+    return used
+
+
+def distinct_points(family: str, points: Sequence[Mapping[str, Any]]) -> list[dict[str, Any]]:
+    """The usable form of every point, each once, in order."""
+    found = {json.dumps(u, sort_keys=True, default=str): u for u in (usable(family, p) for p in points)}
+    return list(found.values())
+
 
 def label_column(target: str) -> str:
     return f"label_{target}"
@@ -57,13 +79,14 @@ def _subset(choice: Any) -> str:
     return "all" if choice is None else str(choice)
 
 
-def _tree_settings(params: Mapping[str, Any], leaf: str = "min_samples_leaf") -> dict[str, Any]:
-    depth = params.get("max_depth")
-    settings = {"maxDepth": min(int(depth), DEEPEST) if depth is not None else DEEPEST,
-                "minInstancesPerNode": max(1, int(params.get(leaf, 1)))}
-    if params.get("min_samples_split", 2) > 2:
-        warnings.warn("min_samples_split has no counterpart and is not used", stacklevel=3)
-    return settings
+def _tree_settings(family: str, params: Mapping[str, Any], leaf: str = "min_samples_leaf") -> dict[str, Any]:
+    unused = sorted(set(params) & set(WITHOUT_COUNTERPART[family]))
+    if unused:
+        warnings.warn(f"{', '.join(unused)}: no counterpart, not used", stacklevel=3)
+    depth = usable(family, {"max_depth": params.get("max_depth")})["max_depth"]
+    if depth > DEEPEST:
+        raise ValueError(f"max_depth {depth}: trees deeper than {DEEPEST} cannot be grown")
+    return {"maxDepth": depth, "minInstancesPerNode": max(1, int(params.get(leaf, 1)))}
 
 
 def _ridge_parameter(df: DataFrame, label: str, alpha: float) -> float:
@@ -77,21 +100,21 @@ def make_estimator(family: str, df: DataFrame, target: str, params: Mapping[str,
     common = {"featuresCol": "features", "labelCol": label_column(target),
               "predictionCol": prediction_column(target)}
     if family == "linear":
-        return LinearRegression(solver="normal", tol=1e-9, maxIter=500, **common)
+        return LinearRegression(solver="auto", tol=1e-9, maxIter=500, **common)
     if family == "ridge":
-        return LinearRegression(solver="normal", standardization=False, tol=1e-9, maxIter=500, elasticNetParam=0.0,
+        return LinearRegression(solver="auto", standardization=False, tol=1e-9, maxIter=500, elasticNetParam=0.0,
                                 regParam=_ridge_parameter(df, label_column(target), params.get("alpha", 1.0)), **common)
     if family == "random_forest":
         return RandomForestRegressor(numTrees=int(params.get("n_estimators", 100)), seed=seed,
                                      featureSubsetStrategy=_subset(params.get("max_features")),
-                                     **_tree_settings(params), **common)
+                                     **_tree_settings(family, params), **common)
     if family == "gradient_boosting":
-        settings = _tree_settings({"max_depth": 3, **params})
+        settings = _tree_settings(family, {"max_depth": 3, **params})
         return GBTRegressor(maxIter=int(params.get("n_estimators", 100)), stepSize=params.get("learning_rate", 0.1),
                             subsamplingRate=params.get("subsample", 1.0), seed=seed,
                             featureSubsetStrategy=_subset(params.get("max_features")), **settings, **common)
     if family == "xgboost":
-        settings = _tree_settings({"max_depth": 6, **params}, leaf="min_child_weight")
+        settings = _tree_settings(family, {"max_depth": 6, **params}, leaf="min_child_weight")
         return GBTRegressor(maxIter=int(params.get("n_estimators", 100)), stepSize=params.get("learning_rate", 0.3),
                             subsamplingRate=params.get("subsample", 1.0), seed=seed,
                             minInfoGain=float(params.get("gamma", 0.0)),
@@ -99,6 +122,20 @@ def make_estimator(family: str, df: DataFrame, target: str, params: Mapping[str,
     raise ValueError(f"unknown family {family!r}")
 
 
+def row_id(key: Sequence[str]):
+    """One text per row key: names and values apart from each other, null apart from every text."""
+    return F.to_json(F.struct(*key))
+
+
+def vector_width(df: DataFrame, vector: str = "features") -> int | None:
+    """Number of features, from the column's metadata or else from one row; None for an empty table."""
+    known = df.schema[vector].metadata.get("ml_attr", {}).get("num_attrs")
+    if known:
+        return int(known)
+    row = df.select(vector).first()
+    return None if row is None or row[0] is None else int(row[0].size)
+
+
 @dataclass
 class Fitted:
     """One fitted model per target, with the parameters it was fitted with."""
@@ -108,6 +145,7 @@ class Fitted:
     targets: list[str]
     params: dict[str, Any] = field(default_factory=dict)
     parts: dict[str, Any] = field(default_factory=dict)
+    width: int | None = None
 
     def predict(self, df: DataFrame, key: Sequence[str] = ()) -> DataFrame:
         """Add ``prediction_<target>`` in the space of the labels.
@@ -127,7 +165,7 @@ class Fitted:
     def _predict_neighbours(self, df: DataFrame, key: list[str]) -> DataFrame:
         if not key:
             raise ValueError("nearest neighbours need the columns that identify a row")
-        rows = df.withColumn("_id", F.concat_ws("|", *[F.col(c).cast("string") for c in key]))
+        rows = df.withColumn("_id", row_id(key))
         found = nearest(rows, self.parts["rows"], int(self.params.get("n_neighbors", 5)), "_id", "_id", "features",
                         int(self.params.get("p", 2)), [label_column(t) for t in self.targets])
         means = found.groupBy(F.col("qid").alias("_id")).agg(*[
@@ -137,7 +175,7 @@ class Fitted:
 
     def save(self, spark: SparkSession, path: str) -> None:
         about: dict[str, Any] = {"name": self.name, "family": self.family, "targets": self.targets,
-                                 "params": self.params}
+                                 "params": self.params, "width": self.width}
         if self.family == "knn":
             self.parts["rows"].write.mode("overwrite").parquet(f"{path}/rows")
         for target in [] if self.family == "knn" else self.targets:
@@ -160,18 +198,18 @@ class Fitted:
         for target in [] if family == "knn" else about["targets"]:
             part = readers[family].load(f"{path}/target={target}")
             parts[target] = KernelModel(FeatureMap(**about["maps"][target]), part) if family == "svr" else part
-        return Fitted(about["name"], family, about["targets"], about["params"], parts)
+        return Fitted(about["name"], family, about["targets"], about["params"], parts, about.get("width"))
 
 
 def fit(family: str, df: DataFrame, targets: Sequence[str], params: Mapping[str, Any] | None = None,
         key: Sequence[str] = (), name: str | None = None, seed: int = SEED, workers: int = 2) -> Fitted:
     """Fit one independent regressor per target on ``features`` and ``label_<target>``."""
     params, targets = dict(params or {}), list(targets)
-    fitted = Fitted(name or DISPLAY_NAMES[family], family, targets, params)
+    fitted = Fitted(name or DISPLAY_NAMES[family], family, targets, params, width=vector_width(df))
     if family == "knn":
         if not key:
             raise ValueError("nearest neighbours need the columns that identify a row")
-        rows = df.select(F.concat_ws("|", *[F.col(c).cast("string") for c in key]).alias("_id"), "features",
+        rows = df.select(row_id(key).alias("_id"), "features",
                          *[label_column(t) for t in targets])
         fitted.parts["rows"] = materialise(rows)
         return fitted

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -44,16 +45,11 @@ def describe(df: DataFrame, cols: Sequence[str], digits: int | None = None,
     return ordered.select("column", "count", *[F.bround(F.round(c, 9), digits).alias(c) for c in ordered.columns[2:]])
 
 
-def pair_correlation(a: str, b: str) -> Column:
-    """Pearson correlation over rows where both are present; null when one is constant."""
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-    spread = F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
-    return F.covar_pop(x, y) / spread
-
-
 def pair_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(a, b, n, means, variances and covariance) over the rows where both are present, b before a.
+    """(a, b, n, means, variances and covariance) over the rows where both are present, b not after a.
+
+    Null and NaN count as missing.  An infinite value leaves the pairs of its column without a
+    number.
 
     One pass for any number of columns: every task multiplies its rows' value and presence
     matrices and passes on one row per pair, so p columns cost p² small sums and not p²
@@ -63,7 +59,7 @@ def pair_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     cols = list(cols)
     clean = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols]
     means = df.agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(clean)]).first()
-    shift = [means[f"_m{i}"] or 0.0 for i in range(len(cols))]
+    shift = [m if (m := means[f"_m{i}"]) is not None and math.isfinite(m) else 0.0 for i in range(len(cols))]
     shifted = df.select(*[(c - F.lit(m)).alias(f"_x{i}") for i, (c, m) in enumerate(zip(clean, shift, strict=True))])
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,12 +68,12 @@ def pair_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         for batch in batches:
             x = batch.to_numpy(dtype=float, na_value=np.nan)
             there = (~np.isnan(x)).astype(float)
-            x = np.nan_to_num(x, nan=0.0)
+            x = np.where(there > 0, x, 0.0)
             n += there.T @ there
             sx += x.T @ there
             sxx += (x * x).T @ there
             sxy += x.T @ x
-        i, j = np.tril_indices(p, -1)
+        i, j = np.tril_indices(p)
         yield pd.DataFrame({"i": i, "j": j, "n": n[i, j].astype("int64"), "sa": sx[i, j], "sb": sx[j, i],
                             "saa": sxx[i, j], "sbb": sxx[j, i], "sab": sxy[i, j]})
 
@@ -100,59 +96,29 @@ def pair_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.expr("sab / n - (sa / n) * (sb / n)").alias("cov"))
 
 
-def correlation(df: DataFrame, cols: Sequence[str], triangle: bool = True,
-                pairs_per_pass: int = PAIRS_PER_PASS) -> DataFrame:
+def correlation(df: DataFrame, cols: Sequence[str], triangle: bool = True) -> DataFrame:
     """(a, b, r, n) for pairs of columns; ``triangle`` keeps each pair once, without the diagonal.
 
-    A few pairs are aggregate expressions of one aggregation, many come from
-    :func:`pair_moments`; both read the table for all pairs together.
+    All pairs come from one reading of the table (:func:`pair_moments`), whatever their number.
     """
     cols = list(cols)
-    lower = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i)]
-    diagonal = [] if triangle else [(c, c) for c in cols]
-
-    def aggregated(pairs: list[tuple[str, str]]) -> DataFrame:
-        wide = df.agg(*[pair_correlation(a, b).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)],
-                      *[F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"_n{i}")
-                        for i, (a, b) in enumerate(pairs)])
-        return stack_rows(wide, [
-            {"a": F.lit(a), "b": F.lit(b), "r": F.col(f"_r{i}"), "n": F.col(f"_n{i}")}
-            for i, (a, b) in enumerate(pairs)
-        ])
-
-    if len(lower) + len(diagonal) <= pairs_per_pass:
-        result = aggregated([*lower, *diagonal])
-    else:
-        spread = F.nullif(F.sqrt(F.col("var_a")) * F.sqrt(F.col("var_b")), F.lit(0.0))
-        listed = df.sparkSession.createDataFrame(lower, "a string, b string")
-        found = pair_moments(df, cols).select("a", "b", (F.col("cov") / spread).alias("r"), "n")
-        result = listed.join(found, ["a", "b"], "left").fillna(0, ["n"])
-        if diagonal:
-            result = result.unionByName(aggregated(diagonal))
+    pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i if triangle else i + 1)]
+    spread = F.nullif(F.sqrt(F.col("var_a")) * F.sqrt(F.col("var_b")), F.lit(0.0))
+    listed = df.sparkSession.createDataFrame(pairs, "a string, b string")
+    found = pair_moments(df, cols).select("a", "b", (F.col("cov") / spread).alias("r"), "n")
+    result = listed.join(found, ["a", "b"], "left").fillna(0, ["n"])
     if triangle:
         return result
     mirrored = result.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "r", "n")
     return result.unionByName(mirrored)
 
 
-def univariate_fit(df: DataFrame, features: Sequence[str], targets: Sequence[str],
-                   pairs_per_pass: int = PAIRS_PER_PASS) -> DataFrame:
+def univariate_fit(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
     """(feature, target, slope, intercept, r2, n) of least squares on complete pairs.
 
     Pairs without any complete row are left out; a constant feature has no slope.
     """
     features, targets = list(features), list(targets)
-    pairs = [(f, t) for t in targets for f in features]
-    if len(pairs) <= pairs_per_pass:
-        measures = {"slope": F.regr_slope, "intercept": F.regr_intercept, "r2": F.regr_r2, "n": F.regr_count}
-        wide = df.agg(*[
-            m(F.col(t).cast("double"), F.col(f).cast("double")).alias(f"_{name}{i}")
-            for i, (f, t) in enumerate(pairs) for name, m in measures.items()
-        ])
-        return stack_rows(wide, [
-            {"feature": F.lit(f), "target": F.lit(t), **{name: F.col(f"_{name}{i}") for name in measures}}
-            for i, (f, t) in enumerate(pairs)
-        ]).filter("n > 0")
     # Targets come after the features, so they are the first column of every mixed pair.
     moments = pair_moments(df, [*features, *targets]).filter(F.col("a").isin(targets) & F.col("b").isin(features))
     slope = F.col("cov") / F.nullif(F.col("var_b"), F.lit(0.0))

@@ -67,13 +67,19 @@ def order_statistics(values: DataFrame, groups: Sequence[str], wanted: DataFrame
 
     ``values`` is (groups…, x) without nulls, with at least one group column; ``wanted``
     is (groups…, rank), one row per group and rank.  The result is (groups…, rank, x).
+    Infinite values are counted at their ends; only finite ones are narrowed.
     """
     groups = list(groups)
     keys = [*groups, "rank"]
-    extent = values.groupBy(*groups).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    low, high = F.col("x") == float("-inf"), F.col("x") == float("inf")
+    finite = F.when(~(low | high), F.col("x"))
+    extent = values.groupBy(*groups).agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"),
+                                         F.count_if(low).alias("skip"), F.count(finite).alias("_finite"))
     state = cut_lineage(wanted.join(extent, groups))
-    state = state.withColumn("skip", F.lit(0).cast("long"))
-    found = []
+    inner = (F.col("rank") >= F.col("skip")) & (F.col("rank") < F.col("skip") + F.col("_finite"))
+    found = [state.filter(~inner).select(*keys, F.when(F.col("rank") < F.col("skip"), F.lit(float("-inf"))).otherwise(
+        F.lit(float("inf"))).alias("x"))]
+    state, values = state.filter(inner).drop("_finite"), values.filter(~(low | high))
     while True:
         found.append(state.filter("lo = hi").select(*keys, F.col("lo").alias("x")))
         state = state.filter("lo < hi")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "loomstat", master: str | None = None, **conf: str) -> SparkSession:
@@ -61,6 +62,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows up to which a table is broadcast after it was counted.
+BROADCAST_ROWS = 100_000
+
+
+def counted_broadcast(df: DataFrame) -> DataFrame:
+    """``df`` stored, and marked for broadcasting if it is counted to be small; otherwise a plain join side."""
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
 def spread_rows(df: DataFrame) -> DataFrame:
     """A scan in fewer partitions than there are cores, spread over the cores.
 

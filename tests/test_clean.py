@@ -139,6 +139,21 @@ def test_join_multiplies_repeated_keys(spark):
         combine.combine_on_key([left, left], "k")
 
 
+def test_auto_joins_repeated_keys_to_the_merged_rest(spark):
+    parts = [keyed(spark, [(1, 10), (2, 20)], "a"), keyed(spark, [(2, 7), (2, 8), (5, 9)], "b"), keyed(spark, [(1, 3), (None, 4)], "c")]
+    results = [sorted(map(tuple, combine.combine_on_key(parts, "k", s).collect()), key=str) for s in ("join", "auto", "hot")]
+    assert results[0] == results[1] == results[2]
+    assert combine.combine_on_key(parts, "k").columns == ["k", "a", "b", "c"]
+
+
+def test_infinite_values_end_the_narrowing(spark):
+    inf = float("inf")
+    values = spark.createDataFrame([(0, x) for x in (1.0, 2.0, 3.0, inf, -inf)], "g int, x double")
+    wanted = spark.createDataFrame([(0, r) for r in range(5)], "g int, rank long")
+    got = quantiles.order_statistics(values, ["g"], wanted, 2)
+    assert {r["rank"]: r.x for r in got.collect()} == {0: -inf, 1: 1.0, 2: 2.0, 3: 3.0, 4: inf}
+
+
 def test_reshaping(spark):
     df = spark.createDataFrame([("m", 1.0, 2.0)], "Model string, `R2 - t` double, `RMSE - t` double")
     assert combine.columns_like(df, "R2", ["Model"]).columns == ["Model", "R2 - t"]

@@ -260,3 +260,71 @@ def test_vectors_may_be_arrays(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0])], "id int, x array<double>")
     v = df.withColumn("x", array_to_vector("x"))
     assert v.select(neighbours.as_array(v, "x").alias("y")).first().y == [1.0, 2.0]
+
+
+def test_contiguous_folds_of_other_keys(spark):
+    """Keys beyond double precision, words, and missing keys."""
+    large = spark.range(12).select((F.col("id") + 2**60).alias("k"))
+    folds = [r.fold for r in features.assign_contiguous_fold(large.repartition(3), "k", 3).orderBy("k").collect()]
+    assert folds == [0] * 4 + [1] * 4 + [2] * 4
+    words = spark.createDataFrame([("a",), ("b",), (None,), ("c",), ("d",), ("e",)], "k string")
+    got = {r.k: r.fold for r in features.assign_contiguous_fold(words, "k", 3).collect()}
+    assert got == {None: 0, "a": 0, "b": 1, "c": 1, "d": 2, "e": 2}
+    missing = spark.createDataFrame([(None,)] * 4 + [(1,), (2,)], "k int")
+    assert {r.fold for r in features.assign_contiguous_fold(missing, "k", 3).filter("k is null").collect()} == {0}
+    assert features.assign_contiguous_fold(words.limit(0), "k", 3).count() == 0
+
+
+def test_any_number_of_levels(spark):
+    df = spark.range(10_500).select(F.col("id").alias("k"), (F.col("id") % 10_001).alias("code"),
+                                    (F.col("id") % 7).cast("double").alias("label_t"))
+    fitted = features.fit_preprocessor(df, [], ["code"])
+    assert len(fitted.names) == 10_001 and fitted.categorical[0][1] == 0
+    rows = fitted.transform(df, ["k", "label_t"])
+    one = rows.filter("k = 10002").first().features
+    assert one.size == 10_001 and one.indices.tolist() == [1] and one.values.tolist() == [1.0]
+    model = models.fit("linear", rows.limit(500), ["t"])
+    assert model.width == 10_001 and model.predict(rows.limit(5)).count() == 5
+
+
+def test_sparse_vectors_as_one_column_per_level(spark):
+    rows = [(1.0, "x", 2.0, True), (None, None, 1.0, False), (3.0, "y", 2.0, True), (4.0, "x", None, None)]
+    df = spark.createDataFrame(rows, "n double, s string, code double, flag boolean")
+    fitted = features.fit_preprocessor(df, ["n"], ["s", "code", "flag"])
+    new = df.unionByName(spark.createDataFrame([(9.0, "unseen", 7.0, True)], df.schema))
+    wide = [list(r) for r in fitted.transform_columns(new).collect()]
+    assert [r.features.toArray().tolist() for r in fitted.transform(new, []).collect()] == wide
+    assert models.vector_width(fitted.transform(new, [])) == len(fitted.names)
+
+
+def test_models_of_another_width_are_skipped(spark, ready, tmp_path):
+    narrow = ready.train.select("k", "label_t", array_to_vector(F.slice(vector_to_array("features"), 1, 2)).alias("features"))
+    good = [models.fit("linear", ready.train, ["t"]), models.fit("knn", ready.train, ["t"], key=["k"])]
+    bad = models.fit("ridge", narrow, ["t"])
+    models.save_models(spark, [good[0], bad, good[1]], str(tmp_path / "m"))
+    with pytest.warns(UserWarning, match="2 features"):
+        table, status = evaluate.score_saved(spark, str(tmp_path / "m"), ready.test, ready.targets, ["k"])
+    assert [r.status for r in status.orderBy("position").collect()] == ["scored", "skipped", "scored"]
+    assert {r.Model for r in table.select("Model").distinct().collect()} == {"Linear Regression", "KNN"}
+
+
+def test_rows_without_prediction_count_nowhere(spark):
+    table = spark.createDataFrame([("m", "t", 1.0, 1.0), ("m", "t", 2.0, 3.0), ("m", "t", 5.0, None), ("m", "t", float("nan"), 1.0)],
+                                  "Model string, Target string, True double, Predicted double")
+    row = evaluate.metrics(table).first()
+    assert (row.n, row.R2, row.RMSE) == (2, pytest.approx(-1.0), pytest.approx(0.5**0.5))
+    assert evaluate.unpredicted(table).first().rows == 2
+
+
+def test_row_ids_do_not_run_together(spark):
+    rows = spark.createDataFrame([("a|b", "c", 1.0), ("a", "b|c", 2.0), (None, "c", 3.0), ("null", "c", 4.0)], "p string, q string, x double")
+    assert rows.select(models.row_id(["p", "q"]).alias("i")).distinct().count() == 4
+
+
+def test_points_that_lead_to_one_fit(spark):
+    points = [{"max_depth": d, "min_samples_split": s} for d in (None, 30, 5) for s in (2, 5)]
+    assert models.distinct_points("random_forest", points) == [{"max_depth": 30}, {"max_depth": 5}]
+    assert models.distinct_points("xgboost", [{"reg_alpha": 1.0, "max_depth": 3}, {"reg_alpha": 2.0, "max_depth": 3}]) == [{"max_depth": 3}]
+    rows = spark.createDataFrame([(1.0, 2.0)], "label_t double, x double")
+    with pytest.raises(ValueError, match="deeper than 30"):
+        models.make_estimator("random_forest", rows, "t", {"max_depth": 31})

@@ -56,3 +56,17 @@ def test_top_n_is_limited_before_the_shuffle(spark):
 def test_summaries_read_only_their_columns(spark):
     text = plan(profile.correlation(table(spark, "lineitem"), ["l_tax", "l_discount"]))
     assert "ReadSchema: struct<l_discount:double,l_tax:double>" in text
+
+
+def test_hot_joins_grow_by_a_fixed_part_per_table(spark):
+    def scans(n):
+        parts = [table(spark, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias(f"v{i}")) for i in range(n)]
+        return plan(combine.combine_on_key(parts, "k", "hot")).split("\n\n")[0].count("Scan parquet")
+
+    assert scans(3) == scans(7)
+
+
+def test_group_totals_do_not_shuffle_the_rows(spark):
+    lines = table(spark, "lineitem").select("l_orderkey", "l_returnflag", "l_quantity")
+    shared = explain.share_within(lines, ["l_returnflag"], "l_quantity", "share")
+    assert exchanges(plan(shared)) == 0 and "BroadcastHashJoin" in plan(shared)

@@ -18,13 +18,12 @@ def test_correlation_of_constant_is_missing(spark):
     assert profile.correlation(df, ["a", "b"], triangle=False).count() == 4
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_incomplete_pairs(spark, limit):
+def test_incomplete_pairs(spark):
     rng = np.random.default_rng(4)
     rows = [tuple(None if rng.random() < .3 else float(v) for v in (i % 7, 1e6 + i, 5.0, 3 * i + rng.normal())) for i in range(60)]
     df = spark.createDataFrame(rows, "a double, b double, c double, d double")
-    got = {(r.a, r.b): (r.r, r.n) for r in profile.correlation(df, ["a", "b", "c", "d"], pairs_per_pass=limit).collect()}
-    fits = {(r.feature, r.target): r for r in profile.univariate_fit(df, ["a", "b", "c"], ["d"], limit).collect()}
+    got = {(r.a, r.b): (r.r, r.n) for r in profile.correlation(df, ["a", "b", "c", "d"]).collect()}
+    fits = {(r.feature, r.target): r for r in profile.univariate_fit(df, ["a", "b", "c"], ["d"]).collect()}
     for i, x in enumerate("abcd"):
         for j, y in enumerate("abcd"[:i]):
             both = np.array([(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None])
@@ -38,6 +37,23 @@ def test_incomplete_pairs(spark, limit):
     assert fits["c", "d"].slope is None and fits["c", "d"].n > 0
 
 
+@pytest.mark.parametrize("width", [2, 3, 4, 5])
+def test_a_pair_does_not_depend_on_the_other_columns(spark, width):
+    """NaN and null are missing values, for 1, 3, 6 and 10 pairs."""
+    nan = float("nan")
+    rows = [(1.0, 2.0), (2.0, 1.0), (nan, 7.0), (4.0, 6.0), (3.0, None)]
+    df = spark.createDataFrame([(*r, *(float(i * j) for j in range(2, width))) for i, r in enumerate(rows)],
+                               ", ".join(f"c{i} double" for i in range(width)))
+    names = df.columns
+    want = np.corrcoef([1, 2, 4], [2, 1, 6])[0, 1]
+    got = {(r.a, r.b): (r.r, r.n) for r in profile.correlation(df, names, triangle=False).collect()}
+    assert len(got) == width * width
+    assert got["c1", "c0"] == got["c0", "c1"] == (pytest.approx(want), 3)
+    assert got["c0", "c0"] == (pytest.approx(1.0), 4)
+    fits = {(r.feature, r.target): r for r in profile.univariate_fit(df, names[:1] + names[2:], ["c1"]).collect()}
+    assert fits["c0", "c1"].n == 3 and fits["c0", "c1"].r2 == pytest.approx(want**2)
+
+
 def test_many_columns_are_split_over_aggregations(spark):
     names = [f"c{i}" for i in range(9)]
     rng = np.random.default_rng(0)
@@ -62,6 +78,28 @@ def test_histogram_agrees_with_numpy(spark, values, bins):
         assert [(r.n, r.lower) for r in many] == [(r.n, pytest.approx(r.lower)) for r in rows]
 
 
+def test_far_outlier_gets_all_its_bins(spark):
+    """A width rule on data with a far outlier asks for many bins; all are listed, none refused."""
+    values = [float(i) for i in range(1000)] + [1e7]
+    got = distribution.histogram(frame(spark, values), "x", "fd")
+    row = got.selectExpr("count(*) bins", "sum(n) n", "max(bin) last", "count_if(n > 0) used").first()
+    assert row.bins == row.last + 1 > 90_000 and row.n == 1001 and row.used <= 12
+
+
+@pytest.mark.parametrize("bins", ["auto", "fd", 7])
+def test_facets_together_as_one_by_one(spark, bins):
+    rng = np.random.default_rng(1)
+    rows = [(f"t{i % 3}", f"m{i % 2}", float(rng.normal() * (1 + i % 3))) for i in range(300)] + [("one", "m0", 2.0), ("one", "m1", 2.0)]
+    df = spark.createDataFrame(rows, "t string, m string, x double")
+    got = distribution.grouped_density(df, "x", "t", ["m"], bins)
+    for facet in ("t0", "t1", "t2", "one"):
+        want = distribution.histogram(df.filter(f"t = '{facet}'"), "x", bins, ["m"], True).orderBy("m", "bin").collect()
+        own = got.filter(f"t = '{facet}'").orderBy("m", "bin").collect()
+        assert [(r.m, r.bin, r.n) for r in own] == [(r.m, r.bin, r.n) for r in want]
+        assert [r.density for r in own] == pytest.approx([r.density for r in want])
+        assert [r.lower for r in own] == pytest.approx([r.lower for r in want])
+
+
 def test_histogram_of_nothing(spark):
     assert distribution.histogram(frame(spark, [None]), "x").count() == 0
 
