@@ -17,6 +17,7 @@ from .tables import rounded, table
 
 NUMERIC = ["l_extendedprice", "l_discount", "l_quantity", "p_size"]
 CATEGORICAL = ["l_returnflag", "p_type"]
+CV_FOLDS = [3, 5, 10, 20]
 ONE_FEATURE = {"price model": "l_extendedprice", "quantity model": "l_quantity", "discount model": "l_discount"}
 TARGETS = ["net", "charge"]
 
@@ -301,14 +302,23 @@ def _one_feature_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def cv_summary_ols(spark: SparkSession, folder: str) -> DataFrame:
     summary = search.cv_sensitivity(_one_feature_rows(spark, folder), {"Linear Regression": ("linear", {})},
-                                    ["charge"], [3, 5], LINE_KEY)
+                                    ["charge"], CV_FOLDS, LINE_KEY)
     return rounded(summary)
 
 
+def cv_contiguous(spark: SparkSession, folder: str) -> DataFrame:
+    """Folds that are runs of rows along a key: the price of an order by its customer's number."""
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", F.col("o_custkey").cast("double").alias("customer"), F.log1p("o_totalprice").alias("label_price"))
+    rows = _with_vector(orders, ["customer"]).select("o_orderkey", "features", "label_price")
+    return rounded(search.cv_sensitivity(rows, {"Linear Regression": ("linear", {})}, ["price"], CV_FOLDS,
+                                         ["o_orderkey"], order="o_orderkey"), 8)
+
+
 def search_best(spark: SparkSession, folder: str) -> DataFrame:
     """Exhaustive search of the ridge penalty on two features; all trials, best first."""
     ready = _prepared(spark, folder, ["l_extendedprice", "l_discount"], [])
-    _, trials = search.grid_search(ready.train, "ridge", ["charge"], WIDE_GRIDS["ridge"], 3, LINE_KEY)
+    _, trials = search.grid_search(ready.train, "ridge", ["charge"], WIDE_GRIDS["ridge"], 5, LINE_KEY)
     return rounded(trials.select("study", "trial", F.col("params")["alpha"].alias("alpha"), "value").orderBy(
         F.desc("value"), "trial"), 8)
 
@@ -424,6 +434,20 @@ def _cv_sql(ks: list[int]) -> str:
         SELECT 'Linear Regression' AS "Model", * FROM ({" UNION ALL ".join(parts)})"""
 
 
+def _contiguous_sql(ks: list[int]) -> str:
+    parts = [f"""
+        SELECT "CV", round(avg(r2), 8) AS r2_mean, round(stddev_pop(r2), 8) AS r2_std, round(avg(rmse), 8) AS rmse_mean,
+               round(stddev_pop(rmse), 8) AS rmse_std FROM (
+          SELECT {k} AS "CV", t.fold, 1 - sum((y - a - b * x) ** 2) / (count(*) * var_pop(y)) AS r2, sqrt(avg((y - a - b * x) ** 2)) AS rmse
+          FROM (SELECT ntile({k}) OVER (ORDER BY o_orderkey) AS fold, x, y FROM d) t
+          JOIN (SELECT f.fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a
+                FROM (SELECT ntile({k}) OVER (ORDER BY o_orderkey) AS fold, x, y FROM d) o
+                JOIN (SELECT unnest(range(1, {k} + 1)) AS fold) f ON o.fold <> f.fold GROUP BY 1) m ON t.fold = m.fold
+          GROUP BY 1, 2) GROUP BY 1""" for k in ks]
+    return f"""WITH d AS (SELECT o_orderkey, o_custkey::DOUBLE AS x, ln(1 + o_totalprice) AS y FROM orders)
+        SELECT 'Linear Regression' AS "Model", * FROM ({" UNION ALL ".join(parts)})"""
+
+
 def _search_sql(alphas: list[float], k: int) -> str:
     """Cross-validated ridge on two standardised features for every penalty."""
     fold = hash_sql("l_orderkey, l_partkey, l_suppkey, l_linenumber", "fold42")
@@ -569,8 +593,9 @@ QUERIES = {
         SELECT vec_id, CASE WHEN any_value(test) THEN 'test' ELSE 'train' END AS split,
                round(coalesce(avg(label) FILTER (d = 0), sum(label / nullif(d, 0)) / sum(1 / nullif(d, 0))), 6)
                  AS prediction_label FROM n GROUP BY 1"""),
-    "cv_summary_ols": (cv_summary_ols, _cv_sql([3, 5])),
-    "search_best": (search_best, _search_sql(WIDE_GRIDS["ridge"]["alpha"], 3)),
+    "cv_summary_ols": (cv_summary_ols, _cv_sql(CV_FOLDS)),
+    "cv_contiguous": (cv_contiguous, _contiguous_sql(CV_FOLDS)),
+    "search_best": (search_best, _search_sql(WIDE_GRIDS["ridge"]["alpha"], 5)),
     "random_search_trees": (random_search_trees, None),
     "study_resumed": (study_resumed, None),
     "study_history": (study_history, """
