@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean, combine, profile
+from ..session import scratch_path
 from ..sources import tables as sources
 from ..spec import classify, is_numeric, parse_spec, unlabelled
 from .tables import rounded, table
@@ -28,6 +29,48 @@ def scan_project_rename(spark: SparkSession, folder: str) -> DataFrame:
     return topic.withColumn("size", F.col("size").cast("double"))
 
 
+# Columns of the part table under names that the transport format can hold.
+TRANSPORT_NAMES = {"p_partkey": "PARTKEY", "p_name": "NAME", "p_brand": "BRAND", "p_type": "TYPE", "p_size": "SIZE",
+                   "p_retailprice": "PRICE"}
+
+# Topics of two cycles; the scoring cycle has no file of the third one.
+CYCLE_SPEC = parse_spec([
+    {"name": "balance", "source": "BAL", "file": "CUST_I", "type": "numeric", "role": "feature"},
+    {"name": "orders", "source": "N", "file": "ORD_I", "type": "numeric", "role": "feature"},
+    {"name": "spend", "source": "SPEND", "file": "ORD_I", "type": "numeric", "role": "target"},
+    {"name": "nation", "source": "NATION", "file": "PLACE_I", "type": "categorical", "role": "feature"},
+], key="CUSTKEY")
+CYCLE_START = "1998-01-01"
+
+
+def xport_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """All parts written as transport files, one per task, and read again as one folder."""
+    parts = table(spark, folder, "part").select(*[F.col(c).alias(n) for c, n in TRANSPORT_NAMES.items()])
+    path = scratch_path(spark, "part-xport")
+    sources.write_xport(parts.repartition(4, "PARTKEY"), path)
+    return sources.read_file(spark, path)
+
+
+def cycle_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Topic files of two cycles, the later one without one topic, read by one specification and combined."""
+    base = scratch_path(spark, "cycles")
+    customers = table(spark, folder, "customer").withColumnsRenamed({"c_custkey": "CUSTKEY", "c_acctbal": "BAL", "c_nationkey": "NATION"})
+    orders = table(spark, folder, "orders").withColumnRenamed("o_custkey", "CUSTKEY")
+    sides = {None: F.col("o_orderdate") < CYCLE_START, "H": F.col("o_orderdate") >= CYCLE_START}
+    parts = []
+    for cycle, own in sides.items():
+        paths = sources.topic_paths(CYCLE_SPEC, base, cycle)
+        sources.write_xport(customers.select("CUSTKEY", "BAL"), paths["CUST_I"])
+        sources.write_xport(orders.filter(own).groupBy("CUSTKEY").agg(
+            F.count(F.lit(1)).alias("N"), F.round(F.sum("o_totalprice"), 2).alias("SPEND")), paths["ORD_I"])
+        if cycle is None:
+            sources.write_xport(customers.select("CUSTKEY", "NATION"), paths["PLACE_I"])
+        found = sources.existing_topics(spark, paths)
+        topics = [sources.read_topic(spark, p, CYCLE_SPEC, f) for f, p in found.items()]
+        parts.append(combine.combine_on_key(topics, CYCLE_SPEC.key, "unique").withColumn("cycle", F.lit(cycle or "I")))
+    return rounded(parts[0].unionByName(parts[1], allowMissingColumns=True), 2)
+
+
 def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     stored = sources.store_csv(orders, "orders-csv")
@@ -205,6 +248,16 @@ QUERIES = {
     "scan_project_rename": (scan_project_rename, """
         SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_type AS kind, p_brand AS brand, p_retailprice AS price
         FROM part"""),
+    "xport_round_trip": (xport_round_trip, """
+        SELECT p_partkey::DOUBLE AS "PARTKEY", p_name AS "NAME", p_brand AS "BRAND", p_type AS "TYPE", p_size::DOUBLE AS "SIZE",
+               p_retailprice AS "PRICE" FROM part"""),
+    "cycle_files": (cycle_files, f"""
+        WITH o AS (SELECT o_custkey, CASE WHEN o_orderdate < '{CYCLE_START}' THEN 'I' ELSE 'H' END AS cycle, count(*)::DOUBLE AS orders,
+                          round(sum(o_totalprice), 2) AS spend FROM orders GROUP BY ALL),
+        c AS (SELECT c_custkey, c_acctbal, c_nationkey, cycle FROM customer, (VALUES ('I'), ('H')) v(cycle))
+        SELECT coalesce(c_custkey, o_custkey)::DOUBLE AS "CUSTKEY", coalesce(c.cycle, o.cycle) AS cycle, round(c_acctbal, 2) AS balance,
+               orders, spend, CASE WHEN c.cycle = 'I' THEN c_nationkey::DOUBLE END AS nation
+        FROM c FULL JOIN o ON o.cycle = c.cycle AND o_custkey = c_custkey"""),
     "csv_round_trip": (csv_round_trip, """
         SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, max(o_orderkey) AS last_key
         FROM orders GROUP BY 1"""),

@@ -27,6 +27,12 @@ def topic_paths(spec: Spec, folder: str, cycle: str | None = None, pattern: str
     return {f: f"{folder.rstrip('/')}/{pattern.format(file=name(f))}" for f in spec.files}
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system: the cluster's default one if it names none."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(jvm_path).toString()
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists in whichever file system it names."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -41,8 +47,20 @@ def existing_topics(spark: SparkSession, paths: Mapping[str, str]) -> dict[str,
     return found
 
 
-def read_file(spark: SparkSession, path: str, fmt: str = "xport", columns: list[str] | None = None) -> DataFrame:
-    """A topic file as a table; ``columns`` are read when present."""
+def write_xport(df: DataFrame, folder: str) -> None:
+    """One transport file per task; :func:`read_file` reads the folder."""
+    from .xport import XportSource
+
+    df.sparkSession.dataSource.register(XportSource)
+    df.write.format("xport").mode("overwrite").save(qualified(df.sparkSession, folder))
+
+
+def read_file(spark: SparkSession, path: str, fmt: str = "xport", columns: list[str] | None = None,
+              schema: T.StructType | str | None = None) -> DataFrame:
+    """A topic file, or a folder of files of one layout, as a table; ``columns`` are read when present.
+
+    A schema spares the pass that finds the types of text files.
+    """
     if fmt == "xport":
         from .xport import XportSource
 
@@ -50,8 +68,13 @@ def read_file(spark: SparkSession, path: str, fmt: str = "xport", columns: list[
         reader = spark.read.format("xport")
         if columns is not None:
             reader = reader.option("columns", ",".join(columns))
-        return reader.load(path)
-    df = spark.read.format(fmt).option("header", "true").option("inferSchema", str(fmt == "csv").lower()).load(path)
+        return reader.load(qualified(spark, path))
+    reader = spark.read.format(fmt).option("header", "true")
+    if schema is not None:
+        reader = reader.schema(schema)
+    elif fmt == "csv":
+        reader = reader.option("inferSchema", "true")
+    df = reader.load(path)
     return df if columns is None else df.select(*[c for c in columns if c in df.columns])
 
 

@@ -6,6 +6,7 @@ import pytest
 from xport_files import write_xport
 
 from loomstat.sources.tables import read_file, read_topic
+from loomstat.sources.tables import write_xport as write_folder
 from loomstat.sources.xport import read_layout
 from loomstat.spec import parse_spec
 
@@ -56,3 +57,33 @@ def test_topic(spark, tmp_path):
     spec = parse_spec([{"name": "a", "source": "AA", "file": "T", "type": "numeric", "role": "target"},
                        {"name": "b", "source": "BB", "file": "T", "type": "numeric", "role": "feature"}])
     assert [r.asDict() for r in read_topic(spark, path, spec, "T").collect()] == [{"SEQN": 1.0, "a": 5.0}]
+
+
+def test_sink_and_folder(spark, tmp_path):
+    """Numbers come back bit for bit; words, nulls and several files of one layout."""
+    rng = random.Random(5)
+    values = [0.0, -0.5, 0.1, 1e-70, -3.25e70, 1 / 3, None, float("nan"), 2.0**60 + 256, 16.0, 1.0]
+    rows = [(i, rng.choice(values), rng.choice(["", "word", "é", None])) for i in range(500)]
+    df = spark.createDataFrame(rows, "K long, V double, W string").repartition(3)
+    folder = str(tmp_path / "out")
+    write_folder(df, folder)
+    write_folder(df, folder)  # overwrites
+    got = read_file(spark, folder).orderBy("K").collect()
+    assert len(got) == 500
+    for g, (k, v, w) in zip(got, rows, strict=True):
+        assert (g.K, g.V, g.W) == (k, None if v is None or v != v else v, w or "")
+    assert read_file(spark, folder, columns=["V", "NONE"]).columns == ["V"]
+
+
+def test_what_the_format_cannot_hold(spark, tmp_path):
+    for df in (spark.createDataFrame([(1,)], "much_too_long int"), spark.sql("select array(1) a"),
+               spark.sql("select 1e300 a"), spark.sql("select repeat('x', 201) a"), spark.sql("select double('inf') a")):
+        with pytest.raises(Exception, match="names have|only numbers|beyond the range|more than|infinite"):
+            write_folder(df, str(tmp_path / "bad"))
+
+
+def test_folder_of_different_layouts_is_refused(spark, tmp_path):
+    write_xport(str(tmp_path / "a.xpt"), [("A", "num", 8)], [(1.0,)])
+    write_xport(str(tmp_path / "b.xpt"), [("B", "num", 8)], [(1.0,)])
+    with pytest.raises(Exception, match="different columns"):
+        read_file(spark, str(tmp_path)).collect()
