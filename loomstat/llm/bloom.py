@@ -29,7 +29,9 @@ def level(counts: np.ndarray, base: float) -> np.ndarray:
 
 
 class Tally:
-    """Counts of hashes, compacted whenever the parts outgrow the sum."""
+    """Counts of hashes in bounded memory: when it is full, they are to be passed on and forgotten."""
+
+    FULL = 1_000_000
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -40,8 +42,17 @@ class Tally:
             values, counts = np.unique(values, return_counts=True)
         self.parts.append((values, counts))
         self.waiting += len(values)
-        if len(self.parts) > 1 and self.waiting > 2 * len(self.parts[0][0]) + 2_000_000:
+
+    def full(self) -> bool:
+        """Whether more than ``FULL`` distinct hashes wait, about."""
+        if self.waiting > 2 * self.FULL:
             self.total()
+        return self.waiting > self.FULL
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        found = self.total()
+        self.parts, self.waiting = [], 0
+        return found
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:
@@ -51,16 +62,25 @@ class Tally:
             counts = np.concatenate([p[1] for p in self.parts])
             order = np.argsort(values, kind="stable")
             values, counts = values[order], counts[order]
-            start = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-            self.parts = [(values[start], np.add.reduceat(counts, start))]
+            start = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+            self.parts = [(values[start], np.add.reduceat(counts, start) if len(start) else counts)]
         self.waiting = len(self.parts[0][0])
         return self.parts[0]
 
 
-def _positions(grams: np.ndarray, order: int, lvl: int, probe: int, size: np.ndarray) -> np.ndarray:
-    """Bit of a probe inside the gram's segment."""
+LOW = np.uint64(0xFFFFFFFF)
+HALF = np.uint64(32)
+
+
+def _draws(grams: np.ndarray, order: int, lvl: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 32-bit draws for a gram and level, which all its probes derive from."""
     x = T.mix(grams + np.uint64((order * 1_000_003 + lvl) * 0x9E3779B97F4A7C15 & T.MASK))
-    return (x + np.uint64(probe) * (T.mix(x ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1))) % size
+    return x & LOW, (x >> HALF) | np.uint64(1)
+
+
+def _bit(draws: tuple[np.ndarray, np.ndarray], probe: int, size: np.ndarray) -> np.ndarray:
+    """Bit of a probe inside a segment of ``size`` bits (fewer than 2**32)."""
+    return ((((draws[0] + np.uint64(probe) * draws[1]) & LOW) * size) >> HALF).astype(np.int64)
 
 
 def segment_of(grams: np.ndarray, segments: int) -> np.ndarray:
@@ -76,8 +96,9 @@ def build_segment(counted: dict[int, tuple[np.ndarray, np.ndarray, float]]) -> n
     for order, (grams, *_) in counted.items():
         lvl, left, deep = 1, grams, levels[order]
         while len(left):
+            draws = _draws(left, order, lvl)
             for probe in range(PROBES):
-                at = _positions(left, order, lvl, probe, size).astype(np.int64)
+                at = _bit(draws, probe, size)
                 np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
             lvl += 1
             keep = deep >= lvl
@@ -109,13 +130,15 @@ class Filter:
         out = np.zeros(len(grams), dtype=np.uint8)
         segment = segment_of(grams, self.segments)
         active = np.flatnonzero(self.size[segment] > 0)
+        start, size, grams = self.start[segment[active]], self.size[segment[active]], grams[active]
         lvl = 0
         while len(active) and lvl < 255:
             lvl += 1
+            first, second = _draws(grams, order, lvl)
             for probe in range(PROBES):
-                s = segment[active]
-                at = _positions(grams[active], order, lvl, probe, self.size[s]).astype(np.int64)
-                active = active[(self.bits[self.start[s] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1]
+                at = _bit((first, second), probe, size)
+                hit = (self.bits[start + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
+                first, second, active, start, size, grams = (a[hit] for a in (first, second, active, start, size, grams))
             out[active] = lvl
         return out
 

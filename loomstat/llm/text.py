@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text that is turned into arrays at once; a longer document is taken alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 MASK = (1 << 64) - 1
 
 _rng = np.random.default_rng(20260101)
@@ -37,7 +37,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a base and of its inverse modulo 2**64, from exponent 0 to at least ``n``."""
     if kind not in _powers or len(_powers[kind][0]) <= n:
-        size = 1 << max(16, int(n).bit_length())
+        size = (int(n) // 65_536 + 2) * 65_536
         base = _BASES[kind]
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
