@@ -6,7 +6,7 @@ import argparse
 
 from . import fixed
 from .plans.runs import DEFAULT_FAMILIES, describe_run, run_scoring, run_training
-from .session import build_session
+from .session import build_session, remove_scratch, ship_package
 from .sources.tables import TOPIC_FILE
 from .spec import load_spec
 
@@ -34,6 +34,7 @@ def main() -> None:
     given = parser.parse_args()
 
     spark = build_session("loomstat", given.master)
+    ship_package(spark)
     spec = load_spec(given.spec, given.key, fixed.SENTINEL_CODES)
     if given.command == "train":
         results = run_training(spark, spec, given.data, given.out, given.format, given.pattern, given.families,
@@ -42,6 +43,7 @@ def main() -> None:
         results = run_scoring(spark, spec, given.data, given.out, given.cycle, given.format, given.pattern,
                               given.bounds)
     print(describe_run(results))
+    remove_scratch(spark)
 
 
 if __name__ == "__main__":
