@@ -118,21 +118,27 @@ def spans(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _repeated_prefixes(texts: DataFrame, window: int, prefix: int) -> tuple[DataFrame, int, int]:
-    """Filter of the prefixes of at least two anchors, its number of segments, and the anchors they have."""
+def _repeated_prefixes(texts: DataFrame, window: int, prefix: int, hot_level: int) -> tuple[DataFrame, int, int, int]:
+    """Filter of the prefixes of at least two anchors, its number of segments, the anchors they have, and those of hot ones."""
 
     def counted(batches):
         tally = Tally()
+
+        def passed():
+            key, count = tally.take()
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count.astype(np.int64))], ["key", "n"])
+
         for batch in batches:
             for _, _, words in T.chunks(batch["text"], fold=False):
-                _, _, place, key = anchors(words, window, prefix)
-                tally.add(key[np.unique(place, return_index=True)[1]])
-        key, count = tally.total()
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count.astype(np.int64))], ["key", "n"])
+                tally.add(anchors(words, window, prefix)[3])  # an anchor is a run of windows, so each is met once
+                if tally.full():
+                    yield passed()
+        yield passed()
 
     keys = texts.mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
     keys = stored(keys, "prefixes")
-    n_keys, n_anchors = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    hot = F.sum(F.when(F.col("n") >= 1 << (hot_level - 1), F.col("n")))
+    n_keys, n_anchors, n_hot = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(hot, F.lit(0))).first()
     segments = max(LEAST_GROUPS, -(-n_keys // SEGMENT_KEYS))
 
     def placed(batches):
@@ -147,15 +153,78 @@ def _repeated_prefixes(texts: DataFrame, window: int, prefix: int) -> tuple[Data
 
     built = keys.mapInArrow(placed, "segment long, key long, n long").groupBy("segment").applyInArrow(
         build, "segment long, bits binary")
-    return stored(built, "prefix-filter"), segments, n_anchors
+    return stored(built, "prefix-filter"), segments, n_anchors, n_hot
+
+
+def _hot_spans(pieces: DataFrame, window: int, n_hot: int, id_type: str, limit: int) -> list[DataFrame]:
+    """Spans of the windows that occur twice or more around hot prefixes; ``pieces``: (id, key, lo, windows).
+
+    A window is a prefix of full length here, so its subtree is one node and its group one count.
+    Tasks add up their own windows first and pass them on as arrays, one for each segment of the
+    hashes.  The repeated ones come back in groups of segments of bounded size.
+    """
+    segments = max(LEAST_GROUPS, -(-n_hot * window // SEGMENT_KEYS))
+
+    def counted(batches):
+        tally = Tally()
+
+        def passed():
+            whole, n = tally.take()
+            own = segment_of(whole, segments)
+            by = np.argsort(own, kind="stable")
+            whole, n, limits = whole[by], np.minimum(n[by], 2).astype(np.uint8), np.searchsorted(own[by], np.arange(segments + 1))
+            full = np.flatnonzero(np.diff(limits))
+            cut = lambda a: pa.array([a[limits[x] : limits[x + 1]].tobytes() for x in full], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(full), cut(whole), cut(n)], ["segment", "whole", "n"])
+
+        for batch in batches:
+            tally.add(batch["windows"].flatten().to_numpy().view(np.uint64))
+            if tally.full():
+                yield passed()
+        yield passed()
+
+    def repeated(key, group):
+        tally = Tally()
+        for whole, n in zip(group["whole"].to_pylist(), group["n"].to_pylist(), strict=True):
+            tally.add(np.frombuffer(whole, np.uint64), np.frombuffer(n, np.uint8).astype(np.int64))
+        whole, n = tally.total()
+        return pa.table({"segment": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([whole[n > 1].tobytes()], pa.binary())})
+
+    parts = pieces.select("windows").mapInArrow(counted, "segment long, whole binary, n binary")
+    twice = stored(parts.groupBy("segment").applyInArrow(repeated, "segment long, bits binary"), "windows")
+    found = []
+    for group in groups_of(twice, limit):
+        rows = twice.where(F.col("segment").isin(group)).toLocalIterator()
+        held = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(bytes(r.bits), np.uint64) for r in rows)]))
+        shared = pieces.sparkSession.sparkContext.broadcast(held)
+
+        def marked(batches, shared=shared):
+            for batch in batches:
+                whole = batch["windows"].flatten().to_numpy().view(np.uint64)
+                at = np.minimum(np.searchsorted(shared.value, whole), max(len(shared.value) - 1, 0))
+                hit = shared.value[at] == whole if len(shared.value) else np.zeros(len(whole), bool)
+                limits = np.concatenate(([0], np.cumsum(batch["windows"].value_lengths().to_numpy())))
+                # Runs of repeated windows, cut where a piece ends.
+                edge = np.concatenate(([True], hit[1:] != hit[:-1], [True])) if len(hit) else np.ones(1, bool)
+                edge[limits] = True
+                cuts = np.flatnonzero(edge)
+                begin, end = cuts[:-1][hit[cuts[:-1]]], cuts[1:][hit[cuts[:-1]]]
+                own = np.searchsorted(limits, begin, side="right") - 1
+                base = batch["lo"].to_numpy()[own] - limits[own]
+                take = pa.array(own)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["id"].take(take), batch["key"].take(take), pa.array(begin + base), pa.array(end + base + window - 1)],
+                    ["id", "key", "lo", "hi"])
 
+        found.append(pieces.mapInArrow(marked, f"id {id_type}, key long, lo long, hi long"))
+    return found
 
 def repeated_spans(texts: DataFrame, window: int, prefix: int, filter_bytes: int = FILTER_BYTES,
                    hot_level: int = HOT_LEVEL) -> DataFrame:
     """``texts``: (id, key, text); returns (id, key, lo, hi): words lo to before hi lie in repeats."""
     spark = texts.sparkSession
     id_type = texts.schema["id"].dataType.simpleString()
-    built, segments, n_anchors = _repeated_prefixes(texts, window, prefix)
+    built, segments, n_anchors, n_hot = _repeated_prefixes(texts, window, prefix, hot_level)
     groups = max(LEAST_GROUPS, -(-n_anchors // GROUP))
     found = []
     for held in groups_of(built, filter_bytes):
@@ -213,10 +282,7 @@ def repeated_spans(texts: DataFrame, window: int, prefix: int, filter_bytes: int
         cold = around.where("body is not null").withColumn("part", F.pmod(F.xxhash64("prefix"), F.lit(groups)))
         cold = cold.select("part", "id", "key", "lo", "body").groupBy("part")
         found.append(cold.applyInArrow(subtree, f"id {id_type}, key long, lo long, hi long"))
-        hot = around.where("windows is not null").select("id", "key", "lo", F.posexplode("windows").alias("i", "whole"))
-        twice = stored(hot.groupBy("whole").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("whole"), "windows")
-        hot = hot.join(twice, "whole").select("id", "key", (F.col("lo") + F.col("i")).alias("lo"))
-        found.append(hot.withColumn("hi", F.col("lo") + window))
+        found += _hot_spans(around.where("windows is not null").select("id", "key", "lo", "windows"), window, n_hot, id_type, filter_bytes)
     whole = found[0]
     for more in found[1:]:
         whole = whole.union(more)
