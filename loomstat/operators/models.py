@@ -133,7 +133,7 @@ def vector_width(df: DataFrame, vector: str = "features") -> int | None:
     if known:
         return int(known)
     row = df.select(vector).first()
-    return None if row is None or row[0] is None else int(row[0].size)
+    return None if row is None or row[0] is None else len(row[0])
 
 
 @dataclass

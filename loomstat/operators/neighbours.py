@@ -1,11 +1,15 @@
 """Exact nearest rows by a partitioned search.
 
-Training rows are assigned to the nearest of a few sampled pivots.  The distances of
-the rows to their pivots bound, for every query, both the k-th distance and the least
-distance to a whole cell, so a query visits only cells that can hold a nearest row.
-Large cells are cut into blocks of bounded size and so are the queries visiting them;
-each task compares one block of queries with one block of rows and passes on k rows per
-query, and a top-k over the blocks gives the exact result.
+Training rows are assigned to the nearest of a few sampled pivots, whose number grows with the
+square root of the rows.  Every query first searches its own cell.  The k-th distance found there
+bounds the others: a cell is left out if its radius, or for Euclidean distances the border between
+its pivot and the query's, says that all its rows are farther.  On data without clusters (many
+dimensions, no structure) neither bound rules out much, and an exact search must compare nearly
+all pairs.
+
+Cells are cut into blocks of bounded bytes and so are the queries visiting them; each task
+compares one block of queries with one block of rows and passes on k rows per query, and a
+top-k over the blocks gives the exact result.
 """
 
 from __future__ import annotations
@@ -22,12 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..fixed import SEED
-from ..session import materialise
+from ..session import counted_broadcast, materialise
 
+# Rows up to which one cell is enough, and bytes of vectors in a block.
 CELL_ROWS = 4096
-BLOCK_ROWS = 4096
-BLOCK_QUERIES = 16384
-MAX_CELLS = 1024
+BLOCK_BYTES = 8 << 20
 
 
 def as_array(df: DataFrame, col: str) -> Column:
@@ -65,27 +68,34 @@ def _assign(train: DataFrame, pivots: np.ndarray, p: int) -> DataFrame:
     return train.mapInPandas(run, schema)
 
 
-def _route(queries: DataFrame, pivots: np.ndarray, cells: np.ndarray, radius: np.ndarray, near: np.ndarray,
-           k: int, p: int) -> DataFrame:
-    """One row per query and cell that can hold one of its k nearest rows.
+def _route(queries: DataFrame, pivots: np.ndarray, cells: np.ndarray, radius: np.ndarray, p: int) -> DataFrame:
+    """One row per query and further cell that can hold a row nearer than ``limit``.
 
-    ``near`` holds, per cell, the distances of its k rows closest to the pivot (infinity
-    when it has fewer).  By the triangle inequality a row at distance r from pivot c is at
-    most d(q, c) + r from the query and at least d(q, c) - radius(c).
+    A row of cell c is at least d(q, c) - radius(c) from the query (triangle inequality); for
+    p = 2 it is also at least as far as the plane between c and the query's own pivot o, which is
+    (d(q, c)² - d(q, o)²) / (2 d(c, o)) away.
     """
-    schema = T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType())])
+    schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), queries.schema["x"],
+                           T.StructField("cell", T.IntegerType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start in range(0, len(batch), 64):
-                part = batch.iloc[start:start + 64]
+            for start in range(0, len(batch), 1024):
+                part = batch.iloc[start:start + 1024]
                 distance = pairwise(_stack(part["x"]), pivots[cells], p)
-                at_most = (distance[:, :, None] + near[None, :, :]).reshape(len(part), -1)
-                limit = np.partition(at_most, min(k, at_most.shape[1]) - 1, axis=1)[:, min(k, at_most.shape[1]) - 1]
+                own = np.searchsorted(cells, part["cell"].to_numpy())
+                least = distance - radius[None, :]
+                if p == 2:
+                    apart = pairwise(pivots[cells], pivots[cells], 2)[own]
+                    home = distance[np.arange(len(part)), own][:, None]
+                    plane = (distance * distance - home * home) / (2 * np.where(apart > 0, apart, np.inf))
+                    least = np.maximum(least, plane)
                 # The margin covers rounding in the distances.
-                visit = distance - radius[None, :] <= (limit * (1 + 1e-9) + 1e-9)[:, None]
+                limit = part["limit"].to_numpy(dtype=float, na_value=np.inf)
+                visit = least <= (limit * (1 + 1e-9) + 1e-9)[:, None]
+                visit[np.arange(len(part)), own] = False
                 row, cell = np.nonzero(visit)
-                yield part.iloc[row].assign(cell=cells[cell].astype("int32"))
+                yield part.iloc[row][["qid", "x"]].assign(cell=cells[cell].astype("int32"))
 
     return queries.mapInPandas(run, schema)
 
@@ -108,9 +118,36 @@ def _nearest_in_block(queries: pd.DataFrame, train: pd.DataFrame, k: int, p: int
     return pd.concat(out)
 
 
+def _compared(asked: DataFrame, placed: DataFrame, sizes: DataFrame, k: int, p: int, result: T.StructType, block_bytes: int,
+              width: int) -> DataFrame:
+    """The k nearest rows of every visited cell block for every query; ``asked``: (cell, qid, x)."""
+    rows = max(1, block_bytes // (8 * width))
+    grid = sizes.join(asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("qblocks")), "cell").select(
+        "cell", "qblocks", F.ceil(F.col("rows") / rows).cast("int").alias("tblocks"))
+    grid = counted_broadcast(grid)
+    spread = placed.join(grid, "cell").select(
+        "cell", "tid", "x", "payload", F.pmod(F.xxhash64("tid"), F.col("tblocks")).cast("int").alias("tblock"),
+        F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1)).alias("qblock"))
+    asked = asked.join(grid, "cell").select(
+        F.col("cell").alias("qcell"), "qid", F.col("x").alias("qx"), F.pmod(F.xxhash64("qid"), F.col("qblocks")).cast("int").alias("qb"),
+        F.explode(F.sequence(F.lit(0), F.col("tblocks") - 1)).alias("tb"))
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in result.fields})
+        return _nearest_in_block(left.rename(columns={"qx": "x"}), right, k, p)
+
+    return asked.groupBy("qcell", "tb", "qb").cogroup(spread.groupBy("cell", "tblock", "qblock")).applyInPandas(compare, result)
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("qid").orderBy("distance", "tid"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def nearest(queries: DataFrame, train: DataFrame, k: int, query_id: str, train_id: str, vector: str = "features",
-            p: int = 2, payload: list[str] | None = None, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS,
-            block_queries: int = BLOCK_QUERIES, seed: int = SEED) -> DataFrame:
+            p: int = 2, payload: list[str] | None = None, cell_rows: int = CELL_ROWS, block_bytes: int = BLOCK_BYTES,
+            seed: int = SEED) -> DataFrame:
     """(qid, tid, distance, rank, payload): the k nearest training rows of every query.
 
     Ids must be unique.  ``payload`` names numeric training columns to carry along, as an
@@ -120,47 +157,36 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, query_id: str, train_i
     t = train.select(F.col(train_id).alias("tid"), as_array(train, vector).alias("x"), carried.alias("payload"))
     q = queries.select(F.col(query_id).alias("qid"), as_array(queries, vector).alias("x"))
     n = t.count()
-    result_schema = T.StructType([q.schema["qid"], t.schema["tid"], t.schema["payload"],
-                                  T.StructField("distance", T.DoubleType())])
+    result = T.StructType([q.schema["qid"], t.schema["tid"], t.schema["payload"],
+                           T.StructField("distance", T.DoubleType())])
     if n == 0:
-        empty = train.sparkSession.createDataFrame([], result_schema)
+        empty = train.sparkSession.createDataFrame([], result)
         return empty.select("qid", "tid", "distance", F.lit(1).alias("rank"), "payload")
-    wanted_cells = min(MAX_CELLS, max(1, math.ceil(n / cell_rows)))
+    wanted_cells = 1 if n <= cell_rows else math.ceil(math.sqrt(n) / 4)
     chosen = t.select("x", F.xxhash64(F.lit(seed), "tid").alias("h")).orderBy("h").limit(wanted_cells)
     pivots = np.unique(np.array([r["x"] for r in chosen.collect()], dtype=float), axis=0)
+    width = pivots.shape[1]
+    columns = ["qid", "tid", "distance", "rank", "payload"]
 
     placed = materialise(_assign(t, pivots, p))
-    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("reach").alias("radius"))
-    first = placed.select("cell", "reach", F.row_number().over(W.partitionBy("cell").orderBy("reach")).alias("r")) \
-        .filter(F.col("r") <= k).groupBy("cell").agg(F.sort_array(F.collect_list("reach")).alias("near"))
-    cell_rows_found = sorted(stats.join(first, "cell").collect(), key=lambda r: r["cell"])
-    cells = np.array([r["cell"] for r in cell_rows_found])
-    radius = np.array([r["radius"] for r in cell_rows_found])
-    near = np.full((len(cells), min(k, max(r["rows"] for r in cell_rows_found))), np.inf)
-    for i, r in enumerate(cell_rows_found):
-        near[i, :len(r["near"])] = r["near"]
-
-    routed = materialise(_route(q, pivots, cells, radius, near, k, p))
-    # At most MAX_CELLS rows, so the broadcast is bounded.
-    grid = F.broadcast(stats.select("cell", F.ceil(F.col("rows") / block_rows).cast("int").alias("tblocks")).join(
-        routed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_queries).cast("int").alias("qblocks")), "cell"))
-    spread = placed.join(grid, "cell").select(
-        "cell", "tid", "x", "payload", F.pmod(F.xxhash64("tid"), F.col("tblocks")).cast("int").alias("tblock"),
-        F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1)).alias("qblock"))
-    asked = routed.join(grid, "cell").select(
-        "cell", "qid", "x", F.pmod(F.xxhash64("qid"), F.col("qblocks")).cast("int").alias("qblock"),
-        F.explode(F.sequence(F.lit(0), F.col("tblocks") - 1)).alias("tblock"))
-    block = ["cell", "tblock", "qblock"]
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({f.name: [] for f in result_schema.fields})
-        return _nearest_in_block(left, right, k, p)
-
-    found = asked.groupBy(*block).cogroup(spread.groupBy(*block)).applyInPandas(compare, result_schema)
-    rank = F.row_number().over(W.partitionBy("qid").orderBy("distance", "tid"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select(
-        "qid", "tid", "distance", "rank", "payload")
+    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("reach").alias("radius"))
+    found_cells = sorted(sizes.collect(), key=lambda r: r["cell"])  # as many rows as pivots
+    cells = np.array([r["cell"] for r in found_cells])
+    sizes = train.sparkSession.createDataFrame([(r["cell"], r["rows"]) for r in found_cells], "cell int, rows long")
+    home = _assign(q, pivots[cells], p).drop("reach")
+    if len(cells) == 1:
+        alone = home.withColumn("cell", F.lit(int(cells[0])))
+        return _first(_compared(alone, placed, sizes, k, p, result, block_bytes, width), k).select(*columns)
+    numbers = F.array(*[F.lit(int(c)) for c in cells])
+    home = materialise(home.withColumn("cell", F.element_at(numbers, F.col("cell") + 1)))
+    near = materialise(_first(_compared(home, placed, sizes, k, p, result, block_bytes, width), k).drop("rank"))
+    # Without k rows in its own cell a query has no bound yet.
+    limits = near.groupBy("qid").agg(F.max("distance").alias("limit"), F.count(F.lit(1)).alias("_n"))
+    limits = limits.select(F.col("qid").alias("_qid"), F.when(F.col("_n") >= k, F.col("limit")).otherwise(float("inf")).alias("limit"))
+    bounded = home.join(limits, F.col("qid") == F.col("_qid")).select("qid", "x", "cell", "limit")
+    routed = materialise(_route(bounded, pivots, cells, np.array([r["radius"] for r in found_cells]), p))
+    far = _compared(routed, placed, sizes, k, p, result, block_bytes, width)
+    return _first(near.unionByName(far), k).select(*columns)
 
 
 def neighbour_mean(found: DataFrame, position: int, weights: str = "uniform") -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomstat import fixed
 from loomstat.operators import evaluate, explain, features, models, neighbours, search
 from loomstat.operators.kernel import FeatureMap, fit_kernel
+from loomstat.session import materialise
 
 
 @pytest.fixture(scope="module")
@@ -128,7 +129,7 @@ def test_broken_models_are_reported(spark, ready, tmp_path):
 
 
 @pytest.mark.parametrize("p", [1, 2])
-@pytest.mark.parametrize("sizes", [{}, {"cell_rows": 20, "block_rows": 7, "block_queries": 11}])
+@pytest.mark.parametrize("sizes", [{}, {"cell_rows": 16}, {"cell_rows": 16, "block_bytes": 400}, {"cell_rows": 1, "block_bytes": 100}])
 def test_nearest_is_exact(spark, p, sizes):
     rng = np.random.default_rng(2)
     # A third of all rows are copies of one point.
@@ -149,6 +150,28 @@ def test_nearest_is_exact(spark, p, sizes):
         assert [r.tid for r in got] == want
 
 
+def test_clustered_queries_visit_few_cells(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 8)) * 50
+    points = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(points)], "id int, x array<double>")
+    stored = []
+
+    def kept(rows):
+        stored.append(materialise(rows))
+        return stored[-1]
+
+    monkeypatch.setattr(neighbours, "materialise", kept)
+    found = neighbours.nearest(df.filter("id < 200"), df, 3, "id", "id", "x", cell_rows=100).collect()
+    cells = stored[0].select("cell").distinct().count()
+    routed = stored[-1].count()  # (query, further cell) pairs
+    assert cells >= 12 and routed <= 0.2 * 200 * cells
+    for q in (0, 77):
+        gap = np.sqrt(((points - points[q]) ** 2).sum(axis=1))
+        want = np.argsort(gap, kind="stable")[:3].tolist()
+        assert [r.tid for r in sorted((r for r in found if r.qid == q), key=lambda r: r.rank)] == want
+
+
 def test_nearest_with_few_rows(spark):
     df = spark.createDataFrame([(0, [0.0]), (1, [1.0])], "id int, x array<double>")
     assert neighbours.nearest(df, df, 5, "id", "id", "x").count() == 4
