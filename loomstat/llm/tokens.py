@@ -22,8 +22,10 @@ import os
 import posixpath
 import struct
 import zlib
+from array import array
 from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,15 +44,17 @@ GAMMA = 2.0
 MAX_LEVELS = 40
 #: Text encoded at once, and ids written or checked at once.
 PIECE = 4 << 20
-MEMO = 250_000
+MEMO = 600_000
 
 
 class Encoder:
     """``tokenizer.encode`` of whole texts, white-space separated piece by piece.
 
-    For a tokenizer that drops white space and never joins pieces across it (word_bpe_49k
-    does neither) the ids of a text are those of its pieces, one after the other.  The ids of
-    recent pieces are remembered.
+    For a tokenizer that lower-cases, drops white space and never joins pieces across it
+    (word_bpe_49k) the ids of a text are those of its pieces, one after the other, and do not
+    depend on their case; only in a text that may name a special token is it kept.  The ids of
+    up to ``MEMO`` pieces are remembered: when there are more, the first half, which holds the
+    frequent ones, stays.
     """
 
     def __init__(self, path: str, width: int):
@@ -58,19 +62,29 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype(f"<u{width}")
+        self.kind = {2: "H", 4: "I"}[width]
         self.known: dict[bytes, bytes] = {}
 
     def __call__(self, bodies: list[bytes]) -> list[bytes]:
-        split = [b.split() for b in bodies]
+        split = [(b if b"<|" in b else b.lower()).split() for b in bodies]
         if len(self.known) > MEMO:
-            self.known.clear()
-        new = list({w for words in split for w in words if w not in self.known})
-        for word, code in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[word] = np.array(code.ids, dtype=self.dtype).tobytes()
+            self.known = dict(islice(self.known.items(), MEMO // 2))
+        new = list(set(chain.from_iterable(split)).difference(self.known))
+        for word, code in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+            self.known[word] = array(self.kind, code.ids).tobytes()
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
+#: Encoders of this process, so that its next task starts with what the last one learned.
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder_of(path: str, width: int) -> Encoder:
+    if (path, width) not in _encoders:
+        _encoders[path, width] = Encoder(path, width)
+    return _encoders[path, width]
+
+
 def id_width(path: str) -> int:
     """Bytes that hold every id of the tokenizer file."""
     from tokenizers import Tokenizer
@@ -226,7 +240,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
 
     def write(batches):
         number = TaskContext.get().partitionId()
-        encoder, end = Encoder(tokenizer, width), np.array([end_id], dtype=f"<u{width}").tobytes()
+        encoder, end = encoder_of(tokenizer, width), np.array([end_id], dtype=f"<u{width}").tobytes()
         keys, counts, last = [], [], (object(), 0)
         name = f"shard-{number:06d}.ids"
         first = next((b for b in batches if b.num_rows), None)
