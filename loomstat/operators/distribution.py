@@ -201,20 +201,36 @@ def box_stats(df: DataFrame, cat: str, y: str, whisker: str | tuple[float, float
     """
     values = df.select(F.col(cat).alias("category"), F.nanvl(F.col(y).cast("double"), F.lit(None).cast("double"))
                        .alias("y")).dropna()
+    return _boxes(values, ["category"], whisker, direct_rows)
+
+
+def box_tables(df: DataFrame, cats: Sequence[str], ys: Sequence[str], whisker: str | tuple[float, float] = "tukey",
+               direct_rows: int = DIRECT_ROWS) -> DataFrame:
+    """(column, target, …) : :func:`box_stats` of every target by every category column, computed together."""
+    entries = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(y).alias("target"), F.col(c).cast("string").alias("category"),
+                 F.nanvl(F.col(y).cast("double"), F.lit(None).cast("double")).alias("y")) for c in cats for y in ys]))
+    return _boxes(df.select(entries.alias("_e")).select("_e.*").dropna(), ["column", "target", "category"], whisker, direct_rows)
+
+
+def _boxes(values: DataFrame, by: Sequence[str], whisker: str | tuple[float, float], direct_rows: int) -> DataFrame:
+    by = list(by)
     probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
     if whisker != "tukey":
         probs = {**probs, "whisker_low": whisker[0] / 100, "whisker_high": whisker[1] / 100}
-    long = quantiles(values, ["y"], list(probs.values()), ["category"], direct_rows)
-    box = long.groupBy("category").agg(
+    # The quantile table has a column named "column" of its own.
+    own = [f"_by_{c}" for c in by]
+    long = quantiles(values.withColumnsRenamed(dict(zip(by, own, strict=True))), ["y"], list(probs.values()), own, direct_rows)
+    box = long.drop("column").withColumnsRenamed(dict(zip(own, by, strict=True))).groupBy(*by).agg(
         *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for n, p in probs.items()])
     if whisker != "tukey":
-        n = values.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-        return box.join(n, "category").select("category", "n", "q1", "median", "q3", "whisker_low", "whisker_high")
+        n = values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+        return box.join(n, by).select(*by, "n", "q1", "median", "q3", "whisker_low", "whisker_high")
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col("y").between(F.col("q1") - reach, F.col("q3") + reach)
-    return values.join(counted_broadcast(box), "category").groupBy("category", "q1", "median", "q3").agg(
+    return values.join(counted_broadcast(box), by).groupBy(*by, "q1", "median", "q3").agg(
         F.count(F.lit(1)).alias("n"),
         F.least(F.min(F.when(inside, F.col("y"))), F.col("q1")).alias("whisker_low"),
         F.greatest(F.max(F.when(inside, F.col("y"))), F.col("q3")).alias("whisker_high"),
         F.count_if(~inside).alias("outliers"),
-    ).select("category", "n", "q1", "median", "q3", "whisker_low", "whisker_high", "outliers")
+    ).select(*by, "n", "q1", "median", "q3", "whisker_low", "whisker_high", "outliers")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import SEED
 from ..functions.columns import key_hash, level_rank
+from ..session import cut_lineage
 from .quantiles import DIRECT_ROWS, quantile_values, size_measures
 
 # Up to this many pairs are expressions of one aggregation, whose generated code stays small.
@@ -136,6 +136,13 @@ def value_counts(df: DataFrame, col: str, dropna: bool = True, levels: Sequence
     return counts.withColumn("rank", level_rank(F.col("value"), levels)).orderBy(F.asc_nulls_last("rank"))
 
 
+def category_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, value, n) of the non-null values of many columns, from one aggregation."""
+    entries = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]))
+    return df.select(entries.alias("_e")).select("_e.*").filter("value is not null").groupBy("column", "value").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 def level_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, levels): distinct non-null values of every column."""
     wide = df.agg(*[F.count_distinct(c).alias(f"_d{i}") for i, c in enumerate(cols)])
@@ -160,45 +167,85 @@ def shape_report(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
 
 
-def _poisson_weight(uniform: Column) -> Column:
-    """Poisson(1) count by inversion of the distribution function."""
+def _poisson_steps() -> np.ndarray:
+    """Where the distribution function of a Poisson(1) count rises."""
     term, upto, steps = 0.36787944117144233, 0.36787944117144233, []
     for k in range(1, 13):
         steps.append(upto)
         term /= k
         upto += term
-    return reduce(lambda a, b: a + b, [(uniform >= F.lit(s)).cast("int") for s in steps])
+    return np.array(steps)
 
 
-def regression_band(df: DataFrame, x: str, y: str, key: Sequence[str], reps: int = 1000, grid: int = 100,
-                    level: float = 0.95, seed: int = SEED) -> DataFrame:
-    """(x, fit, low, high): the least-squares line with a bootstrap band on an even grid.
+def regression_bands(df: DataFrame, features: Sequence[str], targets: Sequence[str], key: Sequence[str], reps: int = 1000,
+                     grid: int = 100, level: float = 0.95, seed: int = SEED) -> DataFrame:
+    """(feature, target, x, fit, low, high): least-squares lines with bootstrap bands on even grids.
 
     Every row gets a Poisson(1) weight per replicate that depends only on its key: two
-    hashes of the key, the second times the replicate added to the first.  One
-    aggregation, combined on the map side, yields the weighted sums of all replicates.
+    hashes of the key, the second times the replicate added to the first.  One reading of the
+    rows serves all replicates of all pairs: each task multiplies the weights of its rows with
+    their products and passes on one row per pair and replicate.  A pair without two different
+    feature values has no line and is left out.
     """
-    pairs = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"),
-                      key_hash(key, f"start{seed}").alias("_h"), key_hash(key, f"step{seed}").alias("_s")).dropna()
-    uniform = F.pmod(F.col("_h") + F.col("rep") * F.col("_s"), F.lit(2**32)) / F.lit(float(2**32))
-    drawn = pairs.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_u", uniform).withColumn(
-        "w", _poisson_weight(F.col("_u")))
-    centre = pairs.agg(F.avg("_x").alias("cx"), F.avg("_y").alias("cy"), F.min("_x").alias("lo"),
-                       F.max("_x").alias("hi"), F.regr_slope("_y", "_x").alias("b"),
-                       F.regr_intercept("_y", "_x").alias("a")).first()
-    dx, dy = F.col("_x") - F.lit(centre["cx"]), F.col("_y") - F.lit(centre["cy"])
-    sums = drawn.groupBy("rep").agg(
-        F.sum("w").alias("sw"), F.sum(F.col("w") * dx).alias("sx"), F.sum(F.col("w") * dy).alias("sy"),
-        F.sum(F.col("w") * dx * dx).alias("sxx"), F.sum(F.col("w") * dx * dy).alias("sxy"))
+    features, targets = list(features), list(targets)
+    cols = list(dict.fromkeys([*features, *targets]))
+    pairs = [(cols.index(f), cols.index(t)) for t in targets for f in features]
+    clean = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols]
+    means = df.agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(clean)]).first()
+    shift = np.array([m if (m := means[f"_m{i}"]) is not None and math.isfinite(m) else 0.0 for i in range(len(cols))])
+    rows = df.select(*[c.alias(f"_x{i}") for i, c in enumerate(clean)], key_hash(key, f"start{seed}").alias("_h"),
+                     key_hash(key, f"step{seed}").alias("_s"))
+    steps, numbers = _poisson_steps(), np.arange(1, reps + 1, dtype=np.int64)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Replicate 0 weighs every row once: the line itself.
+        total = np.zeros((len(pairs), reps + 1, 5))
+        ends = np.tile([np.inf, -np.inf], (len(pairs), 1))
+        for batch in batches:
+            for start in range(0, len(batch), 2048):
+                part = batch.iloc[start:start + 2048]
+                x = part[[f"_x{i}" for i in range(len(cols))]].to_numpy(dtype=float, na_value=np.nan)
+                drawn = (part["_h"].to_numpy(dtype=np.int64)[:, None] + numbers[None, :] * part["_s"].to_numpy(dtype=np.int64)[:, None])
+                uniform = np.mod(drawn, 2**32) / float(2**32)
+                weight = np.hstack([np.ones((len(part), 1)), np.searchsorted(steps, uniform, side="right")]).astype(float)
+                for p, (i, j) in enumerate(pairs):
+                    there = ~(np.isnan(x[:, i]) | np.isnan(x[:, j]))
+                    if there.any():
+                        a, b = x[there, i] - shift[i], x[there, j] - shift[j]
+                        total[p] += weight[there].T @ np.stack([np.ones(len(a)), a, b, a * a, a * b], axis=1)
+                        ends[p] = min(ends[p, 0], x[there, i].min()), max(ends[p, 1], x[there, i].max())
+        shape = (len(pairs), reps + 1)
+        yield pd.DataFrame({
+            "pair": np.repeat(np.arange(shape[0]), shape[1]), "rep": np.tile(np.arange(shape[1]), shape[0]),
+            **{n: total[:, :, k].ravel() for k, n in enumerate(("sw", "sx", "sy", "sxx", "sxy"))},
+            "lo": np.repeat(ends[:, 0], shape[1]), "hi": np.repeat(ends[:, 1], shape[1])})
+
+    schema = "pair int, rep int, sw double, sx double, sy double, sxx double, sxy double, lo double, hi double"
+    added = rows.mapInPandas(sums, schema).groupBy("pair", "rep").agg(
+        *[F.sum(c).alias(c) for c in ("sw", "sx", "sy", "sxx", "sxy")], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     slope = F.try_divide(F.expr("sw * sxy - sx * sy"), F.expr("sw * sxx - sx * sx"))
-    lines = sums.withColumn("b", slope).withColumn("a", F.expr("(sy - b * sx) / sw")).dropna()
-    step = F.lit((centre["hi"] - centre["lo"]) / max(grid - 1, 1))
-    points = lines.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn(
-        "x", F.lit(centre["lo"]) + F.col("i") * step)
-    at = F.lit(centre["cy"]) + F.col("a") + F.col("b") * (F.col("x") - F.lit(centre["cx"]))
+    lines = added.withColumn("b", slope).withColumn("a", F.expr("try_divide(sy - b * sx, sw)")).dropna(subset=["a", "b"])
+    lines = cut_lineage(lines.filter("lo < hi").select("pair", "rep", "a", "b", "lo", "hi"))
+    step = (F.col("hi") - F.col("lo")) / F.lit(max(grid - 1, 1))
+    points = lines.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn("x", F.col("lo") + F.col("i") * step)
+
+    def moved(which: int):
+        return F.element_at(F.array(*[F.lit(float(shift[pair[which]])) for pair in pairs]), F.col("pair") + 1)
+
+    points = points.withColumn("at", moved(1) + F.col("a") + F.col("b") * (F.col("x") - moved(0)))
     tail = (1 - level) / 2
-    band = points.withColumn("at", at).groupBy("i", "x").agg(
-        F.percentile("at", F.array(F.lit(tail), F.lit(1 - tail))).alias("ends"))
-    fit = F.lit(centre["a"]) + F.lit(centre["b"]) * F.col("x")
-    return band.select("x", fit.alias("fit"), F.element_at("ends", 1).alias("low"),
+    band = points.groupBy("pair", "i", "x").agg(
+        F.max(F.when(F.col("rep") == 0, F.col("at"))).alias("fit"),
+        F.percentile(F.when(F.col("rep") > 0, F.col("at")), F.array(F.lit(tail), F.lit(1 - tail))).alias("ends"))
+
+    def named(which: int):
+        return F.element_at(F.array(*[F.lit(cols[pair[which]]) for pair in pairs]), F.col("pair") + 1)
+
+    return band.select(named(0).alias("feature"), named(1).alias("target"), "x", "fit", F.element_at("ends", 1).alias("low"),
                        F.element_at("ends", 2).alias("high"))
+
+
+def regression_band(df: DataFrame, x: str, y: str, key: Sequence[str], reps: int = 1000, grid: int = 100,
+                    level: float = 0.95, seed: int = SEED) -> DataFrame:
+    """(x, fit, low, high) of one pair; see :func:`regression_bands`."""
+    return regression_bands(df, [x], [y], key, reps, grid, level, seed).select("x", "fit", "low", "high")

@@ -20,6 +20,7 @@ PART_SPEC = parse_spec([
      "drop_extrema": True, "log_transform": True, "unit": "USD", "display_name": "Retail price"},
 ], key="p_partkey", sentinels={"size": [7, 9]})
 
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 STATUS_WORDS = {"F": "finished", "O": "open"}
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]
 
@@ -224,8 +225,7 @@ def melt_measures(spark: SparkSession, folder: str) -> DataFrame:
 
 def spread_measures(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    wide = combine.spread(events, ["user_id"], "event_type", "n", ["click", "view", "purchase"])
-    return combine.columns_like(wide, "c", ["user_id"])
+    return combine.spread(events, ["user_id"], "event_type", "n", EVENT_TYPES)
 
 
 def distinct_union(spark: SparkSession, folder: str) -> DataFrame:
@@ -347,10 +347,8 @@ QUERIES = {
         SELECT l_returnflag, measure, round(avg(value), 6) AS mean, count(value) AS n FROM (
           UNPIVOT (SELECT l_returnflag, l_quantity, l_discount, l_tax FROM lineitem)
           ON l_quantity, l_discount, l_tax INTO NAME measure VALUE value) GROUP BY 1, 2"""),
-    "spread_measures": (spread_measures, """
-        SELECT user_id, nullif(count(*) FILTER (event_type = 'click'), 0) AS click,
-               nullif(count(*) FILTER (event_type = 'purchase'), 0) AS purchase
-        FROM events GROUP BY 1"""),
+    "spread_measures": (spread_measures, "SELECT user_id, " + ", ".join(
+        f"nullif(count(*) FILTER (event_type = '{e}'), 0) AS {e}" for e in EVENT_TYPES) + " FROM events GROUP BY 1"),
     "distinct_union": (distinct_union, """
         SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier"""),
     "key_difference": (key_difference, """

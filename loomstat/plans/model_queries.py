@@ -115,10 +115,20 @@ def residual_density(spark: SparkSession, folder: str) -> DataFrame:
         "density", F.col("density") * 1e6).select("Target", "Model", "bin", "n", "density"), 4)
 
 
+def residual_density_auto(spark: SparkSession, folder: str) -> DataFrame:
+    """As :func:`residual_density` from the stored residual file with declared types, the number of bins by the automatic rule."""
+    path = sources.store_csv(one_feature_residuals(spark, folder).filter("split = 'test'").select(
+        "Model", "Target", "Residual", "True", "Predicted"), "residuals-csv")
+    test = sources.read_csv(spark, path, sources.RESIDUALS_SCHEMA)
+    return rounded(distribution.grouped_density(test, "Residual", "Target", ["Model"], "auto").withColumn(
+        "density", F.col("density") * 1e6).select("Target", "Model", "bin", "n", "density"), 4)
+
+
 def measure_pivot_sum(spark: SparkSession, folder: str) -> DataFrame:
-    """Measure sheet over a published view of the wide metrics, as a workbook reads it."""
+    """Measure sheet over a published view of the wide metrics file, read with its declared types, as a workbook reads it."""
     test = evaluate.metrics(one_feature_residuals(spark, folder).filter("split = 'test'"))
-    sources.publish_views(spark, {"test_metrics": evaluate.wide_metrics(test, TARGETS)})
+    path = sources.store_csv(evaluate.wide_metrics(test, TARGETS), "metrics-csv")
+    sources.publish_views(spark, {"test_metrics": sources.read_csv(spark, path, sources.metrics_schema(TARGETS))})
     return rounded(evaluate.measure_sheet(spark.table("test_metrics"), "Model",
                                           [f"RMSE - {t}" for t in TARGETS]), 3)
 
@@ -521,6 +531,18 @@ QUERIES = {
         SELECT "Target", "Model", bin, n,
                round(n / (sum(n) OVER (PARTITION BY "Target", "Model") * w) * 1e6, 4) AS density
         FROM k JOIN e USING ("Target")"""),
+    "residual_density_auto": (residual_density_auto, RESIDUALS + """,
+        q AS (SELECT "Target", min(y - g) AS lo, max(y - g) AS hi, count(*) AS c,
+                     quantile_cont(y - g, 0.75) - quantile_cont(y - g, 0.25) AS iqr FROM r WHERE split = 'test' GROUP BY 1),
+        u AS (SELECT *, least(2 * iqr / pow(c, 1.0 / 3), (hi - lo) / (log2(c) + 1)) AS rule FROM q),
+        e AS (SELECT "Target", lo, CAST(ceil((hi - lo) / rule) AS BIGINT) AS bins, (hi - lo) / ceil((hi - lo) / rule) AS w FROM u),
+        h AS (SELECT "Target", "Model", CAST(least(floor((y - g - lo) / w), bins - 1) AS INT) AS bin, count(*) AS n
+              FROM r JOIN e USING ("Target") WHERE split = 'test' GROUP BY 1, 2, 3),
+        b AS (SELECT "Target", "Model", unnest(range(bins))::INT AS bin FROM (SELECT DISTINCT "Target", "Model" FROM h) JOIN e USING ("Target")),
+        k AS (SELECT b.*, coalesce(h.n, 0) AS n FROM b LEFT JOIN h USING ("Target", "Model", bin))
+        SELECT "Target", "Model", bin, n,
+               round(n / (sum(n) OVER (PARTITION BY "Target", "Model") * w) * 1e6, 4) AS density
+        FROM k JOIN e USING ("Target")"""),
     "measure_pivot_sum": (measure_pivot_sum, RESIDUALS + """
         SELECT "Model", 'RMSE - ' || "Target" AS measure, round(sum("RMSE"), 3) AS total FROM m WHERE split = 'test'
         GROUP BY 1, 2"""),

@@ -100,7 +100,7 @@ def bootstrap_band(spark: SparkSession, folder: str) -> DataFrame:
     """Band of order price against the day of the order."""
     orders = table(spark, folder, "orders").select(
         "o_orderkey", F.unix_date(F.col("o_orderdate").cast("date")).alias("day"), "o_totalprice")
-    return rounded(profile.regression_band(orders, "day", "o_totalprice", ["o_orderkey"], reps=100, grid=20), 3)
+    return rounded(profile.regression_band(orders, "day", "o_totalprice", ["o_orderkey"]), 3)
 
 
 def _describe_sql(source: str, cols: list[str], digits: int, rounding: str = "round") -> str:
@@ -204,7 +204,7 @@ QUERIES = {
                      ((('0x' || substr(md5(o_orderkey || '|start42'), 1, 8))::BIGINT
                       + rep * ('0x' || substr(md5(o_orderkey || '|step42'), 1, 8))::BIGINT) % 4294967296)
                      / 4294967296.0::DOUBLE AS u
-              FROM p, c, (SELECT unnest(range(1, 101)) AS rep)),
+              FROM p, c, (SELECT unnest(range(1, 1001)) AS rep)),
         z AS (SELECT rep, dx, dy, list_sum([CAST(u >= b AS INT) FOR b IN
                 [0.36787944117144233::DOUBLE, 0.7357588823428847::DOUBLE, 0.9196986029286058::DOUBLE,
                  0.9810118431238462::DOUBLE, 0.9963401531726563::DOUBLE, 0.9994058151824183::DOUBLE,
@@ -213,9 +213,9 @@ QUERIES = {
         s AS (SELECT rep, sum(w) AS sw, sum(w * dx) AS sx, sum(w * dy) AS sy, sum(w * dx * dx) AS sxx,
                      sum(w * dx * dy) AS sxy FROM z GROUP BY rep),
         l AS (SELECT *, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) AS b FROM s),
-        g AS (SELECT lo + i * ((hi - lo) / 19) AS x, (sy - b * sx) / sw + cy + b * (lo + i * ((hi - lo) / 19) - cx) AS yhat,
-                     fa + fb * (lo + i * ((hi - lo) / 19)) AS fit
-              FROM l, c, (SELECT unnest(range(20)) AS i))
+        g AS (SELECT lo + i * ((hi - lo) / 99) AS x, (sy - b * sx) / sw + cy + b * (lo + i * ((hi - lo) / 99) - cx) AS yhat,
+                     fa + fb * (lo + i * ((hi - lo) / 99)) AS fit
+              FROM l, c, (SELECT unnest(range(100)) AS i))
         SELECT round(x, 3) AS x, round(any_value(fit), 3) AS fit, round(quantile_cont(yhat, 0.025), 3) AS low,
                round(quantile_cont(yhat, 0.975), 3) AS high FROM g GROUP BY g.x"""),
 }

@@ -62,18 +62,26 @@ def profile_tables(df: DataFrame, spec: Spec) -> dict[str, DataFrame]:
         "univariate": profile.univariate_fit(df, [c for c in numeric if c not in spec.targets],
                                              [c for c in numeric if c in spec.targets]),
     }
+    features = [c for c in numeric if c not in spec.targets]
+    targets = [c for c in numeric if c in spec.targets]
+    if features and targets:
+        out["bands"] = profile.regression_bands(df, features, targets, [spec.key])
     if categorical:
-        counts = [profile.value_counts(df.select(F.col(c).cast("string").alias(c)), c).withColumn("column", F.lit(c))
-                  for c in categorical]
-        out["category_counts"] = combine.concat_rows(counts)
+        out["category_counts"] = profile.category_counts(df, categorical)
         few = profile.low_cardinality(df, categorical)
-        boxes = [distribution.box_stats(df.withColumn("_c", F.col(c).cast("string")), "_c", t)
-                 .withColumn("column", F.lit(c)).withColumn("target", F.lit(t)) for t in spec.targets for c in few]
-        if boxes:
-            out["boxes"] = combine.concat_rows(boxes)
+        if few and targets:
+            out["boxes"] = distribution.box_tables(df, few, targets)
     return out
 
 
+def trial_views(trials: DataFrame, params: Sequence[str]) -> dict[str, DataFrame]:
+    """The tables behind the figures of a study: best so far, parallel coordinates, importance of its parameters."""
+    views = {"history": search.history(trials), "coordinates": search.parallel_coordinates(trials)}
+    if trials.filter("value is not null and not isnan(value)").limit(2).count() == 2:
+        views["importance"] = search.parameter_importance(trials.filter("not isnan(value)"), params)
+    return views
+
+
 def tune(rows: DataFrame, family: str, targets: Sequence[str], key: Sequence[str], how: str, folder: str,
          trials: int = fixed.STUDY_TRIALS, seconds: float = fixed.STUDY_SECONDS) -> dict[str, Any]:
     """The best parameters of one family: ``study``, ``grid``, ``random`` or ``none``."""
@@ -81,8 +89,10 @@ def tune(rows: DataFrame, family: str, targets: Sequence[str], key: Sequence[str
         return {}
     if how == "study":
         space = fixed.STUDY_SPACES.get(family, {"alpha": ("log", 0.01, 100.0)})
-        best, _ = search.study(rows, family, search.cv_objective(family, targets, key), space,
-                               f"{folder}/{family}", trials, seconds)
+        best, tried = search.study(rows, family, search.cv_objective(family, targets, key), space,
+                                   f"{folder}/{family}", trials, seconds)
+        for name, view in trial_views(tried, list(space)).items():
+            sources.save_table(view, f"{folder}_views/{name}/{family}")
         return best
     if how == "grid":
         grid = fixed.GRIDS.get(family) or fixed.WIDE_GRIDS[family]

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomstat.operators import distribution, profile
 
@@ -162,3 +163,32 @@ def test_univariate_skips_empty_pairs(spark):
     df = spark.createDataFrame([(1.0, None, 2.0), (2.0, None, 4.0)], "a double, b double, t double")
     rows = profile.univariate_fit(df, ["a", "b"], ["t"]).collect()
     assert [(r.feature, r.slope, r.r2, r.n) for r in rows] == [("a", pytest.approx(2.0), pytest.approx(1.0), 2)]
+
+
+def test_bands_of_all_pairs_together(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, float(rng.normal(1e3, 5)), None if i % 7 == 0 else float(i), float(3 * i + rng.normal()), 1.0) for i in range(150)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, t double, flat double")
+    both = profile.regression_bands(df, ["a", "b", "flat"], ["t"], ["k"], reps=200, grid=5).collect()
+    assert {r.feature for r in both} == {"a", "b"}  # a constant has no line
+    for f in "ab":
+        own = sorted((r for r in both if r.feature == f), key=lambda r: r.x)
+        one = profile.regression_band(df, f, "t", ["k"], 200, 5).orderBy("x").collect()
+        assert [(r.x, r.fit, r.low, r.high) for r in own] == [pytest.approx(tuple(r)) for r in one]
+        there = np.array([(r[1 if f == "a" else 2], r[3]) for r in rows if r[1 if f == "a" else 2] is not None])
+        slope, intercept = np.polyfit(there[:, 0], there[:, 1], 1)
+        assert [r.fit for r in own] == pytest.approx([intercept + slope * r.x for r in own], rel=1e-6)
+        assert all(r.low <= r.fit <= r.high for r in own)
+
+
+def test_boxes_and_counts_of_all_categories_together(spark):
+    rows = [("xyz"[i % 3], i % 2, float(i * i % 37), float(i)) for i in range(80)] + [(None, 1, 5.0, None)]
+    df = spark.createDataFrame(rows, "column string, flag int, y double, z double")
+    got = distribution.box_tables(df, ["column", "flag"], ["y", "z"]).collect()
+    for c in ("column", "flag"):
+        for t in ("y", "z"):
+            want = distribution.box_stats(df.withColumn("_c", F.col(c).cast("string")), "_c", t).orderBy("category").collect()
+            own = sorted((r for r in got if (r.column, r.target) == (c, t)), key=lambda r: r.category)
+            assert [tuple(r)[2:] for r in own] == [tuple(r) for r in want]
+    counts = {(r.column, r.value): r.n for r in profile.category_counts(df, ["column", "flag"]).collect()}
+    assert counts == {("column", "x"): 27, ("column", "y"): 27, ("column", "z"): 26, ("flag", "0"): 40, ("flag", "1"): 41}
