@@ -106,7 +106,7 @@ def make_estimator(family: str, df: DataFrame, target: str, params: Mapping[str,
                                 regParam=_ridge_parameter(df, label_column(target), params.get("alpha", 1.0)), **common)
     if family == "random_forest":
         return RandomForestRegressor(numTrees=int(params.get("n_estimators", 100)), seed=seed,
-                                     featureSubsetStrategy=_subset(params.get("max_features")),
+                                     bootstrap=bool(params.get("bootstrap", True)), featureSubsetStrategy=_subset(params.get("max_features")),
                                      **_tree_settings(family, params), **common)
     if family == "gradient_boosting":
         settings = _tree_settings(family, {"max_depth": 3, **params})

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed import WIDE_GRIDS
+from ..fixed import RANDOM_DRAWS, SEED, STUDY_FOLDS, STUDY_TRIALS, WIDE_GRIDS
 from ..functions import columns as names
 from ..operators import combine, distribution, evaluate, explain, features, models, neighbours, search
 from ..session import materialise, scratch_path
@@ -199,11 +201,45 @@ def tree_importances(spark: SparkSession, folder: str) -> DataFrame:
         F.desc("Importance")), 6)
 
 
+STUMP_FEATURES = ["l_discount", "l_tax"]
+LEARNING_RATE = 0.1
+
+
+def _stumps(spark: SparkSession, folder: str, family: str, **params) -> tuple[features.Prepared, models.Fitted]:
+    """Trees of depth 1 on two features with fewer values than candidate splits, so that SQL can find the best split."""
+    ready = _prepared(spark, folder, STUMP_FEATURES, [])
+    return ready, models.fit(family, ready.train, ["charge"], {"max_depth": 1, **params})
+
+
+def forest_stump(spark: SparkSession, folder: str) -> DataFrame:
+    """A forest of one tree: every row, every feature, one split."""
+    return rounded(_split_metrics(*_stumps(spark, folder, "random_forest", n_estimators=1, bootstrap=False)), 6, RMSE=3)
+
+
+def boosted_stumps(spark: SparkSession, folder: str) -> DataFrame:
+    """Two trees, the second fitted to what the first leaves."""
+    return rounded(_split_metrics(*_stumps(spark, folder, "gradient_boosting", n_estimators=2, learning_rate=LEARNING_RATE)), 6, RMSE=3)
+
+
+def _stump_importances(spark: SparkSession, folder: str, family: str, **params) -> DataFrame:
+    ready, fitted = _stumps(spark, folder, family, **params)
+    raw = explain.model_importances(spark, fitted, ready.preprocessor.names)
+    return rounded(explain.collapse_levels(raw, bases=ready.preprocessor.bases))
+
+
+def forest_stump_importances(spark: SparkSession, folder: str) -> DataFrame:
+    return _stump_importances(spark, folder, "random_forest", n_estimators=1, bootstrap=False)
+
+
+def boosted_stump_importances(spark: SparkSession, folder: str) -> DataFrame:
+    return _stump_importances(spark, folder, "gradient_boosting", n_estimators=2, learning_rate=LEARNING_RATE)
+
+
 def permutation_r2_drop(spark: SparkSession, folder: str) -> DataFrame:
     ready = _prepared(spark, folder, ["l_extendedprice", "l_discount"], [])
     fitted = models.fit("linear", ready.train, ["charge"])
     return rounded(explain.permutation_importance(fitted, ready.test, LINE_KEY, ready.preprocessor.names,
-                                                  repeats=3), 4)
+                                                  repeats=5), 4)
 
 
 def score_by_cycle(spark: SparkSession, folder: str) -> DataFrame:
@@ -337,7 +373,7 @@ def random_search_trees(spark: SparkSession, folder: str) -> DataFrame:
     """Random draws from a small forest space."""
     ready = _prepared(spark, folder)
     space = {"n_estimators": ("int", 3, 6), "max_depth": ("int", 2, 5), "max_features": ("choice", ["sqrt", "log2"])}
-    _, trials = search.random_search(ready.train, "random_forest", ["charge"], space, 2, LINE_KEY, n=3)
+    _, trials = search.random_search(ready.train, "random_forest", ["charge"], space, 5, LINE_KEY, n=RANDOM_DRAWS)
     return rounded(search.best_trial(trials), 6)
 
 
@@ -348,11 +384,24 @@ def study_resumed(spark: SparkSession, folder: str) -> DataFrame:
     store = scratch_path(spark, "trials")
     space = {"alpha": ("log", 0.01, 100.0)}
     objective = search.cv_objective("ridge", ["charge"], LINE_KEY)
-    for budget in (2, 4):
+    for budget in (2, STUDY_TRIALS):
         _, trials = search.study(rows, "ridge", objective, space, store, trials=budget, seconds=600)
     return rounded(search.history(trials).select("study", "trial", "value", "best"), 8)
 
 
+STUDY_SPACE = {"alpha": ("log", 0.01, 100.0)}
+
+
+def study_two_features(spark: SparkSession, folder: str) -> DataFrame:
+    """An interrupted study on two features, whose drawn penalties SQL can take up as literals."""
+    rows = _prepared(spark, folder, ["l_extendedprice", "l_discount"], []).train
+    store = scratch_path(spark, "trials")
+    objective = search.cv_objective("ridge", ["charge"], LINE_KEY)
+    for budget in (4, STUDY_TRIALS):
+        _, trials = search.study(rows, "ridge", objective, STUDY_SPACE, store, trials=budget, seconds=600)
+    return rounded(trials.select("study", "trial", F.col("params")["alpha"].cast("double").alias("alpha"), "value"), 8)
+
+
 def _event_trials(spark: SparkSession, folder: str) -> DataFrame:
     """Events as trials: one study per user, settings from the event's properties."""
     settings = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("kind"), F.col("event_type")))
@@ -374,7 +423,7 @@ def study_parallel_coordinates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def study_parameter_importance(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(search.parameter_importance(_event_trials(spark, folder), ["k", "kind"], trees=16, depth=6))
+    return rounded(search.parameter_importance(_event_trials(spark, folder), ["k", "kind"]))
 
 
 # Importances over large tables ---------------------------------------------------
@@ -444,6 +493,49 @@ def _cv_sql(ks: list[int]) -> str:
         SELECT 'Linear Regression' AS "Model", * FROM ({" UNION ALL ".join(parts)})"""
 
 
+def _stump_sql(label: str, source: str, name: str) -> str:
+    """The best split of ``label`` over the training rows of ``source``: CTEs ending in one row ``name`` (f, v, low, high)."""
+    values = " UNION ALL ".join(f"SELECT '{c}' AS f, {c} AS v, count(*) AS n, sum({label}) AS s FROM {source} WHERE split = 'train' GROUP BY 2"
+                                for c in STUMP_FEATURES)
+    return f"""{name}u AS ({values}),
+        {name}c AS (SELECT f, v, sum(n) OVER w AS cn, sum(s) OVER w AS cs, sum(n) OVER (PARTITION BY f) AS tn, sum(s) OVER (PARTITION BY f) AS ts
+              FROM {name}u WINDOW w AS (PARTITION BY f ORDER BY v)),
+        {name} AS (SELECT f, v, cs / cn AS low, (ts - cs) / (tn - cn) AS high,
+                     cs * cs / cn + (ts - cs) * (ts - cs) / (tn - cn) - ts * ts / tn AS won FROM {name}c WHERE cn < tn
+              ORDER BY cs * cs / cn + (ts - cs) * (ts - cs) / (tn - cn) DESC LIMIT 1)"""
+
+
+def _stump_value(name: str) -> str:
+    value = " ".join(f"WHEN {name}.f = '{c}' THEN {c}" for c in STUMP_FEATURES)
+    return f"CASE WHEN CASE {value} END <= {name}.v THEN {name}.low ELSE {name}.high END"
+
+
+def _stumps_sql(trees: int) -> str:
+    """One stump, or a second one on twice the remaining error (the gradient of the squared error)."""
+    first = f"""WITH t AS (SELECT *, ln(1 + charge) AS y FROM {CHARGES_SQL}), {_stump_sql("y", "t", "a")},
+        p AS (SELECT t.*, {_stump_value("a")} AS p1 FROM t, a)"""
+    if trees == 1:
+        return first + ", o AS (SELECT *, p1 AS p FROM p)"
+    return first + f""", {_stump_sql("2 * (y - p1)", "p", "b")},
+        o AS (SELECT p.*, p1 + {LEARNING_RATE}::DOUBLE * {_stump_value("b")} AS p FROM p, b)"""
+
+
+def _stump_metrics_sql(model: str, trees: int) -> str:
+    return _stumps_sql(trees) + f"""
+        SELECT split, '{model}' AS "Model", 'charge' AS "Target",
+               round(1 - sum((charge - exp(p) + 1) ** 2) / (count(*) * var_pop(charge)), 6) AS "R2",
+               round(sqrt(avg((charge - exp(p) + 1) ** 2)), 3) AS "RMSE", count(*) AS n FROM o GROUP BY 1"""
+
+
+def _stump_importance_sql(model: str, trees: int) -> str:
+    used = " UNION ALL ".join(f"SELECT f, won FROM {n}" for n in "ab"[:trees])
+    listed = ", ".join(f"('{c}')" for c in STUMP_FEATURES)
+    return _stumps_sql(trees) + f""", g AS ({used})
+        SELECT '{model}' AS "Model", 'charge' AS "Target", c AS "Feature",
+               round(coalesce((SELECT sum(won) FROM g WHERE f = c), 0) / (SELECT sum(won) FROM g), 6) AS "Importance"
+        FROM (VALUES {listed}) x(c)"""
+
+
 def _contiguous_sql(ks: list[int]) -> str:
     parts = [f"""
         SELECT "CV", round(avg(r2), 8) AS r2_mean, round(stddev_pop(r2), 8) AS r2_std, round(avg(rmse), 8) AS rmse_mean,
@@ -458,6 +550,11 @@ def _contiguous_sql(ks: list[int]) -> str:
         SELECT 'Linear Regression' AS "Model", * FROM ({" UNION ALL ".join(parts)})"""
 
 
+def _study_sql() -> str:
+    drawn = [search.draw(STUDY_SPACE, random.Random(f"{SEED}/ridge/{t}"))["alpha"] for t in range(STUDY_TRIALS)]
+    return f"""SELECT 'ridge' AS study, trial, round(alpha::DOUBLE, 8) AS alpha, value FROM ({_search_sql(drawn, STUDY_FOLDS)})"""
+
+
 def _search_sql(alphas: list[float], k: int) -> str:
     """Cross-validated ridge on two standardised features for every penalty."""
     fold = hash_sql("l_orderkey, l_partkey, l_suppkey, l_linenumber", "fold42")
@@ -554,9 +651,9 @@ QUERIES = {
                'size' AS level_base, p_type AS number_base, 'Tuned: ' || p_type AS tuned FROM part"""),
     "ols_fit_score": (ols_fit_score, _two_feature_metrics("Linear Regression") + " GROUP BY split"),
     "ridge_fit": (ridge_fit, _two_feature_metrics("Ridge Regression", 100.0) + " GROUP BY split"),
-    "rf_fit": (_fit_query("random_forest", n_estimators=10, max_depth=6), None),
-    "gbt_fit": (_fit_query("gradient_boosting", n_estimators=8), None),
-    "gbt_regularised_fit": (_fit_query("xgboost", n_estimators=8, max_depth=4, gamma=0.0, min_child_weight=5,
+    "rf_fit": (_fit_query("random_forest", n_estimators=50, max_depth=6), None),
+    "gbt_fit": (_fit_query("gradient_boosting", n_estimators=50), None),
+    "gbt_regularised_fit": (_fit_query("xgboost", n_estimators=50, max_depth=4, gamma=0.0, min_child_weight=5,
                                        subsample=0.8, colsample_bytree=0.8), None),
     "svr_rff_fit": (_fit_query("svr", C=1.0, epsilon=0.1, size=32, steps=4), None),
     "linear_importances": (linear_importances, _two_feature_sql() + """
@@ -564,11 +661,15 @@ QUERIES = {
                round(abs(b1) / (abs(b1) + abs(b2)), 6) AS "Importance" FROM c
         UNION ALL SELECT 'Linear Regression', 'charge', 'l_discount', round(abs(b2) / (abs(b1) + abs(b2)), 6) FROM c"""),
     "tree_importances": (tree_importances, None),
+    "forest_stump": (forest_stump, _stump_metrics_sql("Random Forest", 1)),
+    "boosted_stumps": (boosted_stumps, _stump_metrics_sql("Gradient Boosting", 2)),
+    "forest_stump_importances": (forest_stump_importances, _stump_importance_sql("Random Forest", 1)),
+    "boosted_stump_importances": (boosted_stump_importances, _stump_importance_sql("Gradient Boosting", 2)),
     "permutation_r2_drop": (permutation_r2_drop, _two_feature_sql() + f""",
         e AS (SELECT z.*, c.*, (SELECT CAST(ceil(count(*) / 10000.0) AS BIGINT) FROM z WHERE split = 'test') AS nb
               FROM z, c WHERE split = 'test'),
         d AS (SELECT e.*, rep, {hash_sql("l_orderkey, l_partkey, l_suppkey, l_linenumber, rep", "perm42")} AS h
-              FROM e, (SELECT unnest(range(1, 4)) AS rep)),
+              FROM e, (SELECT unnest(range(1, 6)) AS rep)),
         o AS (SELECT *, coalesce(lead(z1) OVER w, first_value(z1) OVER u) AS o1,
                      coalesce(lead(z2) OVER w, first_value(z2) OVER u) AS o2 FROM d
               WINDOW w AS (PARTITION BY rep, h % nb ORDER BY h, l_orderkey, l_partkey, l_suppkey, l_linenumber),
@@ -620,6 +721,7 @@ QUERIES = {
     "search_best": (search_best, _search_sql(WIDE_GRIDS["ridge"]["alpha"], 5)),
     "random_search_trees": (random_search_trees, None),
     "study_resumed": (study_resumed, None),
+    "study_two_features": (study_two_features, _study_sql()),
     "study_history": (study_history, """
         SELECT user_id::VARCHAR AS study, event_id AS trial, value,
                max(value) OVER (PARTITION BY user_id ORDER BY event_id) AS best FROM events"""),
