@@ -7,6 +7,7 @@ import pytest
 import verify
 from __spark_entry__ import entry, oracle_sql, queries
 from conftest import SMALL
+from loomstat.plans.catalog import catalog
 
 SQL = oracle_sql()
 
@@ -16,7 +17,7 @@ def con():
     return verify.connect(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(catalog()))
 def test_query(spark, con, name):
     got = verify.spark_rows(queries()[name](spark, SMALL))
     if name in SQL:
