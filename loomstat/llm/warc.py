@@ -236,7 +236,8 @@ def assemble(records: DataFrame) -> DataFrame:
     rows) give several rows, the n-th of each kind together.
     """
     main = F.col("type").isin("response", "revisit")
-    records = records.where(main | F.col("type").isin("request", "metadata"))
+    # Read once, and known in size to the joins below.
+    records = stored(records.where(main | F.col("type").isin("request", "metadata")), "records")
     part = F.struct(*records.columns)
     answers = records.where(main)
     others = records.where(~main).select("record_id", "concurrent_to", "type", part.alias("r"))
