@@ -2,8 +2,9 @@
 
 The kernel is replaced by a random feature map (random Fourier features for ``rbf``,
 products of random projections for ``poly``, the identity for ``linear``).  The
-epsilon-insensitive loss is minimised by reweighted least squares: each step is one
-weighted ``LinearRegression`` over the rows outside the tube.
+epsilon-insensitive loss is minimised by reweighted least squares until the objective stands
+still: each step reads the rows once, and gets from the same pass the objective of the last
+solution and the weighted sums of products that give the next one.
 """
 
 from __future__ import annotations
@@ -14,18 +15,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..fixed import SEED
 
 # Fixed value: degree of the polynomial kernel.
 POLY_DEGREE = 3
 
+# The steps end when the objective falls by less than this share.
+TOLERANCE = 1e-4
+
 
 @dataclass(frozen=True)
 class FeatureMap:
@@ -44,40 +45,40 @@ class FeatureMap:
                     rng.uniform(0.0, 2.0 * math.pi, self.size))
         return rng.choice([-1.0, 1.0], (POLY_DEGREE, self.width, self.size)), np.zeros(self.size)
 
-    def apply(self, df: DataFrame, vector: str, out: str) -> DataFrame:
-        """Add the mapped vector."""
+    @property
+    def outputs(self) -> int:
+        return self.width if self.kernel == "linear" else self.size
+
+    def function(self):
+        """The map as a function of a matrix of rows."""
         if self.kernel == "linear":
-            return df.withColumn(out, F.col(vector))
+            return lambda x: x
         weights, offset = self.draw()
-        kernel, gamma, size = self.kernel, self.gamma, self.size
-        source = df.withColumn("_x", vector_to_array(vector)).drop(vector)
-        schema = T.StructType([*source.schema.fields, T.StructField("_z", T.ArrayType(T.DoubleType()))])
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    x = np.stack(batch["_x"].to_numpy())
-                    if kernel == "rbf":
-                        z = math.sqrt(2.0 / size) * np.cos(x @ weights + offset)
-                    else:
-                        z = math.sqrt(gamma ** POLY_DEGREE / size) * np.prod([x @ w for w in weights], axis=0)
-                    yield batch.assign(_z=list(z))
-
-        mapped = source.mapInPandas(run, schema)
-        return mapped.withColumn(vector, array_to_vector("_x")).withColumn(out, array_to_vector("_z")).drop("_x", "_z")
+        gamma, size = self.gamma, self.size
+        if self.kernel == "rbf":
+            return lambda x: math.sqrt(2.0 / size) * np.cos(x @ weights + offset)
+        return lambda x: math.sqrt(gamma ** POLY_DEGREE / size) * np.prod([x @ w for w in weights], axis=0)
 
 
 @dataclass(frozen=True)
 class KernelModel:
-    """A fitted model with the losses of its steps."""
+    """A fitted model with the objectives of its steps."""
 
     map: FeatureMap
-    linear: LinearRegressionModel
+    coefficients: tuple[float, ...]
+    intercept: float
     losses: tuple[float, ...] = ()
 
     def transform(self, df: DataFrame, vector: str, prediction: str) -> DataFrame:
-        mapped = self.map.apply(df, vector, "_mapped")
-        return self.linear.setFeaturesCol("_mapped").setPredictionCol(prediction).transform(mapped).drop("_mapped")
+        mapped, slopes, intercept = self.map.function(), np.array(self.coefficients), self.intercept
+
+        @F.pandas_udf("double")
+        def predicted(x: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([], dtype=float)
+            return pd.Series(mapped(np.stack(x.to_numpy())) @ slopes + intercept)
+
+        return df.withColumn(prediction, predicted(vector_to_array(vector)))
 
 
 def default_gamma(df: DataFrame, vector: str, width: int) -> float:
@@ -90,42 +91,79 @@ def default_gamma(df: DataFrame, vector: str, width: int) -> float:
     return 1.0 / (width * variance) if variance > 0 else 1.0
 
 
+def _pass(rows: DataFrame, fmap: FeatureMap, epsilon: float, solution: tuple[np.ndarray, float] | None) -> tuple[float, np.ndarray]:
+    """Sum of the losses of a solution, and the weighted products of (1, features, target) for the next.
+
+    Without a solution every row weighs 1 and its target is the label: a plain ridge fit.
+    Otherwise each side of the loss, max(0, u), is bounded by (u + a)² / 4a with a = |u| at the last
+    solution.  The bounds touch the loss there, so a step never raises the objective.
+    """
+    size = fmap.outputs + 2
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mapped, total, loss = fmap.function(), np.zeros((size, size)), 0.0
+        for batch in batches:
+            for start in range(0, len(batch), 4096):
+                part = batch.iloc[start:start + 4096]
+                z, y = mapped(np.stack(part["x"].to_numpy())), part["y"].to_numpy(dtype=float)
+                weight, target = np.ones(len(y)), y
+                if solution is not None:
+                    miss = y - z @ solution[0] - solution[1]
+                    over = np.maximum(np.abs(miss) - epsilon, 0.0)
+                    loss += over.sum()
+                    above, below = (np.maximum(np.abs(side), 1e-6) for side in (miss - epsilon, miss + epsilon))
+                    weight = 0.25 / above + 0.25 / below
+                    target = y + (0.25 * (above - epsilon) / above + 0.25 * (epsilon - below) / below) / weight
+                whole = np.hstack([np.ones((len(y), 1)), z, target[:, None]])
+                total += whole.T @ (whole * weight[:, None])
+        yield pd.DataFrame({"row": np.arange(-1, size), "v": [[loss], *map(list, total)]})
+
+    def added(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"row": [group["row"].iloc[0]], "v": [np.sum(np.vstack(group["v"].to_numpy()), axis=0)]})
+
+    found = rows.mapInPandas(products, "row int, v array<double>").groupBy("row").applyInPandas(added, "row int, v array<double>")
+    total, loss = np.zeros((size, size)), 0.0
+    for r in found.collect():
+        if r.row < 0:
+            loss = r.v[0]
+        else:
+            total[r.row] = r.v
+    return loss, total
+
+
+def _solve(total: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
+    """Minimises the weighted squared error plus ``penalty`` times the squared slopes."""
+    weight, sx, sy = total[0, 0], total[0, 1:-1], total[0, -1]
+    mx, my = sx / weight, sy / weight
+    xx = total[1:-1, 1:-1] - weight * np.outer(mx, mx) + penalty * np.eye(len(sx))
+    slopes = np.linalg.lstsq(xx, total[1:-1, -1] - weight * mx * my, rcond=None)[0]
+    return slopes, float(my - slopes @ mx)
+
+
 def fit_kernel(df: DataFrame, label: str, vector: str = "features", C: float = 1.0, epsilon: float = 0.1,
-               gamma: float | None = None, kernel: str = "rbf", size: int = 128, steps: int = 8,
-               seed: int = SEED) -> KernelModel:
-    """Minimise ½|w|² + C·Σ max(0, |y - f| - ε); the step with the lowest objective is kept."""
+               gamma: float | None = None, kernel: str = "rbf", size: int = 128, steps: int = 100,
+               seed: int = SEED, tolerance: float = TOLERANCE) -> KernelModel:
+    """Minimise ½|w|² + C·Σ max(0, |y - f| - ε); the step with the lowest objective is kept.
+
+    The steps end when the objective falls by less than ``tolerance`` of itself, at the latest after
+    ``steps``.
+    """
     width = len(df.select(vector).first()[0])
     if kernel != "linear" and gamma is None:
         gamma = default_gamma(df, vector, width)
     fmap = FeatureMap(kernel, width, gamma or 0.0, size, seed)
-    rows = fmap.apply(df.select(vector, F.col(label).alias("_y")), vector, "_mapped").select("_mapped", "_y")
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        best, losses = None, []
-        # The first step is a plain ridge fit on all rows.
-        work = rows.select("_mapped", F.col("_y").alias("_t"), F.lit(1.0).alias("_w"))
-        s = rows.agg(F.count(F.lit(1)).cast("double").alias("w"), F.var_pop("_y").alias("v")).first()
-        total, spread = s["w"], math.sqrt(s["v"] or 0.0)
-        for _ in range(steps):
-            linear = LinearRegression(featuresCol="_mapped", labelCol="_t", weightCol="_w", predictionCol="_p",
-                                      solver="normal", standardization=False,
-                                      regParam=spread / (C * total)).fit(work)
-            miss = F.col("_y") - F.col("_p")
-            over = F.greatest(F.abs(miss) - F.lit(epsilon), F.lit(0.0))
-            # Outside the tube the loss is linear: weight 1/|distance to the tube| makes its square match.
-            weight = F.when(over > 0, 1.0 / F.greatest(over, F.lit(1e-3 * max(epsilon, 1e-3)))).otherwise(0.0)
-            scored = linear.transform(rows).select("_mapped", (F.col("_y") - F.signum(miss) * F.lit(epsilon)).alias("_t"),
-                                                   weight.alias("_w"), over.alias("_o"))
-            s = scored.agg(F.sum("_o").alias("over"), F.sum("_w").alias("w"), F.sum(F.expr("_w * _t")).alias("wt"),
-                           F.sum(F.expr("_w * _t * _t")).alias("wtt")).first()
-            objective = 0.5 * float(np.square(linear.coefficients.toArray()).sum()) + C * s["over"]
-            losses.append(objective)
-            if best is None or objective < best[0]:
-                best = (objective, linear)
-            if not s["w"]:
+    rows = df.select(vector_to_array(vector).alias("x"), F.col(label).cast("double").alias("y"))
+    best, losses, solution = None, [], None
+    for step in range(steps + 1):
+        loss, total = _pass(rows, fmap, epsilon, solution)
+        if solution is not None:
+            losses.append(0.5 * float(solution[0] @ solution[0]) + C * loss)
+            last = best[0] if best is not None else math.inf
+            if losses[-1] < last:
+                best = (losses[-1], solution)
+            if losses[-1] > last * (1 - tolerance) or not total[0, 0]:
                 break
-            total, spread = s["w"], math.sqrt(max(s["wtt"] / s["w"] - (s["wt"] / s["w"]) ** 2, 0.0))
-            work = scored.filter("_w > 0").select("_mapped", "_t", "_w")
-        return KernelModel(fmap, best[1], tuple(losses))
-    finally:
-        rows.unpersist()
+        if step < steps:
+            solution = _solve(total, 0.5 / C)
+    (slopes, intercept) = best[1]
+    return KernelModel(fmap, tuple(map(float, slopes)), intercept, tuple(losses))

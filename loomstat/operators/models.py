@@ -181,8 +181,8 @@ class Fitted:
         for target in [] if self.family == "knn" else self.targets:
             part = self.parts[target]
             if isinstance(part, KernelModel):
-                about.setdefault("maps", {})[target] = asdict(part.map)
-                part = part.linear
+                about.setdefault("kernels", {})[target] = asdict(part)
+                continue
             part.write().overwrite().save(f"{path}/target={target}")
         save_metadata(spark, about, f"{path}/about")
 
@@ -192,12 +192,15 @@ class Fitted:
         family, parts = about["family"], {}
         if family == "knn":
             parts["rows"] = spark.read.parquet(f"{path}/rows")
-        readers = {"linear": LinearRegressionModel, "ridge": LinearRegressionModel, "svr": LinearRegressionModel,
+        readers = {"linear": LinearRegressionModel, "ridge": LinearRegressionModel,
                    "random_forest": RandomForestRegressionModel, "gradient_boosting": GBTRegressionModel,
                    "xgboost": GBTRegressionModel}
         for target in [] if family == "knn" else about["targets"]:
-            part = readers[family].load(f"{path}/target={target}")
-            parts[target] = KernelModel(FeatureMap(**about["maps"][target]), part) if family == "svr" else part
+            if family == "svr":
+                kept = about["kernels"][target]
+                parts[target] = KernelModel(**{**kept, "map": FeatureMap(**kept["map"])})
+            else:
+                parts[target] = readers[family].load(f"{path}/target={target}")
         return Fitted(about["name"], family, about["targets"], about["params"], parts, about.get("width"))
 
 

@@ -655,7 +655,7 @@ QUERIES = {
     "gbt_fit": (_fit_query("gradient_boosting", n_estimators=50), None),
     "gbt_regularised_fit": (_fit_query("xgboost", n_estimators=50, max_depth=4, gamma=0.0, min_child_weight=5,
                                        subsample=0.8, colsample_bytree=0.8), None),
-    "svr_rff_fit": (_fit_query("svr", C=1.0, epsilon=0.1, size=32, steps=4), None),
+    "svr_rff_fit": (_fit_query("svr", C=1.0, epsilon=0.1), None),
     "linear_importances": (linear_importances, _two_feature_sql() + """
         SELECT 'Linear Regression' AS "Model", 'charge' AS "Target", 'l_extendedprice' AS "Feature",
                round(abs(b1) / (abs(b1) + abs(b2)), 6) AS "Importance" FROM c

@@ -181,6 +181,7 @@ def test_nearest_with_few_rows(spark):
 def test_kernel_loss_falls_and_map_approximates(spark, ready):
     fitted = fit_kernel(ready.train, "label_t", size=64, steps=6)
     assert min(fitted.losses) < fitted.losses[0]
+    assert all(b <= a * (1 + 1e-9) for a, b in zip(fitted.losses, fitted.losses[1:], strict=False))
     w, offset = FeatureMap("rbf", 2, 0.5, 20000, 1).draw()
     a, b = np.array([0.3, -0.2]), np.array([0.1, 0.7])
     za, zb = (np.sqrt(2 / 20000) * np.cos(v @ w + offset) for v in (a, b))
@@ -189,6 +190,24 @@ def test_kernel_loss_falls_and_map_approximates(spark, ready):
         assert fit_kernel(ready.train, "label_t", kernel=kernel, size=64, steps=3).losses
 
 
+def test_linear_kernel_reaches_the_optimum(spark):
+    """No small move of the solution lowers the objective."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(80, 2))
+    y = x @ [2.0, -1.0] + 3 + rng.standard_t(2, size=80)
+    df = spark.createDataFrame([([float(a) for a in r], float(t)) for r, t in zip(x, y, strict=True)], "x array<double>, y double")
+    fitted = fit_kernel(df.select(array_to_vector("x").alias("features"), "y"), "y", kernel="linear", C=0.5, epsilon=0.2, tolerance=1e-7)
+
+    def objective(w, b):
+        return 0.5 * w @ w + 0.5 * np.maximum(np.abs(y - x @ w - b) - 0.2, 0).sum()
+
+    w, b = np.array(fitted.coefficients), fitted.intercept
+    assert objective(w, b) == pytest.approx(min(fitted.losses))
+    for move in np.eye(3) * 0.02:
+        for sign in (-1, 1):
+            assert objective(w + sign * move[:2], b + sign * move[2]) > objective(w, b) * (1 - 1e-3)
+
+
 def test_metrics_edge_cases(spark):
     rows = [("const", 1.0, 1.0), ("const", 1.0, 1.0), ("off", 1.0, 2.0), ("off", 1.0, 1.0), ("one", 1.0, 3.0),
             ("good", 1.0, 1.0), ("good", 3.0, 3.0)]
