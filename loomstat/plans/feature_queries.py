@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,6 +112,17 @@ def onehot_columns(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(fitted.transform_columns(parts, ["p_partkey"]))
 
 
+def onehot_many_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Every order is a level of its own: as many features, each met once."""
+    orders = table(spark, folder, "orders").select("o_orderkey")
+    fitted = features.fit_preprocessor(orders, [], ["o_orderkey"])
+    rows = fitted.transform(orders, ["o_orderkey"])
+    met = rows.agg(Summarizer.numNonZeros(F.col("features")).alias("v"), F.count(F.lit(1)).alias("n"))
+    return met.select("n", F.lit(len(fitted.names)).cast("long").alias("levels"),
+                      F.aggregate(vector_to_array("v"), F.lit(0.0), lambda a, x: a + x).cast("long").alias("met"),
+                      F.array_max(vector_to_array("v")).cast("long").alias("most"))
+
+
 def transform_new_cycle(spark: SparkSession, folder: str) -> DataFrame:
     """Fitted on line items shipped before 1999, applied to the later ones."""
     rows = materialise(charges(spark, folder).select("l_shipdate", "p_size", "l_quantity", "l_extendedprice",
@@ -214,6 +227,9 @@ QUERIES = {
         """ + " UNION ALL ".join(f"""
         SELECT '{c}' AS name, (SELECT {c} FROM t GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS fill,
                count(DISTINCT {c}) AS levels, min({c}) AS first_level FROM t""" for c in ["p_brand", "p_type", "p_name"])),
+    "onehot_many_levels": (onehot_many_levels, """
+        SELECT sum(n)::BIGINT AS n, count(*) AS levels, sum(n)::BIGINT AS met, max(n) AS most
+        FROM (SELECT o_orderkey, count(*) AS n FROM orders GROUP BY 1)"""),
     "onehot_columns": (onehot_columns, f"""
         WITH p AS (SELECT p_partkey, p_type, CASE WHEN p_size NOT IN (7, 9) THEN CAST(p_size AS DOUBLE) END AS s,
                           {hash_sql("p_partkey", "42")} / 4294967296.0::DOUBLE >= 0.2 AS train FROM part),

@@ -253,12 +253,14 @@ def score_by_cycle(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def score_saved_models(spark: SparkSession, folder: str) -> DataFrame:
-    """Two models saved with a manifest, loaded and applied to the test rows; a broken one is skipped."""
+    """Models saved with a manifest, loaded and applied to the test rows; those of other targets or another width are skipped."""
     ready = _prepared(spark, folder, ["l_extendedprice", "l_discount"], [])
     path = scratch_path(spark, "models")
     fitted = [models.fit("linear", ready.train, ["charge"]),
               models.fit("ridge", ready.train, ["charge"], {"alpha": 100.0}),
               models.Fitted("Other Targets", "knn", ["net"], {}, {"rows": ready.test.select("l_orderkey")})]
+    narrow = _with_vector(ready.train.withColumn("_one", F.lit(1.0)), ["_one"])
+    fitted.append(models.fit("ridge", narrow, ["charge"], name="Other Width"))
     models.save_models(spark, fitted, path)
     scored, status = evaluate.score_saved(spark, path, ready.test, ready.targets, LINE_KEY)
     result = status.drop("reason").join(evaluate.metrics(scored), "Model", "left")
@@ -702,7 +704,7 @@ QUERIES = {
     "score_saved_models": (score_saved_models, " UNION ALL ".join(
         f"SELECT *, 'scored' AS status FROM ({_two_feature_metrics(m, a, '')} WHERE split = 'test')"
         for m, a in (("Linear Regression", 0.0), ("Ridge Regression", 100.0))) + """
-        UNION ALL SELECT 'Other Targets', NULL, NULL, NULL, NULL, 'skipped'"""),
+        UNION ALL SELECT unnest(['Other Targets', 'Other Width']), NULL, NULL, NULL, NULL, 'skipped'"""),
     "train_report": (train_report, None),
     "three_stage_comparison": (three_stage_comparison, None),
     "knn_topk": (knn_topk, _knn_sql(5, "list_distance(q.e, t.e)")),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean, distribution, profile
+from ..session import materialise
 from .tables import rounded, table
 
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_size", "p_retailprice"]
@@ -25,8 +26,8 @@ _SIZED = """(SELECT l_partkey, l_returnflag, l_quantity, l_extendedprice, l_disc
 
 
 def describe_numeric(spark: SparkSession, folder: str) -> DataFrame:
-    df = sized_lines(spark, folder)
-    return rounded(profile.describe(df, LINE_NUMBERS), 4)
+    # Stored: the summaries read the joined rows several times.
+    return rounded(profile.describe(materialise(sized_lines(spark, folder).select(*LINE_NUMBERS)), LINE_NUMBERS), 4)
 
 
 def describe_two_digits(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,7 +35,16 @@ def describe_two_digits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def corr_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(profile.correlation(sized_lines(spark, folder), LINE_NUMBERS))
+    return rounded(profile.correlation(materialise(sized_lines(spark, folder).select(*LINE_NUMBERS)), LINE_NUMBERS))
+
+
+def corr_with_nan(spark: SparkSession, folder: str) -> DataFrame:
+    """NaN counts as missing, for one pair as for many."""
+    events = table(spark, folder, "events").select(
+        F.when(F.col("event_type") == "error", float("nan")).otherwise(F.col("value")).alias("value"),
+        F.col("user_id").cast("double").alias("user"), F.when(F.col("event_type") != "view", F.col("event_id").cast("double")).alias("event"))
+    one = profile.correlation(events, ["value", "user"]).withColumn("columns", F.lit(2))
+    return rounded(one.unionByName(profile.correlation(events, ["value", "user", "event"]).withColumn("columns", F.lit(3))))
 
 
 def corr_matrix(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,6 +70,16 @@ def hist_fd(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(distribution.histogram(table(spark, folder, "events"), "value", "fd"), 4)
 
 
+def hist_fd_outlier(spark: SparkSession, folder: str) -> DataFrame:
+    """A far value asks for very many bins; all are listed, here counted, the used ones shown."""
+    events = table(spark, folder, "events").select("value")
+    far = events.agg((F.max("value") * 1000).alias("value"))
+    bins = distribution.histogram(events.unionByName(far), "value", "fd")
+    # Fixed-size result: how many bins there are in all beside each bin that holds rows.
+    total = bins.agg(F.count(F.lit(1)).alias("bins")).first()["bins"]
+    return bins.filter("n > 0").select("bin", "n", F.lit(total).cast("long").alias("bins"))
+
+
 def hist_density_by_group(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(distribution.histogram(table(spark, folder, "events"), "value", "auto", ["event_type"], True))
 
@@ -146,6 +166,19 @@ QUERIES = {
     "hist_30": (hist_30, _hist_sql("lineitem", "l_extendedprice", "30")),
     "hist_50_target": (hist_50_target, _hist_sql("orders", "o_totalprice", "50")),
     "hist_fd": (hist_fd, _hist_sql("events", "value", "ceil((hi - lo) / (2 * (q3 - q1) / n ** (1.0 / 3)))")),
+    "corr_with_nan": (corr_with_nan, """
+        WITH e AS (SELECT CASE WHEN event_type <> 'error' THEN value END AS v, user_id::DOUBLE AS u,
+                          CASE WHEN event_type <> 'view' THEN event_id::DOUBLE END AS i FROM events),
+        p AS (SELECT 'user' AS a, 'value' AS b, u AS x, v AS y FROM e UNION ALL SELECT 'event', 'value', i, v FROM e
+              UNION ALL SELECT 'event', 'user', i, u FROM e),
+        r AS (SELECT a, b, round(corr(x, y), 6) AS r, count(x + y) AS n FROM p GROUP BY 1, 2)
+        SELECT a, b, r, n, 2 AS columns FROM r WHERE a = 'user' UNION ALL SELECT a, b, r, n, 3 FROM r"""),
+    "hist_fd_outlier": (hist_fd_outlier, """
+        WITH v AS (SELECT value AS x FROM events WHERE value IS NOT NULL UNION ALL SELECT max(value) * 1000 FROM events),
+        q AS (SELECT min(x) AS lo, max(x) AS hi, 2 * (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / pow(count(*), 1.0 / 3) AS w FROM v),
+        b AS (SELECT *, ceil((hi - lo) / w)::BIGINT AS bins FROM q)
+        SELECT CAST(least(floor((x - lo) / ((hi - lo) / bins)), bins - 1) AS INT) AS bin, count(*) AS n, any_value(bins) AS bins
+        FROM v, b GROUP BY 1"""),
     "hist_density_by_group": (hist_density_by_group, """
         WITH s AS (SELECT min(value) AS lo, max(value) AS hi, count(value) AS n, quantile_cont(value, 0.25) AS q1,
                           quantile_cont(value, 0.75) AS q3 FROM events),
