@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .shared import drop_worker_cache
 
 #: Errors allowed, as a share of an item's words.
 ERRORS = 0.2
@@ -194,6 +195,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
         shared = spark.sparkContext.broadcast(index)
 
         def passed(batches, shared=shared):
+            drop_worker_cache()
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)
                 column = batch[names[at]].cast(pa.string())

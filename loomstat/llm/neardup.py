@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .components import components
-from .shared import stored
+from .shared import drop_worker_cache, stored
 
 BANDS, ROWS = 32, 4
 #: Classes of a block; a block pair is compared in one task.
@@ -180,6 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise TypeError(f"{id_col} must be an integer column")
 
     def signed(batches):
+        drop_worker_cache()
         for batch in batches:
             key, n, keys = _signed(batch["text"], size, bands, rows)
             flat = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.reshape(-1)))
@@ -211,9 +212,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def confirmed(batches):
         for batch in batches:
-            a, b = sets_of(batch["a"], size), sets_of(batch["b"], size)
-            yes = [alike(x, y, percent) for x, y in zip(a, b, strict=True)]
-            yield batch.filter(pa.array(yes, pa.bool_())).select(["u", "v"])
+            for row in range(0, batch.num_rows, 256):
+                part = batch.slice(row, 256)
+                yes = [alike(x, y, percent) for x, y in zip(sets_of(part["a"], size), sets_of(part["b"], size), strict=True)]
+                yield part.select(["u", "v"]).filter(pa.array(yes, pa.bool_()))
 
     both = pairs.join(bodies.toDF("v", "b"), "v").join(bodies.toDF("u", "a"), "u").select("u", "v", "a", "b")
     links = stored(both.mapInArrow(confirmed, "u long, v long"), "links")

@@ -50,6 +50,28 @@ def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+_cache: tuple[object, object] | None = None
+
+
+def worker_cache(key: object, make):
+    """What ``make`` returned for ``key``, kept by this Python worker for its next task.
+
+    A worker keeps one such thing: asking for another, or :func:`drop_worker_cache`, lets it go, so
+    that operators that follow each other on the same workers do not add up their memory.
+    """
+    global _cache
+    if _cache is None or _cache[0] != key:
+        drop_worker_cache()
+        _cache = (key, make())
+    return _cache[1]
+
+
+def drop_worker_cache() -> None:
+    global _cache
+    _cache = None
+    pa.default_memory_pool().release_unused()
+
+
 class WholeFile:
     """Writes a file under a passing name and gives it its own name when closed without an error.
 

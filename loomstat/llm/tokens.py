@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .shared import WholeFile, open_folder, shuffle_width
+from .shared import WholeFile, open_folder, shuffle_width, worker_cache
 
 MAGIC = b"LOOMIDS1"
 TRAILER = struct.Struct("<8sQQQQQQ8x")
@@ -75,14 +75,9 @@ class Encoder:
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
-#: Encoders of this process, so that its next task starts with what the last one learned.
-_encoders: dict[tuple[str, int], Encoder] = {}
-
-
 def encoder_of(path: str, width: int) -> Encoder:
-    if (path, width) not in _encoders:
-        _encoders[path, width] = Encoder(path, width)
-    return _encoders[path, width]
+    """The worker's encoder, with what its last task learned."""
+    return worker_cache(("tokens", path, width), lambda: Encoder(path, width))
 
 
 def id_width(path: str) -> int:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .shared import remainder, seeded_sample, stored
+from .shared import drop_worker_cache, remainder, seeded_sample, stored
 
 STRIPPED = ".,;:!?\"'()[]{}<>*%&$#|~_=+/\\-«»“”„‘’…¡¿"
 CLAUSE_END = tuple(".,;:!?…")
@@ -371,12 +371,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
     clash = {score_col, predicted_col, *(["patterns"] if patterns else [])} & set(keep)
     if clash:
         raise ValueError(f"columns {sorted(clash)} exist already; name others")
-    hidden = "_scored_text"
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias(hidden))
+    # A text that stays is sent to the workers once.
+    stays = text_col in keep and docs.schema[text_col].dataType.typeName() == "string"
+    hidden = text_col if stays else "_scored_text"
+    rows = docs.select(*keep) if stays else docs.select(*keep, F.col(text_col).cast("string").alias(hidden))
     extra = f"{score_col} double, {predicted_col} int" + ", patterns map<string,long>" * patterns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), extra])
 
     def scored(batches):
+        drop_worker_cache()
         matcher = Matcher(model.lexicon)
         for batch in batches:
             counts = _counts(matcher, batch[hidden].to_pylist())

@@ -88,3 +88,15 @@ def test_string_ids_and_empty_table(spark, tmp_path):
     assert K.read_shards(spark, str(tmp_path / "e")).count() == 0
     with pytest.raises(ValueError, match="end id"):
         K.write_shards(docs, str(tmp_path / "x"), PATH, 1 << 16)
+
+
+def test_a_worker_keeps_one_thing():
+    from loomstat.llm import shared
+
+    made = []
+    make = lambda x: made.append(x) or x
+    assert shared.worker_cache("a", lambda: make(1)) == shared.worker_cache("a", lambda: make(2)) == 1
+    assert shared.worker_cache("b", lambda: make(3)) == 3
+    assert shared.worker_cache("a", lambda: make(4)) == 4
+    shared.drop_worker_cache()
+    assert made == [1, 3, 4] and shared._cache is None
