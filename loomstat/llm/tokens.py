@@ -44,7 +44,7 @@ GAMMA = 2.0
 MAX_LEVELS = 40
 #: Text encoded at once, and ids written or checked at once.
 PIECE = 4 << 20
-MEMO = 600_000
+MEMO = 1_200_000
 
 
 class Encoder:
