@@ -232,7 +232,6 @@ def repeated_spans(texts: DataFrame, window: int, prefix: int, filter_bytes: int
 
         def pieces(batches, shared=shared):
             for batch in batches:
-                row, out = [], {"prefix": [], "lo": [], "body": [], "windows": []}
                 for top, _, words in T.chunks(batch["text"], fold=False):
                     i0, i1, _, key = anchors(words, window, prefix)
                     lvl = shared.value.levels(key, 1)
@@ -242,19 +241,14 @@ def repeated_spans(texts: DataFrame, window: int, prefix: int, filter_bytes: int
                     i0, i1, key, lvl = i0[keep], i1[keep], key[keep], lvl[keep]
                     doc = np.searchsorted(words.first, i0, side="right") - 1
                     whole, limits = words.runs(window)
-                    first_run = limits[doc] + i0 - words.first[doc]
-                    row += (top + doc).tolist()
-                    out["prefix"] += key.view(np.int64).tolist()
-                    out["lo"] += (i0 - words.first[doc]).tolist()
+                    whole, at = whole.view(np.int64), limits[doc] + i0 - words.first[doc]
                     hot = lvl >= hot_level
-                    for k in range(len(i0)):
-                        out["body"].append(None if hot[k] else words.raw(i0[k], i1[k] + window))
-                        out["windows"].append(whole[first_run[k] : first_run[k] + i1[k] - i0[k] + 1].view(np.int64) if hot[k] else None)
-                take = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch["id"].take(take), batch["key"].take(take), pa.array(out["prefix"], pa.int64()),
-                     pa.array(out["lo"], pa.int64()), pa.array(out["body"], pa.binary()),
-                     pa.array(out["windows"], pa.list_(pa.int64()))], ["id", "key", "prefix", "lo", "body", "windows"])
+                    take = pa.array(top + doc)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch["id"].take(take), batch["key"].take(take), pa.array(key.view(np.int64)), pa.array(i0 - words.first[doc]),
+                         pa.array([None if h else words.raw(a, b + window) for h, a, b in zip(hot, i0, i1, strict=True)], pa.binary()),
+                         pa.array([whole[a : a + n] if h else None for h, a, n in zip(hot, at, i1 - i0 + 1, strict=True)], pa.list_(pa.int64()))],
+                        ["id", "key", "prefix", "lo", "body", "windows"])
 
         around = stored(texts.mapInArrow(
             pieces, f"id {id_type}, key long, prefix long, lo long, body binary, windows array<long>"), "pieces")
