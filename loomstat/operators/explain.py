@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +18,7 @@ from ..fixed import SEED
 from ..functions.columns import base_feature_name, key_hash
 from ..session import counted_broadcast
 from .evaluate import metrics
+from .kernel import KernelModel
 from .models import Fitted, label_column, prediction_column
 
 # Rows that trade values with each other in one window of the permutation.
@@ -91,7 +96,9 @@ def permutation_importance(model: Fitted, rows: DataFrame, key: Sequence[str], n
 
     In every repeat the rows fall into hash buckets of bounded size; inside a bucket, in
     hash order, each row takes the feature value of the next one.  That is a permutation
-    that needs no global order.  All repeats and features are scored in one job.
+    that needs no global order.  All repeats and features are scored in one job.  Linear models and
+    kernel regression swap the features inside the tasks, which pass on sums; trees and neighbours
+    take one row per feature and repeat.
     """
     n = rows.count()
     buckets = max(1, math.ceil(n / bucket_rows))
@@ -102,25 +109,79 @@ def permutation_importance(model: Fitted, rows: DataFrame, key: Sequence[str], n
     order = W.partitionBy("_rep", "_b").orderBy("_h", *key)
     whole = W.partitionBy("_rep", "_b").orderBy("_h", *key).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     paired = drawn.withColumn("_other", F.coalesce(F.lead("_x").over(order), F.first("_x").over(whole)))
-    swapped = paired.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1)))).withColumn(
-        "_x", F.transform("_x", lambda v, i: F.when(i == F.col("_j"), F.get(F.col("_other"), F.col("_j"))).otherwise(v)))
-    asked = swapped.withColumn("features", array_to_vector("_x")).select(*key, "_rep", "_j", *labels, "features")
-    predicted = model.predict(asked, [*key, "_rep", "_j"])
-    plain = model.predict(rows.select(*key, *labels, "features"), key)
     feature = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("_j") + 1)
-    parts = []
-    for target in model.targets:
-        true, guess = label_column(target), prediction_column(target)
-        whole_r2 = metrics(plain.filter(F.col(true).isNotNull()).withColumn("_t", F.lit(target)), ["_t"], true, guess)
-        shuffled = metrics(predicted.filter(F.col(true).isNotNull()).withColumn("_t", F.lit(target)),
-                           ["_t", "_rep", "_j"], true, guess)
-        drop = shuffled.select("_t", "_j", F.col("R2").alias("_after")).join(
-            whole_r2.select("_t", F.col("R2").alias("_before")), "_t")
-        fall = F.col("_before") - F.col("_after")
-        parts.append(drop.groupBy("_t", "_j").agg(F.avg(fall).alias("Importance"), F.stddev_pop(fall).alias("Deviation"))
-                     .select(F.lit(model.name).alias("Model"), F.col("_t").alias("Target"), feature.alias("Feature"),
-                             "Importance", "Deviation"))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    plain = model.predict(rows.select(*key, *labels, "features"), key)
+    inside = {t: numpy_prediction(model.parts.get(t)) for t in model.targets}
+    if all(f is not None for f in inside.values()):
+        shuffled = _swapped_errors(paired, model.targets, inside, len(names))
+    else:
+        swapped = paired.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1)))).withColumn(
+            "_x", F.transform("_x", lambda v, i: F.when(i == F.col("_j"), F.get(F.col("_other"), F.col("_j"))).otherwise(v)))
+        asked = swapped.withColumn("features", array_to_vector("_x")).select(*key, "_rep", "_j", *labels, "features")
+        predicted = model.predict(asked, [*key, "_rep", "_j"])
+        entries = F.explode(F.array(*[
+            F.struct(F.lit(t).alias("_t"), F.col(label_column(t)).cast("double").alias("_true"), F.col(prediction_column(t)).alias("_guess"))
+            for t in model.targets])).alias("_e")
+        shuffled = metrics(predicted.select("_rep", "_j", entries).select("_rep", "_j", "_e.*").filter("_true is not null"),
+                           ["_t", "_rep", "_j"], "_true", "_guess").select("_t", "_rep", "_j", "R2")
+    entries = F.explode(F.array(*[
+        F.struct(F.lit(t).alias("_t"), F.col(label_column(t)).cast("double").alias("_true"), F.col(prediction_column(t)).alias("_guess"))
+        for t in model.targets])).alias("_e")
+    before = metrics(plain.select(entries).select("_e.*").filter("_true is not null"), ["_t"], "_true", "_guess")
+    drop = shuffled.select("_t", "_j", F.col("R2").alias("_after")).join(before.select("_t", F.col("R2").alias("_before")), "_t")
+    fall = F.col("_before") - F.col("_after")
+    return drop.groupBy("_t", "_j").agg(F.avg(fall).alias("Importance"), F.stddev_pop(fall).alias("Deviation")).select(
+        F.lit(model.name).alias("Model"), F.col("_t").alias("Target"), feature.alias("Feature"), "Importance", "Deviation")
+
+
+def numpy_prediction(part):
+    """A function (rows, partner rows) → predictions with each feature swapped, one column per feature; None for trees and neighbours."""
+    if isinstance(part, LinearRegressionModel):
+        slopes, intercept = part.coefficients.toArray(), float(part.intercept)
+        return lambda x, other: (x @ slopes + intercept)[:, None] + (other - x) * slopes[None, :]
+    if isinstance(part, KernelModel):
+        mapped, slopes, intercept = part.map.function(), np.array(part.coefficients), part.intercept
+
+        def swapped(x, other):
+            out = np.empty(x.shape)
+            for j in range(x.shape[1]):
+                own = x[:, j].copy()
+                x[:, j] = other[:, j]
+                out[:, j] = mapped(x) @ slopes + intercept
+                x[:, j] = own
+            return out
+
+        return swapped
+    return None
+
+
+def _swapped_errors(paired: DataFrame, targets: Sequence[str], inside: Mapping[str, Any], width: int) -> DataFrame:
+    """(_t, _rep, _j, R2) without a row per feature: tasks swap inside their batches and pass on sums."""
+    targets = list(targets)
+    lean = paired.select("_rep", "_x", "_other", *[F.col(label_column(t)).cast("double").alias(f"_y{i}") for i, t in enumerate(targets)])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for start in range(0, len(batch), 2048):
+                part = batch.iloc[start:start + 2048]
+                x, other = np.stack(part["_x"].to_numpy()).astype(float), np.stack(part["_other"].to_numpy()).astype(float)
+                reps = part["_rep"].to_numpy()
+                for i, t in enumerate(targets):
+                    y = part[f"_y{i}"].to_numpy(dtype=float)
+                    there = ~np.isnan(y)
+                    error = (y[there, None] - inside[t](x[there], other[there])) ** 2
+                    for rep in np.unique(reps[there]):
+                        own = reps[there] == rep
+                        got = np.concatenate([[own.sum(), y[there][own].sum(), (y[there][own] ** 2).sum()], error[own].sum(axis=0)])
+                        total[i, int(rep)] = total.get((i, int(rep)), 0) + got
+        rows = [(i, rep, j, v[0], v[1], v[2], v[3 + j]) for (i, rep), v in total.items() for j in range(width)]
+        yield pd.DataFrame(rows, columns=["i", "_rep", "_j", "n", "s", "ss", "e"])
+
+    added = lean.mapInPandas(sums, "i int, _rep int, _j int, n double, s double, ss double, e double").groupBy("i", "_rep", "_j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "s", "ss", "e")])
+    spread = F.expr("ss - s * s / n")
+    r2 = F.when(F.col("n") < 2, F.lit(None).cast("double")).when(spread > 1e-24 * F.col("ss"), 1 - F.col("e") / spread).otherwise(
+        F.when(F.col("e") == 0, 1.0).otherwise(0.0))
+    name = F.element_at(F.array(*[F.lit(t) for t in targets]), F.col("i") + 1)
+    return added.select(name.alias("_t"), "_rep", "_j", r2.alias("R2"))

@@ -242,6 +242,22 @@ def test_permutation_ranks_features(ready, bucket):
     assert got["num__a"] > got["num__b"] > 0.05 > abs(got["cat__c_u"])
 
 
+@pytest.mark.parametrize(("family", "params"), [("ridge", {"alpha": 2.0}), ("svr", {"size": 32, "steps": 5})])
+def test_swapping_inside_tasks_as_row_by_row(ready, monkeypatch, family, params):
+    fitted = models.fit(family, ready.train, ["t"], params)
+
+    def run():
+        rows = explain.permutation_importance(fitted, ready.test, ["k"], ready.preprocessor.names, 2, bucket_rows=20).collect()
+        return {r.Feature: (r.Importance, r.Deviation) for r in rows}
+
+    inside = run()
+    monkeypatch.setattr(explain, "numpy_prediction", lambda part: None)
+    outside = run()
+    assert inside.keys() == outside.keys() == set(ready.preprocessor.names)
+    for name in inside:
+        assert inside[name] == pytest.approx(outside[name], rel=1e-9, abs=1e-9)
+
+
 def test_permutation_for_neighbours(ready):
     fitted = models.fit("knn", ready.train, ["t"], {"n_neighbors": 5}, ["k"])
     got = explain.permutation_importance(fitted, ready.test, ["k"], ready.preprocessor.names, 2)
