@@ -11,10 +11,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
+from .shared import stored
 
 BITS_PER_EVENT = 8
 PROBES = 5
@@ -159,3 +163,69 @@ def shared_group(spark: SparkSession, built: DataFrame, segments: int, group: li
     """One group of segments, broadcast."""
     parts = {r.segment: bytes(r.bits) for r in built.where(F.col("segment").isin(group)).toLocalIterator()}
     return spark.sparkContext.broadcast(Filter.of(segments, parts))
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """``rows``: (id, key, text); stored with the number of the block of about a chunk of text that a row belongs to."""
+
+    def blocked(batches):
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            numbers = np.zeros(batch.num_rows, dtype=np.int64)
+            for row, end, _ in T.chunks(batch["text"], fold=False):
+                numbers[row:end] = block
+                block += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers)], ["id", "key", "text", "block"])
+
+    id_type = rows.schema["id"].dataType.simpleString()
+    return stored(rows.mapInArrow(blocked, f"id {id_type}, key long, text string, block long"), "blocks")
+
+
+def routed(blocks: DataFrame, built: DataFrame, segments: int, ask) -> DataFrame:
+    """(block, n, grams, levels): the grams of every block, sent to their segments and answered there.
+
+    The way for filters beyond the broadcast bound.  ``ask`` yields (order, distinct grams) of a
+    text column.  A block sends one row per segment; a segment answers in one task, whose rows
+    are a bounded share of all grams.
+    """
+
+    def asked(batches):
+        for batch in batches:
+            numbers = batch["block"].to_numpy()
+            cuts = np.flatnonzero(np.concatenate(([True], numbers[1:] != numbers[:-1], [True]))) if len(numbers) else np.zeros(1, int)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                for order, grams in ask(batch["text"].slice(a, b - a)):
+                    own = segment_of(grams, segments)
+                    by = np.argsort(own, kind="stable")
+                    grams, limits = grams[by], np.searchsorted(own[by], np.arange(segments + 1))
+                    full = np.flatnonzero(np.diff(limits))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(full), pa.array(np.full(len(full), numbers[a])), pa.array(np.full(len(full), order)),
+                         pa.array([grams[limits[x] : limits[x + 1]].tobytes() for x in full], pa.binary())],
+                        ["segment", "block", "n", "grams"])
+
+    def answered(key, left, right):
+        held = Filter.of(segments, {r["segment"]: r["bits"] for r in right.to_pylist()})
+        levels = [held.levels(np.frombuffer(r["grams"], np.uint64), r["n"]).tobytes() for r in left.to_pylist()]
+        return pa.table({"block": left["block"], "n": left["n"], "grams": left["grams"], "levels": pa.array(levels, pa.binary())})
+
+    asks = blocks.mapInArrow(asked, "segment long, block long, n long, grams binary")
+    return asks.groupBy("segment").cogroup(built.groupBy("segment")).applyInArrow(
+        answered, "block long, n long, grams binary, levels binary")
+
+
+class Answers:
+    """The levels of one block's grams, looked up as in a filter."""
+
+    def __init__(self, rows: pa.Table):
+        self.by_order = {}
+        for order in (1, 2):
+            own = rows.filter(pc.equal(rows["n"], order))
+            grams = np.frombuffer(b"".join(own["grams"].to_pylist()), np.uint64)
+            levels = np.frombuffer(b"".join(own["levels"].to_pylist()), np.uint8)
+            by = np.argsort(grams)
+            self.by_order[order] = grams[by], levels[by]
+
+    def levels(self, grams: np.ndarray, order: int) -> np.ndarray:
+        known, levels = self.by_order[order]
+        return levels[np.searchsorted(known, grams)]

@@ -6,8 +6,8 @@ A passage repeats if ``window`` consecutive words of a document also start anywh
    smallest hash (the first of equals) is its anchor.  Equal windows have equal anchors at the
    same place, so only suffixes at anchors need a prefix: about one word in fifteen.
 2. Prefix counts.  Anchors whose prefix occurs once are leaves of the suffix tree and end here.
-   The counts of the others go into a log-frequency Bloom filter of bounded size (more than one
-   pass over the text if it is larger); what it lets through wrongly only costs work.
+   The counts of the others go into a log-frequency Bloom filter, which is broadcast up to a bounded
+   size; beyond it anchors ask its segments.  What it lets through wrongly only costs work.
 3. Partition.  The words around the remaining anchors are dealt by prefix into groups that fit
    a task.  A prefix that is too frequent for that is extended to the whole window, whose
    subtree is a single deep node: there, a count says whether it is internal.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .bloom import FILTER_BYTES, Tally, build_segment, groups_of, segment_of, shared_group
+from .bloom import FILTER_BYTES, Answers, Tally, build_segment, groups_of, in_blocks, routed, segment_of, shared_group
 from .shared import stored
 
 #: Suffixes of one group, about, and the level from which a prefix is extended (2 ** 10 anchors).
@@ -219,6 +219,27 @@ def _hot_spans(pieces: DataFrame, window: int, n_hot: int, id_type: str, limit:
         found.append(pieces.mapInArrow(marked, f"id {id_type}, key long, lo long, hi long"))
     return found
 
+def _pieces(batch: pa.RecordBatch, held, window: int, prefix: int, hot_level: int):
+    """The words around the anchors whose prefixes occur twice or more; for hot prefixes the windows instead."""
+    for top, _, words in T.chunks(batch["text"], fold=False):
+        i0, i1, _, key = anchors(words, window, prefix)
+        lvl = held.levels(key, 1)
+        keep = np.flatnonzero(lvl > 0)
+        if not len(keep):
+            continue
+        i0, i1, key, lvl = i0[keep], i1[keep], key[keep], lvl[keep]
+        doc = np.searchsorted(words.first, i0, side="right") - 1
+        whole, limits = words.runs(window)
+        whole, at = whole.view(np.int64), limits[doc] + i0 - words.first[doc]
+        hot = lvl >= hot_level
+        take = pa.array(top + doc)
+        yield pa.RecordBatch.from_arrays(
+            [batch["id"].take(take), batch["key"].take(take), pa.array(key.view(np.int64)), pa.array(i0 - words.first[doc]),
+             pa.array([None if h else words.raw(a, b + window) for h, a, b in zip(hot, i0, i1, strict=True)], pa.binary()),
+             pa.array([whole[a : a + n] if h else None for h, a, n in zip(hot, at, i1 - i0 + 1, strict=True)], pa.list_(pa.int64()))],
+            ["id", "key", "prefix", "lo", "body", "windows"])
+
+
 def repeated_spans(texts: DataFrame, window: int, prefix: int, filter_bytes: int = FILTER_BYTES,
                    hot_level: int = HOT_LEVEL) -> DataFrame:
     """``texts``: (id, key, text); returns (id, key, lo, hi): words lo to before hi lie in repeats."""
@@ -226,57 +247,58 @@ def repeated_spans(texts: DataFrame, window: int, prefix: int, filter_bytes: int
     id_type = texts.schema["id"].dataType.simpleString()
     built, segments, n_anchors, n_hot = _repeated_prefixes(texts, window, prefix, hot_level)
     groups = max(LEAST_GROUPS, -(-n_anchors // GROUP))
-    found = []
-    for held in groups_of(built, filter_bytes):
-        shared = shared_group(spark, built, segments, held)
+    schema = f"id {id_type}, key long, prefix long, lo long, body binary, windows array<long>"
+    parts = groups_of(built, filter_bytes)
+    if len(parts) == 1:
+        shared = shared_group(spark, built, segments, parts[0])
 
-        def pieces(batches, shared=shared):
+        def pieces(batches):
             for batch in batches:
-                for top, _, words in T.chunks(batch["text"], fold=False):
-                    i0, i1, _, key = anchors(words, window, prefix)
-                    lvl = shared.value.levels(key, 1)
-                    keep = np.flatnonzero(lvl > 0)
-                    if not len(keep):
-                        continue
-                    i0, i1, key, lvl = i0[keep], i1[keep], key[keep], lvl[keep]
-                    doc = np.searchsorted(words.first, i0, side="right") - 1
-                    whole, limits = words.runs(window)
-                    whole, at = whole.view(np.int64), limits[doc] + i0 - words.first[doc]
-                    hot = lvl >= hot_level
-                    take = pa.array(top + doc)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch["id"].take(take), batch["key"].take(take), pa.array(key.view(np.int64)), pa.array(i0 - words.first[doc]),
-                         pa.array([None if h else words.raw(a, b + window) for h, a, b in zip(hot, i0, i1, strict=True)], pa.binary()),
-                         pa.array([whole[a : a + n] if h else None for h, a, n in zip(hot, at, i1 - i0 + 1, strict=True)], pa.list_(pa.int64()))],
-                        ["id", "key", "prefix", "lo", "body", "windows"])
-
-        around = stored(texts.mapInArrow(
-            pieces, f"id {id_type}, key long, prefix long, lo long, body binary, windows array<long>"), "pieces")
-
-        def subtree(group: pa.Table) -> pa.Table:
-            data, offsets = T.raw_text(group["body"].combine_chunks().cast(pa.string()))
-            words = T.words_of(data, offsets, fold=False)
-            depth = repeated_depth(words.hash, words.first)
-            at = np.flatnonzero(depth >= window)
-            piece = np.searchsorted(words.first, at, side="right") - 1
-            lo, hi = spans(covered(at, at + depth[at], len(words.hash)))
-            # Spans of neighbouring pieces can touch: cut them at the pieces.
-            cut = words.first[np.unique(piece)]
-            edges = np.unique(np.concatenate([lo, hi, cut, words.first[np.unique(piece) + 1]])) if len(lo) else np.zeros(0, np.int64)
-            inside = covered(lo, hi, len(words.hash))
-            pairs = [(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if inside[a]] if len(edges) else []
-            begin = np.array([p[0] for p in pairs], dtype=np.int64)
-            end = np.array([p[1] for p in pairs], dtype=np.int64)
-            own = np.searchsorted(words.first, begin, side="right") - 1
-            base = group["lo"].to_numpy()[own] - words.first[own]
-            take = pa.array(own)
-            return pa.table({"id": group["id"].take(take), "key": group["key"].take(take),
-                             "lo": pa.array(begin + base, pa.int64()), "hi": pa.array(end + base, pa.int64())})
-
-        cold = around.where("body is not null").withColumn("part", F.pmod(F.xxhash64("prefix"), F.lit(groups)))
-        cold = cold.select("part", "id", "key", "lo", "body").groupBy("part")
-        found.append(cold.applyInArrow(subtree, f"id {id_type}, key long, lo long, hi long"))
-        found += _hot_spans(around.where("windows is not null").select("id", "key", "lo", "windows"), window, n_hot, id_type, filter_bytes)
+                yield from _pieces(batch, shared.value, window, prefix, hot_level)
+
+        around = stored(texts.mapInArrow(pieces, schema), "pieces")
+        shared.destroy()
+    else:
+        blocks = in_blocks(texts)
+
+        def asked(column):
+            for _, _, words in T.chunks(column, fold=False):
+                yield 1, np.unique(anchors(words, window, prefix)[3])
+
+        def block_pieces(left: pa.Table, right: pa.Table) -> pa.Table:
+            held = Answers(right)
+            found = [p for b in left.combine_chunks().to_batches() for p in _pieces(b, held, window, prefix, hot_level)]
+            empty = pa.schema([("id", left.schema.field("id").type), ("key", pa.int64()), ("prefix", pa.int64()), ("lo", pa.int64()),
+                               ("body", pa.binary()), ("windows", pa.list_(pa.int64()))])
+            return pa.Table.from_batches(found) if found else empty.empty_table()
+
+        answers = routed(blocks, built, segments, asked)
+        around = stored(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(block_pieces, schema), "pieces")
+
+    def subtree(group: pa.Table) -> pa.Table:
+        data, offsets = T.raw_text(group["body"].combine_chunks().cast(pa.string()))
+        words = T.words_of(data, offsets, fold=False)
+        depth = repeated_depth(words.hash, words.first)
+        at = np.flatnonzero(depth >= window)
+        piece = np.searchsorted(words.first, at, side="right") - 1
+        lo, hi = spans(covered(at, at + depth[at], len(words.hash)))
+        # Spans of neighbouring pieces can touch: cut them at the pieces.
+        cut = words.first[np.unique(piece)]
+        edges = np.unique(np.concatenate([lo, hi, cut, words.first[np.unique(piece) + 1]])) if len(lo) else np.zeros(0, np.int64)
+        inside = covered(lo, hi, len(words.hash))
+        pairs = [(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if inside[a]] if len(edges) else []
+        begin = np.array([p[0] for p in pairs], dtype=np.int64)
+        end = np.array([p[1] for p in pairs], dtype=np.int64)
+        own = np.searchsorted(words.first, begin, side="right") - 1
+        base = group["lo"].to_numpy()[own] - words.first[own]
+        take = pa.array(own)
+        return pa.table({"id": group["id"].take(take), "key": group["key"].take(take),
+                         "lo": pa.array(begin + base, pa.int64()), "hi": pa.array(end + base, pa.int64())})
+
+    cold = around.where("body is not null").withColumn("part", F.pmod(F.xxhash64("prefix"), F.lit(groups)))
+    cold = cold.select("part", "id", "key", "lo", "body").groupBy("part")
+    found = [cold.applyInArrow(subtree, f"id {id_type}, key long, lo long, hi long")]
+    found += _hot_spans(around.where("windows is not null").select("id", "key", "lo", "windows"), window, n_hot, id_type, filter_bytes)
     whole = found[0]
     for more in found[1:]:
         whole = whole.union(more)
