@@ -51,10 +51,11 @@ class Encoder:
     """``tokenizer.encode`` of whole texts, white-space separated piece by piece.
 
     For a tokenizer that lower-cases, drops white space and never joins pieces across it
-    (word_bpe_49k) the ids of a text are those of its pieces, one after the other, and do not
-    depend on their case; only in a text that may name a special token is it kept.  The ids of
-    up to ``MEMO`` pieces are remembered: when there are more, the first half, which holds the
-    frequent ones, stays.
+    (word_bpe_49k) the ids of a text are those of its pieces, one after the other.  Those of an
+    ASCII piece do not depend on its case unless it may name a special token.  Other pieces keep
+    theirs: characters are composed before they are lower-cased, and some marks compose with a
+    small letter but not with its capital.  The ids of up to ``MEMO`` pieces are remembered: when
+    there are more, the first half, which holds the frequent ones, stays.
     """
 
     def __init__(self, path: str, width: int):
@@ -65,8 +66,15 @@ class Encoder:
         self.kind = {2: "H", 4: "I"}[width]
         self.known: dict[bytes, bytes] = {}
 
+    @staticmethod
+    def pieces(body: bytes) -> list[bytes]:
+        low = body.lower().split()
+        if body.isascii() and b"<|" not in body:
+            return low
+        return [a if a.isascii() and b"<|" not in a else w for a, w in zip(low, body.split(), strict=True)]
+
     def __call__(self, bodies: list[bytes]) -> list[bytes]:
-        split = [(b if b"<|" in b else b.lower()).split() for b in bodies]
+        split = [self.pieces(b) for b in bodies]
         if len(self.known) > MEMO:
             self.known = dict(islice(self.known.items(), MEMO // 2))
         new = list(set(chain.from_iterable(split)).difference(self.known))

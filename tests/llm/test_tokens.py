@@ -27,6 +27,13 @@ def test_pieces_as_whole_texts(text):
     assert got == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("pair", ["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a"])
+def test_marks_that_compose_with_small_letters_only(pair):
+    for text in (pair, f"{pair}adith", f"The Word {pair} <|endoftext|> AND {pair.lower()}X, {pair}Y"):
+        got = np.frombuffer(ENCODER([text.encode()])[0], "<u2").tolist()
+        assert got == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.sets(st.text(max_size=6), max_size=300))
 def test_perfect_hash(keys):
