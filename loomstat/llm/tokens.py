@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import os
 import posixpath
+import re
 import struct
 import zlib
 from array import array
@@ -45,17 +46,39 @@ MAX_LEVELS = 40
 #: Text encoded at once, and ids written or checked at once.
 PIECE = 4 << 20
 MEMO = 1_200_000
+#: Normalizers and splits of tokenizer files that lower-case, drop white space and never join pieces across it.
+NORMALIZERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
+SPLITS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
+
+
+def by_pieces(spec: dict) -> bool:
+    """Whether a tokenizer file is known to give a text the ids of its folded pieces, one after the other.
+
+    Normalizer, split and byte level are those listed, added tokens are found before the
+    normalizer, hold ``<|`` and no white space, and a piece always gets the same ids.
+    """
+    normalizer, split = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    if normalizer.get("type") != "Sequence" or normalizer.get("normalizers") != list(NORMALIZERS):
+        return False
+    byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    known = [[{"type": "Split", "pattern": {"Regex": s}, "behavior": "Removed", "invert": True}, byte_level] for s in SPLITS]
+    if split.get("type") != "Sequence" or split.get("pretokenizers") not in known:
+        return False
+    if spec["model"].get("type") != "BPE" or spec["model"].get("dropout"):
+        return False
+    return all("<|" in t["content"] and not re.search(r"\s", t["content"]) and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"])
+               for t in spec.get("added_tokens") or [])
 
 
 class Encoder:
-    """``tokenizer.encode`` of whole texts, white-space separated piece by piece.
-
-    For a tokenizer that lower-cases, drops white space and never joins pieces across it
-    (word_bpe_49k) the ids of a text are those of its pieces, one after the other.  Those of an
-    ASCII piece do not depend on its case unless it may name a special token.  Other pieces keep
-    theirs: characters are composed before they are lower-cased, and some marks compose with a
-    small letter but not with its capital.  The ids of up to ``MEMO`` pieces are remembered: when
-    there are more, the first half, which holds the frequent ones, stays.
+    """``tokenizer.encode`` of whole texts; where ``by_pieces`` allows it, white-space separated piece by piece.
+
+    Then the ids of a text are those of its pieces, one after the other.  Those of an ASCII piece
+    do not depend on its case unless it may name a special token.  Other pieces keep theirs:
+    characters are composed before they are lower-cased, and some marks compose with a small
+    letter but not with its capital.  The ids of up to ``MEMO`` pieces are remembered: when there
+    are more, the first half, which holds the frequent ones, stays.  With other files no text is
+    split, folded or remembered.  A file's truncation and padding are not applied.
     """
 
     def __init__(self, path: str, width: int):
@@ -63,6 +86,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            self.split = by_pieces(json.load(f))
         self.kind = {2: "H", 4: "I"}[width]
         self.known: dict[bytes, bytes] = {}
 
@@ -73,13 +100,18 @@ class Encoder:
             return low
         return [a if a.isascii() and b"<|" not in a else w for a, w in zip(low, body.split(), strict=True)]
 
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        codes = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [array(self.kind, code.ids).tobytes() for code in codes]
+
     def __call__(self, bodies: list[bytes]) -> list[bytes]:
+        if not self.split:
+            return self._encode(bodies)
         split = [self.pieces(b) for b in bodies]
         if len(self.known) > MEMO:
             self.known = dict(islice(self.known.items(), MEMO // 2))
         new = list(set(chain.from_iterable(split)).difference(self.known))
-        for word, code in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[word] = array(self.kind, code.ids).tobytes()
+        self.known.update(zip(new, self._encode(new), strict=True))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
@@ -231,6 +263,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
                  shards: int | None = None) -> dict:
     """Encodes every text, appends ``end_id`` and writes shards in ascending order of ids; returns the manifest.
 
+    Any tokenizer file will do; only one that ``by_pieces`` knows is encoded piece by piece.
     Null and empty texts hold the end id alone.  Null ids come first.  Only the two columns are
     read.  An empty table gives a manifest without shards.
     """

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -34,6 +35,32 @@ def test_marks_that_compose_with_small_letters_only(pair):
         assert got == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_encode_whole_texts(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    texts = ["Hello World again", "  two  spaces\n", "It's <|endoftext|> J\u030c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    K.write_shards(docs, str(tmp_path), path, 50256, shards=2)
+    for i, text in enumerate(texts):
+        assert K.fetch(str(tmp_path), i).tolist() == [*whole.encode(text, add_special_tokens=False).ids, 50256]
+    assert K.fetch(str(tmp_path), 0).tolist() == [15496, 2159, 757, 50256]
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"cut": True}])
+def test_changed_files_encode_whole_texts(tmp_path, change):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    assert K.by_pieces(spec)
+    spec |= {"truncation": {"direction": "Right", "max_length": 2, "strategy": "LongestFirst", "stride": 0}} if change.pop("cut", 0) else change
+    path = str(tmp_path / "changed.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    whole = Tokenizer.from_file(path)
+    whole.no_truncation()
+    text = "Some  Words of a text J\u030c that don't end"
+    assert np.frombuffer(K.Encoder(path, 2)([text.encode()])[0], "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.sets(st.text(max_size=6), max_size=300))
 def test_perfect_hash(keys):
