@@ -47,26 +47,30 @@ def leaf_budgets(supply: DataFrame, levels: list[str], weights: DataFrame | None
     """``supply``: (levels, tokens) of every leaf; returns (levels, tokens, budget).
 
     ``weights``: (levels, weight) with null in the columns below a node; nodes without an entry
-    weigh 1, and nodes with a weight of 0 or less get nothing.  A level's own null values are a node of
+    weigh 1; nodes with a weight of 0 or less get nothing and add nothing to what their parent can
+    take.  A level's own null values are a node of
     that level: they are told from "below" by their depth, so weights name them only by default.
     """
-    leaves = supply.withColumn("capacity", F.col("tokens") * max_epochs)
-    given = None
-    for depth in range(1, len(levels) + 1):
+    # Upwards: a node can take what its children can, and nothing with a weight of 0 or less.
+    below, nodes_at = supply.withColumn("capacity", F.col("tokens") * max_epochs), {}
+    for depth in range(len(levels), 0, -1):
         own = levels[:depth]
-        nodes = leaves.groupBy(*own).agg(F.sum("capacity").alias("capacity"))
+        nodes = below.groupBy(*own).agg(F.sum("capacity").alias("capacity"))
         if weights is None:
             nodes = nodes.withColumn("weight", F.lit(1.0))
         else:
             here = weights.where(F.col(own[-1]).isNotNull())
-            for below in levels[depth:]:
-                here = here.where(F.col(below).isNull())
+            for deeper in levels[depth:]:
+                here = here.where(F.col(deeper).isNull())
             here = here.select(*(F.col(c).alias(f"_w_{c}") for c in own), F.col("weight").cast("double").alias("weight"))
             same = [F.col(c) == F.col(f"_w_{c}") for c in own]
             nodes = nodes.join(here, same, "left").drop(*(f"_w_{c}" for c in own))
             nodes = nodes.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
         nodes = nodes.withColumn("capacity", F.when(F.col("weight") > 0, F.col("capacity")).otherwise(0).cast("long"))
-        nodes = nodes.withColumn("weight", F.greatest("weight", F.lit(1e-12)))
+        below = nodes_at[depth] = stored(nodes.withColumn("weight", F.greatest("weight", F.lit(1e-12))), f"capacities-{depth}")
+    given = None
+    for depth in range(1, len(levels) + 1):
+        own, nodes = levels[:depth], nodes_at[depth]
         if given is None:
             nodes = nodes.withColumn("_root", F.lit(0)).withColumn("given", F.lit(budget).cast("long"))
             parent = ["_root"]

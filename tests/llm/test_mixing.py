@@ -52,6 +52,18 @@ def test_shortage_goes_to_siblings_before_ancestors(spark):
     assert got == {("a", "x"): 10, ("a", "y"): 500, ("b", "x"): 0, ("b", "y"): 500}
 
 
+def test_excluded_children_leave_their_share_to_siblings_of_the_parent(spark):
+    supply = spark.createDataFrame([("a", "x", 500), ("b", "x", 500), ("b", "y", 10)], "d string, s string, tokens long")
+    weights = spark.createDataFrame([("b", "x", 0.0)], "d string, s string, weight double")
+    got = {(r.d, r.s): r.budget for r in M.leaf_budgets(supply, ["d", "s"], weights, 400, 1).collect()}
+    assert got == {("a", "x"): 390, ("b", "x"): 0, ("b", "y"): 10}
+    deep = spark.createDataFrame([("a", "k", "x", 500), ("b", "k", "x", 500), ("b", "k", "y", 10), ("b", "l", "z", 30), ("c", "k", "x", 70)],
+                                 "d string, e string, s string, tokens long")
+    weights = spark.createDataFrame([("b", "k", "x", 0.0), ("c", "k", None, -1.0)], "d string, e string, s string, weight double")
+    got = {(r.d, r.e, r.s): r.budget for r in M.leaf_budgets(deep, ["d", "e", "s"], weights, 400, 2).collect()}
+    assert got == {("a", "k", "x"): 320, ("b", "k", "x"): 0, ("b", "k", "y"): 20, ("b", "l", "z"): 60, ("c", "k", "x"): 0}
+
+
 def docs_of(spark, n=300):
     rng = random.Random(9)
     rows = [(i, " ".join(["w"] * rng.randrange(0, 30)), rng.choice(["p", "p", "q", None]), rng.choice("st"), 1) for i in range(n)]
