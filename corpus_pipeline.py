@@ -23,10 +23,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group; rows with a null id stay, rows that share an id share their fate."""
-    found = neardup.near_duplicates(docs, size=5, percent=80)
-    gone = stored(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "near-duplicates")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One document with the smallest id of every group, once if its row is repeated; rows with a null id or no words stay."""
+    found = neardup.near_duplicates(docs, size=5, percent=80, hash_col="_hash")
+    texts = found.where("doc_id is not null and n_shingles > 0").groupBy(F.col("doc_id").alias("_id"), "_hash")
+    texts = stored(texts.agg(F.min("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")).where("not _kept or _rows > 1"), "near-duplicates")
+    same = [F.col("doc_id") == F.col("_id"), F.xxhash64(F.col("text").cast("string")) == F.col("_hash")]
+    again = texts.where("_kept")
+    if again.isEmpty():
+        return docs.join(texts, same, "left_anti")
+    return docs.join(texts, same, "left_anti").union(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

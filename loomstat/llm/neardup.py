@@ -168,13 +168,16 @@ def _leaders(members: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80,
-                    bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row of ``docs``.
+                    bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, hash_col: str | None = None) -> DataFrame:
+    """(id, n_shingles, component_id, kept[, xxhash64 of the text as ``hash_col``]) for every row of ``docs``.
 
     Words are folded A-Z only.  Sets are compared as sets of 64-bit hashes.  A text of fewer
     words than ``size`` is one shingle; null, empty and blank texts have no shingle and are linked
     with nothing.  A row with a null id is linked with nothing either: component null, kept.
-    Rows that repeat an id are rows of their own with one id.  Other columns are not read.
+    Rows that repeat an id are rows of their own with one id: their components need not be one,
+    even if both are named by that id.  Of a component that has several texts under its smallest
+    id one text is kept, the one of the smallest xxhash64, in all rows that repeat it.  Other
+    columns are not read.
     """
     if docs.schema[id_col].dataType.typeName() not in ("long", "integer", "short", "byte"):
         raise TypeError(f"{id_col} must be an integer column")
@@ -184,13 +187,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             key, n, keys = _signed(batch["text"], size, bands, rows)
             flat = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(key), pa.array(n), flat], ["id", "cls", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["tie"], pa.array(key), pa.array(n), flat], ["id", "tie", "cls", "n", "bands"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    each = stored(texts.mapInArrow(signed, "id long, cls long, n long, bands array<long>"), "signed")
+    texts = texts.withColumn("tie", F.xxhash64("text"))
+    each = stored(texts.mapInArrow(signed, "id long, tie long, cls long, n long, bands array<long>"), "signed")
     some = each.where("n > 0 and id is not null")
-    classes = stored(some.groupBy("cls").agg(F.min("id").alias("node"), F.first("n").alias("n"),
-                                             F.first("bands").alias("bands")), "classes")
+    # Sets are the nodes: one id may be the smallest of several.
+    classes = stored(some.groupBy(F.col("cls").alias("node")).agg(
+        F.min(F.struct("id", "tie")).alias("low"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     spread = classes.select("node", "n", F.explode("bands").alias("band"))
     crowded = _leaders(spread).where("lead.node < last").select("band", F.col("lead.node").alias("lead"),
                                                                 F.col("lead.n").alias("lead_n"))
@@ -199,14 +204,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = members.where(f"node != lead and 100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)")
     pairs = stored(near.select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
     wanted = members.select("node").distinct()
-    # One text per class: repeated ids may carry texts of other classes.
-    ids = classes.join(wanted, "node", "left_semi").select("node", "cls")
-    rows_of = texts.join(ids, texts.id == ids.node).select("node", "cls", "text")
+    # One text per class: that of its smallest id.
+    ids = classes.join(wanted, "node", "left_semi").select("node", "low")
+    rows_of = texts.join(ids, (texts.id == ids.low.id) & (texts.tie == ids.low.tie)).select("node", "text")
 
     def right_class(batches):
         for batch in batches:
-            ok = _signed_keys(batch["text"], size) == np.asarray(batch["cls"])
-            yield batch.filter(pa.array(ok)).select(["node", "text"])
+            ok = _signed_keys(batch["text"], size) == np.asarray(batch["node"])
+            yield batch.filter(pa.array(ok))
 
     bodies = stored(rows_of.mapInArrow(right_class, "node long, text string").dropDuplicates(["node"]), "bodies")
 
@@ -263,11 +268,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         second = components(onto.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")))
         first = roots.join(second.toDF("root", "last"), "root", "left").select("node", F.coalesce("last", "root").alias("root"))
         roots = stored(first.union(second.join(roots, "node", "left_anti")), "roots")
-    shown = classes.select("cls", "node").join(roots, "node", "left").select("cls", F.coalesce("root", "node").alias("component_id"))
-    out = some.select("id", "cls", "n").join(shown, "cls").select("id", "n", "component_id")
-    alone = each.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
-    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
-    return out.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    named = classes.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    lows = named.groupBy("root").agg(F.min("low").alias("first"))
+    shown = named.join(lows, "root").select(F.col("node").alias("cls"), "first")
+    own = F.struct("id", "tie") == F.col("first")
+    out = some.select("id", "tie", "cls", "n").join(shown, "cls").select("id", "n", F.col("first.id").alias("component_id"), own.alias("kept"), "tie")
+    alone = each.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"), F.lit(True).alias("kept"), "tie")
+    also = [F.col("tie").alias(hash_col)] if hash_col else []
+    return out.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept", *also)
 
 
 def _signed_keys(column: pa.Array, size: int) -> np.ndarray:

@@ -5,6 +5,7 @@ import random
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import Row
 
 from loomstat.llm import neardup as N
 from loomstat.llm.components import components
@@ -65,6 +66,45 @@ def test_odd_rows(spark):
         N.near_duplicates(docs.withColumn("doc_id", docs.doc_id.cast("string")))
 
 
+def test_one_id_with_two_texts_that_each_have_a_near_copy(spark):
+    one, two = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    near = lambda words: " ".join([*words[:-1], "other"])
+    one, two, close_one, close_two = " ".join(one), " ".join(two), near(one), near(two)
+    rows = [(1, one), (1, two), (2, close_one), (3, close_two), (4, one), (5, " ".join(f"c{i}" for i in range(60)))]
+    for first in (0, 3):
+        docs = spark.createDataFrame(rows[first:] + rows[:first], "doc_id long, text string").repartition(3)
+        got = sorted((r.doc_id, r.component_id, r.kept) for r in N.near_duplicates(docs, size=4).collect())
+        assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (5, 5, True)]
+    # The second text of id 4 is a copy of id 0; the first leads a group of its own.
+    rows = [(4, one), (4, two), (0, close_two), (7, close_one)]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect())
+    assert got == [(0, 0, True), (4, 0, False), (4, 4, True), (7, 4, False)]
+
+
+def test_one_text_of_the_smallest_id_is_kept(spark):
+    base = [f"a{i}" for i in range(60)]
+    rows = [(1, " ".join(base)), (1, " ".join(base)), (1, " ".join([*base[:-1], "other"])), (2, " ".join(base).upper())]
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()
+    assert {r.component_id for r in got} == {1}
+    assert sum(r.kept for r in got) in (1, 2) and not any(r.kept for r in got if r.doc_id == 2)
+
+
+def test_pipeline_keeps_one_document_of_a_group(spark):
+    import corpus_pipeline
+
+    one, two = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    close = " ".join([*two[:-1], "other"])
+    one, two = " ".join(one), " ".join(two)
+    rows = [(1, one), (1, one), (2, one), (4, two), (4, one), (5, close), (6, ""), (6, ""), (None, one), (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(corpus_pipeline.drop_near_duplicates(spark, docs, "").collect(), key=str)
+    assert got == sorted([(1, one), (4, two), (6, ""), (6, ""), (None, one), (None, one)], key=lambda r: str(docs_row(*r)))
+
+
+def docs_row(doc_id, text):
+    return Row(doc_id=doc_id, text=text)
+
+
 def test_ranks_are_a_superminhash():
     rng = np.random.default_rng(0)
     m = 64
