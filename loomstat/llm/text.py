@@ -107,8 +107,11 @@ def words_of(data: np.ndarray, offsets: np.ndarray, fold: bool) -> Words:
 def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and limits of a text column without copying; null counts as empty."""
     column = column.cast(pa.string()) if not pa.types.is_string(column.type) else column
-    if column.null_count:
-        column = column.fill_null("")
+    return raw_bytes(column.fill_null("") if column.null_count else column)
+
+
+def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and limits of a text or binary column without nulls and without copying."""
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     buffers = column.buffers()

@@ -23,19 +23,19 @@ import posixpath
 import re
 import struct
 import zlib
-from array import array
 from bisect import bisect_left
 from dataclasses import dataclass
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
+from . import units
 from .shared import WholeFile, open_folder, shuffle_width, worker_cache
 
 MAGIC = b"LOOMIDS1"
@@ -45,7 +45,11 @@ GAMMA = 2.0
 MAX_LEVELS = 40
 #: Text encoded at once, and ids written or checked at once.
 PIECE = 4 << 20
-MEMO = 1_200_000
+#: Units that a worker remembers (about 25 bytes each), and units encoded as one text.
+MEMO = 500_000
+JOINED = 4_000
+#: Units that hold one word, or one word for each digit.
+ONE_CLASS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[0-9]+|[!-&(-/:;=?@\[-`{}~]+")
 #: Normalizers and splits of tokenizer files that lower-case, drop white space and never join pieces across it.
 NORMALIZERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
 SPLITS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
@@ -55,7 +59,7 @@ def by_pieces(spec: dict) -> bool:
     """Whether a tokenizer file is known to give a text the ids of its folded pieces, one after the other.
 
     Normalizer, split and byte level are those listed, added tokens are found before the
-    normalizer, hold ``<|`` and no white space, and a piece always gets the same ids.
+    normalizer and are written ``<|name|>``, and a piece always gets the same ids.
     """
     normalizer, split = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
     if normalizer.get("type") != "Sequence" or normalizer.get("normalizers") != list(NORMALIZERS):
@@ -66,19 +70,22 @@ def by_pieces(spec: dict) -> bool:
         return False
     if spec["model"].get("type") != "BPE" or spec["model"].get("dropout"):
         return False
-    return all("<|" in t["content"] and not re.search(r"\s", t["content"]) and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"])
+    return all(re.fullmatch(r"<\|\w+\|>", t["content"], re.ASCII) and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"])
                for t in spec.get("added_tokens") or [])
 
 
 class Encoder:
-    """``tokenizer.encode`` of whole texts; where ``by_pieces`` allows it, white-space separated piece by piece.
-
-    Then the ids of a text are those of its pieces, one after the other.  Those of an ASCII piece
-    do not depend on its case unless it may name a special token.  Other pieces keep theirs:
-    characters are composed before they are lower-cased, and some marks compose with a small
-    letter but not with its capital.  The ids of up to ``MEMO`` pieces are remembered: when there
-    are more, the first half, which holds the frequent ones, stays.  With other files no text is
-    split, folded or remembered.  A file's truncation and padding are not applied.
+    """``tokenizer.encode`` of whole texts; where ``by_pieces`` allows it, unit by unit.
+
+    Then a text is cut at ASCII white space, which yields no ids, and between letters, digits and
+    marks (:mod:`units`), where the file's split cuts as well.  A distinct unit is encoded once.
+    The ids of an ASCII unit do not depend on its case unless it may name a special token.  Other
+    units keep theirs: characters are composed before they are lower-cased, and some marks compose
+    with a small letter but not with its capital.  Units of letters, digits or marks alone are
+    encoded many at once, since the tokens that end a word tell them apart.  The ids of up to
+    ``MEMO`` units are remembered in flat arrays: when there are more, the first half, which holds
+    the frequent ones, stays.  With other files no text is cut, folded or remembered.  A file's
+    truncation and padding are not applied.
     """
 
     def __init__(self, path: str, width: int):
@@ -89,30 +96,69 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
-            self.split = by_pieces(json.load(f))
-        self.kind = {2: "H", 4: "I"}[width]
-        self.known: dict[bytes, bytes] = {}
-
-    @staticmethod
-    def pieces(body: bytes) -> list[bytes]:
-        low = body.lower().split()
-        if body.isascii() and b"<|" not in body:
-            return low
-        return [a if a.isascii() and b"<|" not in a else w for a, w in zip(low, body.split(), strict=True)]
-
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        codes = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [array(self.kind, code.ids).tobytes() for code in codes]
-
-    def __call__(self, bodies: list[bytes]) -> list[bytes]:
+            spec = json.load(f)
+        self.split = by_pieces(spec)
+        self.kind = np.dtype(f"<u{width}")
+        self.memo, self.ids, self.limits = units.Memo(MEMO), np.zeros(0, self.kind), np.zeros(1, np.int64)
+        self.ends = np.zeros(0, bool)
+        suffix = spec["model"].get("end_of_word_suffix")
+        if self.split and suffix:
+            vocabulary = spec["model"]["vocab"]
+            self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(code.ids, self.kind) for code in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of units of one class: they are joined by spaces, the ends of words tell whose an id is."""
+        out = []
+        for a in range(0, len(texts), JOINED):
+            own = texts[a : a + JOINED]
+            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, self.kind)
+            words = np.cumsum([len(t) if t[0].isdigit() else 1 for t in own])
+            stops = np.flatnonzero(self.ends[ids]) + 1 if not len(ids) or ids.max() < len(self.ends) else ids[:0]
+            whole = len(stops) == words[-1] and stops[-1] == len(ids)
+            out += np.split(ids, stops[words[:-1] - 1]) if whole else self._whole(own)
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        alone = [len(self.ends) == 0 or not ONE_CLASS.fullmatch(t) for t in new]
+        coded: list = [None] * len(new)
+        for chosen, encode in ((True, self._whole), (False, self._words)):
+            at = [i for i, x in enumerate(alone) if x == chosen]
+            for i, ids in zip(at, encode([new[i] for i in at]), strict=True):
+                coded[i] = ids
+        sizes = np.array([len(c) for c in coded], np.int64)
+        self.limits = np.concatenate((self.limits, self.limits[-1] + np.cumsum(sizes)))
+        self.ids = np.concatenate((self.ids, *coded))
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts that ``offsets`` cut ``data`` into, one after the other, and the limits of the texts in them."""
         if not self.split:
-            return self._encode(bodies)
-        split = [self.pieces(b) for b in bodies]
-        if len(self.known) > MEMO:
-            self.known = dict(islice(self.known.items(), MEMO // 2))
-        new = list(set(chain.from_iterable(split)).difference(self.known))
-        self.known.update(zip(new, self._encode(new), strict=True))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+            coded = self._whole([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+            return np.concatenate((self.ids, *coded)), np.concatenate(([0], np.cumsum([len(c) for c in coded], dtype=np.int64)))
+        if len(data) == 0:
+            return self.ids[:0], np.zeros(len(offsets), np.int64)
+        kind = units.classes(data)
+        word = kind != units.SPACE
+        begins = word.copy()
+        begins[1:] &= ~word[:-1] | units.switches(kind)
+        edges = offsets[(offsets < len(data))]
+        begins[edges] |= word[edges]
+        first = np.searchsorted(np.flatnonzero(begins), offsets)
+        found = units.as_units(data[word], np.flatnonzero(begins[word])).dictionary_encode()
+        distinct = found.dictionary
+        low = pc.and_(pc.string_is_ascii(distinct), pc.invert(pc.match_substring(distinct, "<|")))
+        number, new = self.memo.number(pc.if_else(low, pc.ascii_lower(distinct), distinct))
+        if new:
+            self._learn(new)
+        where, limits = units.ragged(self.limits, number[found.indices.to_numpy()])
+        out = self.ids[where], limits[first]
+        if (left := self.memo.excess()) is not None:
+            self.limits = self.limits[: left + 1].copy()
+            self.ids = self.ids[: self.limits[-1]].copy()
+        return out
 
 
 def encoder_of(path: str, width: int) -> Encoder:
@@ -276,7 +322,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
 
     def write(batches):
         number = TaskContext.get().partitionId()
-        encoder, end = encoder_of(tokenizer, width), np.array([end_id], dtype=f"<u{width}").tobytes()
+        encoder = encoder_of(tokenizer, width)
         keys, counts, last = [], [], (object(), 0)
         name = f"shard-{number:06d}.ids"
         first = next((b for b in batches if b.num_rows), None)
@@ -291,10 +337,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
                 row = 0
                 while row < batch.num_rows:
                     stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE, side="right")) - 1)
-                    coded = encoder([data[a:b].tobytes() for a, b in zip(offsets[row:stop], offsets[row + 1 : stop + 1], strict=True)])
-                    counts += [len(c) // width + 1 for c in coded]
-                    for c in coded:
-                        out.write(c + end)
+                    ids, limits = encoder(data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row])
+                    counts += (np.diff(limits) + 1).tolist()
+                    out.write(np.insert(ids, limits[1:], end_id).tobytes())
                     row = stop
                 batch = next((b for b in batches if b.num_rows), None)
             counts = np.array(counts, dtype=np.int64)

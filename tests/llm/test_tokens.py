@@ -17,22 +17,37 @@ TOKENIZER = Tokenizer.from_file(PATH)
 ENCODER = K.Encoder(PATH, 2)
 
 
+def coded(encoder, *texts):
+    """The ids of every text, as the encoder finds them in one chunk."""
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    flat, limits = encoder(data, np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    return [flat[a:b].tolist() for a, b in zip(limits[:-1], limits[1:], strict=True)]
+
+
 def ids(text, end=2):
     return [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, end]
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="aB é́'sΣςİ\x1c\x85  \t\n<|endoftext|>1٣.😀ﬁ한", max_size=40))
-def test_pieces_as_whole_texts(text):
-    got = np.frombuffer(ENCODER([text.encode()])[0], "<u2").tolist()
-    assert got == TOKENIZER.encode(text, add_special_tokens=False).ids
+@given(st.lists(st.text(alphabet="aB \u00e9e\u0301'sΣςİ\x1c\x85\u00a0\u3000  \t\n<|endoftext|>1٣.,!_\U0001f600\ufb01\ud55cÉß×÷", max_size=40), max_size=4))
+def test_pieces_as_whole_texts(texts):
+    assert coded(ENCODER, *texts) == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_forgotten_units(monkeypatch):
+    monkeypatch.setattr(K, "MEMO", 50)
+    monkeypatch.setattr(K, "JOINED", 7)
+    encoder = K.Encoder(PATH, 2)
+    texts = [" ".join(f"word{i * j % 97}, the x{i}" for j in range(40)) for i in range(30)]
+    for text in texts:
+        assert coded(encoder, text, "", text) == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in (text, "", text)]
+        assert len(encoder.memo.known) <= 50 and len(encoder.limits) == len(encoder.memo.known) + 1
 
 
 @pytest.mark.parametrize("pair", ["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a"])
 def test_marks_that_compose_with_small_letters_only(pair):
     for text in (pair, f"{pair}adith", f"The Word {pair} <|endoftext|> AND {pair.lower()}X, {pair}Y"):
-        got = np.frombuffer(ENCODER([text.encode()])[0], "<u2").tolist()
-        assert got == TOKENIZER.encode(text, add_special_tokens=False).ids
+        assert coded(ENCODER, text)[0] == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
 def test_other_tokenizers_encode_whole_texts(spark, tmp_path):
@@ -58,7 +73,7 @@ def test_changed_files_encode_whole_texts(tmp_path, change):
     whole = Tokenizer.from_file(path)
     whole.no_truncation()
     text = "Some  Words of a text J\u030c that don't end"
-    assert np.frombuffer(K.Encoder(path, 2)([text.encode()])[0], "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert coded(K.Encoder(path, 2), text)[0] == whole.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=40, deadline=None)
