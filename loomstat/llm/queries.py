@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, lm, mixing, neardup, quality, repeats, tokens, toxicity, warc
+from . import align, ann, decontaminate, lm, mixing, neardup, packing, quality, repeats, tokens, toxicity, warc
 
 QUERIES = {
     "op1_mixing": (mixing.query, mixing.ORACLE_SQL),
@@ -15,4 +15,6 @@ QUERIES = {
     "op8_tokens": (tokens.query, None),
     "op9_decontaminate": (decontaminate.query, None),
     "op10_repeats": (repeats.query, None),
+    "op11_packing": (packing.query, None),
+    "op12_align": (align.query, None),
 }
