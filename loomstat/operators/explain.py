@@ -9,7 +9,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegressionModel
+from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel, RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from ..session import counted_broadcast
 from .evaluate import metrics
 from .kernel import KernelModel
 from .models import Fitted, label_column, prediction_column
+from .trees import BROADCAST_BYTES, FlatTrees, from_spark
 
 # Rows that trade values with each other in one window of the permutation.
 BUCKET_ROWS = 10_000
@@ -96,9 +97,9 @@ def permutation_importance(model: Fitted, rows: DataFrame, key: Sequence[str], n
 
     In every repeat the rows fall into hash buckets of bounded size; inside a bucket, in
     hash order, each row takes the feature value of the next one.  That is a permutation
-    that needs no global order.  All repeats and features are scored in one job.  Linear models and
-    kernel regression swap the features inside the tasks, which pass on sums; trees and neighbours
-    take one row per feature and repeat.
+    that needs no global order.  All repeats and features are scored in one job.  Linear models,
+    kernel regression and trees swap the features inside the tasks, which pass on sums; neighbours, and
+    trees of more than ``BROADCAST_BYTES``, take one row per feature and repeat.
     """
     n = rows.count()
     buckets = max(1, math.ceil(n / bucket_rows))
@@ -111,7 +112,7 @@ def permutation_importance(model: Fitted, rows: DataFrame, key: Sequence[str], n
     paired = drawn.withColumn("_other", F.coalesce(F.lead("_x").over(order), F.first("_x").over(whole)))
     feature = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("_j") + 1)
     plain = model.predict(rows.select(*key, *labels, "features"), key)
-    inside = {t: numpy_prediction(model.parts.get(t)) for t in model.targets}
+    inside = {t: numpy_prediction(model.parts.get(t), len(names)) for t in model.targets}
     if all(f is not None for f in inside.values()):
         shuffled = _swapped_errors(paired, model.targets, inside, len(names))
     else:
@@ -134,8 +135,13 @@ def permutation_importance(model: Fitted, rows: DataFrame, key: Sequence[str], n
         F.lit(model.name).alias("Model"), F.col("_t").alias("Target"), feature.alias("Feature"), "Importance", "Deviation")
 
 
-def numpy_prediction(part):
-    """A function (rows, partner rows) → predictions with each feature swapped, one column per feature; None for trees and neighbours."""
+def numpy_prediction(part, width: int):
+    """A function (rows, partner rows) → predictions with each feature swapped, one column per feature; None for neighbours."""
+    if isinstance(part, (RandomForestRegressionModel, GBTRegressionModel)):
+        part = from_spark(part, width)
+    if isinstance(part, FlatTrees) and part.size <= BROADCAST_BYTES:
+        shared = SparkSession.getActiveSession().sparkContext.broadcast(part)
+        return lambda x, other: shared.value.swapped(x, other)
     if isinstance(part, LinearRegressionModel):
         slopes, intercept = part.coefficients.toArray(), float(part.intercept)
         return lambda x, other: (x @ slopes + intercept)[:, None] + (other - x) * slopes[None, :]

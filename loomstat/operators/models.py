@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import warnings
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
@@ -24,8 +23,10 @@ from pyspark.sql import functions as F
 from ..fixed import SEED
 from ..session import materialise
 from ..sources.tables import load_metadata, save_metadata
+from . import trees
 from .kernel import FeatureMap, KernelModel, fit_kernel
 from .neighbours import nearest, neighbour_mean
+from .trees import FlatTrees, Growth
 
 FAMILIES = ("linear", "ridge", "random_forest", "gradient_boosting", "xgboost", "knn", "svr")
 
@@ -43,20 +44,20 @@ DISPLAY_NAMES = {
 # The deepest tree Spark grows; also what "no limit" means.
 DEEPEST = 30
 
-# Parameters of the families that Spark's trees have no counterpart for.
-WITHOUT_COUNTERPART = {"random_forest": ("min_samples_split",), "gradient_boosting": ("min_samples_split",),
-                       "xgboost": ("reg_alpha", "reg_lambda")}
+TREES = ("random_forest", "gradient_boosting", "xgboost")
 
 
 def usable(family: str, params: Mapping[str, Any]) -> dict[str, Any]:
     """The parameters that a fit really uses.
 
-    Those without a counterpart are dropped; a tree without a limit is as deep as Spark grows it.  A search
-    over the result fits no model twice and records what it fitted.
+    A tree without a limit is as deep as Spark grows it, and nodes of fewer than two rows are never
+    split anyway.  A search over the result fits no model twice and records what it fitted.
     """
-    used = {k: v for k, v in params.items() if k not in WITHOUT_COUNTERPART.get(family, ())}
-    if family in WITHOUT_COUNTERPART and "max_depth" in used:
+    used = dict(params)
+    if family in TREES and "max_depth" in used:
         used["max_depth"] = DEEPEST if used["max_depth"] is None else int(used["max_depth"])
+    if family in TREES and used.get("min_samples_split") is not None and used["min_samples_split"] <= 2:
+        del used["min_samples_split"]
     return used
 
 
@@ -79,14 +80,36 @@ def _subset(choice: Any) -> str:
     return "all" if choice is None else str(choice)
 
 
-def _tree_settings(family: str, params: Mapping[str, Any], leaf: str = "min_samples_leaf") -> dict[str, Any]:
-    unused = sorted(set(params) & set(WITHOUT_COUNTERPART[family]))
-    if unused:
-        warnings.warn(f"{', '.join(unused)}: no counterpart, not used", stacklevel=3)
+def _depth(family: str, params: Mapping[str, Any]) -> int:
     depth = usable(family, {"max_depth": params.get("max_depth")})["max_depth"]
     if depth > DEEPEST:
         raise ValueError(f"max_depth {depth}: trees deeper than {DEEPEST} cannot be grown")
-    return {"maxDepth": depth, "minInstancesPerNode": max(1, int(params.get(leaf, 1)))}
+    return depth
+
+
+def _tree_settings(family: str, params: Mapping[str, Any]) -> dict[str, Any]:
+    return {"maxDepth": _depth(family, params), "minInstancesPerNode": max(1, int(params.get("min_samples_leaf", 1)))}
+
+
+def grown_here(family: str, params: Mapping[str, Any]) -> bool:
+    """Whether the library's own histograms grow the trees: penalties and a least size of split nodes have no counterpart in Spark's."""
+    return family == "xgboost" or family in TREES and "min_samples_split" in usable(family, params)
+
+
+def grow(family: str, df: DataFrame, target: str, params: Mapping[str, Any], key: Sequence[str], seed: int = SEED) -> FlatTrees:
+    """Trees of one target from histograms; the key draws samples of rows."""
+    label, n = label_column(target), int(params.get("n_estimators", 100))
+    if family == "xgboost":
+        how = Growth(_depth(family, {"max_depth": 6, **params}), params.get("learning_rate", 0.3), params.get("reg_alpha", 0.0), params.get("reg_lambda", 1.0),
+                     params.get("gamma", 0.0), params.get("min_child_weight", 1), 0.0, params.get("subsample", 1.0), params.get("colsample_bytree", 1.0), seed=seed)
+        return trees.boost(df, label, n, how, key=key, averaged=True)
+    sizes = {"least": max(1, int(params.get("min_samples_leaf", 1))), "split_least": params.get("min_samples_split", 2), "per_node": params.get("max_features"),
+             "seed": seed}
+    if family == "gradient_boosting":
+        how = Growth(_depth(family, {"max_depth": 3, **params}), params.get("learning_rate", 0.1), rows=params.get("subsample", 1.0), **sizes)
+        return trees.boost(df, label, n, how, key=key)
+    how = Growth(_depth(family, params), bootstrap=bool(params.get("bootstrap", True)), **sizes)
+    return trees.forest(df, label, n, how, key=key)
 
 
 def _ridge_parameter(df: DataFrame, label: str, alpha: float) -> float:
@@ -113,12 +136,6 @@ def make_estimator(family: str, df: DataFrame, target: str, params: Mapping[str,
         return GBTRegressor(maxIter=int(params.get("n_estimators", 100)), stepSize=params.get("learning_rate", 0.1),
                             subsamplingRate=params.get("subsample", 1.0), seed=seed,
                             featureSubsetStrategy=_subset(params.get("max_features")), **settings, **common)
-    if family == "xgboost":
-        settings = _tree_settings(family, {"max_depth": 6, **params}, leaf="min_child_weight")
-        return GBTRegressor(maxIter=int(params.get("n_estimators", 100)), stepSize=params.get("learning_rate", 0.3),
-                            subsamplingRate=params.get("subsample", 1.0), seed=seed,
-                            minInfoGain=float(params.get("gamma", 0.0)),
-                            featureSubsetStrategy=_subset(params.get("colsample_bytree")), **settings, **common)
     raise ValueError(f"unknown family {family!r}")
 
 
@@ -156,7 +173,7 @@ class Fitted:
             return self._predict_neighbours(df, list(key))
         for target in self.targets:
             part = self.parts[target]
-            if isinstance(part, KernelModel):
+            if isinstance(part, (KernelModel, FlatTrees)):
                 df = part.transform(df, "features", prediction_column(target))
             else:
                 df = part.transform(df)
@@ -183,6 +200,10 @@ class Fitted:
             if isinstance(part, KernelModel):
                 about.setdefault("kernels", {})[target] = asdict(part)
                 continue
+            if isinstance(part, FlatTrees):
+                about.setdefault("flat", []).append(target)
+                part.save(spark, f"{path}/target={target}")
+                continue
             part.write().overwrite().save(f"{path}/target={target}")
         save_metadata(spark, about, f"{path}/about")
 
@@ -193,12 +214,13 @@ class Fitted:
         if family == "knn":
             parts["rows"] = spark.read.parquet(f"{path}/rows")
         readers = {"linear": LinearRegressionModel, "ridge": LinearRegressionModel,
-                   "random_forest": RandomForestRegressionModel, "gradient_boosting": GBTRegressionModel,
-                   "xgboost": GBTRegressionModel}
+                   "random_forest": RandomForestRegressionModel, "gradient_boosting": GBTRegressionModel}
         for target in [] if family == "knn" else about["targets"]:
             if family == "svr":
                 kept = about["kernels"][target]
                 parts[target] = KernelModel(**{**kept, "map": FeatureMap(**kept["map"])})
+            elif target in about.get("flat", []):
+                parts[target] = FlatTrees.load(spark, f"{path}/target={target}")
             else:
                 parts[target] = readers[family].load(f"{path}/target={target}")
         return Fitted(about["name"], family, about["targets"], about["params"], parts, about.get("width"))
@@ -222,6 +244,8 @@ def fit(family: str, df: DataFrame, targets: Sequence[str], params: Mapping[str,
         if family == "svr":
             allowed = {k: v for k, v in params.items() if k in ("C", "epsilon", "gamma", "kernel", "size", "steps")}
             return fit_kernel(present, label_column(target), seed=seed, **allowed)
+        if grown_here(family, params):
+            return grow(family, present, target, params, key, seed)
         return make_estimator(family, present, target, params, seed).fit(present)
 
     with ThreadPoolExecutor(max(1, min(workers, len(targets)))) as pool:

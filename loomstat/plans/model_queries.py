@@ -221,6 +221,27 @@ def boosted_stumps(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_split_metrics(*_stumps(spark, folder, "gradient_boosting", n_estimators=2, learning_rate=LEARNING_RATE)), 6, RMSE=3)
 
 
+# Penalties of the regularised stumps.
+PENALTIES = {"reg_alpha": 25.0, "reg_lambda": 500.0, "gamma": 2.0, "min_child_weight": 40}
+PENALISED = {"n_estimators": 2, "learning_rate": 0.3, **PENALTIES}
+
+
+def penalised_stumps(spark: SparkSession, folder: str) -> DataFrame:
+    """Two boosted trees of depth 1 whose splits and leaves carry L1, L2 and gain penalties."""
+    return rounded(_split_metrics(*_stumps(spark, folder, "xgboost", **PENALISED)), 6, RMSE=3)
+
+
+def penalised_stump_importances(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean gain of the splits of each feature, as shares."""
+    return _stump_importances(spark, folder, "xgboost", **{**PENALISED, "gamma": 0.0})
+
+
+def permutation_r2_drop_stumps(spark: SparkSession, folder: str) -> DataFrame:
+    """Fall of R² of two boosted stumps when a feature is shuffled; trees are walked inside the tasks."""
+    ready, fitted = _stumps(spark, folder, "gradient_boosting", n_estimators=2, learning_rate=LEARNING_RATE)
+    return rounded(explain.permutation_importance(fitted, ready.test, LINE_KEY, ready.preprocessor.names, repeats=5), 4)
+
+
 def _stump_importances(spark: SparkSession, folder: str, family: str, **params) -> DataFrame:
     ready, fitted = _stumps(spark, folder, family, **params)
     raw = explain.model_importances(spark, fitted, ready.preprocessor.names)
@@ -510,8 +531,9 @@ def _stump_sql(label: str, source: str, name: str) -> str:
               ORDER BY cs * cs / cn + (ts - cs) * (ts - cs) / (tn - cn) DESC LIMIT 1)"""
 
 
-def _stump_value(name: str) -> str:
-    value = " ".join(f"WHEN {name}.f = '{c}' THEN {c}" for c in STUMP_FEATURES)
+def _stump_value(name: str, swapped: str = "") -> str:
+    """What stump ``name`` gives a row; the column ``swapped`` is taken from ``other_`` + its name."""
+    value = " ".join(f"WHEN {name}.f = '{c}' THEN {'other_' * (c == swapped)}{c}" for c in STUMP_FEATURES)
     return f"CASE WHEN CASE {value} END <= {name}.v THEN {name}.low ELSE {name}.high END"
 
 
@@ -525,8 +547,65 @@ def _stumps_sql(trees: int) -> str:
         o AS (SELECT p.*, p1 + {LEARNING_RATE}::DOUBLE * {_stump_value("b")} AS p FROM p, b)"""
 
 
+def _penalised_stump_sql(source: str, name: str, gamma: float) -> str:
+    """The best penalised split by gradients p - y of ``source``: CTEs ending in one row ``name`` (f, v, low, high, won)."""
+    alpha, ridge, least, rate = PENALTIES["reg_alpha"], PENALTIES["reg_lambda"], PENALTIES["min_child_weight"], PENALISED["learning_rate"]
+    score = lambda g, h: f"(greatest(abs({g}) - {alpha}::DOUBLE, 0) ** 2 / ({h} + {ridge}::DOUBLE))"
+    leaf = lambda g, h: f"(-sign({g}) * greatest(abs({g}) - {alpha}::DOUBLE, 0) / ({h} + {ridge}::DOUBLE) * {rate}::DOUBLE)"
+    values = " UNION ALL ".join(f"SELECT {i} AS i, '{c}' AS f, {c} AS v, count(*) AS n, sum(p - y) AS g FROM {source} WHERE split = 'train' GROUP BY 3"
+                                for i, c in enumerate(STUMP_FEATURES))
+    return f"""{name}u AS ({values}),
+        {name}c AS (SELECT i, f, v, sum(n) OVER w AS cn, sum(g) OVER w AS cg, sum(n) OVER (PARTITION BY f) AS tn, sum(g) OVER (PARTITION BY f) AS tg
+              FROM {name}u WINDOW w AS (PARTITION BY f ORDER BY v)),
+        {name}w AS (SELECT *, CASE WHEN cn >= {least} AND tn - cn >= {least} THEN
+                     {score("cg", "cn")} + {score("(tg - cg)", "(tn - cn)")} - {score("tg", "tn")} END AS gain FROM {name}c WHERE cn < tn),
+        {name} AS (SELECT f, v, CASE WHEN gain > 1e-12 AND gain >= {gamma} THEN {leaf("cg", "cn")} ELSE {leaf("tg", "tn")} END AS low,
+                     CASE WHEN gain > 1e-12 AND gain >= {gamma} THEN {leaf("(tg - cg)", "(tn - cn)")} ELSE {leaf("tg", "tn")} END AS high,
+                     CASE WHEN gain > 1e-12 AND gain >= {gamma} THEN gain ELSE 0 END AS won
+              FROM {name}w ORDER BY gain DESC NULLS LAST, i, v LIMIT 1)"""
+
+
+def _penalised_sql(gamma: float) -> str:
+    """Two penalised stumps from the mean label, as CTEs ending in ``o`` with predictions ``p``."""
+    return f"""WITH t AS (SELECT *, ln(1 + charge) AS y FROM {CHARGES_SQL}),
+        z AS (SELECT *, (SELECT avg(y) FROM t WHERE split = 'train') AS p FROM t), {_penalised_stump_sql("z", "a", gamma)},
+        q AS (SELECT z.* EXCLUDE (p), p + {_stump_value("a")} AS p FROM z, a), {_penalised_stump_sql("q", "b", gamma)},
+        o AS (SELECT q.* EXCLUDE (p), p + {_stump_value("b")} AS p FROM q, b)"""
+
+
+def _penalised_importance_sql() -> str:
+    listed = ", ".join(f"('{c}')" for c in STUMP_FEATURES)
+    return _penalised_sql(0.0) + f""", g AS (SELECT f, avg(won) AS won FROM (SELECT f, won FROM a UNION ALL SELECT f, won FROM b) WHERE won > 0 GROUP BY 1)
+        SELECT 'XGBoost' AS "Model", 'charge' AS "Target", c AS "Feature",
+               round(coalesce((SELECT won FROM g WHERE f = c) / (SELECT sum(won) FROM g), 0), 6) AS "Importance"
+        FROM (VALUES {listed}) x(c)"""
+
+
+def _stump_permutation_sql() -> str:
+    """The fall of R² when one feature comes from the next row of its bucket, averaged over five repeats."""
+    order = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
+    guess = lambda swapped: f"{_stump_value('a', swapped)} + {LEARNING_RATE}::DOUBLE * {_stump_value('b', swapped)}"
+    other = ", ".join(f"coalesce(lead({c}) OVER w, first_value({c}) OVER u) AS other_{c}" for c in STUMP_FEATURES)
+    r2 = lambda swapped: f"1 - sum((y - ({guess(swapped)})) ** 2) / (count(*) * var_pop(y))"
+    falls = ", ".join(f"{r2(c)} AS r_{c}" for c in STUMP_FEATURES)
+    rows = " UNION ALL ".join(f"""
+        SELECT 'Gradient Boosting' AS "Model", 'charge' AS "Target", 'num__{c}' AS "Feature", round(avg(r - r_{c}), 4) + 0.0 AS "Importance",
+               round(stddev_pop(r - r_{c}), 4) + 0.0 AS "Deviation" FROM k""" for c in STUMP_FEATURES)
+    return _stumps_sql(2) + f""",
+        e AS (SELECT o.*, (SELECT CAST(ceil(count(*) / 10000.0) AS BIGINT) FROM o WHERE split = 'test') AS nb FROM o WHERE split = 'test'),
+        d AS (SELECT e.*, rep, {hash_sql(order + ", rep", "perm42")} AS h FROM e, (SELECT unnest(range(1, 6)) AS rep)),
+        s AS (SELECT *, {other} FROM d
+              WINDOW w AS (PARTITION BY rep, h % nb ORDER BY h, {order}),
+                     u AS (PARTITION BY rep, h % nb ORDER BY h, {order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+        k AS (SELECT rep, {r2("")} AS r, {falls} FROM s, a, b GROUP BY 1) {rows}"""
+
+
 def _stump_metrics_sql(model: str, trees: int) -> str:
-    return _stumps_sql(trees) + f"""
+    return _split_metrics_sql(_stumps_sql(trees), model)
+
+
+def _split_metrics_sql(rows: str, model: str) -> str:
+    return rows + f"""
         SELECT split, '{model}' AS "Model", 'charge' AS "Target",
                round(1 - sum((charge - exp(p) + 1) ** 2) / (count(*) * var_pop(charge)), 6) AS "R2",
                round(sqrt(avg((charge - exp(p) + 1) ** 2)), 3) AS "RMSE", count(*) AS n FROM o GROUP BY 1"""
@@ -658,8 +737,8 @@ QUERIES = {
     "ridge_fit": (ridge_fit, _two_feature_metrics("Ridge Regression", 100.0) + " GROUP BY split"),
     "rf_fit": (_fit_query("random_forest", n_estimators=50, max_depth=6), None),
     "gbt_fit": (_fit_query("gradient_boosting", n_estimators=50), None),
-    "gbt_regularised_fit": (_fit_query("xgboost", n_estimators=50, max_depth=4, gamma=0.0, min_child_weight=5,
-                                       subsample=0.8, colsample_bytree=0.8), None),
+    "gbt_regularised_fit": (_fit_query("xgboost", n_estimators=100, max_depth=4, gamma=0.5, min_child_weight=5,
+                                       subsample=0.8, colsample_bytree=0.8, reg_alpha=1.0, reg_lambda=5.0), None),
     "svr_rff_fit": (_fit_query("svr", C=1.0, epsilon=0.1), None),
     "linear_importances": (linear_importances, _two_feature_sql() + """
         SELECT 'Linear Regression' AS "Model", 'charge' AS "Target", 'l_extendedprice' AS "Feature",
@@ -670,6 +749,9 @@ QUERIES = {
     "boosted_stumps": (boosted_stumps, _stump_metrics_sql("Gradient Boosting", 2)),
     "forest_stump_importances": (forest_stump_importances, _stump_importance_sql("Random Forest", 1)),
     "boosted_stump_importances": (boosted_stump_importances, _stump_importance_sql("Gradient Boosting", 2)),
+    "penalised_stumps": (penalised_stumps, _split_metrics_sql(_penalised_sql(PENALTIES["gamma"]), "XGBoost")),
+    "penalised_stump_importances": (penalised_stump_importances, _penalised_importance_sql()),
+    "permutation_r2_drop_stumps": (permutation_r2_drop_stumps, _stump_permutation_sql()),
     "permutation_r2_drop": (permutation_r2_drop, _two_feature_sql() + f""",
         e AS (SELECT z.*, c.*, (SELECT CAST(ceil(count(*) / 10000.0) AS BIGINT) FROM z WHERE split = 'test') AS nb
               FROM z, c WHERE split = 'test'),

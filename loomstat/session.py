@@ -82,12 +82,24 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete one scratch path that nothing reads any more."""
+    own = _scratch.get(spark.sparkContext.applicationId, [])
+    if path in own:
+        own.remove(path)
+        _delete(spark, path)
+
+
 def remove_scratch(spark: SparkSession) -> int:
     """Delete all scratch paths of this application, once nothing reads them any more; returns their number."""
     paths = _scratch.pop(spark.sparkContext.applicationId, [])
     for path in paths:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _delete(spark, path)
     return len(paths)
 
 

@@ -242,7 +242,8 @@ def test_permutation_ranks_features(ready, bucket):
     assert got["num__a"] > got["num__b"] > 0.05 > abs(got["cat__c_u"])
 
 
-@pytest.mark.parametrize(("family", "params"), [("ridge", {"alpha": 2.0}), ("svr", {"size": 32, "steps": 5})])
+@pytest.mark.parametrize(("family", "params"), [("ridge", {"alpha": 2.0}), ("svr", {"size": 32, "steps": 5}), ("random_forest", {"n_estimators": 4, "max_depth": 4}),
+                                                ("gradient_boosting", {"n_estimators": 4}), ("xgboost", {"n_estimators": 4, "max_depth": 3})])
 def test_swapping_inside_tasks_as_row_by_row(ready, monkeypatch, family, params):
     fitted = models.fit(family, ready.train, ["t"], params)
 
@@ -251,7 +252,7 @@ def test_swapping_inside_tasks_as_row_by_row(ready, monkeypatch, family, params)
         return {r.Feature: (r.Importance, r.Deviation) for r in rows}
 
     inside = run()
-    monkeypatch.setattr(explain, "numpy_prediction", lambda part: None)
+    monkeypatch.setattr(explain, "numpy_prediction", lambda part, width: None)
     outside = run()
     assert inside.keys() == outside.keys() == set(ready.preprocessor.names)
     for name in inside:
@@ -380,9 +381,10 @@ def test_row_ids_do_not_run_together(spark):
 
 
 def test_points_that_lead_to_one_fit(spark):
-    points = [{"max_depth": d, "min_samples_split": s} for d in (None, 30, 5) for s in (2, 5)]
-    assert models.distinct_points("random_forest", points) == [{"max_depth": 30}, {"max_depth": 5}]
-    assert models.distinct_points("xgboost", [{"reg_alpha": 1.0, "max_depth": 3}, {"reg_alpha": 2.0, "max_depth": 3}]) == [{"max_depth": 3}]
+    points = [{"max_depth": d, "min_samples_split": s} for d in (None, 30, 5) for s in (1, 2, 5)]
+    assert models.distinct_points("random_forest", points) == [{"max_depth": 30}, {"max_depth": 30, "min_samples_split": 5}, {"max_depth": 5},
+                                                               {"max_depth": 5, "min_samples_split": 5}]
+    assert len(models.distinct_points("xgboost", [{"reg_alpha": 1.0, "max_depth": 3}, {"reg_alpha": 2.0, "max_depth": 3}])) == 2
     rows = spark.createDataFrame([(1.0, 2.0)], "label_t double, x double")
     with pytest.raises(ValueError, match="deeper than 30"):
         models.make_estimator("random_forest", rows, "t", {"max_depth": 31})
