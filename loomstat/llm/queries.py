@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import align, ann, decontaminate, lm, mixing, neardup, packing, quality, repeats, tokens, toxicity, warc
+from . import align, ann, decontaminate, lm, mixing, neardup, packing, quality, repeats, tokens, toxicity, trie, warc
 
 QUERIES = {
     "op1_mixing": (mixing.query, mixing.ORACLE_SQL),
@@ -17,4 +17,5 @@ QUERIES = {
     "op10_repeats": (repeats.query, None),
     "op11_packing": (packing.query, None),
     "op12_align": (align.query, None),
+    "op13_trie": (trie.query, None),
 }
