@@ -32,12 +32,14 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from . import units
-from .shared import stored, table, worker_cache
+from .shared import release_memory, stored, table, worker_cache
 
-#: Text aligned at once, units that a worker remembers, pairs that are broadcast.
-PIECE = 4 << 20
+#: Bytes of text aligned at once, units that a worker remembers, pairs that are broadcast.
+PIECE = 2 << 20
 MEMO = 300_000
 PAIRS = 4_000_000
+#: Units whose tokens are objects of the two libraries at one time.
+TOGETHER = 4_000
 #: Split of a byte-level tokenizer file without one of its own: a space goes with the word behind it.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
@@ -193,6 +195,15 @@ class Aligner:
         return ids, limits, begin, end
 
     def _learn(self, new: list[str]) -> None:
+        parts = [self._studied(new[a : a + TOGETHER]) for a in range(0, len(new), TOGETHER)]
+        counts, links, spelled = zip(*parts, strict=True)
+        self.counts = np.concatenate((self.counts, *counts))
+        self.links = np.concatenate((self.links, *links))
+        self.link_limits = np.concatenate(([0], np.cumsum(np.maximum(self.counts[:, 2], 0))))
+        self.digests = pa.concat_arrays([self.digests, *spelled])
+
+    def _studied(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Counts, links and spelled groups of some units."""
         data, offsets = T.raw_text(pa.array(new, pa.string()))
         size = np.diff(offsets)
         sides = []
@@ -202,8 +213,9 @@ class Aligner:
             total = np.concatenate(([0], np.cumsum(sizes)))
             given = np.diff(total[limits]) == size
             spelled, at = vocabulary.spell(ids), total[limits]
-            for i in np.flatnonzero(given):
-                given[i] = spelled[at[i] : at[i + 1]].tobytes() == data[offsets[i] : offsets[i + 1]].tobytes()
+            if not (given.all() and np.array_equal(spelled, data)):
+                for i in np.flatnonzero(given):
+                    given[i] = spelled[at[i] : at[i + 1]].tobytes() == data[offsets[i] : offsets[i + 1]].tobytes()
             sides.append((ids, limits, spans_to_ends(limits, begin, end, sizes), given))
         (ids_a, la, ends_a, ok_a), (ids_b, lb, ends_b, ok_b) = sides
         good = ok_a & ok_b
@@ -217,10 +229,7 @@ class Aligner:
         links = (ids_a[at_a] * self.factor + ids_b[at_b]).astype(self.code)
         counts = np.where(good[:, None], np.stack([np.diff(la), np.diff(lb), groups], 1), -1)
         spelled = _spelled(ids_a, ids_b, at_a, at_b, np.concatenate(([0], np.cumsum(groups))), la[:-1], lb[:-1], good)
-        self.counts = np.concatenate((self.counts, counts))
-        self.links = np.concatenate((self.links, links))
-        self.link_limits = np.concatenate((self.link_limits, self.link_limits[-1] + np.cumsum(groups)))
-        self.digests = pa.concat_arrays([self.digests, pa.array(spelled, pa.large_binary())])
+        return counts, links, pa.array(spelled, pa.large_binary())
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
         """Of non-empty texts, a space before each: counts of tokens and groups, digests, links and their limits."""
@@ -291,6 +300,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
                     [batch["id"].slice(row, stop - row), *(pa.array(np.ascontiguousarray(c)) for c in sizes.T), pa.array(digests, pa.string()), binary],
                     ["id", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
                 row = stop
+        release_memory()
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, links binary")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import posixpath
+import sys
 import uuid
 
 import pyarrow as pa
@@ -69,7 +71,19 @@ def worker_cache(key: object, make):
 def drop_worker_cache() -> None:
     global _cache
     _cache = None
+    release_memory()
+
+
+def release_memory() -> None:
+    """Gives back to the system what this worker has freed; called at the end of tasks with large arrays.
+
+    Workers are kept for later tasks and other operators, and would keep their largest size.
+    """
     pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only in the GNU C library
+        if trim is not None:
+            trim(0)
 
 
 class WholeFile:
