@@ -7,6 +7,7 @@ import math
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
@@ -16,8 +17,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..fixed import SEED, TEST_SHARE
 from ..functions.columns import from_log, key_hash, to_log, unit_hash
-from ..session import materialise
+from ..session import materialise, scratch_path
 from ..spec import Spec
+from . import levels
 from .quantiles import DIRECT_ROWS, quantile_values, size_measures
 
 def assign_split(df: DataFrame, key: Sequence[str], share: float = TEST_SHARE, seed: int = SEED,
@@ -68,28 +70,64 @@ def _level_text(level: Any) -> str:
     return str(level)
 
 
+def _filled(column: str, fill: Any) -> Any:
+    """A categorical column with its missing values filled; NaN is one of them, as it is when levels are counted."""
+    value = F.nanvl(F.col(column), F.lit(None)) if isinstance(fill, float) else F.col(column)
+    return F.coalesce(value, F.lit(fill))
+
+
 @dataclass(frozen=True)
 class Preprocessor:
-    """Fitted imputation, scaling and one-hot levels, as literals.
+    """Fitted imputation, scaling and one-hot levels.
 
-    ``numeric`` holds (name, fill, mean, std); ``categorical`` holds (name, fill, levels).
-    Applying it is a projection without a shuffle, for batch and streaming tables alike.
+    ``numeric`` holds (name, fill, mean, std); ``categorical`` holds (name, fill, levels), all as
+    literals: then applying it is a projection without a shuffle, for batch and streaming tables
+    alike.  A column with more levels than are listed holds their number instead; they are tables
+    below ``dictionary``, and applying it is a join.
     """
 
     numeric: tuple[tuple[str, float, float, float], ...]
-    categorical: tuple[tuple[str, Any, tuple], ...]
+    categorical: tuple[tuple[str, Any, tuple | int], ...]
+    dictionary: str | None = None
+
+    @property
+    def width(self) -> int:
+        """Number of output features."""
+        return len(self.numeric) + sum(levels if isinstance(levels, int) else len(levels) for _, _, levels in self.categorical)
+
+    def _listed(self) -> tuple[tuple[str, Any, tuple], ...]:
+        for n, _, levels in self.categorical:
+            if isinstance(levels, int):
+                raise ValueError(f"{n}: its {levels} levels are a table; name_table has the names")
+        return self.categorical
 
     @property
     def names(self) -> list[str]:
         """Output feature names: the numeric block, then the one-hot block."""
         return [f"num__{n}" for n, *_ in self.numeric] + [
-            f"cat__{n}_{_level_text(level)}" for n, _, levels in self.categorical for level in levels]
+            f"cat__{n}_{_level_text(level)}" for n, _, levels in self._listed() for level in levels]
 
     @property
     def bases(self) -> dict[str, str]:
         """Output feature name → source column, also for levels that are words."""
         return {f"num__{n}": n for n, *_ in self.numeric} | {
-            f"cat__{n}_{_level_text(level)}": n for n, _, levels in self.categorical for level in levels}
+            f"cat__{n}_{_level_text(level)}": n for n, _, levels in self._listed() for level in levels}
+
+    def name_table(self, spark: SparkSession) -> DataFrame:
+        """(position, name, base) of all output features, however many there are."""
+        rows, tables, position = [], [], 0
+        for n, *_ in self.numeric:
+            rows.append((position, f"num__{n}", n))
+            position += 1
+        for n, _, found in self.categorical:
+            if isinstance(found, int):
+                tables.append(levels.read_dictionary(spark, self.dictionary, n).select(
+                    (F.col("index") + position).alias("position"), F.concat(F.lit(f"cat__{n}_"), F.col("level").cast("string")).alias("name"), F.lit(n).alias("base")))
+                position += found
+                continue
+            rows += [(position + i, f"cat__{n}_{_level_text(level)}", n) for i, level in enumerate(found)]
+            position += len(found)
+        return reduce(DataFrame.unionByName, tables, spark.createDataFrame(rows, "position long, name string, base string"))
 
     def columns(self) -> dict[str, Any]:
         """Output feature name → expression over the raw columns."""
@@ -97,14 +135,13 @@ class Preprocessor:
         for n, fill, mean, std in self.numeric:
             value = F.coalesce(F.nanvl(F.col(n).cast("double"), F.lit(None).cast("double")), F.lit(fill))
             out[f"num__{n}"] = (value - F.lit(mean)) / F.lit(std if std else 1.0)
-        for n, fill, levels in self.categorical:
-            filled = F.coalesce(F.col(n), F.lit(fill))
-            for level in levels:
-                out[f"cat__{n}_{_level_text(level)}"] = (filled == F.lit(level)).cast("double")
+        for n, fill, found in self._listed():
+            for level in found:
+                out[f"cat__{n}_{_level_text(level)}"] = (_filled(n, fill) == F.lit(level)).cast("double")
         return out
 
     def transform_columns(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        """One column per output feature, beside the columns to keep."""
+        """One column per output feature, beside the columns to keep; levels must be listed."""
         return df.select(*keep, *[c.alias(n) for n, c in self.columns().items()])
 
     def transform(self, df: DataFrame, keep: Sequence[str] | None = None, vector: str = "features") -> DataFrame:
@@ -115,30 +152,36 @@ class Preprocessor:
         """
         keep = list(df.columns if keep is None else keep)
         numeric = list(Preprocessor(self.numeric, ()).columns().values())
-        plain = df.select(*keep, *[c.alias(f"_f{i}") for i, c in enumerate(numeric)], *[
-            F.coalesce(F.col(n), F.lit(fill)).cast("string").alias(f"_s{i}") for i, (n, fill, _) in enumerate(self.categorical)])
+        tables = {i: c for i, c in enumerate(self.categorical) if isinstance(c[2], int)}
+        for i, (n, fill, size) in tables.items():
+            df = levels.look_up(df, n, fill, levels.read_dictionary(df.sparkSession, self.dictionary, n), size, f"_i{i}")
+        listed = {i: c for i, c in enumerate(self.categorical) if i not in tables}
+        plain = df.select(*keep, *[c.alias(f"_f{i}") for i, c in enumerate(numeric)], *[f"_i{i}" for i in tables], *[
+            _filled(n, fill).cast("string").alias(f"_s{i}") for i, (n, fill, _) in listed.items()])
         inputs = [f"_f{i}" for i in range(len(numeric))]
-        texts, indices, encoded = ([f"_{k}{i}" for i in range(len(self.categorical))] for k in "sie")
+        indices, encoded = ([f"_{k}{i}" for i in range(len(self.categorical))] for k in "ie")
         if self.categorical:
             spark = df.sparkSession
-            labels = [self._level_texts(df, n, levels) for n, _, levels in self.categorical]
-            indexer = StringIndexerModel.from_arrays_of_labels(labels, texts, indices, handleInvalid="keep")
-            plain = indexer.transform(plain)
-            last = spark.createDataFrame([tuple(float(len(found) - 1) for found in labels)], ", ".join(f"{i} double" for i in indices))
-            encoder = OneHotEncoder(inputCols=indices, outputCols=encoded, dropLast=True, handleInvalid="keep").fit(last)
+            labels = {i: self._level_texts(df, n, found) for i, (n, _, found) in listed.items()}
+            if labels:
+                plain = StringIndexerModel.from_arrays_of_labels(list(labels.values()), [f"_s{i}" for i in labels], [f"_i{i}" for i in labels],
+                                                                 handleInvalid="keep").transform(plain)
+            last = [float((len(labels[i]) if i in labels else tables[i][2]) - 1) for i in range(len(self.categorical))]
+            sizes = spark.createDataFrame([tuple(last)], ", ".join(f"{i} double" for i in indices))
+            encoder = OneHotEncoder(inputCols=indices, outputCols=encoded, dropLast=True, handleInvalid="keep").fit(sizes)
             # Without the index metadata the number of levels is the encoder's own.
             plain = encoder.transform(plain.withColumns({i: F.expr(f"{i} + 0.0") for i in indices}))
             inputs += encoded
         assembled = VectorAssembler(inputCols=inputs, outputCol=vector).transform(plain)
-        return assembled.select(*keep, F.col(vector).alias(vector, metadata={"ml_attr": {"num_attrs": len(self.names)}}))
+        return assembled.select(*keep, F.col(vector).alias(vector, metadata={"ml_attr": {"num_attrs": self.width}}))
 
     @staticmethod
-    def _level_texts(df: DataFrame, column: str, levels: tuple) -> list[str]:
+    def _level_texts(df: DataFrame, column: str, found: tuple) -> list[str]:
         """Levels as the column's own type writes them."""
-        if all(isinstance(v, str) for v in levels):
-            return list(levels)
+        if all(isinstance(v, str) for v in found):
+            return list(found)
         kind = df.schema[column].dataType
-        rows = df.sparkSession.createDataFrame([(i, v) for i, v in enumerate(levels)], StructType([
+        rows = df.sparkSession.createDataFrame([(i, v) for i, v in enumerate(found)], StructType([
             StructField("i", LongType()), StructField("v", kind)]))
         return [r[0] for r in rows.orderBy("i").select(F.col("v").cast("string")).collect()]
 
@@ -146,47 +189,50 @@ class Preprocessor:
         return json.dumps({"numeric": self.numeric, "categorical": self.categorical})
 
     @staticmethod
-    def from_json(text: str) -> Preprocessor:
+    def from_json(text: str, dictionary: str | None = None) -> Preprocessor:
         raw = json.loads(text)
         return Preprocessor(tuple(tuple(r) for r in raw["numeric"]),
-                            tuple((n, fill, tuple(levels)) for n, fill, levels in raw["categorical"]))
+                            tuple((n, fill, found if isinstance(found, int) else tuple(found)) for n, fill, found in raw["categorical"]), dictionary)
 
     def save(self, spark: SparkSession, path: str) -> None:
+        """Writes one JSON line, and beside it the tables of levels that are not listed."""
         spark.createDataFrame([(self.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        for n, _, found in self.categorical:
+            if isinstance(found, int):
+                levels.read_dictionary(spark, self.dictionary, n).write.mode("overwrite").parquet(f"{path}/_levels/{n}")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Preprocessor:
-        return Preprocessor.from_json(spark.read.text(path).first()[0])
+        return Preprocessor.from_json(spark.read.text(path).first()[0], f"{path}/_levels")
 
 
-def category_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list[tuple[Any, int]]]:
-    """The sorted non-null levels of every column with their counts, from one job.
+def fit_levels(df: DataFrame, cols: Sequence[str], listed: int = levels.LISTED) -> tuple[list[tuple[str, Any, tuple | int]], str | None]:
+    """(column, most frequent level, levels) of every column that has any, and the folder of the tables.
 
-    The levels name the output features, so the fitted preprocessing holds all of them.
+    Levels are counted in one job.  Those of columns with at most ``listed`` are listed in order; the others become
+    a table each, of which only the number of levels comes here.  On a tie the smallest is the most frequent.
     """
     if not cols:
-        return {}
-    kinds = dict(df.dtypes)
-    entries = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in cols])).alias("_e")
-    counts = df.select(entries).select("_e.*").filter("level is not null").groupBy("column", "level").count()
-    rows = counts.toLocalIterator()
-    result: dict[str, list[tuple[Any, int]]] = {c: [] for c in cols}
-    readers = {"double": float, "float": float, "int": int, "bigint": int, "smallint": int, "tinyint": int,
-               "boolean": lambda text: text == "true"}
-    for r in rows:
-        reader = readers.get(kinds[r["column"]], str)
-        result[r["column"]].append((reader(r["level"]), r["count"]))
-    for c, levels in result.items():
-        # NaN stands for a missing value, as null does.
-        result[c] = sorted([lv for lv in levels if lv[0] == lv[0]], key=lambda lv: lv[0])
-    return result
+        return [], None
+    spark, kinds = df.sparkSession, dict(df.dtypes)
+    counts = levels.count_levels(df, cols)
+    sizes = {r["column"]: r["count"] for r in counts.groupBy("column").count().collect()}
+    few = levels.listed_levels(counts, kinds, [c for c in cols if 0 < sizes.get(c, 0) <= listed])
+    folder = scratch_path(spark, "dictionary")
+    found: list[tuple[str, Any, tuple | int]] = []
+    for c in cols:
+        if c in few:
+            most = max(n for _, n in few[c])
+            found.append((c, next(level for level, n in few[c] if n == most), tuple(level for level, _ in few[c])))
+        elif c in sizes:
+            found.append((c, *levels.write_dictionary(counts, c, kinds[c], f"{folder}/{c}")))
+    return found, folder
 
 
 def fit_preprocessor(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], impute: str = "median",
-                     direct_rows: int = DIRECT_ROWS) -> Preprocessor:
+                     direct_rows: int = DIRECT_ROWS, listed: int = levels.LISTED) -> Preprocessor:
     """Fit on the given rows: median or mean fill, mean and population std after the fill,
-    most frequent level (smallest on a tie) and sorted levels.
+    most frequent level (smallest on a tie) and sorted levels, as a table for columns with more than ``listed``.
 
     A numeric column without any value has no fill and is left out.
     """
@@ -199,9 +245,9 @@ def fit_preprocessor(df: DataFrame, numeric: Sequence[str], categorical: Sequenc
         for n, f in (("mean", F.avg), ("var", F.var_pop))], *size_measures(numeric)).first()
     sizes = [(found[f"_n{i}"], found[f"_d{i}"]) for i in range(len(numeric))]
     with ThreadPoolExecutor(2) as pool:
-        counted = pool.submit(category_levels, df, categorical)
+        counted = pool.submit(fit_levels, df, categorical, listed)
         medians = quantile_values(df, numeric, [0.5], direct_rows, sizes) if impute == "median" else {}
-        levels = counted.result()
+        fitted_categories, folder = counted.result()
     scaled = []
     for i, c in enumerate(numeric):
         present, mean, variance = found[f"_n{i}"], found[f"_mean{i}"], found[f"_var{i}"]
@@ -211,13 +257,7 @@ def fit_preprocessor(df: DataFrame, numeric: Sequence[str], categorical: Sequenc
             share = present / found["rows"]
             spread = share * variance + share * (1 - share) * (mean - fill) ** 2
             scaled.append((c, fill, share * mean + (1 - share) * fill, math.sqrt(spread)))
-    fitted_categories = []
-    for c in categorical:
-        if levels[c]:
-            most = max(n for _, n in levels[c])
-            fill = next(level for level, n in levels[c] if n == most)
-            fitted_categories.append((c, fill, tuple(level for level, _ in levels[c])))
-    return Preprocessor(tuple(scaled), tuple(fitted_categories))
+    return Preprocessor(tuple(scaled), tuple(fitted_categories), folder if any(isinstance(c[2], int) for c in fitted_categories) else None)
 
 
 @dataclass(frozen=True)

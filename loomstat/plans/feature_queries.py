@@ -101,8 +101,21 @@ def mean_impute_stats(spark: SparkSession, folder: str) -> DataFrame:
 def most_frequent_fill(spark: SparkSession, folder: str) -> DataFrame:
     train = features.assign_split(table(spark, folder, "part"), ["p_partkey"]).filter("split = 'train'")
     fitted = features.fit_preprocessor(train, [], ["p_brand", "p_type", "p_name"])
-    return spark.createDataFrame([(n, fill, len(levels), levels[0]) for n, fill, levels in fitted.categorical],
-                                 "name string, fill string, levels long, first_level string")
+    fills = spark.createDataFrame([(n, fill) for n, fill, _ in fitted.categorical], "name string, fill string")
+    # Names hold the level; columns with many levels keep them as a table.
+    names = fitted.name_table(spark).groupBy(F.col("base").alias("name")).agg(F.count(F.lit(1)).alias("levels"), F.min_by("name", "position").alias("_first"))
+    first = F.expr("substr(_first, length(name) + 7)")
+    return fills.join(F.broadcast(names), "name").select("name", "fill", "levels", first.alias("first_level"))
+
+
+def many_level_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers and priorities of orders: the most frequent level, the number of levels, their first and last feature."""
+    orders = table(spark, folder, "orders")
+    fitted = features.fit_preprocessor(orders, [], ["o_custkey", "o_orderpriority"], listed=100)
+    fills = spark.createDataFrame([(n, str(fill)) for n, fill, _ in fitted.categorical], "base string, fill string")
+    names = fitted.name_table(spark).groupBy("base").agg(F.count(F.lit(1)).alias("levels"), F.min("position").alias("first"),
+                                                         F.min_by("name", "position").alias("first_name"), F.max_by("name", "position").alias("last_name"))
+    return fills.join(names, "base")
 
 
 def onehot_columns(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,7 +131,7 @@ def onehot_many_levels(spark: SparkSession, folder: str) -> DataFrame:
     fitted = features.fit_preprocessor(orders, [], ["o_orderkey"])
     rows = fitted.transform(orders, ["o_orderkey"])
     met = rows.agg(Summarizer.numNonZeros(F.col("features")).alias("v"), F.count(F.lit(1)).alias("n"))
-    return met.select("n", F.lit(len(fitted.names)).cast("long").alias("levels"),
+    return met.select("n", F.lit(fitted.width).cast("long").alias("levels"),
                       F.aggregate(vector_to_array("v"), F.lit(0.0), lambda a, x: a + x).cast("long").alias("met"),
                       F.array_max(vector_to_array("v")).cast("long").alias("most"))
 
@@ -227,6 +240,10 @@ QUERIES = {
         """ + " UNION ALL ".join(f"""
         SELECT '{c}' AS name, (SELECT {c} FROM t GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS fill,
                count(DISTINCT {c}) AS levels, min({c}) AS first_level FROM t""" for c in ["p_brand", "p_type", "p_name"])),
+    "many_level_fill": (many_level_fill, "".join(f"""{"UNION ALL" if i else ""}
+        SELECT '{c}' AS base, (SELECT {c}::VARCHAR FROM orders GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS fill, count(DISTINCT {c}) AS levels,
+               {i} * (SELECT count(DISTINCT o_custkey) FROM orders) AS first, 'cat__{c}_' || min({c}) AS first_name, 'cat__{c}_' || max({c}) AS last_name
+        FROM orders """ for i, c in enumerate(["o_custkey", "o_orderpriority"]))),
     "onehot_many_levels": (onehot_many_levels, """
         SELECT sum(n)::BIGINT AS n, count(*) AS levels, sum(n)::BIGINT AS met, max(n) AS most
         FROM (SELECT o_orderkey, count(*) AS n FROM orders GROUP BY 1)"""),

@@ -338,7 +338,7 @@ def test_any_number_of_levels(spark):
     df = spark.range(10_500).select(F.col("id").alias("k"), (F.col("id") % 10_001).alias("code"),
                                     (F.col("id") % 7).cast("double").alias("label_t"))
     fitted = features.fit_preprocessor(df, [], ["code"])
-    assert len(fitted.names) == 10_001 and fitted.categorical[0][1] == 0
+    assert fitted.width == 10_001 and fitted.categorical == (("code", 0, 10_001),)
     rows = fitted.transform(df, ["k", "label_t"])
     one = rows.filter("k = 10002").first().features
     assert one.size == 10_001 and one.indices.tolist() == [1] and one.values.tolist() == [1.0]

@@ -192,3 +192,25 @@ def test_boxes_and_counts_of_all_categories_together(spark):
             assert [tuple(r)[2:] for r in own] == [tuple(r) for r in want]
     counts = {(r.column, r.value): r.n for r in profile.category_counts(df, ["column", "flag"]).collect()}
     assert counts == {("column", "x"): 27, ("column", "y"): 27, ("column", "z"): 26, ("flag", "0"): 40, ("flag", "1"): 41}
+
+
+@pytest.mark.parametrize("values", [
+    [0.0, 1.0, 2.0, 4.0, 8.0, 16.0], list(np.random.default_rng(3).normal(size=3000)), list(np.random.default_rng(4).pareto(1.2, 2000)),
+    [0.0] * 500 + [1e6], list(np.random.default_rng(5).integers(0, 3, 900))])
+def test_kde_by_moments_within_its_error(spark, values):
+    x = np.array(values, dtype=float)
+    h = x.std(ddof=1) * len(x) ** -0.2
+    got = distribution.kde(frame(spark, [float(v) for v in x]).repartition(3), "x", 60, cut=1.0).orderBy("x").collect()
+    at = np.array([r.x for r in got])
+    exact = np.exp(-0.5 * ((at[:, None] - x[None, :]) / h) ** 2).sum(axis=1)
+    bound = len(x) * distribution.kde_error() + 1e-13 * exact.max()
+    assert distribution.kde_error() < 1e-15
+    assert np.abs(np.array([r.density for r in got]) * len(x) * h * np.sqrt(2 * np.pi) - exact).max() <= bound
+
+
+def test_kde_leaves_the_scan_as_cells(spark):
+    x = np.random.default_rng(3).normal(size=20_000)
+    literals = {"x": {"lo": x.min(), "step": 1.0, "h": x.std() * len(x) ** -0.2}}
+    cells = distribution.kde_cells(frame(spark, [float(v) for v in x]), literals)
+    assert cells.count() <= np.ptp(x) / literals["x"]["h"] + 1 and len(cells.columns) == 2 + distribution.TERMS
+    assert cells.agg(F.sum("m0")).first()[0] == len(x)
