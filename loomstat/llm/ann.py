@@ -5,7 +5,8 @@ table.  A query probes its nearest lists.  Inside a list, vectors are rotated at
 read in column blocks: after d of D dimensions the partial distance, scaled by D / d, estimates
 the whole one, and a candidate is abandoned when the hypothesis that it is near enough can be
 rejected (Gao and Long 2023).  Survivors are measured exactly, on original vectors in double
-precision.
+precision.  A query that is left with fewer than ``k`` rows probes further lists by the distance of
+their centres, without abandoning, until it has them or no list is left.
 """
 
 from __future__ import annotations
@@ -161,12 +162,12 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
                  pa.array(probed, pa.list_(pa.int64())), pa.array(limit)], ["id", "list", "v", "probed", "bound"])
 
     dealt = stored(rows.mapInArrow(deal, "id long, list long, v binary, probed array<long>, bound double"), "lists")
-    sizes = dealt.groupBy("list").count().select("list", F.ceil(F.col("count") / block).alias("blocks"))  # at most MAX_LISTS rows
-    sizes = F.broadcast(sizes)
+    counted = dealt.groupBy("list").count()  # at most MAX_LISTS rows
+    counts = np.zeros(len(index.value.centres), np.int64)
+    for r in counted.collect():
+        counts[r["list"]] = r["count"]
+    sizes = F.broadcast(counted.select("list", F.ceil(F.col("count") / block).alias("blocks")))
     held = dealt.join(sizes, "list").select("list", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "id", "v")
-    asked = dealt.where("probed is not null").select("id", "v", "bound", F.explode("probed").alias("list")).join(sizes, "list")
-    asked = asked.select(F.col("list").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"),
-                         F.col("id").alias("query_id"), F.col("v").alias("query"), "bound")
 
     def measure(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
@@ -181,11 +182,43 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
         return pa.table(dict(zip(("query_id", "id", "score"), map(pa.array, columns), strict=True)))
 
-    pairs = held.groupBy("list", "block").cogroup(asked.groupBy("at", "part")).applyInArrow(
-        measure, "query_id long, id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
-    best = pairs.withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", F.col("id").alias(id_col), "score")
+    def answered(asking: DataFrame) -> DataFrame:
+        """The best of the probed lists; ``asking``: (id, v, bound, probed)."""
+        asked = asking.select("id", "v", "bound", F.explode("probed").alias("list")).join(sizes, "list")
+        asked = asked.select(F.col("list").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"),
+                             F.col("id").alias("query_id"), F.col("v").alias("query"), "bound")
+        pairs = held.groupBy("list", "block").cogroup(asked.groupBy("at", "part")).applyInArrow(
+            measure, "query_id long, id long, score double")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
+        return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    asking = dealt.where("probed is not null").select("id", "v", "bound", "probed")
+    result, wanted = stored(answered(asking), "found"), 2 * k
+    while True:
+        complete = result.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
+        short = stored(asking.join(complete, "id", "left_anti"), "short")
+        if short.isEmpty() or wanted >= 2 * n:
+            break
+        # Few rows in the probed lists, or too many abandoned: more lists, and no row abandoned.
+        more = stored(answered(short.mapInArrow(_further(index, counts, wanted), short.schema)), "found")
+        result = result.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(more)
+        wanted = min(8 * wanted, 2 * n)
+    return result.select("query_id", "rank", F.col("id").alias(id_col), "score")
+
+
+def _further(index, counts: np.ndarray, wanted: int):
+    """Queries that probe as many lists, nearest first, as hold ``wanted`` rows, without a threshold."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                order = np.argsort(squared(_vectors(batch["v"]), index.value.centres), axis=1)
+                enough = (np.cumsum(counts[order], axis=1) < wanted).sum(axis=1) + 1
+                probed = [o[:e].tolist() for o, e in zip(order, enough.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch["id"], batch["v"], pa.array(np.full(batch.num_rows, np.inf)), pa.array(probed, pa.list_(pa.int64()))],
+                                                 ["id", "v", "bound", "probed"])
+
+    return run
 
 
 def query(spark, folder: str) -> DataFrame:

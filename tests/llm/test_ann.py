@@ -82,3 +82,18 @@ def test_scan_abandons_early():
     d[np.arange(20), np.arange(20)] = np.inf
     true = {(a, b) for a in range(20) for b in np.argsort(d[a])[:10].tolist()}
     assert len(true & kept) >= 0.98 * len(true)
+
+
+def test_lists_too_small_for_a_query(spark):
+    """Tight groups give few probes; queries in tiny lists still get their ten rows, whatever the number of rows with their id."""
+    rng = np.random.default_rng(3)
+    groups = rng.standard_normal((100, 8)) * 100
+    x = np.vstack([np.repeat(groups, 30, axis=0) + rng.standard_normal((3000, 8)) * 0.01, rng.standard_normal((6, 8)) * 5000, groups[:40] * 7])
+    ids = np.concatenate([np.arange(3006), np.full(40, 3000)])
+    asks = (ids % 90 == 0) | (ids >= 3000)
+    got = found(A.search(frame(spark, ids, x), (F.col("vec_id") % 90 == 0) | (F.col("vec_id") >= 3000)))
+    assert got.keys() == set(ids[asks].tolist()) and all(len(rows) == 10 for rows in got.values())
+    few = found(A.search(frame(spark, ids[2995:3006], x[2995:3006]), F.lit(True)))
+    assert len(few) == 11 and all(len(rows) == 10 for rows in few.values())
+    three = found(A.search(frame(spark, ids[:3], x[:3]), F.lit(True)))
+    assert all(len(rows) == 2 for rows in three.values())
