@@ -8,6 +8,7 @@ false positives does not depend on the amount of data.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,8 +21,11 @@ from pyspark.sql import functions as F
 from . import text as T
 from .shared import stored
 
-BITS_PER_EVENT = 8
+#: Probes of an event unless an order has its own number, and bits for each probe.
 PROBES = 5
+BITS_PER_PROBE = 1.6
+#: Share of bits that are set, about, when a segment is built.
+FILL = 1 - math.exp(-1 / BITS_PER_PROBE)
 #: Largest group of segments that is broadcast at once.
 FILTER_BYTES = 128 << 20
 
@@ -91,17 +95,18 @@ def segment_of(grams: np.ndarray, segments: int) -> np.ndarray:
     return (T.mix(grams ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(segments)).astype(np.int64)
 
 
-def build_segment(counted: dict[int, tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
-    """Bits (as bytes) of one segment: order → (grams, counts, base of the levels)."""
+def build_segment(counted: dict[int, tuple[np.ndarray, np.ndarray, float]], probes: dict[int, int] | None = None) -> np.ndarray:
+    """Bits (as bytes) of one segment: order → (grams, counts, base of the levels).  ``probes``: of orders that have their own number."""
+    probes = probes or {}
     levels = {o: level(c, base) for o, (_, c, base) in counted.items()}
-    events = int(sum(x.sum() for x in levels.values()))
-    bits = np.zeros(max(8, -(-events * BITS_PER_EVENT // 8)), dtype=np.uint8)
+    wanted = sum(int(x.sum()) * probes.get(o, PROBES) * BITS_PER_PROBE for o, x in levels.items())
+    bits = np.zeros(max(8, math.ceil(wanted / 8)), dtype=np.uint8)
     size = np.uint64(len(bits) * 8)
     for order, (grams, *_) in counted.items():
         lvl, left, deep = 1, grams, levels[order]
         while len(left):
             draws = _draws(left, order, lvl)
-            for probe in range(PROBES):
+            for probe in range(probes.get(order, PROBES)):
                 at = _bit(draws, probe, size)
                 np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
             lvl += 1
@@ -118,16 +123,17 @@ class Filter:
     bits: np.ndarray
     start: np.ndarray
     size: np.ndarray  # 0: not held here
+    probes: dict[int, int]
 
     @classmethod
-    def of(cls, segments: int, parts: dict[int, bytes]) -> Filter:
+    def of(cls, segments: int, parts: dict[int, bytes], probes: dict[int, int] | None = None) -> Filter:
         start, size = np.zeros(segments, np.int64), np.zeros(segments, np.uint64)
         rows, at = [], 0
         for s, b in sorted(parts.items()):
             start[s], size[s] = at, len(b) * 8
             rows.append(np.frombuffer(b, np.uint8))
             at += len(b)
-        return cls(segments, np.concatenate(rows) if rows else np.zeros(0, np.uint8), start, size)
+        return cls(segments, np.concatenate(rows) if rows else np.zeros(0, np.uint8), start, size, probes or {})
 
     def levels(self, grams: np.ndarray, order: int) -> np.ndarray:
         """Levels by repeated probes; 0 for grams that are absent or held by another group of segments."""
@@ -139,7 +145,7 @@ class Filter:
         while len(active) and lvl < 255:
             lvl += 1
             first, second = _draws(grams, order, lvl)
-            for probe in range(PROBES):
+            for probe in range(self.probes.get(order, PROBES)):
                 at = _bit((first, second), probe, size)
                 hit = (self.bits[start + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
                 first, second, active, start, size, grams = (a[hit] for a in (first, second, active, start, size, grams))
@@ -159,10 +165,10 @@ def groups_of(built: DataFrame, limit: int) -> list[list[int]]:
     return groups or [[]]
 
 
-def shared_group(spark: SparkSession, built: DataFrame, segments: int, group: list[int]):
+def shared_group(spark: SparkSession, built: DataFrame, segments: int, group: list[int], probes: dict[int, int] | None = None):
     """One group of segments, broadcast."""
     parts = {r.segment: bytes(r.bits) for r in built.where(F.col("segment").isin(group)).toLocalIterator()}
-    return spark.sparkContext.broadcast(Filter.of(segments, parts))
+    return spark.sparkContext.broadcast(Filter.of(segments, parts, probes))
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
@@ -181,7 +187,7 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(blocked, f"id {id_type}, key long, text string, block long"), "blocks")
 
 
-def routed(blocks: DataFrame, built: DataFrame, segments: int, ask) -> DataFrame:
+def routed(blocks: DataFrame, built: DataFrame, segments: int, ask, probes: dict[int, int] | None = None) -> DataFrame:
     """(block, n, grams, levels): the grams of every block, sent to their segments and answered there.
 
     The way for filters beyond the broadcast bound.  ``ask`` yields (order, distinct grams) of a
@@ -205,7 +211,7 @@ def routed(blocks: DataFrame, built: DataFrame, segments: int, ask) -> DataFrame
                         ["segment", "block", "n", "grams"])
 
     def answered(key, left, right):
-        held = Filter.of(segments, {r["segment"]: r["bits"] for r in right.to_pylist()})
+        held = Filter.of(segments, {r["segment"]: r["bits"] for r in right.to_pylist()}, probes)
         levels = [held.levels(np.frombuffer(r["grams"], np.uint64), r["n"]).tobytes() for r in left.to_pylist()]
         return pa.table({"block": left["block"], "n": left["n"], "grams": left["grams"], "levels": pa.array(levels, pa.binary())})
 
