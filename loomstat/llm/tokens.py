@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from . import units
-from .shared import WholeFile, open_folder, shuffle_width, worker_cache
+from .shared import WholeFile, open_folder, release_memory, shuffle_width, worker_cache
 
 MAGIC = b"LOOMIDS1"
 TRAILER = struct.Struct("<8sQQQQQQ8x")
@@ -108,7 +108,8 @@ class Encoder:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(code.ids, self.kind) for code in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(code.ids, self.kind) for a in range(0, len(texts), JOINED)
+                for code in self.tokenizer.encode_batch_fast(texts[a : a + JOINED], add_special_tokens=False)]
 
     def _words(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of units of one class: they are joined by spaces, the ends of words tell whose an id is."""
@@ -344,6 +345,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
                 batch = next((b for b in batches if b.num_rows), None)
             counts = np.array(counts, dtype=np.int64)
             out.write(index_bytes(keys, counts, width))
+        release_memory()
         yield pa.RecordBatch.from_pydict({"shard": [number], "name": [name], "docs": [len(keys)], "ids": [int(counts.sum())],
                                           "last": [keys[-1]]}, pa.schema([("shard", pa.int32()), ("name", pa.string()), ("docs", pa.int64()),
                                                                   ("ids", pa.int64()), ("last", pa.binary())]))
