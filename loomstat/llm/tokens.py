@@ -3,16 +3,19 @@
 File format of a shard (little-endian), in this order:
 
 * payload: the ids of all documents, in ascending order of their keys, 2 or 4 bytes each;
-* per level of the hash: bits, as 64-bit words;
-* per slot: fingerprint (uint32), first id (uint64), number of ids (uint32);
+* per level of the hash: blocks of 72 bytes, the number of bits set before (uint64) and 512 bits;
+* per slot: 16 bytes, fingerprint (uint32), number of ids (uint32), first id (uint64);
 * hashes of documents that no level could place (uint64) - their slots come last;
 * keys in document order: limits (uint64), then their UTF-8 bytes;
 * trailer of 64 bytes: magic, bytes per id, documents, ids, levels, unplaced, bytes of keys;
-  before it the words of each level (uint64).
+  before it the blocks of each level (uint64).
 
-``manifest.json`` names the shards, their documents, ids and last keys.  A key is the text of
-the document's id; the n-th further row with the same id has ``\\x00n`` appended, a null id is
-``\\x00``.
+One document is read in constant time: the trailer, one block for each level that is probed, one slot
+and its ids.  The keys serve only to list a shard.
+
+A task begins a new shard after ``SHARD_BYTES`` of ids or ``SHARD_DOCS`` documents.  ``manifest.json``
+names the shards, their documents, ids and last keys.  A key is the text of the document's id; the n-th
+further row of a shard with the same id has ``\\x00n`` appended, a null id is ``\\x00``.
 """
 
 from __future__ import annotations
@@ -38,8 +41,14 @@ from . import text as T
 from . import units
 from .shared import WholeFile, open_folder, release_memory, shuffle_width, worker_cache
 
-MAGIC = b"LOOMIDS1"
+MAGIC = b"LOOMIDS2"
 TRAILER = struct.Struct("<8sQQQQQQ8x")
+SLOT = np.dtype([("fingerprint", "<u4"), ("count", "<u4"), ("start", "<u8")])
+#: Words of a block of a level, the one with the bits set before it included.
+BLOCK = 9
+#: Ids and documents of a shard, about.
+SHARD_BYTES = 256 << 20
+SHARD_DOCS = 1_000_000
 #: Bits of a level for each key that reaches it.
 GAMMA = 2.0
 MAX_LEVELS = 40
@@ -193,7 +202,7 @@ class PerfectHash:
     def build(cls, hashes: np.ndarray) -> PerfectHash:
         levels, left = [], hashes
         while len(left) and len(levels) < MAX_LEVELS:
-            words = max(1, int(np.ceil(GAMMA * len(left) / 64)))
+            words = 8 * max(1, int(np.ceil(GAMMA * len(left) / 512)))
             at = _place(left, len(levels), words * 64)
             alone = np.bincount(at, minlength=words * 64) == 1
             levels.append(np.packbits(alone, bitorder="little").view("<u8"))
@@ -235,20 +244,16 @@ def index_bytes(keys: list[bytes], counts: np.ndarray, width: int) -> bytes:
     """Everything of a shard that follows its payload."""
     hashes = key_hash(keys)
     found = PerfectHash.build(hashes)
-    slots = found.slots(hashes)
-    n = len(keys)
-    starts = np.concatenate(([0], np.cumsum(counts)[:-1])) if n else np.zeros(0)
-    columns = []
-    for values, kind in ((fingerprints(hashes), "<u4"), (starts, "<u8"), (counts, "<u4")):
-        column = np.zeros(n, dtype=kind)
-        column[slots] = values
-        columns.append(column.tobytes())
+    slots = np.zeros(len(keys), SLOT)
+    at = found.slots(hashes)
+    slots["fingerprint"][at], slots["count"][at] = fingerprints(hashes), counts
+    slots["start"][at] = np.concatenate(([0], np.cumsum(counts)[:-1])) if len(keys) else np.zeros(0)
+    blocks = [np.concatenate((r.astype("<u8")[::8, None], w.astype("<u8").reshape(-1, 8)), axis=1) for w, r in zip(found.levels, found.ranks, strict=True)]
     joined = b"".join(keys)
     limits = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype("<u8")
-    sizes = np.array([len(w) for w in found.levels], dtype="<u8")
-    trailer = TRAILER.pack(MAGIC, width, n, int(counts.sum()), len(found.levels), len(found.unplaced), len(joined))
-    return b"".join([*(w.astype("<u8").tobytes() for w in found.levels), *columns, found.unplaced.astype("<u8").tobytes(),
-                     limits.tobytes(), joined, sizes.tobytes(), trailer])
+    sizes = np.array([len(b) for b in blocks], dtype="<u8")
+    trailer = TRAILER.pack(MAGIC, width, len(keys), int(counts.sum()), len(blocks), len(found.unplaced), len(joined))
+    return b"".join([*(b.tobytes() for b in blocks), slots.tobytes(), found.unplaced.astype("<u8").tobytes(), limits.tobytes(), joined, sizes.tobytes(), trailer])
 
 
 class Shard:
@@ -257,38 +262,69 @@ class Shard:
     def __init__(self, folder: str, name: str):
         fs, root = open_folder(folder)
         self.file = fs.open_input_file(posixpath.join(root, name))
-        size = self.file.size()
-        at = size - TRAILER.size
-        magic, self.width, self.n, self.n_ids, n_levels, n_unplaced, n_joined = TRAILER.unpack(self._read(at, TRAILER.size))
+        self.bytes_read = 0
+        end = self.file.size()
+        tail = self._read(max(0, end - TRAILER.size - 8 * MAX_LEVELS), min(end, TRAILER.size + 8 * MAX_LEVELS))
+        magic, self.width, self.n, self.n_ids, n_levels, self.n_unplaced, self.n_joined = TRAILER.unpack(tail[-TRAILER.size :])
         if magic != MAGIC:
             raise ValueError(f"{name} is not a shard of token ids")
-        sizes = np.frombuffer(self._read(at - 8 * n_levels, 8 * n_levels), "<u8").astype(np.int64)
-        at = self.n_ids * self.width
-
-        def take(kind, count):
-            nonlocal at
-            data = np.frombuffer(self._read(at, count * np.dtype(kind).itemsize), kind)
-            at += data.nbytes
-            return data
-
-        levels = [take("<u8", int(s)) for s in sizes]
-        self.fingerprint, self.start, self.count = take("<u4", self.n), take("<u8", self.n), take("<u4", self.n)
-        self.hash = PerfectHash(levels, take("<u8", n_unplaced))
-        limits = take("<u8", self.n + 1).astype(np.int64)
-        joined = self._read(at, n_joined)
-        self.keys = [joined[a:b] for a, b in zip(limits[:-1], limits[1:], strict=True)]
+        before = len(tail) - TRAILER.size
+        self.blocks = np.frombuffer(tail[before - 8 * n_levels : before], "<u8").astype(np.int64)
+        places = self.n_ids * self.width + 8 * BLOCK * np.concatenate(([0], np.cumsum(self.blocks)))
+        self.levels_at, self.slots_at = places[:-1].tolist(), int(places[-1])
+        self.unplaced_at = self.slots_at + SLOT.itemsize * self.n
+        self.keys_at = self.unplaced_at + 8 * self.n_unplaced
 
     def _read(self, at: int, size: int) -> bytes:
+        self.bytes_read += size
         return self.file.read_at(size, at)
 
+    def _slot(self, key_hash_: np.ndarray) -> int:
+        """The slot of one hash: a block for each level until its own bit is set; -1 if none is."""
+        for level, (at, blocks) in enumerate(zip(self.levels_at, self.blocks.tolist(), strict=True)):
+            bit = int(_place(key_hash_, level, blocks * 512)[0])
+            block = np.frombuffer(self._read(at + 8 * BLOCK * (bit >> 9), 8 * BLOCK), "<u8")
+            word, shift = block[1 + (bit >> 6 & 7)], np.uint64(bit & 63)
+            if word >> shift & np.uint64(1):
+                below = np.bitwise_count(block[1 : 1 + (bit >> 6 & 7)]).sum() + np.bitwise_count(word & ((np.uint64(1) << shift) - np.uint64(1)))
+                return int(block[0]) + int(below)
+        if self.n_unplaced:
+            unplaced = np.frombuffer(self._read(self.unplaced_at, 8 * self.n_unplaced), "<u8")
+            at = int(np.searchsorted(unplaced, key_hash_[0]))
+            if at < len(unplaced) and unplaced[at] == key_hash_[0]:
+                return self.n - self.n_unplaced + at
+        return -1
+
+    def find(self, key: bytes) -> tuple[int, int]:
+        """First id and number of ids of one key; -1 and 0 where the fingerprint says that it is not here."""
+        hashes = key_hash([key])
+        slot = self._slot(hashes) if self.n else -1
+        if slot < 0:
+            return -1, 0
+        found = np.frombuffer(self._read(self.slots_at + SLOT.itemsize * slot, SLOT.itemsize), SLOT)[0]
+        return (int(found["start"]), int(found["count"])) if found["fingerprint"] == fingerprints(hashes)[0] else (-1, 0)
+
+    def keys(self) -> list[bytes]:
+        """All keys in document order."""
+        raw = self._read(self.keys_at, 8 * (self.n + 1) + self.n_joined)
+        limits, joined = np.frombuffer(raw[: 8 * (self.n + 1)], "<u8").astype(np.int64), raw[8 * (self.n + 1) :]
+        return [joined[a:b] for a, b in zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)]
+
     def locate(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """First id and number of ids of every key; -1 and 0 where the fingerprint says that it is not here."""
+        """:meth:`find` of many keys at once: the whole index is read."""
+        raw = self._read(self.n_ids * self.width, self.keys_at - self.n_ids * self.width)
+        levels, at = [], 0
+        for blocks in self.blocks.tolist():
+            levels.append(np.frombuffer(raw, "<u8", blocks * BLOCK, at).reshape(-1, BLOCK)[:, 1:].ravel())
+            at += 8 * BLOCK * blocks
+        slots = np.frombuffer(raw, SLOT, self.n, at)
+        found = PerfectHash(levels, np.frombuffer(raw, "<u8", self.n_unplaced, at + slots.nbytes))
         hashes = key_hash(keys)
-        slots = self.hash.slots(hashes)
+        own = found.slots(hashes)
         if not self.n:
             return np.full(len(keys), -1), np.zeros(len(keys), np.int64)
-        ok = (slots >= 0) & (self.fingerprint[slots] == fingerprints(hashes))
-        return np.where(ok, self.start[slots].astype(np.int64), -1), np.where(ok, self.count[slots].astype(np.int64), 0)
+        ok = (own >= 0) & (slots["fingerprint"][own] == fingerprints(hashes))
+        return np.where(ok, slots["start"][own].astype(np.int64), -1), np.where(ok, slots["count"][own].astype(np.int64), 0)
 
     def ids(self, start: int, count: int) -> np.ndarray:
         return np.frombuffer(self._read(start * self.width, count * self.width), f"<u{self.width}").astype("<u4")
@@ -319,38 +355,43 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
     if end_id >= 1 << 8 * width:
         raise ValueError(f"end id {end_id} does not fit {width} bytes")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(shards or shuffle_width(spark), "id").sortWithinPartitions("id", F.xxhash64("text"))
+    # A third of all rows may share one id: their texts deal them to several ranges.
+    order = ["id", F.xxhash64("text")]
+    rows = rows.repartitionByRange(shards or shuffle_width(spark), *order).sortWithinPartitions(*order)
+    fields = pa.schema([("shard", pa.int64()), ("name", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("last", pa.binary())])
 
-    def write(batches):
-        number = TaskContext.get().partitionId()
+    def encoded(batches):
+        """(keys, counts, ids) of pieces of text, repeated ids numbered from the last shard's start on."""
         encoder = encoder_of(tokenizer, width)
-        keys, counts, last = [], [], (object(), 0)
-        name = f"shard-{number:06d}.ids"
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
-        with WholeFile(folder, name) as out:
-            batch = first
-            while batch is not None:
-                new, last = _row_keys(batch["id"].to_pylist(), last)
-                keys += new
-                data, offsets = T.raw_text(batch["text"])
-                row = 0
-                while row < batch.num_rows:
-                    stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE, side="right")) - 1)
-                    ids, limits = encoder(data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row])
-                    counts += (np.diff(limits) + 1).tolist()
-                    out.write(np.insert(ids, limits[1:], end_id).tobytes())
-                    row = stop
-                batch = next((b for b in batches if b.num_rows), None)
-            counts = np.array(counts, dtype=np.int64)
-            out.write(index_bytes(keys, counts, width))
+        for batch in batches:
+            data, offsets = T.raw_text(batch["text"])
+            row = 0
+            while row < batch.num_rows:
+                stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE, side="right")) - 1)
+                ids, limits = encoder(data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row])
+                yield batch["id"].slice(row, stop - row).to_pylist(), np.diff(limits) + 1, np.insert(ids, limits[1:], end_id)
+                row = stop
+
+    def write(batches):
+        part, number = TaskContext.get().partitionId(), 0
+        pieces = encoded(batches)
+        piece = next(pieces, None)
+        while piece is not None:
+            name, keys, counts, last = f"shard-{part:06d}-{number:04d}.ids", [], [], (object(), 0)
+            with WholeFile(folder, name) as out:
+                while piece is not None and len(keys) < SHARD_DOCS and out.tell() < SHARD_BYTES:
+                    new, last = _row_keys(piece[0], last)
+                    keys += new
+                    counts.append(piece[1])
+                    out.write(piece[2].tobytes())
+                    piece = next(pieces, None)
+                sizes = np.concatenate(counts).astype(np.int64)
+                out.write(index_bytes(keys, sizes, width))
+            yield pa.RecordBatch.from_pydict({"shard": [part << 32 | number], "name": [name], "docs": [len(keys)], "ids": [int(sizes.sum())], "last": [keys[-1]]}, fields)
+            number += 1
         release_memory()
-        yield pa.RecordBatch.from_pydict({"shard": [number], "name": [name], "docs": [len(keys)], "ids": [int(counts.sum())],
-                                          "last": [keys[-1]]}, pa.schema([("shard", pa.int32()), ("name", pa.string()), ("docs", pa.int64()),
-                                                                  ("ids", pa.int64()), ("last", pa.binary())]))
 
-    done = rows.mapInArrow(write, "shard int, name string, docs long, ids long, last binary").collect()
+    done = rows.mapInArrow(write, "shard long, name string, docs long, ids long, last binary").collect()
     made, start = [], 0
     for r in sorted(done, key=lambda r: r.shard):
         made.append({"name": r.name, "docs": r.docs, "ids": r.ids, "start": start, "last": bytes(r.last).decode()})
@@ -367,17 +408,34 @@ def read_manifest(folder: str) -> dict:
         return json.loads(f.read())
 
 
+class Store:
+    """The shards of a folder, found by their last keys; the manifest is read once."""
+
+    def __init__(self, folder: str):
+        self.folder, self.manifest = folder, read_manifest(folder)
+        self.number = self.manifest["id_type"] != "string"
+        lowest = float("-inf") if self.number else ""
+        self.order = [lowest if s["last"].startswith("\x00") else self._id(s["last"].split("\x00")[0]) for s in self.manifest["shards"]]
+
+    def _id(self, text: str):
+        return int(text) if self.number else text
+
+    def fetch(self, key) -> np.ndarray | None:
+        """The ids of one document of an integer or string id, or None; of rows that repeat an id, the first.
+
+        One shard, a block for each level that is probed, one slot, one read of ids.
+        """
+        at = bisect_left(self.order, key)
+        if at == len(self.order):
+            return None
+        shard = Shard(self.folder, self.manifest["shards"][at]["name"])
+        start, count = shard.find(str(key).encode())
+        return shard.ids(start, count) if start >= 0 else None
+
+
 def fetch(folder: str, key) -> np.ndarray | None:
-    """The ids of one document of an integer or string id, or None: one shard, one slot, one read."""
-    manifest = read_manifest(folder)
-    number = manifest["id_type"] != "string"
-    order = [-1 if s["last"].startswith("\x00") else int(s["last"].split("\x00")[0]) if number else s["last"] for s in manifest["shards"]]
-    at = bisect_left(order, key)
-    if at == len(order):
-        return None
-    shard = Shard(folder, manifest["shards"][at]["name"])
-    start, count = shard.locate([str(key).encode()])
-    return shard.ids(int(start[0]), int(count[0])) if start[0] >= 0 else None
+    """:meth:`Store.fetch` of a single key."""
+    return Store(folder).fetch(key)
 
 
 def read_shards(spark: SparkSession, folder: str, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -390,7 +448,8 @@ def read_shards(spark: SparkSession, folder: str, id_col: str = "doc_id", with_i
         for batch in batches:
             for i in batch["id"].to_pylist():
                 shard = Shard(folder, shards[i]["name"])
-                starts, counts = shard.locate(shard.keys)
+                keys = shard.keys()
+                starts, counts = shard.locate(keys)
                 if (counts <= 0).any():
                     raise ValueError(f"{shards[i]['name']}: a key is missing from the index")
                 a = 0
@@ -399,7 +458,7 @@ def read_shards(spark: SparkSession, folder: str, id_col: str = "doc_id", with_i
                     b = shard.n if starts[-1] < starts[a] + PIECE else b
                     block = shard.ids(int(starts[a]), int(starts[b - 1] + counts[b - 1] - starts[a]))
                     own = [block[s : s + c] for s, c in zip(starts[a:b] - starts[a], counts[a:b], strict=True)]
-                    names = [k.split(b"\x00")[0].decode() if not k.startswith(b"\x00") else None for k in shard.keys[a:b]]
+                    names = [k.split(b"\x00")[0].decode() if not k.startswith(b"\x00") else None for k in keys[a:b]]
                     columns = [pa.array(names, pa.string()), pa.array(starts[a:b] + shards[i]["start"]), pa.array(counts[a:b]),
                                pa.array([zlib.crc32(x) for x in own], pa.int64())]
                     if with_ids:

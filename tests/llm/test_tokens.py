@@ -128,6 +128,44 @@ def test_fingerprints_refuse_other_keys(spark, tmp_path):
     assert (start >= 0).sum() == 0 and (count == 0).all()
 
 
+@pytest.mark.parametrize("n", [1_000, 100_000])
+def test_one_document_is_read_in_constant_time(tmp_path, n):
+    """The bytes read for a key do not depend on the number of keys."""
+    keys, counts = [str(3 * i).encode() for i in range(n)], np.arange(n) % 5 + 1
+    with open(tmp_path / "shard", "wb") as out:
+        out.write(np.repeat(np.arange(n), counts).astype("<u4").tobytes() + K.index_bytes(keys, counts, 4))
+    read = []
+    for i in [0, n // 2, n - 1, *range(0, n, n // 50)]:
+        shard = K.Shard(str(tmp_path), "shard")
+        start, count = shard.find(keys[i])
+        assert shard.ids(start, count).tolist() == [i] * counts[i]
+        read.append(shard.bytes_read)
+    assert np.mean(read) < 700 and max(read) < 1200
+    shard = K.Shard(str(tmp_path), "shard")
+    starts, sizes = shard.locate(shard.keys())
+    assert shard.keys() == keys and sizes.tolist() == counts.tolist() and starts.tolist() == np.cumsum([0, *counts[:-1]]).tolist()
+
+
+@pytest.mark.parametrize("limits", [{"SHARD_DOCS": 7}, {"SHARD_BYTES": 60}])
+def test_shards_are_rolled_and_a_hot_id_is_dealt_out(spark, tmp_path, monkeypatch, limits):
+    for name, most in limits.items():
+        monkeypatch.setattr(K, name, most)
+    monkeypatch.setattr(K, "PIECE", 20)
+    rows = [(5, f"word {i} again") for i in range(60)] + [(i, f"text {i}") for i in range(-30, 40)] + [(None, "nothing")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = K.write_shards(docs, str(tmp_path), PATH, 2, shards=4)
+    parts = {s["name"].split("-")[1] for s in manifest["shards"]}
+    assert len(manifest["shards"]) > 15 and len(parts) == 4 and sum(s["docs"] for s in manifest["shards"]) == len(rows)
+    got = K.read_shards(spark, str(tmp_path), with_ids=True).collect()
+    assert sorted((str(r.doc_id), r.ids) for r in got) == sorted((str(i), ids(t)) for i, t in rows)
+    assert sorted(r.start for r in got) == np.cumsum([0, *(r.n_tokens for r in sorted(got, key=lambda r: r.start))])[:-1].tolist()
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    store = K.Store(str(tmp_path))
+    for i in (-30, -1, 0, 4, 6, 39):
+        assert store.fetch(i).tolist() == ids(f"text {i}")
+    assert store.fetch(5).tolist() in [ids(t) for i, t in rows if i == 5] and store.fetch(-31) is None and store.fetch(99) is None
+
+
 def test_string_ids_and_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([("b", "x"), ("a", "y z")], "doc_id string, text string")
     K.write_shards(docs, str(tmp_path / "s"), PATH, 2, shards=2)
