@@ -10,14 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .shared import drop_worker_cache
+from .shared import drop_worker_cache, release_memory, stored
 
 #: Errors allowed, as a share of an item's words.
 ERRORS = 0.2
@@ -137,7 +138,7 @@ def _hashes(bodies: list) -> Iterator[np.ndarray]:
 
 def indexes(items: DataFrame, id_col: str, text_col: str, errors: float, pass_words: int) -> Iterator[Index]:
     """Items in groups of bounded size, each as an index."""
-    rows = items.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
+    rows = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     ids, bodies, held = [], [], 0
     for r in rows.orderBy("i", "t").toLocalIterator():
         ids.append(r.i)
@@ -159,53 +160,70 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     items are found nowhere, and such documents hold none.  Repeated rows, also of null ids, are
     rows of their own.  Whole texts are read; other columns are not.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    item_kind = pa.string() if kinds[1] == "string" else pa.int64()
-    parts = []
-    for index in indexes(items, item_id, item_text, errors, pass_words):
-        shared = spark.sparkContext.broadcast(index)
+    kind = docs.schema[id_col].dataType.simpleString()
+    fields = f"id {kind}, item string, distance int, end long"
 
-        def found(batches, shared=shared):
+    def passed(index) -> DataFrame:
+        def found(batches):
             for batch in batches:
-                rows = [(top + d, shared.value.items[i].item_id, distance, end)
+                rows = [(top + d, index.value.items[i].item_id, distance, end)
                         for top, _, words in T.chunks(batch["text"], fold=True)
-                        for d, i, distance, end in shared.value.matches(words)]
+                        for d, i, distance, end in index.value.matches(words)]
                 take = pa.array([r[0] for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch["id"].take(take), pa.array([r[1] for r in rows], item_kind), pa.array([r[2] for r in rows], pa.int32()),
+                    [batch["id"].take(take), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32()),
                      pa.array([r[3] for r in rows], pa.int64())], ["id", "item", "distance", "end"])
 
-        kind = "string" if kinds[1] == "string" else "long"
-        parts.append(texts.mapInArrow(found, f"id {kinds[0]}, item {kind}, distance int, end long"))
-    whole = parts[0]
-    for more in parts[1:]:
-        whole = whole.union(more)
-    return whole.select(F.col("id").alias(id_col), F.col("item").alias(item_id), "distance", F.col("end").alias("end_word"))
+        return texts.mapInArrow(found, fields)
+
+    parts = _one_by_one(docs.sparkSession, indexes(items, item_id, item_text, errors, pass_words), passed)
+    whole = reduce(DataFrame.union, parts)
+    return whole.select(F.col("id").alias(id_col), F.col("item").cast(items.schema[item_id].dataType).alias(item_id), "distance", F.col("end").alias("end_word"))
+
+
+def _one_by_one(spark: SparkSession, groups: Iterator[Index], passed) -> Iterator[DataFrame]:
+    """What ``passed`` returns for every group's broadcast index.
+
+    The last pass is left to the caller's job; every other one is run and stored, and its broadcast
+    destroyed, before the next group is broadcast: besides that one, only one more group is in the driver.
+    """
+    index = next(groups)
+    while index is not None:
+        following = next(groups, None)
+        shared = spark.sparkContext.broadcast(index)
+        if following is None:
+            yield passed(shared)
+        else:
+            part = stored(passed(shared), "decontamination")
+            shared.destroy()
+            yield part
+        index = following
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
           errors: float = ERRORS, pass_words: int = PASS_WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no item; decided row by row without a shuffle."""
-    spark, kept = docs.sparkSession, docs
     names = [f"_c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index(text_col)
-    for index in indexes(items, item_id, item_text, errors, pass_words):
-        shared = spark.sparkContext.broadcast(index)
+    kept = docs.toDF(*names)
 
-        def passed(batches, shared=shared):
+    def passed(index) -> DataFrame:
+        def held(batches):
             drop_worker_cache()
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)
                 column = batch[names[at]].cast(pa.string())
                 for top, _, words in T.chunks(column, fold=True):
-                    keep[[top + m[0] for m in shared.value.matches(words)]] = False
+                    keep[[top + m[0] for m in index.value.matches(words)]] = False
                 yield batch.filter(pa.array(keep))
+            release_memory()
+
+        return kept.mapInArrow(held, kept.schema)
 
-        kept = kept.toDF(*names)
-        kept = kept.mapInArrow(passed, kept.schema).toDF(*docs.columns)
-    return kept
+    for part in _one_by_one(docs.sparkSession, indexes(items, item_id, item_text, errors, pass_words), passed):
+        kept = part
+    return kept.toDF(*docs.columns)
 
 
 def query(spark, folder: str) -> DataFrame:

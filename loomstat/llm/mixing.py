@@ -85,9 +85,11 @@ def leaf_budgets(supply: DataFrame, levels: list[str], weights: DataFrame | None
 
 def mix(docs: DataFrame, levels: list[str], weights: DataFrame | None = None, budget: int | None = None, share: float | None = None,
         max_epochs: int = 1, seed: int = 1, id_col: str = "doc_id", tokens: Column | None = None, text_col: str = "text",
-        bucket_docs: int = BUCKET_DOCS) -> DataFrame:
+        bucket_docs: int = BUCKET_DOCS, names: tuple[str, str, str] = ("_epoch", "_tokens", "_taken")) -> DataFrame:
     """All columns of the chosen rows, with ``_epoch`` (from 0), ``_tokens`` and ``_taken`` (tokens used in that epoch).
 
+    ``names`` gives these three other names; columns that bear them already are an error, any others stay as they are.
+
     The budget is a number of tokens or a share of all tokens.  A document has as many tokens as
     words (or what ``tokens`` says); documents without tokens are chosen in epoch 0 where their
     place in the order comes before the leaf's budget is used up.  Order within an epoch: MD5 of
@@ -97,7 +99,7 @@ def mix(docs: DataFrame, levels: list[str], weights: DataFrame | None = None, bu
     if (budget is None) == (share is None):
         raise ValueError("give either a budget or a share")
     n = tokens if tokens is not None else word_count(F.col(text_col))
-    hidden = {"_tokens", "_epoch", "_taken"} & set(docs.columns)
+    hidden = {n.lower() for n in names} & {c.lower() for c in docs.columns}
     if hidden:
         raise ValueError(f"columns {sorted(hidden)} exist already")
     lean = docs.select(*(F.col(c).alias(f"_l{i}") for i, c in enumerate(levels)), F.col(id_col).cast("string").alias("_id"),
@@ -135,15 +137,17 @@ def mix(docs: DataFrame, levels: list[str], weights: DataFrame | None = None, bu
     each = each.where("_whole > 0 or _part is not null").select(
         F.col("_id").alias("_c_id"), F.col("_text").alias("_c_text"), *(F.col(c).alias(f"_c{c}") for c in own), "_tokens", "_whole", "_part")
     # Keys as columns, so that only columns that are asked for go through the exchange.
-    keyed = docs.select("*", F.col(id_col).cast("string").alias("_k_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_k_text"),
-                        *(F.col(c).alias(f"_k{o}") for c, o in zip(levels, own, strict=True)))
+    given = [f"_d{i}" for i in range(len(docs.columns))]
+    keyed = docs.select(*(F.col(f"`{c}`").alias(d) for c, d in zip(docs.columns, given, strict=True)), F.col(id_col).cast("string").alias("_k_id"),
+                        F.xxhash64(F.col(text_col).cast("string")).alias("_k_text"), *(F.col(c).alias(f"_k{o}") for c, o in zip(levels, own, strict=True)))
     keys = [F.col("_k_id").eqNullSafe(F.col("_c_id")), F.col("_k_text") == F.col("_c_text"),
             *(F.col(f"_k{o}").eqNullSafe(F.col(f"_c{o}")) for o in own)]
     chosen = keyed.join(stored(each, "chosen"), keys)
     last = F.col("_whole") + F.col("_part").isNotNull().cast("long") - 1
     chosen = chosen.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     taken = F.when(F.col("_epoch") < F.col("_whole"), F.col("_tokens")).otherwise(F.col("_part"))
-    return chosen.select(*docs.columns, F.col("_epoch").cast("int").alias("_epoch"), "_tokens", taken.alias("_taken"))
+    return chosen.select(*(F.col(d).alias(c) for c, d in zip(docs.columns, given, strict=True)), F.col("_epoch").cast("int").alias(names[0]),
+                         F.col("_tokens").alias(names[1]), taken.alias(names[2]))
 
 
 #: Production parameters of the registered query.

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .shared import stored, table
+from .shared import release_memory, stored, table
 from .tokens import PIECE, encoder_of, id_width
 
 #: Steps of the fit, and combinations taken for unused below this repeat count.
@@ -234,6 +234,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, window: int, id_col: st
                     [batch["id"].slice(row, stop - row), pa.array(np.full(len(sizes), part, np.int32)), pa.array(rest.astype(np.int32)),
                      pa.array(nth), pa.array(before), pa.array(sizes), binary], ["id", "part", "rest", "nth", "whole", "n_tokens", "ids"])
                 row = stop
+        release_memory()
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, part int, rest int, nth long, whole long, n_tokens long, ids binary")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .shared import remainder, seeded_sample, stored
+from .shared import free_names, remainder, seeded_sample, stored
 
 BUCKETS = 1 << 18
 WIDTH = 16
@@ -164,7 +164,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
     keep = docs.columns if keep is None else keep
     if clash := {score_col, predicted_col} & set(keep):
         raise ValueError(f"columns {sorted(clash)} exist already; name others")
-    hidden = "_scored_text"
+    (hidden,) = free_names(docs, "_scored_text")
     rows = docs.select(*keep, F.col(text_col).cast("string").alias(hidden))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema),
                         f"{score_col} double, {predicted_col} int"])

@@ -31,6 +31,17 @@ def stored(df: DataFrame, label: str = "rows") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *wanted: str) -> tuple[str, ...]:
+    """The wanted names, with underscores appended until no column of ``df`` bears them, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def seeded_sample(df: DataFrame, key: str, rows: int, total: int | None = None) -> DataFrame:
     """The ``rows`` rows with the smallest hashes of their keys, all if there are fewer.
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .shared import drop_worker_cache, remainder, seeded_sample, stored
+from .shared import drop_worker_cache, free_names, release_memory, remainder, seeded_sample, stored
 
 STRIPPED = ".,;:!?\"'()[]{}<>*%&$#|~_=+/\\-«»“”„‘’…¡¿"
 CLAUSE_END = tuple(".,;:!?…")
@@ -373,7 +373,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
         raise ValueError(f"columns {sorted(clash)} exist already; name others")
     # A text that stays is sent to the workers once.
     stays = text_col in keep and docs.schema[text_col].dataType.typeName() == "string"
-    hidden = text_col if stays else "_scored_text"
+    hidden = text_col if stays else free_names(docs, "_scored_text")[0]
     rows = docs.select(*keep) if stays else docs.select(*keep, F.col(text_col).cast("string").alias(hidden))
     extra = f"{score_col} double, {predicted_col} int" + ", patterns map<string,long>" * patterns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), extra])
@@ -392,6 +392,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
                                         pa.map_(pa.string(), pa.int64())))
                 names.append("patterns")
             yield pa.RecordBatch.from_arrays(columns, names)
+        release_memory()
 
     return rows.mapInArrow(scored, schema)
 
