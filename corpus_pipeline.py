@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstat.llm import decontaminate, mixing, neardup, tokens, toxicity
-from loomstat.llm.shared import stored, table
+from loomstat.llm.shared import free_names, stored, table
 from loomstat.session import scratch_path
 
 #: Share of all words that the mixture keeps.
@@ -18,17 +18,20 @@ END_ID = 2
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below 0.7; learned from all labels."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, score_col="_score", predicted_col="_toxic")
-    return scored.where("_toxic = 0").select(*docs.columns)
+    score, toxic = free_names(docs, "_score", "_toxic")
+    scored = toxicity.score(docs, model, score_col=score, predicted_col=toxic)
+    return scored.where(F.col(toxic) == 0).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document with the smallest id of every group, once if its row is repeated; rows with a null id or no words stay."""
-    found = neardup.near_duplicates(docs, size=5, percent=80, hash_col="_hash")
-    texts = found.where("doc_id is not null and n_shingles > 0").groupBy(F.col("doc_id").alias("_id"), "_hash")
-    texts = stored(texts.agg(F.min("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")).where("not _kept or _rows > 1"), "near-duplicates")
-    same = [F.col("doc_id") == F.col("_id"), F.xxhash64(F.col("text").cast("string")) == F.col("_hash")]
-    again = texts.where("_kept")
+    own_id, own_hash, keeps, rows = free_names(docs, "_id", "_hash", "_kept", "_rows")
+    found = neardup.near_duplicates(docs, size=5, percent=80, hash_col=own_hash)
+    texts = found.where("doc_id is not null and n_shingles > 0").groupBy(F.col("doc_id").alias(own_id), own_hash)
+    texts = texts.agg(F.min("kept").alias(keeps), F.count(F.lit(1)).alias(rows)).where(~F.col(keeps) | (F.col(rows) > 1))
+    texts = stored(texts, "near-duplicates")
+    same = [F.col("doc_id") == F.col(own_id), F.xxhash64(F.col("text").cast("string")) == F.col(own_hash)]
+    again = texts.where(keeps)
     if again.isEmpty():
         return docs.join(texts, same, "left_anti")
     return docs.join(texts, same, "left_anti").union(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
@@ -41,10 +44,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``SHARE`` of the words by target weights, each document at most once; a leaf's last one is cut to its first words."""
-    named = docs.withColumn("domain", mixing.domain())
-    chosen = mixing.mix(named, mixing.LEVELS, mixing.weight_table(spark), share=SHARE, max_epochs=1, seed=mixing.SEED)
-    cut = F.col("_taken") < F.col("_tokens")
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0)), F.lit(1), F.col("_taken").cast("int")), " ")
+    domain, epoch, tokens_, taken = free_names(docs, "domain", "_epoch", "_tokens", "_taken")
+    levels = [domain, *mixing.LEVELS[1:]]
+    weights = mixing.weight_table(spark).withColumnRenamed(mixing.LEVELS[0], domain)
+    chosen = mixing.mix(docs.withColumn(domain, mixing.domain()), levels, weights, share=SHARE, max_epochs=1, seed=mixing.SEED,
+                        names=(epoch, tokens_, taken))
+    cut = F.col(taken) < F.col(tokens_)
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0)), F.lit(1), F.col(taken).cast("int")), " ")
     text = F.when(cut, first).otherwise(F.col("text"))
     size = F.when(cut, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return chosen.withColumn("n_chars", size).withColumn("text", text).select(*docs.columns)
