@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 import warnings
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..fixed import SEARCH_WORKERS
 from ..functions.columns import residual
+from ..session import drop_scratch, scratch_path
 from .combine import concat_rows, spread
 from .features import TargetTransform
 from .models import Fitted, label_column, manifest_paths, prediction_column, vector_width
@@ -130,27 +135,48 @@ def report_all(models: Sequence[Fitted], rows: DataFrame, transform: TargetTrans
     return reduce(DataFrame.unionByName, [report(m, rows, transform, key, logged) for m in models])
 
 
+def _reason(problem: Exception) -> str:
+    """The message of a failure; of a task's long report the line that names the error."""
+    text = str(problem).strip()
+    named = re.findall(r"^[\w.]*(?:Error|Exception)\b.*$", text, re.MULTILINE)
+    return (named[0] if len(text) > 500 and named else text)[:500]
+
+
 def score_saved(spark: SparkSession, path: str, rows: DataFrame, transform: TargetTransform,
-                key: Sequence[str]) -> tuple[DataFrame | None, DataFrame]:
+                key: Sequence[str], workers: int = SEARCH_WORKERS) -> tuple[DataFrame | None, DataFrame]:
     """Residuals of all saved models on labelled rows, and a status row per model.
 
-    A model that cannot be loaded, that has other targets or was fitted on another number of
-    features is skipped and its reason recorded.
+    Every model is loaded and scored in a job of its own, whose result is stored.  One that cannot
+    be loaded, that has other targets, was fitted on another number of features, or fails inside a
+    task is skipped alone and its reason recorded; what is left of its job is cancelled by its tag.
     """
-    tables, status = [], []
     width = vector_width(rows)
-    for position, (name, folder) in enumerate(manifest_paths(spark, path)):
+
+    def one(entry: tuple[int, tuple[str, str]]) -> tuple[DataFrame | None, tuple]:
+        position, (name, folder) = entry
+        tag, kept = f"score-{uuid.uuid4().hex}", scratch_path(spark, "scored")
+        spark.addTag(tag)
         try:
             model = Fitted.load(spark, folder)
             if model.targets != transform.names:
                 raise ValueError(f"targets {model.targets} instead of {transform.names}")
             if width is not None and model.width != width:
                 raise ValueError(f"fitted on {model.width} features, the rows have {width}")
-            tables.append(report(model, rows, transform, key))
-            status.append((position, name, "scored", None))
+            table = report(model, rows, transform, key)
+            table.write.parquet(kept)
+            return spark.read.schema(table.schema).parquet(kept), (position, name, "scored", None)
         except Exception as problem:  # noqa: BLE001 - any failing model is skipped, the reason is kept
-            warnings.warn(f"skipped {name}: {problem}", stacklevel=2)
-            status.append((position, name, "skipped", str(problem)[:500]))
-    schema = "position int, Model string, status string, reason string"
+            spark.interruptTag(tag)
+            drop_scratch(spark, kept)
+            return None, (position, name, "skipped", _reason(problem))
+        finally:
+            spark.removeTag(tag)
+
+    with ThreadPoolExecutor(max(1, workers)) as pool:
+        found = list(pool.map(one, enumerate(manifest_paths(spark, path))))
+    for _, (_, name, state, reason) in found:
+        if state == "skipped":
+            warnings.warn(f"skipped {name}: {reason}", stacklevel=2)
+    tables = [t for t, _ in found if t is not None]
     table = reduce(DataFrame.unionByName, tables) if tables else None
-    return table, spark.createDataFrame(status, schema)
+    return table, spark.createDataFrame([s for _, s in found], "position int, Model string, status string, reason string")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed import RANDOM_DRAWS, SEED, STUDY_FOLDS, STUDY_TRIALS, WIDE_GRIDS
 from ..functions import columns as names
-from ..operators import combine, distribution, evaluate, explain, features, models, neighbours, search
+from ..operators import combine, distribution, evaluate, explain, features, models, neighbours, search, trees
 from ..session import materialise, scratch_path
 from ..sources import tables as sources
 from ..streaming import scoring as streaming
@@ -274,7 +275,7 @@ def score_by_cycle(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def score_saved_models(spark: SparkSession, folder: str) -> DataFrame:
-    """Models saved with a manifest, loaded and applied to the test rows; those of other targets or another width are skipped."""
+    """Models saved with a manifest, loaded and applied to the test rows; those of other targets or another width, or that fail in a task, are skipped."""
     ready = _prepared(spark, folder, ["l_extendedprice", "l_discount"], [])
     path = scratch_path(spark, "models")
     fitted = [models.fit("linear", ready.train, ["charge"]),
@@ -282,6 +283,9 @@ def score_saved_models(spark: SparkSession, folder: str) -> DataFrame:
               models.Fitted("Other Targets", "knn", ["net"], {}, {"rows": ready.test.select("l_orderkey")})]
     narrow = _with_vector(ready.train.withColumn("_one", F.lit(1.0)), ["_one"])
     fitted.append(models.fit("ridge", narrow, ["charge"], name="Other Width"))
+    # A damaged tree: its root points to nodes that are not there, which only a task finds out.
+    damaged = trees.FlatTrees(np.zeros(1, np.int32), np.zeros(1), np.full(1, 7), np.full(1, 9), np.zeros(1), np.zeros(1), np.zeros(1, np.int64), 2)
+    fitted.append(models.Fitted("Broken Trees", "xgboost", ["charge"], {}, {"charge": damaged}, 2))
     models.save_models(spark, fitted, path)
     scored, status = evaluate.score_saved(spark, path, ready.test, ready.targets, LINE_KEY)
     result = status.drop("reason").join(evaluate.metrics(scored), "Model", "left")
@@ -448,6 +452,26 @@ def study_parallel_coordinates(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(search.parallel_coordinates(_event_trials(spark, folder)))
 
 
+def _grid_trials(spark: SparkSession, folder: str) -> DataFrame:
+    """A full grid of two factors: the mean value of events by kind and by the last digit of their number."""
+    k = (F.get_json_object("props", "$.k").cast("int") % 10).cast("string")
+    grid = table(spark, folder, "events").groupBy(F.col("event_type").alias("kind"), k.alias("digit")).agg(F.round(F.avg("value"), 6).alias("value"))
+    return grid.select(F.create_map(F.lit("kind"), "kind", F.lit("digit"), "digit").alias("params"), "value")
+
+
+def grid_variance_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Variance decomposition of one whole tree over a full grid: main effects and what the pair adds."""
+    shares = search.variance_shares(_grid_trials(spark, folder), ["kind", "digit"], trees=1, bootstrap=False)
+    return rounded(shares)
+
+
+def grid_parameter_importance(spark: SparkSession, folder: str) -> DataFrame:
+    """The main effects as shares of their sum."""
+    trials = _grid_trials(spark, folder)
+    main = search.variance_shares(trials, ["kind", "digit"], trees=1, bootstrap=False).where("other is null")
+    return rounded(explain.normalise(main.withColumn("all", F.lit(1)), ["all"], "share").select("param", F.col("share").alias("importance")))
+
+
 def study_parameter_importance(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(search.parameter_importance(_event_trials(spark, folder), ["k", "kind"]))
 
@@ -620,6 +644,13 @@ def _stump_importance_sql(model: str, trees: int) -> str:
         FROM (VALUES {listed}) x(c)"""
 
 
+def _grid_sql() -> str:
+    """Variances of the row means, of the column means and of all cells of a full grid, as a CTE ``v`` (a, b, t)."""
+    return """WITH c AS (SELECT event_type AS kind, (props->>'$.k')::INT % 10 AS digit, round(avg(value), 6) AS y FROM events GROUP BY 1, 2),
+        v AS (SELECT (SELECT var_pop(m) FROM (SELECT avg(y) AS m FROM c GROUP BY kind)) AS a,
+                     (SELECT var_pop(m) FROM (SELECT avg(y) AS m FROM c GROUP BY digit)) AS b, (SELECT var_pop(y) FROM c) AS t)"""
+
+
 def _contiguous_sql(ks: list[int]) -> str:
     parts = [f"""
         SELECT "CV", round(avg(r2), 8) AS r2_mean, round(stddev_pop(r2), 8) AS r2_std, round(avg(rmse), 8) AS rmse_mean,
@@ -789,7 +820,7 @@ QUERIES = {
     "score_saved_models": (score_saved_models, " UNION ALL ".join(
         f"SELECT *, 'scored' AS status FROM ({_two_feature_metrics(m, a, '')} WHERE split = 'test')"
         for m, a in (("Linear Regression", 0.0), ("Ridge Regression", 100.0))) + """
-        UNION ALL SELECT unnest(['Other Targets', 'Other Width']), NULL, NULL, NULL, NULL, 'skipped'"""),
+        UNION ALL SELECT unnest(['Other Targets', 'Other Width', 'Broken Trees']), NULL, NULL, NULL, NULL, 'skipped'"""),
     "train_report": (train_report, None),
     "three_stage_comparison": (three_stage_comparison, None),
     "knn_topk": (knn_topk, _knn_sql(5, "list_distance(q.e, t.e)")),
@@ -822,6 +853,11 @@ QUERIES = {
         SELECT study, trial, param, setting, value, round((v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0), 6)
                AS scaled FROM x WINDOW w AS (PARTITION BY study, param)"""),
     "study_parameter_importance": (study_parameter_importance, None),
+    "grid_variance_shares": (grid_variance_shares, _grid_sql() + """
+        SELECT 'kind' AS param, NULL::VARCHAR AS other, round(a / t, 6) AS share FROM v UNION ALL SELECT 'digit', NULL, round(b / t, 6) FROM v
+        UNION ALL SELECT 'kind', 'digit', round(1 - (a + b) / t, 6) FROM v"""),
+    "grid_parameter_importance": (grid_parameter_importance, _grid_sql() + """
+        SELECT 'kind' AS param, round(a / (a + b), 6) AS importance FROM v UNION ALL SELECT 'digit', round(b / (a + b), 6) FROM v"""),
     "importance_rollup": (importance_rollup, f"""
         WITH t AS {CHARGES_SQL},
         f AS (SELECT l_returnflag AS "Model", CASE WHEN p_size IS NULL THEN p_type ELSE 'size' END AS "Feature",

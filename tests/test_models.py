@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomstat import fixed
 from loomstat.operators import evaluate, explain, features, models, neighbours, search
 from loomstat.operators.kernel import FeatureMap, fit_kernel
+from loomstat.operators.trees import FlatTrees
 from loomstat.session import materialise
 
 
@@ -367,6 +368,63 @@ def test_models_of_another_width_are_skipped(spark, ready, tmp_path):
     assert {r.Model for r in table.select("Model").distinct().collect()} == {"Linear Regression", "KNN"}
 
 
+def test_models_that_fail_in_a_task_are_skipped_alone(spark, ready, tmp_path):
+    """Predictions are lazy: the failure shows only when the model's own job runs, beside those of good ones."""
+    width = models.vector_width(ready.train)
+    damaged = FlatTrees(np.zeros(1, np.int32), np.zeros(1), np.full(1, 7), np.full(1, 9), np.zeros(1), np.zeros(1), np.zeros(1, np.int64), width)
+    good = [models.fit("linear", ready.train, ["t"]), models.fit("ridge", ready.train, ["t"])]
+    models.save_models(spark, [good[0], models.Fitted("Damaged", "xgboost", ["t"], {}, {"t": damaged}, width), good[1]], str(tmp_path / "m"))
+    with pytest.warns(UserWarning, match="skipped Damaged"):
+        table, status = evaluate.score_saved(spark, str(tmp_path / "m"), ready.test, ready.targets, ["k"])
+    found = {r.Model: (r.status, r.reason) for r in status.collect()}
+    assert {n: s for n, (s, _) in found.items()} == {"Linear Regression": "scored", "Damaged": "skipped", "Ridge Regression": "scored"}
+    assert "out of bounds" in found["Damaged"][1]
+    assert evaluate.metrics(table).count() == 2
+
+
+def grid_effects(values):
+    """Main effects and the rest of a full grid, as shares of its variance."""
+    a, b, t = values.mean(axis=1).var(), values.mean(axis=0).var(), values.var()
+    return a / t, b / t, 1 - (a + b) / t
+
+
+def test_variance_of_a_full_grid(spark):
+    rng = np.random.default_rng(6)
+    values = rng.normal(size=(4, 9)) + rng.normal(size=(4, 1)) * 2
+    rows = [({"word": "abcd"[i], "n": str(j + 5)}, float(values[i, j])) for i in range(4) for j in range(9)]
+    trials = spark.createDataFrame(rows, "params map<string,string>, value double")
+    got = {(r.param, r.other): r.share for r in search.variance_shares(trials, ["word", "n"], trees=1, bootstrap=False).collect()}
+    want = grid_effects(values)
+    assert (got["word", None], got["n", None], got["word", "n"]) == pytest.approx(want, abs=1e-9)
+    one = search.parameter_importance(trials, ["word", "n"], trees=8).collect()
+    assert sum(r.importance for r in one) == pytest.approx(1) and {r.param for r in one} == {"word", "n"}
+
+
+def test_variance_of_boxes_as_by_a_fine_grid():
+    """Leaves of uneven size: the decomposition of a tree equals that of its values on a fine grid."""
+    rng = np.random.default_rng(8)
+    feature = np.array([0, 1, 2, -1, -1, 1, -1, -1, -1], np.int32)
+    flat = FlatTrees(feature, np.array([0.3, 0.6, 0.45, 0, 0, 0.2, 0, 0, 0.0]), np.array([1, 3, 5, 0, 0, 6, 0, 0, 0]), np.array([2, 4, 8, 0, 0, 7, 0, 0, 0]),
+                     rng.normal(size=9), np.zeros(9), np.zeros(1, np.int64), 3)
+    got = search._tree_shares(*search._boxes(flat, 0, np.zeros(3), np.ones(3)))
+    at = (np.arange(20) + 0.5) / 20
+    cube = flat.predict(np.stack(np.meshgrid(at, at, at, indexing="ij"), -1).reshape(-1, 3)).reshape(20, 20, 20)
+    total = cube.var()
+    for i in range(3):
+        others = tuple(k for k in range(3) if k != i)
+        assert got[i, i] == pytest.approx(cube.mean(axis=others).var() / total, abs=1e-9)
+        for j in range(i + 1, 3):
+            third = 3 - i - j
+            pair = cube.mean(axis=third).var() / total - got[i, i] - got[j, j]
+            assert got[i, j] == pytest.approx(max(pair, 0), abs=1e-9)
+
+
+def test_trials_that_do_not_vary(spark):
+    trials = spark.createDataFrame([({"a": str(i)}, 1.0) for i in range(5)], "params map<string,string>, value double")
+    assert [(r.param, r.importance) for r in search.parameter_importance(trials, ["a"]).collect()] == [("a", 0.0)]
+    assert [(r.param, r.importance) for r in search.parameter_importance(trials.limit(0), ["a"]).collect()] == [("a", 0.0)]
+
+
 def test_rows_without_prediction_count_nowhere(spark):
     table = spark.createDataFrame([("m", "t", 1.0, 1.0), ("m", "t", 2.0, 3.0), ("m", "t", 5.0, None), ("m", "t", float("nan"), 1.0)],
                                   "Model string, Target string, True double, Predicted double")
