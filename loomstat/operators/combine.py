@@ -59,12 +59,12 @@ def _full_join_hot(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return both.unionByName(only_left, allowMissingColumns=True).unionByName(only_right, allowMissingColumns=True)
 
 
-def combine_on_key(dfs: Sequence[DataFrame], key: str, strategy: str = "auto") -> DataFrame:
+def combine_on_key(dfs: Sequence[DataFrame], key: str, strategy: str = "auto", largest: Sequence[int] | None = None) -> DataFrame:
     """Full outer join of all tables on the key.
 
     ``unique``: the caller knows that no table repeats a key.  ``join``: pairwise full
     outer joins, repeated keys multiply rows.  ``hot``: as ``join``, for keys that hold
-    a large share of the rows.  ``auto`` measures the largest key group of every table,
+    a large share of the rows.  ``auto`` measures the largest key group of every table unless ``largest`` gives it,
     merges the tables with unique keys in one shuffle and joins the others to the result.
     Complex columns (arrays, maps) always take the pairwise way.
     """
@@ -75,7 +75,7 @@ def combine_on_key(dfs: Sequence[DataFrame], key: str, strategy: str = "auto") -
     if strategy == "unique":
         return _merge_unique(dfs, key)
     if strategy == "auto":
-        largest = [largest_key_group(df, key) for df in dfs]
+        largest = [largest_key_group(df, key) for df in dfs] if largest is None else list(largest)
         plain = [all(not kind.startswith(("array", "map")) for _, kind in df.dtypes) for df in dfs]
         single = [df for df, n, p in zip(dfs, largest, plain, strict=True) if n <= 1 and p]
         others = [df for df, n, p in zip(dfs, largest, plain, strict=True) if n > 1 or not p]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import clean, combine, profile
 from ..session import scratch_path
 from ..sources import tables as sources
+from ..sources.topics import TopicStore
 from ..spec import classify, is_numeric, parse_spec, unlabelled
 from .tables import rounded, table
 
@@ -154,14 +155,26 @@ def positive_weight_filter(spark: SparkSession, folder: str) -> DataFrame:
                                  "c_acctbal")
 
 
+def _topics(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return {
+        "documents": table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "lang", "n_chars"),
+        "labels": table(spark, folder, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic"),
+        "pages": table(spark, folder, "pages").select(F.col("page_id").alias("id"), F.length("url").alias("url_chars")),
+        "customer": table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal"),
+    }
+
+
 def outer_join_fold(spark: SparkSession, folder: str) -> DataFrame:
-    parts = [
-        table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "lang", "n_chars"),
-        table(spark, folder, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic"),
-        table(spark, folder, "pages").select(F.col("page_id").alias("id"), F.length("url").alias("url_chars")),
-        table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal"),
-    ]
-    return combine.combine_on_key(parts, "id")
+    return combine.combine_on_key(list(_topics(spark, folder).values()), "id")
+
+
+def outer_join_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """The same tables stored in buckets of the key, combined without moving a row."""
+    parts = _topics(spark, folder)
+    store = TopicStore(spark, scratch_path(spark, "topics"), "id", buckets=8)
+    for name, rows in parts.items():
+        store.write(name, rows)
+    return store.combine(list(parts))
 
 
 def outer_join_fold_dups(spark: SparkSession, folder: str) -> DataFrame:
@@ -311,12 +324,13 @@ QUERIES = {
         UNION ALL SELECT 'not toxic', count(*) FILTER (NOT coalesce(toxic = 0, FALSE)) FROM t"""),
     "positive_weight_filter": (positive_weight_filter, """
         SELECT c_custkey, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > 0"""),
-    "outer_join_fold": (outer_join_fold, """
+    **{name: (run, """
         SELECT id, lang, n_chars, quality, toxic, url_chars, c_acctbal
         FROM (SELECT doc_id AS id, lang, n_chars FROM documents)
         FULL JOIN (SELECT doc_id AS id, quality, toxic FROM labels) USING (id)
         FULL JOIN (SELECT page_id AS id, CAST(length(url) AS INT) AS url_chars FROM pages) USING (id)
-        FULL JOIN (SELECT c_custkey AS id, c_acctbal FROM customer) USING (id)"""),
+        FULL JOIN (SELECT c_custkey AS id, c_acctbal FROM customer) USING (id)""")
+       for name, run in (("outer_join_fold", outer_join_fold), ("outer_join_buckets", outer_join_buckets))},
     "outer_join_fold_dups": (outer_join_fold_dups, """
         SELECT orderkey, l_linenumber, l_quantity, o_totalprice
         FROM (SELECT l_orderkey AS orderkey, l_linenumber, l_quantity FROM lineitem)
