@@ -23,9 +23,13 @@ from .shared import stored
 
 #: Probes of an event unless an order has its own number, and bits for each probe.
 PROBES = 5
+#: Probes of levels above the first, at most.
+HIGHER = 12
 BITS_PER_PROBE = 1.6
 #: Share of bits that are set, about, when a segment is built.
 FILL = 1 - math.exp(-1 / BITS_PER_PROBE)
+#: Probes after which grams that failed are left out.
+SIFTED = (0, 1, 3, 7)
 #: Largest group of segments that is broadcast at once.
 FILTER_BYTES = 128 << 20
 
@@ -95,18 +99,27 @@ def segment_of(grams: np.ndarray, segments: int) -> np.ndarray:
     return (T.mix(grams ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(segments)).astype(np.int64)
 
 
+def _probes(own: dict[int, int], order: int, lvl: int) -> int:
+    """Probes of an event; a higher level is asked only of grams that passed the first."""
+    first = own.get(order, PROBES)
+    return first if lvl == 1 else min(first, HIGHER)
+
+
 def build_segment(counted: dict[int, tuple[np.ndarray, np.ndarray, float]], probes: dict[int, int] | None = None) -> np.ndarray:
     """Bits (as bytes) of one segment: order → (grams, counts, base of the levels).  ``probes``: of orders that have their own number."""
     probes = probes or {}
     levels = {o: level(c, base) for o, (_, c, base) in counted.items()}
-    wanted = sum(int(x.sum()) * probes.get(o, PROBES) * BITS_PER_PROBE for o, x in levels.items())
+    wanted = 0.0
+    for o, x in levels.items():
+        lowest = int((x > 0).sum())
+        wanted += (lowest * _probes(probes, o, 1) + (int(x.sum()) - lowest) * _probes(probes, o, 2)) * BITS_PER_PROBE
     bits = np.zeros(max(8, math.ceil(wanted / 8)), dtype=np.uint8)
     size = np.uint64(len(bits) * 8)
     for order, (grams, *_) in counted.items():
         lvl, left, deep = 1, grams, levels[order]
         while len(left):
             draws = _draws(left, order, lvl)
-            for probe in range(probes.get(order, PROBES)):
+            for probe in range(_probes(probes, order, lvl)):
                 at = _bit(draws, probe, size)
                 np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
             lvl += 1
@@ -145,10 +158,16 @@ class Filter:
         while len(active) and lvl < 255:
             lvl += 1
             first, second = _draws(grams, order, lvl)
-            for probe in range(self.probes.get(order, PROBES)):
+            last, passed = _probes(self.probes, order, lvl) - 1, None
+            for probe in range(last + 1):
                 at = _bit((first, second), probe, size)
                 hit = (self.bits[start + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
-                first, second, active, start, size, grams = (a[hit] for a in (first, second, active, start, size, grams))
+                passed = hit if passed is None else passed & hit
+                # Most absent grams fail the first probes; what is left then is seldom sifted again.
+                if (probe in SIFTED or probe == last) and not passed.all():
+                    kept = np.flatnonzero(passed)
+                    first, second, active, start, size, grams = (a[kept] for a in (first, second, active, start, size, grams))
+                    passed = None
             out[active] = lvl
         return out
 

@@ -15,9 +15,6 @@ from ..functions.columns import key_hash, level_rank
 from ..session import cut_lineage
 from .quantiles import DIRECT_ROWS, quantile_values, size_measures
 
-# Up to this many pairs are expressions of one aggregation, whose generated code stays small.
-PAIRS_PER_PASS = 3
-
 
 def stack_rows(wide: DataFrame, rows: Sequence[dict[str, Column]]) -> DataFrame:
     """Turn a one-row table of results into one row per entry of ``rows``."""

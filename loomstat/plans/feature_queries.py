@@ -9,18 +9,19 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, combine, evaluate, features, models
 from ..session import materialise, scratch_path, spread_rows
-from ..spec import parse_spec
+from ..spec import Spec, load_spec, parse_spec
 from .tables import rounded, table
 
 LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 
-CUSTOMER_SPEC = parse_spec([
+CUSTOMER_ENTRIES = [
     {"name": "balance", "source": "c_acctbal", "file": "customer", "type": "numeric", "role": "feature",
      "drop_extrema": True, "unit": "USD"},
     {"name": "orders", "source": "n_orders", "file": "spending", "type": "numeric", "role": "feature"},
     {"name": "spend", "source": "spend", "file": "spending", "type": "numeric", "role": "target",
      "drop_extrema": True, "log_transform": True, "unit": "USD"},
-], key="c_custkey")
+]
+CUSTOMER_SPEC = parse_spec(CUSTOMER_ENTRIES, key="c_custkey")
 
 
 def charges(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,22 +48,32 @@ CHARGES_SQL = f"""(SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quan
     FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
-def clean_join_metrics(spark: SparkSession, folder: str) -> DataFrame:
+def clean_join_metrics(spark: SparkSession, folder: str, spec: Spec = CUSTOMER_SPEC) -> DataFrame:
     """Topics cleaned and trimmed, combined on the key, split, prepared, fitted and scored."""
     spending = materialise(table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.count(F.lit(1)).cast("double").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("spend")))
     topics = {"customer": table(spark, folder, "customer"), "spending": spending}
-    cleaned = [clean.clean_topic(topics[f], CUSTOMER_SPEC.of_file(f), CUSTOMER_SPEC.key, {})[0]
-               for f in CUSTOMER_SPEC.files]
+    cleaned = [clean.clean_topic(topics[f], spec.of_file(f), spec.key, {})[0]
+               for f in spec.files]
     # Both topics are grouped or keyed by customer, so the keys are known to be unique.
-    wide = materialise(clean.drop_missing_targets(combine.combine_on_key(cleaned, CUSTOMER_SPEC.key, "unique"),
-                                                  CUSTOMER_SPEC.targets))
-    ready = features.prepare_spec(wide, CUSTOMER_SPEC)
+    wide = materialise(clean.drop_missing_targets(combine.combine_on_key(cleaned, spec.key, "unique"),
+                                                  spec.targets))
+    ready = features.prepare_spec(wide, spec)
     fitted = models.fit("linear", ready.train, ready.targets.names)
     scored = evaluate.residuals(fitted.predict(ready.rows), fitted.name, ready.targets, ["split"])
     return rounded(evaluate.metrics(scored, ["split", "Model", "Target"]), 6, RMSE=2)
 
 
+def clean_join_from_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The same run by a specification that is written as a YAML file to the shared folder and read from it."""
+    import yaml
+
+    path = scratch_path(spark, "specification")
+    text = yaml.safe_dump({"features": CUSTOMER_ENTRIES})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    return clean_join_metrics(spark, folder, load_spec(path, "c_custkey", spark=spark))
+
+
 def hash_split(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select("o_orderkey")
     return features.assign_split(orders, ["o_orderkey"])
@@ -225,6 +236,7 @@ _TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 QUERIES = {
     "clean_join_metrics": (clean_join_metrics, _SPEND_SQL),
+    "clean_join_from_file": (clean_join_from_file, _SPEND_SQL),
     "hash_split": (hash_split, f"""
         SELECT o_orderkey, CASE WHEN {hash_sql("o_orderkey", "42")} / 4294967296.0::DOUBLE < 0.2 THEN 'test'
                ELSE 'train' END AS split FROM orders"""),

@@ -9,7 +9,16 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed import RANDOM_DRAWS, SEED, STUDY_FOLDS, STUDY_TRIALS, WIDE_GRIDS
+from ..fixed import (
+    RANDOM_DRAWS,
+    SEED,
+    STUDY_FOLDS,
+    STUDY_TRIALS,
+    WIDE_CV_STUDY_FOLDS,
+    WIDE_DRAWS,
+    WIDE_FOLDS,
+    WIDE_GRIDS,
+)
 from ..functions import columns as names
 from ..operators import combine, distribution, evaluate, explain, features, models, neighbours, search, trees
 from ..session import materialise, scratch_path
@@ -293,14 +302,14 @@ def score_saved_models(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def train_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Linear, ridge, forest and boosted models of both targets on the training rows, one row per model."""
+    """All seven families on both targets, on the training rows, one row per model."""
     columns = ["l_extendedprice", "l_discount"]
     table_ = materialise(charges(spark, folder).select(*LINE_KEY, *columns, *TARGETS))
     ready = features.prepare(table_, LINE_KEY, columns, [], dict.fromkeys(TARGETS, "log1p")).stored()
     rows = ready.train
     families = {"linear": {}, "ridge": {"alpha": 1.0}, "random_forest": {"n_estimators": 20, "max_depth": 6},
-                "gradient_boosting": {"n_estimators": 20}}
-    fitted = [models.fit(family, rows, TARGETS, params) for family, params in families.items()]
+                "gradient_boosting": {"n_estimators": 20}, "xgboost": {"n_estimators": 20, "max_depth": 4}, "knn": {}, "svr": {"size": 32}}
+    fitted = [models.fit(family, rows, TARGETS, params, LINE_KEY) for family, params in families.items()]
     return rounded(evaluate.wide_metrics(evaluate.metrics(evaluate.report_all(
         fitted, rows, ready.targets, LINE_KEY)), TARGETS), 4)
 
@@ -309,7 +318,7 @@ def three_stage_comparison(spark: SparkSession, folder: str) -> DataFrame:
     """Baseline, default and tuned models in log space, tagged and stacked."""
     ready = features.prepare(charges(spark, folder), LINE_KEY, NUMERIC, CATEGORICAL, {"charge": "log"}, "mean", True).stored()
     train, test = ready.train, ready.test
-    best, _ = search.random_search(train, "ridge", ["charge"], WIDE_GRIDS["ridge"], 5, LINE_KEY, n=5)
+    best, _ = search.random_search(train, "ridge", ["charge"], WIDE_GRIDS["ridge"], WIDE_FOLDS, LINE_KEY, n=WIDE_DRAWS)
     stages = {"Baseline": ("linear", {}), "Default": ("ridge", {}), "Tuned": ("ridge", best)}
     parts = []
     for stage, (family, params) in stages.items():
@@ -382,6 +391,11 @@ def cv_summary_ols(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(summary)
 
 
+def cv_summary_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """The wider fold counts, up to 48, still from one reading."""
+    return rounded(search.cv_sensitivity(_one_feature_rows(spark, folder), {"Linear Regression": ("linear", {})}, ["charge"], WIDE_CV_STUDY_FOLDS, LINE_KEY))
+
+
 def cv_contiguous(spark: SparkSession, folder: str) -> DataFrame:
     """Folds that are runs of rows along a key: the price of an order by its customer's number."""
     orders = table(spark, folder, "orders").select(
@@ -835,6 +849,7 @@ QUERIES = {
                round(coalesce(avg(label) FILTER (d = 0), sum(label / nullif(d, 0)) / sum(1 / nullif(d, 0))), 6)
                  AS prediction_label FROM n GROUP BY 1"""),
     "cv_summary_ols": (cv_summary_ols, _cv_sql(CV_FOLDS)),
+    "cv_summary_wide": (cv_summary_wide, _cv_sql(WIDE_CV_STUDY_FOLDS)),
     "cv_contiguous": (cv_contiguous, _contiguous_sql(CV_FOLDS)),
     "search_best": (search_best, _search_sql(WIDE_GRIDS["ridge"]["alpha"], 5)),
     "random_search_trees": (random_search_trees, None),

@@ -119,12 +119,16 @@ def parse_spec(entries: Iterable[Mapping[str, Any]], key: str = "SEQN", sentinel
     return Spec(tuple(parsed), key, dict(sentinels or {}))
 
 
-def load_spec(path: str, key: str = "SEQN", sentinels: Mapping | None = None, strict: bool = False) -> Spec:
-    """Read a YAML file holding a list under ``features``."""
+def load_spec(path: str, key: str = "SEQN", sentinels: Mapping | None = None, strict: bool = False, spark: SparkSession | None = None) -> Spec:
+    """Read a YAML file holding a list under ``features``: a local one, or with ``spark`` one in any store that Spark reads."""
     import yaml
 
-    with open(path, encoding="utf-8") as handle:
-        return parse_spec(yaml.safe_load(handle)["features"], key, sentinels, strict)
+    if spark is not None:
+        text = spark.read.text(path, wholetext=True).first()[0]
+    else:
+        with open(path, encoding="utf-8") as handle:
+            text = handle.read()
+    return parse_spec(yaml.safe_load(text)["features"], key, sentinels, strict)
 
 
 @dataclass(frozen=True)
