@@ -146,9 +146,12 @@ def fit_kernel(df: DataFrame, label: str, vector: str = "features", C: float = 1
     """Minimise ½|w|² + C·Σ max(0, |y - f| - ε); the step with the lowest objective is kept.
 
     The steps end when the objective falls by less than ``tolerance`` of itself, at the latest after
-    ``steps``.
+    ``steps``.  A table without rows, and labels or features that are not finite, are a ``ValueError``.
     """
-    width = len(df.select(vector).first()[0])
+    one = df.select(vector).first()
+    if one is None or one[0] is None:
+        raise ValueError("no rows to fit on")
+    width = len(one[0])
     if kernel != "linear" and gamma is None:
         gamma = default_gamma(df, vector, width)
     fmap = FeatureMap(kernel, width, gamma or 0.0, size, seed)
@@ -156,6 +159,8 @@ def fit_kernel(df: DataFrame, label: str, vector: str = "features", C: float = 1
     best, losses, solution = None, [], None
     for step in range(steps + 1):
         loss, total = _pass(rows, fmap, epsilon, solution)
+        if loss is None or not np.isfinite(total).all():
+            raise ValueError("labels or features are not finite")
         if solution is not None:
             losses.append(0.5 * float(solution[0] @ solution[0]) + C * loss)
             last = best[0] if best is not None else math.inf

@@ -228,7 +228,11 @@ class Fitted:
 
 def fit(family: str, df: DataFrame, targets: Sequence[str], params: Mapping[str, Any] | None = None,
         key: Sequence[str] = (), name: str | None = None, seed: int = SEED, workers: int = 2) -> Fitted:
-    """Fit one independent regressor per target on ``features`` and ``label_<target>``."""
+    """Fit one independent regressor per target on ``features`` and ``label_<target>``.
+
+    Rows without a label are left out of their target's fit.  A target without any labelled row is a
+    ``ValueError``, except for nearest neighbours, which then predict null.
+    """
     params, targets = dict(params or {}), list(targets)
     fitted = Fitted(name or DISPLAY_NAMES[family], family, targets, params, width=vector_width(df))
     if family == "knn":
@@ -248,8 +252,19 @@ def fit(family: str, df: DataFrame, targets: Sequence[str], params: Mapping[str,
             return grow(family, present, target, params, key, seed)
         return make_estimator(family, present, target, params, seed).fit(present)
 
+    def checked(target: str):
+        try:
+            part = one(target)
+        except Exception as problem:
+            if df.filter(F.col(label_column(target)).isNotNull()).isEmpty():
+                raise ValueError(f"{target}: no labelled rows to fit on") from problem
+            raise
+        if isinstance(part, FlatTrees) and not len(part.roots):
+            raise ValueError(f"{target}: no labelled rows to fit on")
+        return part
+
     with ThreadPoolExecutor(max(1, min(workers, len(targets)))) as pool:
-        fitted.parts = dict(zip(targets, pool.map(one, targets), strict=True))
+        fitted.parts = dict(zip(targets, pool.map(checked, targets), strict=True))
     return fitted
 
 

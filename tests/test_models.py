@@ -446,3 +446,21 @@ def test_points_that_lead_to_one_fit(spark):
     rows = spark.createDataFrame([(1.0, 2.0)], "label_t double, x double")
     with pytest.raises(ValueError, match="deeper than 30"):
         models.make_estimator("random_forest", rows, "t", {"max_depth": 31})
+
+
+@pytest.mark.parametrize("family", ["linear", "ridge", "random_forest", "gradient_boosting", "xgboost", "svr"])
+def test_targets_without_rows_are_refused(ready, family):
+    for rows in (ready.train.limit(0), ready.train.withColumn("label_t", F.lit(None).cast("double"))):
+        with pytest.raises(ValueError, match="t: no labelled rows"):
+            models.fit(family, rows, ["t"], {"n_estimators": 2} if family not in ("linear", "ridge", "svr") else {}, ["k"])
+
+
+def test_neighbours_without_rows_predict_null(ready):
+    empty = models.fit("knn", ready.train.limit(0), ["t"], {}, ["k"])
+    assert {r.prediction_t for r in empty.predict(ready.test.limit(3), ["k"]).collect()} == {None}
+
+
+def test_kernel_fit_of_infinite_labels(ready):
+    rows = ready.train.withColumn("label_t", F.lit(float("nan")))
+    with pytest.raises(ValueError, match="finite"):
+        fit_kernel(rows, "label_t", size=8, steps=3)
