@@ -17,5 +17,5 @@ QUERIES = {
     "op10_repeats": (repeats.query, None),
     "op11_packing": (packing.query, None),
     "op12_align": (align.query, None),
-    "op13_trie": (trie.query, None),
+    "op13_trie": (trie.query, trie.ORACLE_SQL),
 }

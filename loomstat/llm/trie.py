@@ -310,3 +310,26 @@ def trie(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
 def query(spark: SparkSession, folder: str) -> DataFrame:
     """``op13``: the trie of the rebuilt conversations."""
     return trie(table(spark, folder, "conversations"))
+
+
+#: CRC-32 of an id's digits, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda z, w: xor(z >> 1, 3988292384 * (z & 1)))))"""
+
+#: The same by lists of turns as keys: every node joined to all nodes on its path.
+ORACLE_SQL = f"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list({{'r': r, 'x': x}} ORDER BY turn NULLS FIRST, r, x) AS turns FROM t GROUP BY c),
+h AS (SELECT c, turns, {_CRC} % 9 AS h, c - c % 5 AS base FROM o),
+p AS (SELECT h.c, list_concat(coalesce(b.turns[1:h], []::STRUCT(r VARCHAR, x VARCHAR)[]), h.turns[h + 1:]) AS path FROM h LEFT JOIN o b ON b.c = h.base),
+k AS (SELECT c, d AS depth, path[1:d] AS node, len(path) = d AS at_end FROM (SELECT *, unnest(range(len(path) + 1)) AS d FROM p)),
+n AS (SELECT node, depth, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (at_end), '') AS ids
+      FROM k GROUP BY node, depth),
+b AS (SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+v AS (SELECT n.*, coalesce(b.n_children, 0) AS n_children FROM n LEFT JOIN b USING (node)),
+s AS (SELECT node[1:d] AS node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS leaves,
+             sum(CASE WHEN depth > 0 THEN (n_convs - 1) * strlen(node[depth].x) ELSE 0 END) AS saved
+      FROM (SELECT *, unnest(range(depth + 1)) AS d FROM v) GROUP BY 1)
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(s.leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, sha256(v.ids) AS ends_sha256
+FROM v JOIN s USING (node) LEFT JOIN n u ON v.depth > 0 AND u.node = v.node[1:v.depth - 1]"""
