@@ -168,9 +168,12 @@ class XportWriter(DataSourceArrowWriter):
         self.columns = [(f.name, isinstance(f.dataType, NumericType)) for f in schema]
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WrittenFile:
-        table = pa.Table.from_batches([b for b in batches])
+        kept = [b for b in batches if b.num_rows]
+        if not kept or not self.columns:  # a task without rows may not even get a batch
+            return WrittenFile("")
+        table = pa.Table.from_batches(kept)
         columns, variables, at = [], [], 0
-        for name, numeric in self.columns if table.num_columns else []:
+        for name, numeric in self.columns:
             column = table[name].combine_chunks()
             if numeric:
                 values = column.cast(pa.float64())
@@ -185,8 +188,6 @@ class XportWriter(DataSourceArrowWriter):
             columns.append(raw)
             variables.append(Variable(name, numeric, raw.shape[1], at))
             at += raw.shape[1]
-        if not columns or not table.num_rows:
-            return WrittenFile("")
         body = np.hstack(columns).tobytes()
         system, root = _open(self.folder)
         system.create_dir(root, recursive=True)

@@ -87,3 +87,17 @@ def test_folder_of_different_layouts_is_refused(spark, tmp_path):
     write_xport(str(tmp_path / "b.xpt"), [("B", "num", 8)], [(1.0,)])
     with pytest.raises(Exception, match="different columns"):
         read_file(spark, str(tmp_path)).collect()
+
+
+def test_tasks_without_rows_write_no_file(spark, tmp_path):
+    """A split of a file that holds no row group gives a task without any batch."""
+    source, folder = str(tmp_path / "rows"), str(tmp_path / "out")
+    spark.range(2000).selectExpr("cast(id as double) as SEQN").coalesce(1).write.parquet(source)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        write_folder(spark.read.parquet(source), folder)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(list((tmp_path / "out").glob("*.xpt"))) == 1
+    assert read_file(spark, folder).agg({"SEQN": "sum"}).first()[0] == sum(range(2000))
