@@ -10,8 +10,11 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -70,6 +73,39 @@ def _level_text(level: Any) -> str:
     return str(level)
 
 
+def _encoded(numbers: Sequence[Column], indices: Sequence[Column], sizes: Sequence[int]) -> Column:
+    """Sparse vectors of numbers and one-hot levels; an index that is its column's size is unknown.
+
+    Spark's encoder names every level in the metadata of its column, on the driver; here the driver
+    knows no more than the sizes.
+    """
+    width, starts = len(numbers), np.cumsum([len(numbers), *sizes])
+
+    def run(given: pa.Array, levels: pa.Array) -> pa.Array:
+        rows = len(levels)
+        value = np.ones((rows, width + len(sizes)))
+        place = np.empty(value.shape, np.int32)
+        there = np.empty(value.shape, bool)
+        value[:, :width] = given.flatten().to_numpy(zero_copy_only=False).reshape(rows, width)
+        found = levels.flatten().to_numpy(zero_copy_only=False).reshape(rows, len(sizes)).astype(np.int64)
+        place[:, :width], place[:, width:] = np.arange(width), found + starts[:-1]
+        there[:, :width], there[:, width:] = value[:, :width] != 0, found < np.array(sizes)
+        limits = pa.array(np.concatenate(([0], np.cumsum(there.sum(axis=1)))).astype(np.int32))
+        return pa.StructArray.from_arrays(
+            [pa.array(np.zeros(rows, np.int8)), pa.array(np.full(rows, starts[-1], np.int32)), pa.ListArray.from_arrays(limits, pa.array(place[there])),
+             pa.ListArray.from_arrays(limits, pa.array(value[there]))], ["type", "size", "indices", "values"])
+
+    return F.arrow_udf(run, VectorUDT())(F.array(*numbers).cast("array<double>"), F.array(*indices))
+
+
+def met_features(df: DataFrame, vector: str = "features") -> DataFrame:
+    """(feature, n): in how many rows each feature is not zero, without those that never are; sparse vectors stay sparse."""
+    parts = df.select(F.unwrap_udt(vector).alias("_v")).filter("_v is not null")
+    place = F.when(F.col("_v.type") == 0, F.col("_v.indices")).otherwise(F.sequence(F.lit(0), F.size("_v.values") - 1))
+    entries = parts.filter(F.size("_v.values") > 0).select(F.explode(F.arrays_zip(place.alias("at"), F.col("_v.values").alias("x"))).alias("_e"))
+    return entries.filter("_e.x != 0").groupBy(F.col("_e.at").alias("feature")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _filled(column: str, fill: Any) -> Any:
     """A categorical column with its missing values filled; NaN is one of them, as it is when levels are counted."""
     value = F.nanvl(F.col(column), F.lit(None)) if isinstance(fill, float) else F.col(column)
@@ -148,7 +184,7 @@ class Preprocessor:
         """The kept columns and one feature vector.
 
         Levels are indexed and encoded as sparse vectors, one column each: the plan does not grow
-        with their number.  Unknown levels are all zeros.
+        with their number.  Unknown levels are all zeros.  Beside levels in tables the tasks encode them themselves.
         """
         keep = list(df.columns if keep is None else keep)
         numeric = list(Preprocessor(self.numeric, ()).columns().values())
@@ -159,6 +195,7 @@ class Preprocessor:
         plain = df.select(*keep, *[c.alias(f"_f{i}") for i, c in enumerate(numeric)], *[f"_i{i}" for i in tables], *[
             _filled(n, fill).cast("string").alias(f"_s{i}") for i, (n, fill, _) in listed.items()])
         inputs = [f"_f{i}" for i in range(len(numeric))]
+        metadata = {"ml_attr": {"num_attrs": self.width}}
         indices, encoded = ([f"_{k}{i}" for i in range(len(self.categorical))] for k in "ie")
         if self.categorical:
             spark = df.sparkSession
@@ -166,14 +203,17 @@ class Preprocessor:
             if labels:
                 plain = StringIndexerModel.from_arrays_of_labels(list(labels.values()), [f"_s{i}" for i in labels], [f"_i{i}" for i in labels],
                                                                  handleInvalid="keep").transform(plain)
-            last = [float((len(labels[i]) if i in labels else tables[i][2]) - 1) for i in range(len(self.categorical))]
+            if tables:
+                sizes = [len(labels[i]) if i in labels else tables[i][2] for i in range(len(self.categorical))]
+                return plain.select(*keep, _encoded([F.col(c) for c in inputs], [F.col(c) for c in indices], sizes).alias(vector, metadata=metadata))
+            last = [float(len(labels[i]) - 1) for i in range(len(self.categorical))]
             sizes = spark.createDataFrame([tuple(last)], ", ".join(f"{i} double" for i in indices))
             encoder = OneHotEncoder(inputCols=indices, outputCols=encoded, dropLast=True, handleInvalid="keep").fit(sizes)
             # Without the index metadata the number of levels is the encoder's own.
             plain = encoder.transform(plain.withColumns({i: F.expr(f"{i} + 0.0") for i in indices}))
             inputs += encoded
         assembled = VectorAssembler(inputCols=inputs, outputCol=vector).transform(plain)
-        return assembled.select(*keep, F.col(vector).alias(vector, metadata={"ml_attr": {"num_attrs": self.width}}))
+        return assembled.select(*keep, F.col(vector).alias(vector, metadata=metadata))
 
     @staticmethod
     def _level_texts(df: DataFrame, column: str, found: tuple) -> list[str]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,10 +139,9 @@ def onehot_many_levels(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select("o_orderkey")
     fitted = features.fit_preprocessor(orders, [], ["o_orderkey"])
     rows = fitted.transform(orders, ["o_orderkey"])
-    met = rows.agg(Summarizer.numNonZeros(F.col("features")).alias("v"), F.count(F.lit(1)).alias("n"))
-    return met.select("n", F.lit(fitted.width).cast("long").alias("levels"),
-                      F.aggregate(vector_to_array("v"), F.lit(0.0), lambda a, x: a + x).cast("long").alias("met"),
-                      F.array_max(vector_to_array("v")).cast("long").alias("most"))
+    met = features.met_features(rows).agg(F.sum("n").alias("met"), F.max("n").alias("most"))
+    return rows.agg(F.count(F.lit(1)).alias("n")).join(met).select(
+        "n", F.lit(fitted.width).cast("long").alias("levels"), F.coalesce("met", F.lit(0)).alias("met"), F.coalesce("most", F.lit(0)).alias("most"))
 
 
 def transform_new_cycle(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from loomstat.operators import features, levels
@@ -67,3 +67,19 @@ def test_columns_without_levels(spark):
     df = spark.createDataFrame([(None, "a"), (None, None)], "void string, c string")
     assert features.fit_preprocessor(df, [], ["void", "c"], listed=0).categorical == (("c", "a", 1),)
     assert features.fit_preprocessor(df.limit(0), [], ["c"]).categorical == ()
+
+
+def test_wide_vectors_stay_sparse(spark, monkeypatch):
+    """Levels in tables are encoded without naming them on the driver, and counted without a dense vector."""
+    df = spark.range(300_000).select("id", (F.col("id") % 3).cast("double").alias("x"), (F.col("id") * 2).alias("wide"), (F.col("id") % 2).alias("few"))
+    fitted = features.fit_preprocessor(df, ["x"], ["wide", "few"])
+    monkeypatch.setattr(features, "OneHotEncoder", None)
+    monkeypatch.setattr(features, "VectorAssembler", None)
+    rows = fitted.transform(df, ["id"])
+    assert rows.schema["features"].metadata == {"ml_attr": {"num_attrs": 300_003}}
+    met = features.met_features(rows)
+    found = {r.feature: r.n for r in met.where("feature = 0 or feature > 300000").collect()}
+    assert found == {0: 200_000, 300_001: 150_000, 300_002: 150_000}
+    assert met.agg(F.count(F.lit(1)), F.sum("n")).first()[:] == (300_003, 800_000)
+    plain = spark.createDataFrame([([0.0, 2.0],), ([1.0, 0.5],)], "v array<double>").select(array_to_vector("v").alias("features"))
+    assert {r.feature: r.n for r in features.met_features(plain).collect()} == {0: 1, 1: 2}
