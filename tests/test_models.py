@@ -464,3 +464,20 @@ def test_kernel_fit_of_infinite_labels(ready):
     rows = ready.train.withColumn("label_t", F.lit(float("nan")))
     with pytest.raises(ValueError, match="finite"):
         fit_kernel(rows, "label_t", size=8, steps=3)
+
+
+def test_linear_trials_share_one_reading(spark, ready, monkeypatch):
+    """Trials of a linear family on the same rows score from the same sums, as fold_scores does one by one."""
+    from loomstat.operators import linear_cv
+
+    rows, read = ready.train, []
+    original = linear_cv.fold_sums
+    monkeypatch.setattr(linear_cv, "fold_sums", lambda *a, **kw: read.append(1) or original(*a, **kw))
+    targets = ready.targets.names
+    objective = search.cv_objective("ridge", targets, ["k"], k=3)
+    got = [objective({"alpha": a}, rows) for a in (0.1, 10.0, 1000.0)]
+    assert len(read) == 1
+    want = [search.cv_score(search.fold_scores(rows, "ridge", targets, {"alpha": a}, 3, ["k"])) for a in (0.1, 10.0, 1000.0)]
+    assert got == pytest.approx(want, rel=1e-12) and len(set(got)) == 3
+    objective({"alpha": 1.0}, rows.limit(50))
+    assert len(read) == 5  # other rows are read anew
