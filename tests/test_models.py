@@ -481,3 +481,20 @@ def test_linear_trials_share_one_reading(spark, ready, monkeypatch):
     assert got == pytest.approx(want, rel=1e-12) and len(set(got)) == 3
     objective({"alpha": 1.0}, rows.limit(50))
     assert len(read) == 5  # other rows are read anew
+
+
+def test_trees_are_grown_on_bounded_partitions(ready, monkeypatch):
+    """The rows of a partition do not grow with the table; the same trees come out."""
+    plain = models.fit("gradient_boosting", ready.train, ["t"], {"n_estimators": 2, "max_depth": 2}, ["k"])
+    monkeypatch.setattr(models, "TREE_ROWS", 20)
+    seen, original = [], models.make_estimator
+
+    def estimator(family, df, *rest):
+        seen.append(df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect())
+        return original(family, df, *rest)
+
+    monkeypatch.setattr(models, "make_estimator", estimator)
+    fitted = models.fit("gradient_boosting", ready.train, ["t"], {"n_estimators": 2, "max_depth": 2}, ["k"])
+    assert sum(seen[0]) == ready.train.count() and len(seen[0]) >= sum(seen[0]) / 20 and max(seen[0]) <= 60
+    want, got = ({r.k: r.prediction_t for r in m.predict(ready.test, ["k"]).collect()} for m in (plain, fitted))
+    assert got == pytest.approx(want, rel=1e-9)
