@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import counted_broadcast
+from ..session import counted_broadcast, materialise
 from .quantiles import DIRECT_ROWS, quantile_values, quantiles
 
 # Empty bins are listed in runs of this length, so that no row holds all of them.
@@ -88,11 +88,13 @@ def grouped_density(df: DataFrame, col: str, facet: str, by: Sequence[str], bins
     """Density histograms whose edges are shared inside one facet and normalised per group.
 
     The edges of all facets come from one aggregation (and one of quantiles), and all bins are
-    counted together.  Rows with a null facet are left out.
+    counted together.  For automatic bins the values are stored first.  Rows with a null facet are left out.
     """
     by = list(by)
     values = df.select(facet, *by, F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double")).alias("x"))
     values = values.dropna(subset=[facet, "x"])
+    if not isinstance(bins, int):
+        values = materialise(values)  # the quantiles read it several times, and a text file is dear to parse
     ends = values.groupBy(facet).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("_n"))
     if isinstance(bins, int):
         count = F.lit(bins).cast("long")

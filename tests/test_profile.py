@@ -214,3 +214,15 @@ def test_kde_leaves_the_scan_as_cells(spark):
     cells = distribution.kde_cells(frame(spark, [float(v) for v in x]), literals)
     assert cells.count() <= np.ptp(x) / literals["x"]["h"] + 1 and len(cells.columns) == 2 + distribution.TERMS
     assert cells.agg(F.sum("m0")).first()[0] == len(x)
+
+
+def test_automatic_bins_read_the_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(v):
+        seen.add(1)
+        return v
+
+    df = spark.range(500).select((F.col("id") % 2).cast("string").alias("t"), F.lit("m").alias("m"), F.udf(counted, "double").asNondeterministic()(F.col("id").cast("double")).alias("x"))
+    got = distribution.grouped_density(df, "x", "t", ["m"], "auto", direct_rows=10).collect()
+    assert sum(r.n for r in got) == 500 and seen.value == 500
