@@ -498,3 +498,20 @@ def test_trees_are_grown_on_bounded_partitions(ready, monkeypatch):
     assert sum(seen[0]) == ready.train.count() and len(seen[0]) >= sum(seen[0]) / 20 and max(seen[0]) <= 60
     want, got = ({r.k: r.prediction_t for r in m.predict(ready.test, ["k"]).collect()} for m in (plain, fitted))
     assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_variance_shares_grow_from_sums_by_setting(spark, monkeypatch):
+    """A few settings are enough for the trees, however many trials there are; Spark's forest on the trials gives the same shares."""
+    trials = spark.range(4000).selectExpr(
+        "map('a', cast(id % 7 as string), 'b', cast(pmod(id * id, 11) as string), 'w', element_at(array('x', 'y', 'z'), cast(id % 3 + 1 as int))) as params",
+        "cast((id % 7) * 2 + pmod(id * id, 11) * (id % 3) + pmod(hash(id), 5) as double) as value")
+
+    def shares(**how):
+        return {(r.param, r.other): r.share for r in search.variance_shares(trials, ["a", "b", "w"], **how).collect()}
+
+    with monkeypatch.context() as patch:
+        patch.setattr(search, "SETTINGS", 0)
+        whole = shares(trees=1, bootstrap=False)
+    monkeypatch.setattr(search, "RandomForestRegressor", None)
+    assert shares(trees=1, bootstrap=False) == pytest.approx(whole, abs=1e-9)
+    assert shares(trees=6) == pytest.approx(whole, abs=0.05)
