@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -69,3 +70,21 @@ def test_vectors_that_take_no_part(spark):
     got = {(r.qid, r.tid): r.distance for r in neighbours.nearest(df, df, 9, "id", "id", "x").collect()}
     assert got.keys() == {(a, b) for a in (0, 4, 5) for b in (0, 4, 5)} and got[0, 4] == 5
     assert neighbours.nearest(df, df.where("id in (1, 2, 3)"), 2, "id", "id", "x").count() == 0
+
+
+def test_route_sends_bounded_batches(spark):
+    """Visits carry vectors, so they leave a task in batches of bounded bytes, however many cells a query visits."""
+    rng, width, cells = np.random.default_rng(5), 64, 100
+    rows, pivots = rng.normal(size=(9000, width)), rng.normal(size=(cells, width))
+    sent = []
+
+    class Rows:
+        schema, sparkSession = spark.createDataFrame([], "qid long, x array<double>, cell int, limit double").schema, spark
+
+        def mapInPandas(self, run, schema):  # noqa: N802 - as Spark calls it
+            sent.extend(run(iter([pd.DataFrame({"qid": np.arange(len(rows)), "x": list(rows), "cell": 0, "limit": np.inf})])))
+
+    neighbours._route(Rows(), pivots, np.arange(cells), np.ones(cells), 2)
+    assert sum(map(len, sent)) == len(rows) * (cells - 1)
+    assert max(map(len, sent)) * width * 8 <= 4 << 20
+    assert len(pd.concat(sent).drop_duplicates(["qid", "cell"])) == len(rows) * (cells - 1)
