@@ -40,6 +40,8 @@ CELLS = 2_000_000
 BROADCAST_BYTES = 128 << 20
 #: Elements of a matrix of rows and trees that is walked at once.
 WALK = 1 << 20
+#: Nodes up to which a tree is walked for all rows of a block at once; node numbers fit one byte.
+SMALL = 64
 
 
 @dataclass
@@ -336,7 +338,10 @@ class _Tree:
 
 
 def _walk(x: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The node of every row."""
     feature, cut, left, right = tree[:4]
+    if len(feature) <= SMALL:
+        return _walk_small(x, *(c.tolist() for c in (feature, cut, left, right)))
     node, rows = np.zeros(x.shape[1], dtype=np.int64), np.arange(x.shape[1])
     while (inner := feature[node] >= 0).any():
         low = x[np.maximum(feature[node], 0), rows] <= cut[node]
@@ -344,6 +349,19 @@ def _walk(x: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
     return node
 
 
+def _walk_small(x: np.ndarray, feature: list[int], cut: list[int], left: list[int], right: list[int]) -> np.ndarray:
+    """The node of every row in one byte: from the leaves up, a split takes the bits of one side or the other."""
+
+    def below(node: int) -> np.ndarray:
+        if feature[node] < 0:
+            return np.full(1, node, np.uint8)
+        low, high = below(left[node]), below(right[node])
+        mask = np.negative((x[feature[node]] <= cut[node]).view(np.uint8))
+        return high ^ ((low ^ high) & mask)
+
+    return np.broadcast_to(below(0), x.shape[1])
+
+
 def _uniform(u: np.ndarray, number: int, seed: int) -> np.ndarray:
     """A number of [0, 1) for every row and tree."""
     z = u ^ np.uint64((number * 0x9E3779B97F4A7C15 + seed * 0xD1B54A32D192ED03) % (1 << 64))

@@ -213,3 +213,22 @@ def test_odd_tables(spark):
     assert nan.predict(np.array([[1.0, 3.0], [float("nan"), 3.0]])).tolist() == [0.5, 0.5]  # one value is not cut
     split = vectors([(i, [float("nan") if i % 3 == 2 else float(i % 3)], float(i % 3)) for i in range(60)])
     assert trees.boost(split, "label_t", 1, Growth(rate=1.0, depth=1)).predict(np.array([[0.0], [1.0], [float("nan")]])).tolist() == pytest.approx([0, 1.5, 1.5])
+
+
+def test_small_trees_are_walked_for_whole_blocks(monkeypatch):
+    """Both ways give the same nodes; the one for small trees makes no pass over the rows per level."""
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 256, (5, 3000)).astype(np.uint8)
+    tree = trees._Tree(0)
+    for node in range(31):
+        if node < len(tree.feature) and rng.random() < 0.8:
+            tree.feature[node], tree.cut[node] = int(rng.integers(5)), int(rng.integers(0, 256))
+            for side in ("left", "right"):
+                getattr(tree, side)[node] = len(tree.feature)
+                for column, v in ((tree.feature, -1), (tree.cut, 0), (tree.left, 0), (tree.right, 0), (tree.value, 0.0), (tree.slot, 0)):
+                    column.append(v)
+    got = [trees._walk(x, t.arrays()) for t in (tree, trees._Tree(1))]
+    monkeypatch.setattr(trees, "SMALL", 0)
+    for found, t in zip(got, (tree, trees._Tree(1)), strict=True):
+        assert found.dtype == np.uint8
+        assert found.tolist() == trees._walk(x, t.arrays()).tolist()
