@@ -6,9 +6,11 @@ import contextlib
 import io
 
 from conftest import SMALL
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from loomstat.operators import clean, combine, explain, features, profile
+from loomstat.sources import tables
 
 
 def plan(df) -> str:
@@ -70,3 +72,14 @@ def test_group_totals_do_not_shuffle_the_rows(spark):
     lines = table(spark, "lineitem").select("l_orderkey", "l_returnflag", "l_quantity")
     shared = explain.share_within(lines, ["l_returnflag"], "l_quantity", "share")
     assert exchanges(plan(shared)) == 0 and "BroadcastHashJoin" in plan(shared)
+
+
+def test_partitions_are_written_without_sorting(spark, tmp_path, monkeypatch):
+    """A few partitions are open at once, so that their rows are not sorted, and spilled, before; the setting is given back."""
+    setting, seen, write = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.parquet
+    before = spark.conf.get(setting)
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: (seen.append(int(spark.conf.get(setting))), write(self, path))[1])
+    rows = spark.range(1000).selectExpr("id", "id % 3 as a", "cast(id % 2 as string) as b")
+    tables.save_table(rows, str(tmp_path / "t"), ["a", "b"])
+    assert seen == [tables.OPEN_FILES] and spark.conf.get(setting) == before
+    assert sorted(map(tuple, tables.load_table(spark, str(tmp_path / "t")).select("id", "a", "b").collect())) == [(i, i % 3, i % 2) for i in range(1000)]
