@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -515,3 +516,16 @@ def test_variance_shares_grow_from_sums_by_setting(spark, monkeypatch):
     monkeypatch.setattr(search, "RandomForestRegressor", None)
     assert shares(trees=1, bootstrap=False) == pytest.approx(whole, abs=1e-9)
     assert shares(trees=6) == pytest.approx(whole, abs=0.05)
+
+
+def test_tree_search_moves_its_rows_once(spark, monkeypatch):
+    """Folds lie in partitions of few rows before the fits, which then move nothing."""
+    rows = spark.range(600).selectExpr("id", "cast(id % 13 as double) as a", "cast(id % 7 as double) as label_y").coalesce(1)
+    rows = VectorAssembler(inputCols=["a"], outputCol="features").transform(rows).select("id", "features", "label_y")
+    kind, moved = type(rows), []
+    repartition = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, *how: (moved.append(how), repartition(self, *how))[1])
+    monkeypatch.setattr(models, "TREE_ROWS", 100)
+    _, trials = search.random_search(rows, "random_forest", ["y"], {"n_estimators": [2], "max_depth": [2, 3]}, 3, ["id"], n=2)
+    assert moved == [(6, "id")]
+    assert trials.count() == 2
