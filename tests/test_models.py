@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from loomstat import fixed
-from loomstat.operators import evaluate, explain, features, models, neighbours, search
+from loomstat.operators import evaluate, explain, features, kernel, models, neighbours, search
 from loomstat.operators.kernel import FeatureMap, fit_kernel
 from loomstat.operators.trees import FlatTrees
 from loomstat.session import materialise
@@ -529,3 +529,26 @@ def test_tree_search_moves_its_rows_once(spark, monkeypatch):
     _, trials = search.random_search(rows, "random_forest", ["y"], {"n_estimators": [2], "max_depth": [2, 3]}, 3, ["id"], n=2)
     assert moved == [(6, "id")]
     assert trials.count() == 2
+
+
+def test_kernel_pass_reads_flat_columns(spark):
+    """The sums of a pass over Arrow columns are those of all rows at once."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(1300, 3)), rng.normal(size=1300)
+    fmap = FeatureMap("rbf", 3, 0.2, 5, 1)
+    solution = (rng.normal(size=5), 0.3)
+    rows = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y, strict=True)], "x array<double>, y double").coalesce(1)
+
+    class Rows:
+        def mapInArrow(self, run, schema):  # noqa: N802 - as Spark calls it
+            return rows.mapInArrow(run, schema)
+
+    loss, total = kernel._pass(Rows(), fmap, 0.1, solution)
+    z = fmap.function()(x)
+    miss = y - z @ solution[0] - solution[1]
+    above, below = np.maximum(np.abs(miss - 0.1), 1e-6), np.maximum(np.abs(miss + 0.1), 1e-6)
+    weight = 0.25 / above + 0.25 / below
+    target = y + (0.25 * (above - 0.1) / above + 0.25 * (0.1 - below) / below) / weight
+    whole = np.hstack([np.ones((1300, 1)), z, target[:, None]])
+    assert loss == pytest.approx(np.maximum(np.abs(miss) - 0.1, 0).sum())
+    assert total == pytest.approx(whole.T @ (whole * weight[:, None]))
