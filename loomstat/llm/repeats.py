@@ -266,14 +266,15 @@ def repeated_spans(texts: DataFrame, window: int, prefix: int, filter_bytes: int
                 yield 1, np.unique(anchors(words, window, prefix)[3])
 
         def block_pieces(left: pa.Table, right: pa.Table) -> pa.Table:
-            held = Answers(right)
+            held = Answers(right, often.value)
             found = [p for b in left.combine_chunks().to_batches() for p in _pieces(b, held, window, prefix, hot_level)]
             empty = pa.schema([("id", left.schema.field("id").type), ("key", pa.int64()), ("prefix", pa.int64()), ("lo", pa.int64()),
                                ("body", pa.binary()), ("windows", pa.list_(pa.int64()))])
             return pa.Table.from_batches(found) if found else empty.empty_table()
 
-        answers = routed(blocks, built, segments, asked)
+        answers, often = routed(blocks, built, segments, asked)
         around = stored(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(block_pieces, schema), "pieces")
+        often.destroy()
 
     def subtree(group: pa.Table) -> pa.Table:
         data, offsets = T.raw_text(group["body"].combine_chunks().cast(pa.string()))
