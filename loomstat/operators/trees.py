@@ -31,9 +31,14 @@ from ..session import drop_scratch, scratch_path
 
 #: Bins of a feature; they are numbered in one byte.
 BINS = 256
-#: Rows of a block, and boosted trees after which the blocks' predictions are written anew.
+#: Rows of a block, and most boosted trees after which the blocks' predictions are written anew.
 BLOCK_ROWS = 8192
 REWRITE = 16
+#: Seconds that a job takes besides its rows, that a row takes to be written, and that it takes to be walked through one tree.
+JOB_S, WRITE_S, WALK_S = 0.3, 150e-9, 20e-9
+#: Cells of several features that are counted together, and cells of a tree's level that a task holds as arrays.
+JOINT = 1024
+DENSE = 1 << 16
 #: Cells that the driver adds up itself; more are added up by Spark.
 CELLS = 2_000_000
 #: Bytes of trees that are broadcast at once; larger ensembles are broadcast tree group by tree group.
@@ -245,6 +250,15 @@ class Binned:
     def width(self) -> int:
         return len(self.edges)
 
+    @property
+    def bins(self) -> list[int]:
+        return [len(e) + 1 for e in self.edges]
+
+    def rewrite(self, levels: int) -> int:
+        """Trees after which predictions are written anew: the more rows, the fewer, as every level walks through all that wait."""
+        own = self.rows / max(1, self.blocks.sparkSession.sparkContext.defaultParallelism)
+        return max(1, min(REWRITE, round(np.sqrt(2 * (JOB_S + WRITE_S * own) / (max(1, levels) * WALK_S * max(own, 1.0))))))
+
 
 def _few_values(x: DataFrame, width: int, bins: int) -> dict[int, np.ndarray]:
     """All values of the features that have at most ``bins`` of them."""
@@ -380,28 +394,103 @@ def _weights(u: np.ndarray, number: int, how: Growth) -> np.ndarray | None:
     return None if how.rows >= 1 else (_uniform(u, number, how.seed) < how.rows).astype(float)
 
 
+def joint_groups(bins: Sequence[int], features: Sequence[int], most: int = JOINT) -> list[list[int]]:
+    """Features in groups with at most ``most`` combinations of bins, or one feature."""
+    groups: list[list[int]] = []
+    sizes: list[int] = []
+    for f in sorted(features, key=lambda f: -bins[f]):
+        fits = next((i for i, size in enumerate(sizes) if size * bins[f] <= most), None)
+        if fits is None:
+            groups.append([f])
+            sizes.append(bins[f])
+        else:
+            groups[fits].append(f)
+            sizes[fits] *= bins[f]
+    return groups
+
+
+def _joint(x: np.ndarray, group: Sequence[int], bins: Sequence[int]) -> np.ndarray:
+    """The combination of bins of every row."""
+    code = x[group[0]].astype(np.uint16)
+    for f in group[1:]:
+        code = code * np.uint16(bins[f]) + x[f]
+    return code
+
+
+class Counted:
+    """Gradients and Hessians of some slots by feature and bin; features are counted in groups, one combination of bins a row."""
+
+    def __init__(self, bins: Sequence[int], features: Sequence[int], slots: int):
+        self.bins, self.slots, self.groups = bins, slots, joint_groups(bins, features) or [[]]
+        self.sizes = [int(np.prod([bins[f] for f in group], dtype=np.int64)) for group in self.groups]
+        self.g, self.h = ([np.zeros(slots * n) for n in self.sizes] for _ in range(2))
+
+    @staticmethod
+    def cells(bins: Sequence[int], features: Sequence[int], slots: int) -> int:
+        return slots * sum(int(np.prod([bins[f] for f in group], dtype=np.int64)) for group in joint_groups(bins, features) or [[]])
+
+    def add(self, x: np.ndarray, own: np.ndarray | None, slot: np.ndarray, g: np.ndarray, h: np.ndarray | None) -> None:
+        """Rows ``own`` of ``x`` (all if None) with their slots, gradients and Hessians (1 each if None)."""
+        for i, (group, size) in enumerate(zip(self.groups, self.sizes, strict=True)):
+            key = slot * size
+            if group:
+                code = _joint(x, group, self.bins)
+                key += code if own is None else code[own]
+            self.g[i] += np.bincount(key, g, self.slots * size)
+            self.h[i] += np.bincount(key, h, self.slots * size)
+
+    def by_feature(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(feature, g, h), as slots × bins; feature -1: the slots' totals."""
+        for i, group in enumerate(self.groups):
+            shape = (self.slots, *(self.bins[f] for f in group))
+            g, h = self.g[i].reshape(shape), self.h[i].reshape(shape)
+            axes = range(1, len(shape))
+            if i == 0:
+                yield -1, g.sum(axis=tuple(axes))[:, None], h.sum(axis=tuple(axes))[:, None]
+            for at, f in enumerate(group, 1):
+                other = tuple(a for a in axes if a != at)
+                yield f, g.sum(axis=other), h.sum(axis=other)
+
+    def found(self, first: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """The cells with rows, the slots numbered from ``first``."""
+        for f, g, h in self.by_feature():
+            slot, place = np.nonzero(h)
+            yield slot + first, np.full(len(slot), f), place, g[slot, place], h[slot, place]
+
+
 def _cells(binned: Binned, growing: Sequence[_Tree], pending: Sequence[tuple], how: Growth, columns: Sequence[np.ndarray], forest: bool) -> DataFrame:
     """(slot, feature, bin, g, h) of the rows of every task; feature -1 holds a node's totals."""
-    width = binned.width
+    width, bins = binned.width, binned.bins
     shared = binned.blocks.sparkSession.sparkContext.broadcast(([(t.number, t.arrays()) for t in growing], list(pending), list(columns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, done, columns = shared.value
         found: list[tuple[np.ndarray, ...]] = []
+        # The slots of a tree are numbered in a row.
+        first = [int(tree[4][tree[4] >= 0].min(initial=1 << 62)) for _, tree in trees]
+        slots = [int((tree[4] >= 0).sum()) for _, tree in trees]
+        few = [0 < n and Counted.cells(bins, c.tolist(), n) <= DENSE for n, c in zip(slots, columns, strict=True)]
+        counted: dict[int, Counted] = {}
         for batch in batches:
             for row in range(batch.num_rows):
                 x, y, u, m = _read(row, batch, width)
                 if not forest:
                     m = reduce(lambda a, t: a + t[5][_walk(x, t)], done, m)
-                for (number, tree), allowed in zip(trees, columns, strict=True):
+                for t, ((number, tree), allowed) in enumerate(zip(trees, columns, strict=True)):
                     slot = tree[4][_walk(x, tree)]
                     weight = _weights(u, number, how)
                     own = np.flatnonzero(slot >= 0 if weight is None else (slot >= 0) & (weight > 0))
                     if not len(own):
                         continue
                     s, g = slot[own], (m - y)[own]
-                    h = np.ones(len(own)) if weight is None else weight[own]
+                    h = None if weight is None else weight[own]
                     g = g if weight is None else g * h
+                    if few[t]:
+                        if t not in counted:
+                            counted[t] = Counted(bins, allowed.tolist(), slots[t])
+                        counted[t].add(x, own, s - first[t], g, h if how.bootstrap else None)
+                        continue
+                    h = np.ones(len(own)) if h is None else h
                     for f in (-1, *allowed.tolist()):
                         key = s * BINS + x[f, own] if f >= 0 else s * BINS
                         size = int(key.max()) + 1
@@ -413,6 +502,8 @@ def _cells(binned: Binned, growing: Sequence[_Tree], pending: Sequence[tuple], h
                             at, inverse = np.unique(key, return_inverse=True)
                             gs, hs = np.bincount(inverse, g), np.bincount(inverse, h)
                         found.append((at // BINS, np.full(len(at), f), at % BINS, gs, hs))
+        for t, sums in counted.items():
+            found += sums.found(first[t])
         if found:
             slot, feature, place, g, h = (np.concatenate(c) for c in zip(*found, strict=True))
             slot, feature, place, g, h = add_cells(slot, feature, place, g, h)
@@ -595,7 +686,7 @@ def boost(df: DataFrame, label: str, trees: int, how: Growth, vector: str = "fea
     binned = bin_rows(df, label, vector, key)
     start = _Tree(-1)
     start.value[0], start.slot[0] = binned.mean, -1
-    pending, made = [start.arrays()], []
+    pending, made, most = [start.arrays()], [], binned.rewrite(how.depth)
     for number in range(trees if binned.rows else 0):
         tree = _grow(binned, [number], pending, how, forest=False)[0]
         made.append(_flat(tree, binned.edges))
@@ -603,7 +694,7 @@ def boost(df: DataFrame, label: str, trees: int, how: Growth, vector: str = "fea
         if whole and tree.feature[0] < 0 and abs(tree.value[0]) < 1e-12:
             break  # nothing is left that a tree of this kind could fit
         pending.append(tree.arrays())
-        if len(pending) >= REWRITE:
+        if len(pending) >= most:
             binned, pending = _rewritten(binned, pending), []
     drop_scratch(df.sparkSession, binned.path)
     return joined(made, binned.width, binned.mean, averaged)

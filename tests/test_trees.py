@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import dataclasses
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -232,3 +234,35 @@ def test_small_trees_are_walked_for_whole_blocks(monkeypatch):
     for found, t in zip(got, (tree, trees._Tree(1)), strict=True):
         assert found.dtype == np.uint8
         assert found.tolist() == trees._walk(x, t.arrays()).tolist()
+
+
+def test_features_are_counted_together():
+    """Few features of few bins take one count by their combination; its sums are those of every feature alone, and less is walked again when rows are many."""
+    rng = np.random.default_rng(4)
+    bins = [256, 11, 50, 7, 2, 2, 2, 1]
+    x = np.stack([rng.integers(0, b, 5000) for b in bins]).astype(np.uint8)
+    own = np.flatnonzero(rng.random(5000) < 0.7)
+    slot, g, h = rng.integers(0, 3, len(own)), rng.normal(size=len(own)), rng.integers(1, 4, len(own)).astype(float)
+    for features in ([0, 1, 2, 3, 4, 5, 6, 7], [1, 4], [7], []):
+        for weight in (None, h):
+            counted = trees.Counted(bins, features, 3)
+            assert len(counted.groups) <= max(1, (len(features) + 1) // 2) and sorted(f for c in counted.groups for f in c) == sorted(features)
+            for a, b in ((0, 1000), (1000, len(own))):
+                counted.add(x, own[a:b], slot[a:b], g[a:b], None if weight is None else weight[a:b])
+            seen = {}
+            for s, f, place, gs, hs in counted.found(5):
+                seen |= {(int(a) - 5, int(b), int(c)): (d, e) for a, b, c, d, e in zip(s, f, place, gs, hs, strict=True)}
+            want = {}
+            for f in (-1, *features):
+                place = x[f, own] if f >= 0 else np.zeros(len(own), int)
+                for i, (a, c) in enumerate(zip(slot, place, strict=True)):
+                    old = want.get((int(a), f, int(c)), (0.0, 0.0))
+                    want[int(a), f, int(c)] = (old[0] + g[i], old[1] + (1 if weight is None else h[i]))
+            assert seen.keys() == want.keys()
+            assert all(seen[k] == pytest.approx(v) for k, v in want.items())
+
+
+def test_more_rows_wait_for_fewer_trees(made):
+    binned = trees.bin_rows(made[0], "label_t", key=["k"])
+    waits = [dataclasses.replace(binned, rows=n).rewrite(4) for n in (1000, 10**8, 10**12)]
+    assert waits[0] == trees.REWRITE > waits[1] >= waits[2] >= 1
