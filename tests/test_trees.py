@@ -266,3 +266,26 @@ def test_more_rows_wait_for_fewer_trees(made):
     binned = trees.bin_rows(made[0], "label_t", key=["k"])
     waits = [dataclasses.replace(binned, rows=n).rewrite(4) for n in (1000, 10**8, 10**12)]
     assert waits[0] == trees.REWRITE > waits[1] >= waits[2] >= 1
+
+
+@pytest.mark.parametrize("how", [Growth(depth=5, least=20.0, bootstrap=True), Growth(depth=6, least=15.0, split_least=60.0, per_node="sqrt", bootstrap=True),
+                                 Growth(depth=3, least=10.0, rows=0.5), Growth(depth=0)])
+def test_trees_of_tasks_that_hold_all_rows(made, how):
+    """They are those grown level by level; sums of their predictions give the errors."""
+    df, x, y = made
+    grown = trees.forest(df, "label_t", 7, how, key=["k"])
+    for asked in (df.where("k % 3 = 0"), df.limit(0)):
+        rows = asked.select("features", "label_t").where("label_t is not null").collect()
+        miss = np.array([r.label_t for r in rows]) - (grown.predict(np.array([r.features.toArray() for r in rows])) if rows else 0.0)
+        (n, error), (_, one) = trees.forest_errors(df, asked, "label_t", [(7, how), (1, how)], key=["k"])
+        assert n == len(rows) and error == pytest.approx(float((miss * miss).sum()), rel=1e-6)
+        assert one != error or not rows or how.depth == 0 and not how.bootstrap
+
+
+def test_rows_of_many_slots_are_sorted(made):
+    """Deep trees separate all rows that differ."""
+    rng = np.random.default_rng(2)
+    x = np.stack([rng.permutation(256), rng.integers(0, 4, 256)]).astype(np.uint8)
+    rows = trees.Whole(x, rng.normal(size=256), rng.integers(0, 1 << 62, 256).astype(np.uint64), [256, 4], x, np.zeros(256))
+    tree = trees.whole_tree(rows, 1, Growth(depth=30))
+    assert tree[4][trees._walk(x, tree)] == pytest.approx(rows.y) and (tree[0] < 0).sum() == 256
