@@ -12,6 +12,7 @@ from loomstat import fixed
 from loomstat.operators import evaluate, explain, features, kernel, models, neighbours, search
 from loomstat.operators.kernel import FeatureMap, fit_kernel
 from loomstat.operators.trees import FlatTrees
+from loomstat.plans import model_queries
 from loomstat.session import materialise
 
 
@@ -552,3 +553,13 @@ def test_kernel_pass_reads_flat_columns(spark):
     whole = np.hstack([np.ones((1300, 1)), z, target[:, None]])
     assert loss == pytest.approx(np.maximum(np.abs(miss) - 0.1, 0).sum())
     assert total == pytest.approx(whole.T @ (whole * weight[:, None]))
+
+
+def test_random_search_covers_the_whole_space(spark, monkeypatch):
+    """The registered search draws from the fixed space of forests, in the fixed number of folds."""
+    asked, kind = [], model_queries.search
+    monkeypatch.setattr(model_queries, "_prepared", lambda *_: type("Ready", (), {"train": None}))
+    monkeypatch.setattr(kind, "random_search", lambda rows, family, targets, space, k, key, **how: (asked.append((family, space, k, how)), (None, spark.range(0)))[1])
+    monkeypatch.setattr(kind, "best_trial", lambda trials: trials)
+    model_queries.random_search_trees(spark, "")
+    assert asked == [("random_forest", fixed.RANDOM_SPACES["random_forest"], fixed.RANDOM_FOLDS, {"n": fixed.RANDOM_DRAWS})]
