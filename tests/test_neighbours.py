@@ -88,3 +88,19 @@ def test_route_sends_bounded_batches(spark):
     assert sum(map(len, sent)) == len(rows) * (cells - 1)
     assert max(map(len, sent)) * width * 8 <= 4 << 20
     assert len(pd.concat(sent).drop_duplicates(["qid", "cell"])) == len(rows) * (cells - 1)
+
+
+@pytest.mark.parametrize("p", [1, 2])
+@pytest.mark.parametrize("scale", [1e-30, 1.0, 1e14, 1e16, 1e100])
+def test_single_precision_loses_no_row(monkeypatch, p, scale):
+    """Sums of all pairs take no matrix of doubles for every column, and are exact also where single precision ends or many rows look near."""
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(700, 24))
+    rows[::7] = rows[0] * (1 + 1e-9 * rng.normal(size=(100, 1)))
+    rows *= scale
+    queries = np.vstack([rows[:20], rng.normal(size=(20, 24)) * scale])
+    limit = np.where(np.arange(40) % 3 == 0, np.inf, 1e3 * scale)
+    want = sorted((i, x, j) for i, j, x in brute(queries, rows, 4, p, limit))
+    search = neighbours.Search(rows, 4, p, neighbours.rotation(rows, p))
+    monkeypatch.setattr(neighbours, "pairwise", None)
+    assert found(search, queries, limit) == want
