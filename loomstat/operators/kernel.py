@@ -32,6 +32,27 @@ TOLERANCE = 1e-4
 BLOCK = 512
 
 
+# Rows whose cosines are taken at once, and the sine of c turns as c times a series in c², exact to double precision up to a quarter.
+TILE = 64
+SINE = [(-1) ** k * (2.0 * math.pi) ** (2 * k + 1) / math.factorial(2 * k + 1) for k in range(11)]
+
+
+def _cosine(turns: np.ndarray, held: np.ndarray, terms: list[float]) -> None:
+    """In place, the cosine of an angle in turns, times the factor that ``terms`` hold beside :data:`SINE`; ``held``: two arrays of its shape."""
+    square, total = held
+    np.rint(turns, out=square)
+    turns -= square
+    np.abs(turns, out=turns)
+    np.subtract(0.25, turns, out=turns)
+    np.multiply(turns, turns, out=square)
+    np.multiply(square, terms[-1], out=total)
+    for c in terms[-2:0:-1]:
+        total += c
+        total *= square
+    total += terms[0]
+    turns *= total
+
+
 @dataclass(frozen=True)
 class FeatureMap:
     """A random map from ``width`` input features to ``size`` output features, fixed by its seed."""
@@ -60,13 +81,15 @@ class FeatureMap:
         weights, offset = self.draw()
         gamma, size = self.gamma, self.size
         if self.kernel == "rbf":
-            scale = math.sqrt(2.0 / size)
+            turns, start, terms = weights / (2.0 * math.pi), offset / (2.0 * math.pi), [math.sqrt(2.0 / size) * c for c in SINE]
 
             def mapped(x: np.ndarray) -> np.ndarray:
-                z = x @ weights
-                z += offset
-                np.cos(z, out=z)
-                z *= scale
+                z = x @ turns
+                held = np.empty((2, min(TILE, len(z)), size))
+                for a in range(0, len(z), TILE):
+                    part = z[a : a + TILE]
+                    part += start
+                    _cosine(part, held[:, : len(part)], terms)
                 return z
 
             return mapped
@@ -129,9 +152,9 @@ def _pass(rows: DataFrame, fmap: FeatureMap, epsilon: float, solution: tuple[np.
                     weight = 0.25 / above + 0.25 / below
                     target = y + (0.25 * (above - epsilon) / above + 0.25 * (epsilon - below) / below) / weight
                 # A matrix times its own transpose takes half the products.
-                whole = np.empty((len(y), size))
-                whole[:, 0], whole[:, 1:-1], whole[:, -1] = 1.0, z, target
-                whole *= np.sqrt(weight)[:, None]
+                whole, root = np.empty((len(y), size)), np.sqrt(weight)
+                whole[:, 0], whole[:, -1] = root, target * root
+                np.multiply(z, root[:, None], out=whole[:, 1:-1])
                 total += whole.T @ whole
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, size, dtype=np.int32)), pa.array([[loss], *total.tolist()], pa.list_(pa.float64()))], ["row", "v"])
 

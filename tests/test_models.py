@@ -563,3 +563,17 @@ def test_random_search_covers_the_whole_space(spark, monkeypatch):
     monkeypatch.setattr(kind, "best_trial", lambda trials: trials)
     model_queries.random_search_trees(spark, "")
     assert asked == [("random_forest", fixed.RANDOM_SPACES["random_forest"], fixed.RANDOM_FOLDS, {"n": fixed.RANDOM_DRAWS})]
+
+
+def test_features_are_mapped_without_slow_cosines(monkeypatch):
+    """The map is the cosine to double precision, also of many turns, and what is not finite stays so."""
+    fmap, rng = FeatureMap("rbf", 3, 2.0, 17, 1), np.random.default_rng(8)
+    x = np.vstack([rng.normal(size=(150, 3)) * s for s in (1e-9, 1.0, 1e3)] + [np.zeros((1, 3))])
+    weights, offset = fmap.draw()
+    want = np.sqrt(2.0 / 17) * np.cos(x @ weights + offset)
+    monkeypatch.setattr(np, "cos", None)
+    assert fmap.function()(x) == pytest.approx(want, abs=1e-12)
+    assert fmap.function()(x[:300]) == pytest.approx(want[:300], abs=1e-14)
+    with np.errstate(invalid="ignore"):
+        assert np.isnan(fmap.function()(np.array([[np.inf, 0.0, 0.0], [np.nan, 0.0, 0.0]]))).all()
+    assert fmap.function()(x[:0]).shape == (0, 17)
